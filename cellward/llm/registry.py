@@ -1,8 +1,10 @@
 """The queries of this subpackage by name, and the SQL that checks them."""
 
-from cellward.llm import decontaminate
+from cellward.llm import bpe, decontaminate, quality
 
 QUERIES = {
+    "op1_bpe_encoding": bpe.op1_bpe_encoding,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
