@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and the SQL that checks them."""
 
-from cellward.llm import bpe, decontaminate, quality
+from cellward.llm import bpe, decontaminate, licenses, quality, secrets
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
+    "op3_license_scan": licenses.op3_license_scan,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
