@@ -28,12 +28,36 @@ ENCODED = "doc_id long, ids binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _encode(path: str):
+def _plain(own, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def _digest(own, doc_id: pa.Array, ids: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_id,
+            pa.array([len(x) // 4 for x in ids], pa.int64()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+        ],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
+
+
+def _encode(path: str, finish):
     def run(batches):
         own = codec(path)
         for batch, bodies in t.slices(batches):
-            ids = own.encode([b.decode("utf-8", "replace") for b in bodies])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield finish(own, batch.column(0), own.encode([b.decode("utf-8", "replace") for b in bodies]))
+
+    return run
+
+
+def _finish(path: str, finish):
+    def run(batches):
+        own = codec(path)
+        for batch in batches:
+            yield finish(own, batch.column(0), batch.column(1).to_pylist())
 
     return run
 
@@ -75,7 +99,7 @@ def _leaves(path: str):
                 if of:
                     ids.append(np.array(own.leaf_ids(symbols), "<u4").tobytes())
                 else:
-                    got = [int(x) for x in ()]
+                    got: list[int] = []
                     for x in symbols.split("\n") if symbols else ():
                         got += [int(x[1:])] if x[0] == "\t" else own.leaf_ids(x)
                     ids.append(np.array(got, "<u4").tobytes())
@@ -106,9 +130,18 @@ def _join(path: str):
 
 def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """doc_id and the ids of its whole text (little-endian unsigned 32-bit)."""
+    return _encoded(docs, path, leaf, _plain, ENCODED)
+
+
+def digest(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """Per document: number of ids, digest of the ids, digest of the text decoded from them."""
+    return _encoded(docs, path, leaf, _digest, DIGEST)
+
+
+def _encoded(docs: DataFrame, path: str, leaf: int, finish, schema: str) -> DataFrame:
     rows = texts(docs)
     long_run = F.coalesce(F.col("text").rlike(f"\\S{{{leaf + 1}}}|\\s{{{leaf + 1}}}"), F.lit(False))
-    whole = rows.where(~long_run).mapInArrow(_encode(path), ENCODED)
+    whole = rows.where(~long_run).mapInArrow(_encode(path, finish), schema)
     cut = (
         rows.where(long_run)
         .groupBy("doc_id", F.sha2("text", 256).alias("key"))
@@ -118,6 +151,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
         .mapInPandas(_leaves(path), "doc_id long, key string, copies long, seq long, part long, of long, ids binary")
         .groupBy("doc_id", "key")
         .applyInPandas(_join(path), ENCODED)
+        .mapInArrow(_finish(path, finish), schema)
     )
     return whole.unionByName(cut)
 
@@ -134,26 +168,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """Per document: number of ids, digest of the ids, digest of the text decoded from them."""
-
-    def run(batches):
-        own = codec(path)
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return encode(docs, path, leaf).mapInArrow(run, DIGEST)
-
-
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file on this machine."""
     import public_tokenizers

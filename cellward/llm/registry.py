@@ -1,15 +1,21 @@
 """The queries of this subpackage by name, and the SQL that checks them."""
 
-from cellward.llm import bpe, decontaminate, licenses, quality, secrets
+from cellward.llm import bpe, decontaminate, licenses, near, quality, repeats, secrets, token_files, urls, warc
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
+    "op2_url_filter": urls.op2_url_filter,
     "op3_license_scan": licenses.op3_license_scan,
+    "op4_suffix_dedup": repeats.op4_suffix_dedup,
+    "op5_token_id_output": token_files.op5_token_id_output,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_ngram_jaccard_join": near.op8_ngram_jaccard_join,
+    "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLES = {
+    "op9_warc_derivatives": warc.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,
 }
