@@ -16,13 +16,14 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
 #: A longer unsplit piece is encoded in halves.
 LEAF = 4096
 #: Entries of a worker's table of pieces, about 250 bytes each.
-TABLE = 300_000
+TABLE = 800_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -31,11 +32,27 @@ _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 _BYTES = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: What the patterns above don't cover: other alphabets, a letter that lower-cases to two, special tokens.
-_OTHER = re.compile("[^\\x00-ɏ]|İ|<\\|")
+_OTHER, _SPECIAL = re.compile("[^\\x00-ɏ]|İ"), "<|"
 
 _CODECS: dict[str, Codec] = {}
 
 
+class Pieces(dict):
+    """Ids of pieces, computed when first asked for.  When full it keeps the older half, in which frequent pieces are."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= TABLE:
+            for old in list(self)[TABLE // 2 :]:
+                del self[old]
+        ids = self.compute(piece)
+        self[piece] = ids
+        return ids
+
+
 def codec(path: str) -> Codec:
     """The worker's codec for a vocabulary file; it lives as long as the worker."""
     if path not in _CODECS:
@@ -55,15 +72,17 @@ class Codec:
             spec = json.load(f)
         spec["pre_tokenizer"], spec["normalizer"], spec["added_tokens"] = None, None, []
         self.model = Tokenizer.from_str(json.dumps(spec))
-        self.by_bytes = Tokenizer.from_str(json.dumps(spec))
-        self.by_bytes.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bpe = self.model.model
         self.mapper = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.suffix = spec["model"].get("end_of_word_suffix") or ""
         self.lower = self.library.normalizer is not None
         self.pattern = _WORD if self.lower else _BYTES
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.token = [self.library.id_to_token(i) for i in range(size)]
-        self.table: dict[str, bytes] = {}
+        self.table = Pieces(self._piece)
+        # each byte's letter in the model's alphabet, learnt from the mapper itself; bytes that UTF-8 never has stay out
+        sample = "".join(map(chr, range(0x80))) + "".join(chr(c) for c in range(0x80, 0x250))
+        self.letters = dict(zip(sample.encode(), self.mapper.pre_tokenize_str(sample)[0][0]))
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or r"(?!)")
 
@@ -71,33 +90,18 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = [None] * len(texts)
-        plain, pieces = [], []
-        for i, text in enumerate(texts):
-            if _OTHER.search(text):
-                out[i] = self._other(text)
+        out, get = [], self.table.__getitem__
+        for text in texts:
+            if _SPECIAL in text or (not text.isascii() and _OTHER.search(text)):
+                out.append(self._other(text))
             else:
-                plain.append(i)
-                pieces.append(self.pattern.findall(text.lower() if self.lower else text))
-        if len(self.table) > TABLE:
-            self.table.clear()
-        new = list({p for x in pieces for p in x}.difference(self.table))
-        for piece, ids in zip(new, self._pieces(new)):
-            self.table[piece] = ids
-        get = self.table.__getitem__
-        for i, x in zip(plain, pieces):
-            out[i] = b"".join(map(get, x))
+                out.append(b"".join(map(get, self.pattern.findall(text.lower() if self.lower else text))))
         return out
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        out: list = [None] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LEAF]
-        for i, e in zip(short, self.by_bytes.encode_batch([pieces[i] for i in short], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<u4").tobytes()
-        for i, p in enumerate(pieces):
-            if out[i] is None:
-                out[i] = np.array(self.tree(self.symbols(p)), "<u4").tobytes()
-        return out
+    def _piece(self, piece: str) -> bytes:
+        symbols = piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.bpe.tokenize(symbols)] if len(symbols) <= LEAF else self.tree(symbols)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _other(self, text: str) -> bytes:
         if not re.search(rf"\S{{{LEAF + 1}}}|\s{{{LEAF + 1}}}", text):
