@@ -150,6 +150,49 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
     return marked.select("doc_id", "n_words", "spans", "items").mapInArrow(_digest, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns.
+
+    The map carries each row's other columns along, so no join has to bring the texts back.
+    """
+    spark, names = docs.sparkSession, docs.columns
+    rows = docs.withColumns({"__body": F.col("text").cast("string"), "__spans": F.expr("X''")})
+
+    def mark(block):
+        def run(batches):
+            items = Items(*block.value, span, gram)
+            for batch, bodies in t.slices(batches, "__body"):
+                words = t.Words(bodies)
+                spans: list = [[] for _ in bodies]
+                for length, at, _ in items.hits(words):
+                    own = words.text[at]
+                    for text, place in zip(own.tolist(), (at - words.first[own]).tolist()):
+                        spans[text] += (place, place + length)
+                old = batch.column(batch.num_columns - 1).to_pylist()
+                new = pa.array([a + np.array(b, np.int64).tobytes() for a, b in zip(old, spans)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=[*names, "__body", "__spans"])
+
+        return run
+
+    for block in _blocks(benchmark, block_words):
+        rows = rows.mapInArrow(mark(spark.sparkContext.broadcast(block)), rows.schema)
+
+    def clean(batches):
+        for batch, bodies in t.slices(batches, "__body"):
+            count = t.Words(bodies).count.tolist()
+            ok = []
+            for n, x in zip(count, batch.column(batch.num_columns - 1).to_pylist()):
+                places = np.frombuffer(x, np.int64).reshape(-1, 2)
+                step = np.zeros(n + 1, np.int64)
+                np.add.at(step, places[:, 0], 1)
+                np.add.at(step, places[:, 1], -1)
+                hit = int((np.cumsum(step[:-1]) > 0).sum())
+                ok.append(not (hit and 20 * hit >= n))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[: len(names)], names=names)
+
+    return rows.mapInArrow(clean, docs.schema)
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
