@@ -1,0 +1 @@
+"""The grid, the default configuration, and the queries."""

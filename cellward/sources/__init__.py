@@ -1,0 +1 @@
+"""Tables in, tables out."""
