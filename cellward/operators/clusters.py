@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +57,50 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return points.select("id").join(found, "id", "left").select("id", F.col("label").alias("cluster"))
 
 
-def connected_cells(cells: DataFrame, diagonal: bool = False) -> DataFrame:
-    """(row, col, cluster): edge-connected (or also corner-connected) groups of cells."""
+def _label_tile(diagonal: bool):
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        at = {(r, c): i for i, (r, c) in enumerate(zip(frame["row"].tolist(), frame["col"].tolist()))}
+        parent = list(range(len(frame)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for (r, c), i in at.items():
+            for dr, dc in steps:
+                j = at.get((r + dr, c + dc))
+                if j is not None:
+                    a, b = root(i), root(j)
+                    parent[max(a, b)] = min(a, b)
+        ids = frame["id"].to_numpy()
+        low = pd.Series(ids).groupby([root(i) for i in range(len(frame))]).transform("min")
+        return frame[["row", "col"]].assign(part=low.to_numpy())
+
+    return run
+
+
+def connected_cells(cells: DataFrame, diagonal: bool = False, tile: int = 64) -> DataFrame:
+    """(row, col, cluster): edge-connected (or also corner-connected) groups of cells.
+
+    Each tile of cells is labelled in a task; only the parts that touch across tile borders are connected by
+    rounds of joins, so their number grows with the borders and not with the cells.
+    """
     key = F.col("row").cast("long") * F.lit(1 << 32) + F.col("col")
+    over = lambda c: F.floor(F.col(c) / tile).cast("long")
+    own = cells.select("row", "col", key.alias("id"), over("row").alias("tr"), over("col").alias("tc"))
+    parts = cut(own.groupBy("tr", "tc").applyInPandas(_label_tile(diagonal), "row int, col int, part long"))
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
-    own = cells.select("row", "col", key.alias("id"))
-    near = own.withColumn("s", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps)))).select("id", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    forth = near.join(own.withColumnRenamed("id", "other"), ["row", "col"]).select("id", "other")
-    edges = forth.union(forth.select(F.col("other").alias("id"), F.col("id").alias("other")))
-    return own.join(spread_labels(edges, own), "id").select("row", "col", F.col("label").alias("cluster"))
+    edge = F.col("row") % tile == tile - 1, F.col("col") % tile == tile - 1, F.col("col") % tile == 0
+    near = parts.where(edge[0] | edge[1] | (edge[2] if diagonal else F.lit(False))).withColumn("s", F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in steps))))
+    near = near.select(F.col("part").alias("id"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
+    forth = near.join(parts.withColumnRenamed("part", "other"), ["row", "col"]).where("id <> other").select("id", "other")
+    edges = cut(forth.union(forth.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct())
+    labels = spread_labels(edges, edges.select("id").distinct()).select(F.col("id").alias("part"), "label")
+    return parts.join(labels, "part", "left").select("row", "col", F.coalesce("label", "part").alias("cluster"))
 
 
 def numbered(stats: DataFrame, least_area: float, order: list[str]) -> DataFrame:

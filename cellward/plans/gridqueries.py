@@ -16,7 +16,7 @@ from cellward.sources.storage import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-ROWS, COLS = 16, 100
+COLS = 100
 
 
 def query(sql: str | None = None):
@@ -316,45 +316,49 @@ def flood_coverage(spark, d):
     return x.groupBy("scenario").agg(F.round(r.percent(F.count_if(F.col("v") > 0.3), F.count(F.lit(1))), 4).alias("percent"), F.round(F.count_if(F.col("v") > 0.3) * 0.0009, 6).alias("km2"))
 
 
-_GRID = "g AS (SELECT row, col, h AS v FROM cells WHERE row < 14)"
+_GRID = "g AS (SELECT row, col, h AS v FROM cells), hh AS (SELECT max(row) + 1 AS rows FROM g)"
 
 
 def grid(spark, d):
-    return cells(spark, d).where("row < 14").select("row", "col", F.col("h").alias("v"))
+    return cells(spark, d).select("row", "col", F.col("h").alias("v"))
+
+
+def height(df):
+    return (df.agg(F.max("row")).first()[0] or 0) + 1
 
 
 _TAPS = "taps AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * k * k)) FROM range(-4, 5) t(k)) AS w FROM range(-4, 5) s(d))"
-#: The cells of rows 0 to 13 but the missing cell 0; the grid's edges count from there.
 _GSQL = """p1 AS (SELECT a.row, a.col, sum(w * coalesce(b.v, 0)) AS v FROM g a CROSS JOIN taps JOIN g b ON b.row = a.row AND b.col = CASE WHEN a.col + d < 0 THEN -(a.col + d) - 1 WHEN a.col + d >= 100 THEN 199 - (a.col + d) ELSE a.col + d END GROUP BY 1, 2),
-p2 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM p1 a CROSS JOIN taps JOIN p1 b ON b.col = a.col AND b.row = CASE WHEN a.row + d < 0 THEN -(a.row + d) - 1 WHEN a.row + d >= 14 THEN 27 - (a.row + d) ELSE a.row + d END GROUP BY 1, 2)"""
+p2 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM p1 a CROSS JOIN taps CROSS JOIN hh JOIN p1 b ON b.col = a.col AND b.row = CASE WHEN a.row + d < 0 THEN -(a.row + d) - 1 WHEN a.row + d >= rows THEN 2 * rows - 1 - (a.row + d) ELSE a.row + d END GROUP BY 1, 2)"""
 
 
 @query(f"WITH {CELLS}, {_GRID}, {_TAPS}, {_GSQL} SELECT row, col, round(v, 6) AS smooth FROM p2")
 def gaussian_smooth(spark, d):
     """R5."""
-    return raster.gaussian(grid(spark, d), "v", 14, 100).select("row", "col", F.round("smooth", 6).alias("smooth"))
+    g = grid(spark, d)
+    return raster.gaussian(g, "v", height(g), COLS).select("row", "col", F.round("smooth", 6).alias("smooth"))
 
 
 @query(f"""WITH {CELLS}, {_GRID}, k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)) v(r, c)), m AS (SELECT row, col FROM g WHERE v > 0.6),
-dl AS (SELECT DISTINCT row + r AS row, col + c AS col FROM m, k WHERE row + r BETWEEN 0 AND 13 AND col + c BETWEEN 0 AND 99),
-er AS (SELECT g.row, g.col, bool_and(NOT (g.row + r BETWEEN 0 AND 13 AND g.col + c BETWEEN 0 AND 99) OR dl.row IS NOT NULL) AS closed FROM g CROSS JOIN k LEFT JOIN dl ON dl.row = g.row + r AND dl.col = g.col + c GROUP BY 1, 2) SELECT row, col, closed FROM er""")
+dl AS (SELECT DISTINCT row + r AS row, col + c AS col FROM m, k, hh WHERE row + r BETWEEN 0 AND rows - 1 AND col + c BETWEEN 0 AND 99),
+er AS (SELECT g.row, g.col, bool_and(NOT (g.row + r BETWEEN 0 AND rows - 1 AND g.col + c BETWEEN 0 AND 99) OR dl.row IS NOT NULL) AS closed FROM g CROSS JOIN k CROSS JOIN hh LEFT JOIN dl ON dl.row = g.row + r AND dl.col = g.col + c GROUP BY 1, 2) SELECT row, col, closed FROM er""")
 def binary_closing(spark, d):
     """R6 with a disk of radius 1."""
     own = grid(spark, d).withColumn("m", F.col("v") > 0.6)
-    return raster.closing(own, "m", 14, 100, 1)
+    return raster.closing(own, "m", height(own), COLS, 1)
 
 
-_TARGETS = "tg AS (SELECT r AS row, c AS col FROM range(0, 9) a(r), range(0, 66) b(c))"
+_TARGETS = "tg AS (SELECT r AS row, c AS col FROM hh, range(0, 66) b(c), LATERAL (SELECT unnest(range(0, CAST(floor(rows / 1.5) AS BIGINT))) AS r) a)"
 
 
-def targets(spark):
-    return spark.range(9 * 66).select(F.floor(F.col("id") / 66).cast("int").alias("row"), (F.col("id") % 66).cast("int").alias("col"))
+def targets(spark, source):
+    return spark.range(int(height(source) / 1.5) * 66).select(F.floor(F.col("id") / 66).cast("int").alias("row"), (F.col("id") % 66).cast("int").alias("col"))
 
 
 @query(f"WITH {CELLS}, {_GRID}, {_TARGETS} SELECT CAST(tg.row AS INTEGER) AS row, CAST(tg.col AS INTEGER) AS col, g.v FROM tg LEFT JOIN g ON g.row = CAST(floor((tg.row + 0.5) * 1.5) AS INTEGER) AND g.col = CAST(floor((tg.col + 0.5) * 1.5) AS INTEGER)")
 def nearest_resample(spark, d):
     """R1, J11."""
-    return raster.nearest(grid(spark, d), "v", targets(spark), 1.5)
+    return raster.nearest(grid(spark, d), "v", targets(spark, grid(spark, d)), 1.5)
 
 
 @query(f"""WITH {CELLS}, {_GRID}, {_TARGETS}, a AS (SELECT row, col, (row + 0.5::DOUBLE) * 1.5 - 0.5 AS y, (col + 0.5::DOUBLE) * 1.5 - 0.5 AS x FROM tg), k AS (SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, c)),
@@ -362,7 +366,7 @@ j AS (SELECT a.row, a.col, sum(w * g.v) / sum(w) AS v FROM (SELECT a.*, r, c, (C
 JOIN g ON g.row = floor(y) + r AND g.col = floor(x) + c GROUP BY 1, 2) SELECT CAST(tg.row AS INTEGER) AS row, CAST(tg.col AS INTEGER) AS col, round(v, 6) AS v FROM tg LEFT JOIN j USING (row, col)""")
 def bilinear_resample(spark, d):
     """R2, S2."""
-    return raster.bilinear(grid(spark, d), "v", targets(spark), 1.5).select("row", "col", F.round("v", 6).alias("v"))
+    return raster.bilinear(grid(spark, d), "v", targets(spark, grid(spark, d)), 1.5).select("row", "col", F.round("v", 6).alias("v"))
 
 
 @query(f"WITH {CELLS}, {_GRID} SELECT CAST(row * 3 + a AS INTEGER) AS row, CAST(col * 3 + b AS INTEGER) AS col, round(v / 9, 9) AS v FROM g, range(0, 3) s(a), range(0, 3) t(b)")
