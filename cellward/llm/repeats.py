@@ -23,9 +23,11 @@ from each other; nor do rows of equal doc_id, which are one document.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ LENGTH, GRAM = 50, 24
 SAMPLE, LEADS = 1000, 64
 #: Slices whose anchors are packed together, and buckets for each shuffle partition.
 HOLD, BUCKETS = 8, 4
+#: Bytes of a hash that are shuffled.  Equal ones of different hashes only let a suffix through that matches none.
+PRINT = 5
 _LOW = np.uint64((1 << 32) - 1)
 
 
@@ -68,6 +72,27 @@ def anchors(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return np.searchsorted(start, a, "right") - 1, a, at[first], at[last], h[a], raw, start
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
+
+
+def _unpack(blocks: pa.ChunkedArray, kind) -> np.ndarray:
+    d = zstandard.ZstdDecompressor()
+    parts = [np.frombuffer(d.decompress(x), kind) for x in blocks.to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
+
+
+def _short(h: np.ndarray) -> bytes:
+    """The low PRINT bytes of hashes; the bucket's number, from higher bits, tells the rest that matters."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT].tobytes()
+
+
+def _long(prints: bytes) -> np.ndarray:
+    wide = np.zeros((len(prints) // PRINT, 8), np.uint8)
+    wide[:, :PRINT] = np.frombuffer(prints, np.uint8).reshape(-1, PRINT)
+    return wide.view("<u8").ravel()
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
@@ -88,7 +113,7 @@ def _print_blocks(buckets: int, length: int, gram: int):
             ids, h = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             held.clear()
             order, groups = _by(_bucket(h, buckets))
-            rows = [(b, ids[order[x:y]].tobytes(), h[order[x:y]].tobytes()) for b, x, y in groups]
+            rows = [(b, _pack(ids[order[x:y]]), _short(h[order[x:y]])) for b, x, y in groups]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "ids", "prints"])
 
         for batch, bodies in t.slices(batches):
@@ -109,8 +134,8 @@ def _print_blocks(buckets: int, length: int, gram: int):
 
 def _repeated(block: pa.Table) -> pa.Table:
     """Of a bucket's hashes, those that several documents have, by document."""
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in block["ids"].to_pylist()])
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in block["prints"].to_pylist()])
+    ids = _unpack(block["ids"], np.int64)
+    h = _long(b"".join(block["prints"].to_pylist()))
     order = np.argsort(h)
     h, ids = h[order], ids[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -118,12 +143,13 @@ def _repeated(block: pa.Table) -> pa.Table:
     several = np.repeat(np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first), size)
     h, ids = h[several], ids[several]
     order, groups = _by(ids)
-    rows = [(i, h[order[x:y]].tobytes()) for i, x, y in groups]
+    bucket = block["bucket"][0].as_py() if len(block) else 0
+    rows = [(i, struct.pack("<i", bucket) + _short(h[order[x:y]])) for i, x, y in groups]
     return pa.table({"did": pa.array([r[0] for r in rows], pa.int64()), "prints": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def _tag(body: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(body, digest_size=4).digest(), "little")
+    return int.from_bytes(hashlib.blake2b(body, digest_size=2).digest(), "little")
 
 
 def _lead(raw: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -155,9 +181,25 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
-def _suffix_blocks(sent, length: int, gram: int):
+def _suffix_blocks(sent, buckets: int, length: int, gram: int):
+    kinds = ("did", "tag", "place", "most", "least")
+
     def run(batches):
-        cuts = sent.value
+        cuts, held = sent.value, []
+
+        def flush():
+            whole = [np.concatenate([x[i] for x in held]) for i in range(7)]
+            context = np.concatenate([x[7] for x in held])
+            held.clear()
+            lead, size, columns = whole[0], whole[6], whole[1:6]
+            start = np.cumsum(size) - size
+            order, groups = _by(np.searchsorted(cuts, lead, "right"))
+            rows = []
+            for b, x, y in groups:
+                o = order[x:y]
+                rows.append((b, *(_pack(c[o]) for c in columns), _pack(context[_ranges(start[o], size[o])])))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["bucket", *kinds, "context"])
+
         for batch, bodies in t.slices(batches):
             lists = batch.column(2).to_pylist()
             some = [i for i, x in enumerate(lists) if x]
@@ -165,22 +207,20 @@ def _suffix_blocks(sent, length: int, gram: int):
                 continue
             bodies, ids = [bodies[i] for i in some], batch.column(0).to_numpy(zero_copy_only=False)[some]
             text, a, lo, hi, h, raw, start = anchors(bodies, length, gram)
-            keep = np.zeros(len(a), bool)
-            edge = np.searchsorted(text, np.arange(len(some) + 1))
-            for i, j in enumerate(some):
-                x, y = edge[i], edge[i + 1]
-                keep[x:y] = np.isin(h[x:y], np.concatenate([np.frombuffer(p, np.uint64) for p in lists[j]]))
+            # a hash counts for its own document, in its own bucket
+            low, bucket = h & np.uint64((1 << (8 * PRINT)) - 1), _bucket(h, buckets)
+            name = t.mix(low ^ t.mix((bucket + buckets * text).astype(np.uint64)))
+            wanted = [t.mix(_long(p[4:]) ^ t.mix(np.array([struct.unpack_from("<i", p)[0] + buckets * i], np.uint64))) for i, j in enumerate(some) for p in lists[j]]
+            keep = np.isin(name, np.concatenate(wanted))
             text, a, lo, hi = text[keep], a[keep], lo[keep], hi[keep]
-            if not len(a):
-                continue
-            tag = np.array([_tag(b) for b in bodies], np.uint32)[text]
-            order, groups = _by(np.searchsorted(cuts, _lead(raw, a), "right"))
-            rows = []
-            for b, x, y in groups:
-                o = order[x:y]
-                context = raw[_ranges(lo[o], hi[o] - lo[o] + length)]
-                rows.append((b, ids[text[o]].astype(np.int64).tobytes(), tag[o].tobytes(), (a[o] - start[text[o]]).astype(np.int64).tobytes(), (a[o] - lo[o]).astype(np.uint8).tobytes(), (a[o] - hi[o]).astype(np.uint8).tobytes(), context.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names=["bucket", "did", "tag", "place", "most", "least", "context"])
+            if len(a):
+                tag = np.array([_tag(b) for b in bodies], np.uint16)[text]
+                size = hi - lo + length
+                held.append((_lead(raw, a), ids[text].astype(np.int64), tag, a - start[text], (a - lo).astype(np.uint8), (a - hi).astype(np.uint8), size, raw[_ranges(lo, size)]))
+                if len(held) >= HOLD:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -214,9 +254,9 @@ def _common(rows: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _match(length: int, gram: int):
     def run(block: pa.Table) -> pa.Table:
-        did, tag, place, most, least = (np.concatenate([np.frombuffer(x, kind) for x in block[c].to_pylist()]) for c, kind in (("did", np.int64), ("tag", np.uint32), ("place", np.int64), ("most", np.uint8), ("least", np.uint8)))
+        did, tag, place, most, least = (_unpack(block[c], kind) for c, kind in (("did", np.int64), ("tag", np.uint16), ("place", np.int64), ("most", np.uint8), ("least", np.uint8)))
         most, least = most.astype(np.int64), least.astype(np.int64)
-        context = np.frombuffer(b"".join(block["context"].to_pylist()), np.uint8)
+        context = _unpack(block["context"], np.uint8)
         size = most - least + length
         at = np.cumsum(size) - size + most  # of the anchor in the contexts
         order = np.argsort(did, kind="stable")
@@ -267,7 +307,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     repeated = prints.groupBy("bucket").applyInArrow(_repeated, "did long, prints binary").groupBy("did").agg(F.collect_list("prints").alias("prints"))
     sent = spark.sparkContext.broadcast(splitters(rows, buckets, length, gram))
     both = rows.join(repeated, "did", "left").select("did", "text", "prints")
-    suffixes = both.mapInArrow(_suffix_blocks(sent, length, gram), "bucket int, did binary, tag binary, place binary, most binary, least binary, context binary")
+    suffixes = both.mapInArrow(_suffix_blocks(sent, buckets, length, gram), "bucket int, did binary, tag binary, place binary, most binary, least binary, context binary")
     spans = suffixes.groupBy("bucket").applyInArrow(_match(length, gram), "did long, spans binary")
     return rows, spans.groupBy("did").agg(F.collect_list("spans").alias("spans"))
 
