@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
@@ -38,7 +38,7 @@ def _powers(size: int):
 
 
 def powers(n: int):
-    size = 1 << 22
+    size = 1 << 20
     while size < n:
         size *= 2
     up, down = _powers(size)

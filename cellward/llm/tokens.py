@@ -23,7 +23,7 @@ import numpy as np
 #: A longer unsplit piece is encoded in halves.
 LEAF = 4096
 #: Entries of a worker's table of pieces, about 250 bytes each.
-TABLE = 800_000
+TABLE = 400_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
