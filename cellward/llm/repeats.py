@@ -37,7 +37,7 @@ from cellward.llm.sparkops import NULL_ID, partitions, table
 LENGTH, GRAM = 50, 24
 SAMPLE, LEADS = 1000, 64
 #: Slices whose anchors are packed together, and buckets for each shuffle partition.
-HOLD, BUCKETS = 8, 4
+HOLD, BUCKETS = 16, 4
 #: Bytes of a hash that are shuffled.  Equal ones of different hashes only let a suffix through that matches none.
 PRINT = 5
 _LOW = np.uint64((1 << 32) - 1)
@@ -72,8 +72,11 @@ def anchors(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM):
     return np.searchsorted(start, a, "right") - 1, a, at[first], at[last], h[a], raw, start
 
 
+_ZIP = zstandard.ZstdCompressor(level=3)
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x.tobytes())
+    return _ZIP.compress(x.tobytes())
 
 
 def _unpack(blocks: pa.ChunkedArray, kind) -> np.ndarray:
@@ -210,8 +213,12 @@ def _suffix_blocks(sent, buckets: int, length: int, gram: int):
             # a hash counts for its own document, in its own bucket
             low, bucket = h & np.uint64((1 << (8 * PRINT)) - 1), _bucket(h, buckets)
             name = t.mix(low ^ t.mix((bucket + buckets * text).astype(np.uint64)))
-            wanted = [t.mix(_long(p[4:]) ^ t.mix(np.array([struct.unpack_from("<i", p)[0] + buckets * i], np.uint64))) for i, j in enumerate(some) for p in lists[j]]
-            keep = np.isin(name, np.concatenate(wanted))
+            parts = [p for j in some for p in lists[j]]
+            owner = np.repeat(np.arange(len(some)), [len(lists[j]) for j in some])
+            place = np.frombuffer(b"".join([p[:4] for p in parts]), "<i4") + buckets * owner
+            times = (np.fromiter(map(len, parts), np.int64, len(parts)) - 4) // PRINT
+            wanted = t.mix(_long(b"".join([p[4:] for p in parts])) ^ np.repeat(t.mix(place.astype(np.uint64)), times))
+            keep = t.look_up(np.sort(wanted), name) >= 0
             text, a, lo, hi = text[keep], a[keep], lo[keep], hi[keep]
             if len(a):
                 tag = np.array([_tag(b) for b in bodies], np.uint16)[text]
