@@ -282,9 +282,7 @@ def _name(n: int, names: list[str]):
 def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all documents without words."""
     kept = groups(docs, n, similarity).where(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("first_id"))
-    kept = cut(kept.where("n_copies > 0").select(F.col("first_id").alias("__id"), F.col("cid").alias("__cid")).distinct())
-    # two classes of a group may both hold a row with the smallest doc_id
-    kept = kept.groupBy("__id", "__cid").agg(F.lit(1).alias("__one")).drop("__one")
+    kept = cut(kept.select(F.col("first_id").alias("__id"), F.col("cid").alias("__cid")).distinct())
     rows = docs.withColumn("__body", F.col("text").cast("string"))
     named = rows.mapInArrow(_name(n, docs.columns), T.StructType([*docs.schema.fields, T.StructField("__cid", T.LongType())]))
     named = named.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
