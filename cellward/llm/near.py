@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import NULL_ID, cut, partitions, table, texts
+from cellward.llm.sparkops import NULL_ID, cut, table, texts
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Most hash functions that banding may use.
