@@ -162,10 +162,10 @@ def _asked(spark, d):
 
 
 @query(f"""WITH {_TILES}, {_ASKED}, up AS (SELECT a.z, a.x, a.y, t.z AS zoom, data FROM asked a JOIN tiles t ON t.z <= a.z AND t.z >= 6 AND t.x = a.x // (1 << (a.z - t.z)) AND t.y = a.y // (1 << (a.z - t.z)))
-SELECT asked.z, asked.x, asked.y, b.data, b.found_zoom FROM asked LEFT JOIN (SELECT z, x, y, arg_max(data, zoom) AS data, max(zoom) AS found_zoom FROM up GROUP BY 1, 2, 3) b USING (z, x, y)""")
+SELECT asked.z, asked.x, asked.y, coalesce(b.data, -1) AS data, coalesce(b.found_zoom, -1) AS found_zoom FROM asked LEFT JOIN (SELECT z, x, y, arg_max(data, zoom) AS data, max(zoom) AS found_zoom FROM up GROUP BY 1, 2, 3) b USING (z, x, y)""")
 def tile_fallback(spark, d):
     """J19, Q-C9."""
-    return catalog.covering_tile(_asked(spark, d), _tiles(spark, d))
+    return catalog.covering_tile(_asked(spark, d), _tiles(spark, d)).na.fill(-1)
 
 
 @query(f"""WITH {_TILES}, a AS (SELECT z, x, y FROM tiles UNION SELECT z, x, CAST(power(2, z) - 1 - y AS BIGINT) FROM tiles)
@@ -249,10 +249,10 @@ def story_blocks_nested(spark, d):
 
 
 @query(f"""WITH {_BLOCKS}, f AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY story_id, language, order_index ORDER BY block_id) = 1), e AS (SELECT * FROM f WHERE language = 'en'), g AS (SELECT * FROM f WHERE language = 'de')
-SELECT coalesce(e.story_id, g.story_id) AS story_id, coalesce(e.order_index, g.order_index) AS order_index, e.block_id AS block_en, g.block_id AS block_de, coalesce(e.block_type, g.block_type) AS block_type FROM e FULL JOIN g ON e.story_id = g.story_id AND e.order_index = g.order_index""")
+SELECT coalesce(e.story_id, g.story_id) AS story_id, coalesce(e.order_index, g.order_index) AS order_index, coalesce(e.block_id, -1) AS block_en, coalesce(g.block_id, -1) AS block_de, coalesce(e.block_type, g.block_type) AS block_type FROM e FULL JOIN g ON e.story_id = g.story_id AND e.order_index = g.order_index""")
 def block_pairing(spark, d):
     """J14, P22."""
-    return content.paired(_blocks(spark, d), "story_id", "en", "de")
+    return content.paired(_blocks(spark, d), "story_id", "en", "de").na.fill(-1)
 
 
 @query(r"""WITH b AS (SELECT doc_id % 20 AS story, doc_id, 'x \cite{r' || (doc_id * 7 % 11) || '} y \cite{r' || (doc_id * 3 % 5) || '} z' AS c FROM documents),
