@@ -115,11 +115,7 @@ def _digest(batches):
         n_words = batch.column(1).to_pylist()
         out = [[], [], [], []]
         for n, spans, items in zip(n_words, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            spans, items = np.frombuffer(spans, np.int64).reshape(-1, 2), np.unique(np.frombuffer(items, np.int64))
-            step = np.zeros(n + 1, np.int64)
-            np.add.at(step, spans[:, 0], 1)
-            np.add.at(step, spans[:, 1], -1)
-            hit = int((np.cumsum(step[:-1]) > 0).sum())
+            hit, items = _covered(n, spans), np.unique(np.frombuffer(items, np.int64))
             names = sorted(map(str, items.tolist()))
             for x, y in zip(out, (hit, len(items), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n)):
                 x.append(y)
@@ -158,7 +154,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, g
     spark, names = docs.sparkSession, docs.columns
     rows = docs.withColumns({"__body": F.col("text").cast("string"), "__spans": F.expr("X''")})
 
-    def mark(block):
+    def mark(block, last):
         def run(batches):
             items = Items(*block.value, span, gram)
             for batch, bodies in t.slices(batches, "__body"):
@@ -169,28 +165,35 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, g
                     for text, place in zip(own.tolist(), (at - words.first[own]).tolist()):
                         spans[text] += (place, place + length)
                 old = batch.column(batch.num_columns - 1).to_pylist()
-                new = pa.array([a + np.array(b, np.int64).tobytes() for a, b in zip(old, spans)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], new], names=[*names, "__body", "__spans"])
+                new = [a + np.array(b, np.int64).tobytes() for a, b in zip(old, spans)]
+                if last:
+                    ok = [not _is_contaminated(n, x) for n, x in zip(words.count.tolist(), new)]
+                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[: len(names)], names=names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.binary())], names=[*names, "__body", "__spans"])
 
         return run
 
+    # the last block's map also judges, so that one block takes one worker a task
+    before = None
     for block in _blocks(benchmark, block_words):
-        rows = rows.mapInArrow(mark(spark.sparkContext.broadcast(block)), rows.schema)
-
-    def clean(batches):
-        for batch, bodies in t.slices(batches, "__body"):
-            count = t.Words(bodies).count.tolist()
-            ok = []
-            for n, x in zip(count, batch.column(batch.num_columns - 1).to_pylist()):
-                places = np.frombuffer(x, np.int64).reshape(-1, 2)
-                step = np.zeros(n + 1, np.int64)
-                np.add.at(step, places[:, 0], 1)
-                np.add.at(step, places[:, 1], -1)
-                hit = int((np.cumsum(step[:-1]) > 0).sum())
-                ok.append(not (hit and 20 * hit >= n))
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[: len(names)], names=names)
-
-    return rows.mapInArrow(clean, docs.schema)
+        if before is not None:
+            rows = rows.mapInArrow(mark(before, False), rows.schema)
+        before = spark.sparkContext.broadcast(block)
+    return rows.mapInArrow(mark(before, True), docs.schema)
+
+
+def _is_contaminated(n_words: int, spans: bytes) -> bool:
+    hit = _covered(n_words, spans)
+    return hit > 0 and 20 * hit >= n_words
+
+
+def _covered(n_words: int, spans: bytes) -> int:
+    places = np.frombuffer(spans, np.int64).reshape(-1, 2)
+    step = np.zeros(n_words + 1, np.int64)
+    np.add.at(step, places[:, 0], 1)
+    np.add.at(step, places[:, 1], -1)
+    return int((np.cumsum(step[:-1]) > 0).sum())
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ memory is bounded by the slice and by the longest single text, never by the part
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -62,6 +63,16 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, and others start beside it."""
+    _powers.cache_clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Cut Arrow batches into runs of rows with about ``limit`` bytes of text: (batch, list of bytes; null is empty)."""
     for batch in batches:
@@ -76,6 +87,7 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
                 piece = batch.slice(a, b - a)
                 texts = pc.fill_null(col.slice(a, b - a).cast(pa.large_binary()), b"").to_pylist()
                 yield piece, texts
+    release()
 
 
 def joined(texts: list[bytes]):

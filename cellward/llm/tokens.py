@@ -13,7 +13,6 @@ encoding is fixed by which neighbours are stable, so such a join is exactly the
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import struct
@@ -23,7 +22,7 @@ import numpy as np
 #: A longer unsplit piece is encoded in halves.
 LEAF = 4096
 #: Entries of a worker's table of pieces, about 250 bytes each.
-TABLE = 400_000
+TABLE = 250_000
 
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -68,13 +67,9 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec["pre_tokenizer"], spec["normalizer"], spec["added_tokens"] = None, None, []
-        self.model = Tokenizer.from_str(json.dumps(spec))
-        self.bpe = self.model.model
+        self.bpe = self.library.model
         self.mapper = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.suffix = self.bpe.end_of_word_suffix or ""
         self.lower = self.library.normalizer is not None
         self.pattern = _WORD if self.lower else _BYTES
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -100,7 +95,7 @@ class Codec:
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.bpe.tokenize(symbols)] if len(symbols) <= LEAF else self.tree(symbols)
+        ids = self.leaf_ids(symbols) if len(symbols) <= LEAF else self.tree(symbols)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _other(self, text: str) -> bytes:
@@ -139,7 +134,7 @@ class Codec:
         return self.leaves(symbols[:half], leaf) + self.leaves(symbols[half:], leaf)
 
     def leaf_ids(self, symbols: str) -> list[int]:
-        return self.model.encode(symbols, add_special_tokens=False).ids
+        return [t.id for t in self.bpe.tokenize(symbols)] if symbols else []
 
     def tree(self, symbols: str, leaf: int = LEAF) -> list[int]:
         return self.concatenate([self.leaf_ids(x) for x in self.leaves(symbols, leaf)])
