@@ -2,8 +2,9 @@ r"""Licence scans: fixed phrases, and licence texts found by matching statistics
 
 The licence templates' words form one generalised suffix automaton.  Each file is streamed through it: after
 every word the automaton knows the longest run of words ending there that also stands in some template, and
-where in the templates it ends (the matching statistics).  Runs of MATCH words or more are placed on their
-templates and chained into spans; a template of which the spans cover COVER of the words is reported.
+where in the templates it ends (the matching statistics).  Of each template all maximal runs of MATCH words or
+more are collected over the whole file and chained in order, with at most GAP other words between two of them, so
+that changed or added words don't end a licence; a template of which a chain covers COVER of the words is reported.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  Nulls: a null text has no words; a null
 doc_id is kept.  Repeated documents are scanned one by one.
@@ -59,6 +60,8 @@ commercial or non-commercial, and by any means.""",
 
 #: Shortest run of template words that counts, or the whole template if that is shorter; share of a template that must be covered.
 MATCH, COVER = 5, 0.8
+#: Most words of the file between two runs of a chain.
+GAP = 32
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -125,30 +128,50 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, match: int = MATCH, cover: float = COVER):
+    def __init__(self, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, match: int = MATCH, cover: float = COVER, gap: int = GAP):
         self.labels, bodies = list(templates), [tokens(x) for x in templates.values()]
-        self.size, self.cover = [len(x) for x in bodies], cover
+        self.size, self.cover, self.gap = [len(x) for x in bodies], cover, gap
         self.least = [min(match, n) for n in self.size]
         words = sorted({w for x in bodies for w in x} | {w for p in phrases for w in tokens(p)})
         vocabulary = t.Words([b" ".join(words)])
         order = np.argsort(vocabulary.hash)
         self.hashes, self.ids = vocabulary.hash[order], order
         index = {w: i for i, w in enumerate(words)}
-        self.automaton = Automaton([[index[w] for w in x] for x in bodies])
+        self.bodies = [[index[w] for w in x] for x in bodies]
+        self.automaton = Automaton(self.bodies)
         self.phrases = [([index[w] for w in tokens(p)], label) for p, label in phrases.items()]
         self.names = np.array(words, object)
 
-    def chain(self, ids: list[int]) -> dict[int, float]:
-        """Share of each template that long matches in a run of known words cover."""
-        covered: dict[int, np.ndarray] = {}
-        stats = list(self.automaton.statistics(ids))
-        for i, (length, state) in enumerate(stats):
-            if i + 1 < len(stats) and stats[i + 1][0] == length + 1:
-                continue  # it goes on
-            for number, end in self.automaton.ends[state]:
-                if length >= self.least[number]:
-                    covered.setdefault(number, np.zeros(self.size[number], bool))[max(0, end - length) : end] = True
-        return {number: float(x.mean()) for number, x in covered.items()}
+    def matches(self, ids: list[int], at: int, found: dict[int, list[tuple[int, int, int]]]) -> None:
+        """Adds the maximal long matches in a run of known words to each template's: last word in the file, last word in the template (both exclusive), length."""
+        shortest = min(self.least)
+        for i, (length, state) in enumerate(self.automaton.statistics(ids)):
+            if length < shortest:
+                continue
+            following, seen = ids[i + 1] if i + 1 < len(ids) else -1, set()
+            while state > 0 and length >= shortest:
+                for number, end in self.automaton.ends[state]:
+                    if (number, end) not in seen:
+                        seen.add((number, end))
+                        goes_on = end < self.size[number] and self.bodies[number][end] == following
+                        if not goes_on and length >= self.least[number]:
+                            found.setdefault(number, []).append((at + i + 1, end, length))
+                state = self.automaton.link[state]
+                length = self.automaton.length[state]
+
+    def chain(self, number: int, found: list[tuple[int, int, int]]) -> float:
+        """Share of a template that the best chain of its matches covers; they are in order of their last words."""
+        longest, best, first = self.size[number], [], 0
+        for i, (end, stop, n) in enumerate(found):
+            while found[first][0] < end - longest - self.gap:
+                first += 1
+            value = n
+            for j in range(first, i):
+                end_j, stop_j, n_j = found[j]
+                if end - n - end_j <= self.gap and end_j < end and stop_j < stop and end_j - n_j < end - n and stop_j - n_j < stop - n:
+                    value = max(value, best[j] + n - max(0, end_j - end + n, stop_j - stop + n))
+            best.append(value)
+        return max(best) / longest
 
     def scan(self, bodies: list[bytes]):
         """For each text: number of words, places of phrases with their labels, share of each template found."""
@@ -163,17 +186,15 @@ class Scanner:
             for p in np.flatnonzero(hit).tolist():
                 text = int(words.text[p])
                 places[text].append((p - int(words.first[text]), label))
-        shares: list[dict[int, float]] = [{} for _ in bodies]
+        found: list[dict[int, list[tuple[int, int, int]]]] = [{} for _ in bodies]
         known = ids >= 0
         if len(ids):
             new = np.flatnonzero((known[1:] != known[:-1]) | (words.text[1:] != words.text[:-1])) + 1
             start, end = np.append(0, new), np.append(new, len(ids))
             for a, b in zip(start.tolist(), end.tolist()):
                 if known[a] and b - a >= min(self.least):
-                    text = int(words.text[a])
-                    for number, share in self.chain(ids[a:b].tolist()).items():
-                        shares[text][number] = max(share, shares[text].get(number, 0.0))
-        return words.count, places, shares
+                    self.matches(ids[a:b].tolist(), a, found[int(words.text[a])])
+        return words.count, places, [{number: self.chain(number, x) for number, x in own.items()} for own in found]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, match: int = MATCH, cover: float = COVER) -> DataFrame:

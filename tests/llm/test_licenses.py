@@ -54,3 +54,24 @@ def test_scan(spark):
     assert by[8].labels == "gpl-3"
     assert by[1].labels == "cc-by-nc,mit"
     assert licenses.scan(docs.where("doc_id < 0")).count() == 0
+
+
+def test_changed_words_do_not_end_a_licence():
+    mit = licenses.TEMPLATES["mit"]
+    words = mit.split()
+    half, again = int(len(words) * 0.61), len(words) // 3
+    bodies = [
+        mit.replace("Software", "Library"),
+        " ".join([*words[:half], "zzgarble", *words[half + 1 :]]),
+        " ".join(w if i % 12 else f"{i} qq {w}" for i, w in enumerate(words)),
+        "The above copyright notice and this permission notice shall be included in qq",
+        " ".join([*words[:again], *["qq"] * 500, *words[2 * again :]]),
+        " ".join([*words[2 * again :], *words[:again]]),
+        licenses.TEMPLATES["isc"].replace("appear", "zz stand"),
+    ]
+    own = licenses.Scanner()
+    _, _, shares = own.scan([x.encode() for x in bodies])
+    number = own.labels.index("mit")
+    assert all(shares[i][number] >= licenses.COVER for i in range(3))
+    assert all(shares[i][number] < 0.5 for i in (3, 4, 5))
+    assert shares[6][own.labels.index("isc")] >= licenses.COVER
