@@ -254,18 +254,18 @@ def links(docs: DataFrame, members: DataFrame, n: int = SHINGLE, similarity: flo
 def groups(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, cid, class_id (smallest doc_id of its group), n_links (other texts it is linked
     with), n_copies (documents with its very set of shingles, itself included), first_id (as class_id, with
-    NULL_ID for null)."""
+    NULL_ID for null), first_cid (of the group's texts that have first_id, the one with the smallest cid)."""
     members = cut(sign(docs, n, similarity, recall))
     counts, edges = links(docs, members, n, similarity, small, block)
     label = components(edges)
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
     classes = members.where("n > 0").groupBy("cid").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_copies"))
     classes = classes.join(counts, "cid", "left").join(label.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    first = classes.groupBy("label").agg(F.min("id").alias("first_id"))
-    classes = cut(classes.join(first, "label").select("cid", "first_id", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links")))
+    first = classes.groupBy("label").agg(F.min(F.struct("id", "cid")).alias("first")).select("label", F.col("first.id").alias("first_id"), F.col("first.cid").alias("first_cid"))
+    classes = cut(classes.join(first, "label").select("cid", "first_id", "first_cid", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links")))
     worded = members.where("n > 0").select("doc_id", "cid").join(classes, "cid")
-    empty = members.where("n = 0").select("cid", "doc_id", key.alias("first_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    out = worded.select("cid", "doc_id", "first_id", "n_copies", "n_links").union(empty)
+    empty = members.where("n = 0").select("cid", "doc_id", key.alias("first_id"), F.col("cid").alias("first_cid"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    out = worded.select("cid", "doc_id", "first_id", "first_cid", "n_copies", "n_links").union(empty)
     return out.withColumn("class_id", F.nullif(F.col("first_id"), F.lit(NULL_ID)))
 
 
@@ -280,8 +280,8 @@ def _name(n: int, names: list[str]):
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all documents without words."""
-    kept = groups(docs, n, similarity).where(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("first_id"))
+    """One document of each group, the one with the smallest doc_id (of several texts with that doc_id one); all documents without words."""
+    kept = groups(docs, n, similarity).where(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("first_id")).where("cid = first_cid")
     kept = cut(kept.select(F.col("first_id").alias("__id"), F.col("cid").alias("__cid")).distinct())
     rows = docs.withColumn("__body", F.col("text").cast("string"))
     named = rows.mapInArrow(_name(n, docs.columns), T.StructType([*docs.schema.fields, T.StructField("__cid", T.LongType())]))

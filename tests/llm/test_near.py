@@ -64,6 +64,16 @@ def test_one_of_each_group_stays(spark):
     assert {x for x in got if x is not None} >= want and len(got) <= len({(c, i is None and c is None) for i, c, _, _ in judged}) + 1
 
 
+def test_one_stays_of_near_copies_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:k], "changed", *words[k + 1 :]])) for i, k in ((None, 3), (None, 40), (7, 50), (7, 60), (8, 70))]
+    other = [(None, " ".join(f"v{j}" for j in range(60))), (7, " ".join(f"u{j}" for j in range(60)))]
+    keep = lambda r: sorted(near.keep_first(spark.createDataFrame(r, "doc_id long, text string")).collect(), key=repr)
+    assert [r.doc_id for r in keep(rows)] == [7]
+    assert [r.doc_id for r in keep(rows[:2])] == [None]
+    assert sorted(r.text[0] for r in keep([*rows, *other])) == ["u", "v", "w"]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near.groups(docs).count() == 0 and near.keep_first(docs).count() == 0
