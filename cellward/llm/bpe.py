@@ -1,11 +1,13 @@
 """BPE encoding and decoding by tree concatenation.
 
-Most texts hold no long unsplit run and are encoded where they lie, in one map.  A text with a run of over
-LEAF characters that the pre-tokenizer can't split is cut into rows: its short pieces, and the leaves (halves
-of halves) of each long piece.  The rows are dealt out, encoded in parallel, brought together by text and
-joined pair by pair (``tokens.Codec.join``).
-
-Nulls: a null text is empty and has no ids; a null doc_id is kept.  Repeated rows give one row each.
+Every piece of over ``tokens.LEAF`` symbols is encoded as a tree: halves of halves apart, joined pair by pair
+(``tokens.Codec.join``).  In most texts the pieces are short and their trees grow inside one map.  A text with an
+unsplit run of over DEAL characters is cut into rows: its short pieces, and the halves of halves of each long
+piece down to DEAL.  The rows are dealt out and encoded in parallel; then FAN neighbours are joined at a time,
+level by level, each group in a task of its own, until every piece is one row.
+
+Nulls: a null text is empty and has no ids; a null doc_id is kept.  Repeated rows give one row each.  Other
+columns of the documents aren't looked at.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import partitions, table, texts
-from cellward.llm.tokens import LEAF, codec
+from cellward.llm.sparkops import cut, partitions, table, texts
+from cellward.llm.tokens import DEAL, codec
 
-#: Short pieces in one row of a text with long ones.
-RUN = 2048
+#: Short pieces in one row of a text with long ones, and parts that one task joins.
+RUN, FAN = 2048, 16
+PART = "doc_id long, key string, copies long, piece long, part long, of long"
 ENCODED = "doc_id long, ids binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -62,7 +65,7 @@ def _finish(path: str, finish):
     return run
 
 
-def _cut(path: str, leaf: int):
+def _cut(path: str, deal: int):
     def run(frames):
         own = codec(path)
         for frame in frames:
@@ -71,21 +74,21 @@ def _cut(path: str, leaf: int):
 
                 def flush(rows=rows, short=short):
                     if short:
-                        rows.append((len(rows), 0, 0, "\n".join(short)))
+                        rows.append((rows[-1][0] + 1 if rows else 0, 0, 0, "\n".join(short)))
                         short.clear()
 
                 for kind, symbols in own.split(text):
-                    if kind == "piece" and len(symbols) > leaf:
+                    if kind == "piece" and len(symbols) > deal:
                         flush()
-                        parts, at = own.leaves(symbols, leaf), len(rows)
-                        rows += [(at + i, i, len(parts), x) for i, x in enumerate(parts)]
+                        parts, piece = own.leaves(symbols, deal), rows[-1][0] + 1 if rows else 0
+                        rows += [(piece, i, len(parts), x) for i, x in enumerate(parts)]
                     else:
                         short.append(f"\t{symbols}" if kind == "id" else symbols)
                         if len(short) >= RUN:
                             flush()
                 flush()
-                for seq, part, of, symbols in rows or [(0, 0, 0, "")]:
-                    yield pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "key": [key], "copies": [copies], "seq": [seq], "part": [part], "of": [of], "symbols": [symbols]})
+                for piece, part, of, symbols in rows or [(0, 0, 0, "")]:
+                    yield pd.DataFrame({"doc_id": pd.array([doc_id], "Int64"), "key": [key], "copies": [copies], "piece": [piece], "part": [part], "of": [of], "symbols": [symbols]})
 
     return run
 
@@ -97,63 +100,64 @@ def _leaves(path: str):
             ids = []
             for of, symbols in zip(frame["of"], frame["symbols"]):
                 if of:
-                    ids.append(np.array(own.leaf_ids(symbols), "<u4").tobytes())
+                    ids.append(np.array(own.tree(symbols), "<u4").tobytes())
                 else:
                     got: list[int] = []
                     for x in symbols.split("\n") if symbols else ():
-                        got += [int(x[1:])] if x[0] == "\t" else own.leaf_ids(x)
+                        got += [int(x[1:])] if x[0] == "\t" else own.tree(x)
                     ids.append(np.array(got, "<u4").tobytes())
             yield frame.drop(columns="symbols").assign(ids=ids)
 
     return run
 
 
-def _join(path: str):
+def _join(path: str, fan: int):
+    """Joins up to ``fan`` neighbouring parts of a piece to one part of the next level."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        own = codec(path)
-        frame = frame.drop_duplicates("seq").sort_values("seq")
-        out, open_parts = [], []
-        for part, of, ids in zip(frame["part"], frame["of"], frame["ids"]):
-            ids = np.frombuffer(ids, "<u4")
-            if of:
-                open_parts.append(ids.tolist())
-                if part == of - 1:
-                    out.append(np.array(own.concatenate(open_parts), "<u4"))
-                    open_parts = []
-            else:
-                out.append(ids)
-        n = int(frame["copies"].iloc[0])
-        return pd.DataFrame({"doc_id": pd.array([frame["doc_id"].iloc[0]] * n, "Int64"), "ids": [np.concatenate(out).astype("<u4").tobytes()] * n})
+        frame = frame.sort_values("part")
+        ids = codec(path).concatenate([np.frombuffer(x, "<u4").tolist() for x in frame["ids"]])
+        return frame.head(1).assign(part=frame["part"] // fan, of=-(-frame["of"] // fan), ids=[np.array(ids, "<u4").tobytes()])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def _whole(frame: pd.DataFrame) -> pd.DataFrame:
+    """A document's ids from those of its pieces, once for each copy of it."""
+    n = int(frame["copies"].iloc[0])
+    return pd.DataFrame({"doc_id": pd.array([frame["doc_id"].iloc[0]] * n, "Int64"), "ids": [b"".join(frame.sort_values("piece")["ids"])] * n})
+
+
+def encode(docs: DataFrame, path: str, deal: int = DEAL, fan: int = FAN) -> DataFrame:
     """doc_id and the ids of its whole text (little-endian unsigned 32-bit)."""
-    return _encoded(docs, path, leaf, _plain, ENCODED)
+    return _encoded(docs, path, deal, fan, _plain, ENCODED)
 
 
-def digest(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+def digest(docs: DataFrame, path: str, deal: int = DEAL, fan: int = FAN) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the text decoded from them."""
-    return _encoded(docs, path, leaf, _digest, DIGEST)
+    return _encoded(docs, path, deal, fan, _digest, DIGEST)
 
 
-def _encoded(docs: DataFrame, path: str, leaf: int, finish, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, deal: int, fan: int, finish, schema: str) -> DataFrame:
     rows = texts(docs)
-    long_run = F.coalesce(F.col("text").rlike(f"\\S{{{leaf + 1}}}|\\s{{{leaf + 1}}}"), F.lit(False))
+    long_run = F.coalesce(F.col("text").rlike(f"\\S{{{deal + 1}}}|\\s{{{deal + 1}}}"), F.lit(False))
     whole = rows.where(~long_run).mapInArrow(_encode(path, finish), schema)
-    cut = (
+    parts = cut(
         rows.where(long_run)
         .groupBy("doc_id", F.sha2("text", 256).alias("key"))
         .agg(F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text"))
-        .mapInPandas(_cut(path, leaf), "doc_id long, key string, copies long, seq long, part long, of long, symbols string")
-        .repartition(partitions(docs.sparkSession), "doc_id", "key", "seq")
-        .mapInPandas(_leaves(path), "doc_id long, key string, copies long, seq long, part long, of long, ids binary")
-        .groupBy("doc_id", "key")
-        .applyInPandas(_join(path), ENCODED)
-        .mapInArrow(_finish(path, finish), schema)
+        .mapInPandas(_cut(path, deal), f"{PART}, symbols string")
+        .repartition(partitions(docs.sparkSession), "doc_id", "key", "piece", "part")
+        .mapInPandas(_leaves(path), f"{PART}, ids binary")
     )
-    return whole.unionByName(cut)
+    most = parts.agg(F.max("of")).first()[0]
+    if most is None:
+        return whole
+    while most > 1:
+        joined = parts.where("of > 1").groupBy("doc_id", "key", "piece", F.floor(F.col("part") / fan).alias("group")).applyInPandas(_join(path, fan), f"{PART}, ids binary")
+        parts, most = parts.where("of <= 1").unionByName(joined), -(-most // fan)
+    cut_up = parts.groupBy("doc_id", "key").applyInPandas(_whole, ENCODED).mapInArrow(_finish(path, finish), schema)
+    return whole.unionByName(cut_up)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the setting is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the cluster shares.  A local one only where the setting is unset and the master is local, as in tests."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -40,6 +43,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(columns, *wanted: str) -> list[str]:
+    """Names for helper columns like the wanted ones that differ, without case, from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that extra columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -5,7 +5,7 @@ of plain Latin characters is cut into pieces by the pattern of the tokenizer's o
 of each different piece are computed once by the library's model and kept in a bounded table; all other texts
 go through the library as they are.
 
-A piece that is longer than ``LEAF`` characters is encoded as a tree: its halves apart, then joined.  A join
+A piece that is longer than ``LEAF`` symbols is encoded as a tree: its halves apart, then joined.  A join
 re-encodes a window of a few tokens on either side of the cut and doubles it until the window's first token
 is the left half's token there and some later token of the window is one of the right half's.  Byte-pair
 encoding is fixed by which neighbours are stable, so such a join is exactly the encoding of the whole.
@@ -13,25 +13,56 @@ encoding is fixed by which neighbours are stable, so such a join is exactly the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 
 import numpy as np
 
-#: A longer unsplit piece is encoded in halves.
-LEAF = 4096
+#: A longer unsplit piece is encoded in halves; a text with a longer one than DEAL is dealt out over tasks for it.
+LEAF, DEAL = 16, 4096
 #: Entries of a worker's table of pieces, about 250 bytes each.
 TABLE = 250_000
 
-_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_SPACE = "\t-\r \x85\xa0"
-_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORD = re.compile(f"{_SHORT}|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-_BYTES = re.compile(f"{_SHORT}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: What the patterns above don't cover: other alphabets, a letter that lower-cases to two, special tokens.
-_OTHER, _SPECIAL = re.compile("[^\\x00-ɏ]|İ"), "<|"
+#: Texts of the characters below are cut by a pattern here; others go through the library whole.
+LATIN = 0x250
+#: Fixed value: the byte-level pre-tokenizer's own pattern, which its file only names.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _SPECIAL = re.compile(f"[^\\x00-{chr(LATIN - 1)}]"), "<|"
+
+
+def _classes() -> dict[str, str]:
+    """The pattern's character classes, for characters below LATIN, from the Unicode categories."""
+    kinds: dict[str, str] = {r"\p{L}": "", r"\p{N}": "", r"\s": ""}
+    for c in map(chr, range(LATIN)):
+        kind = unicodedata.category(c)[0]
+        # white space but for the information separators, which Python alone counts as such
+        name = r"\p{L}" if kind == "L" else r"\p{N}" if kind == "N" else r"\s" if c.isspace() and not "\x1c" <= c <= "\x1f" else ""
+        if name:
+            kinds[name] += c
+    return kinds
+
+
+def latin_pattern(pattern: str) -> re.Pattern[str]:
+    """A tokenizer's pattern for texts below LATIN, without Unicode properties."""
+    inside = False
+    out, at, classes = [], 0, _classes()
+    while at < len(pattern):
+        name = next((n for n in classes if pattern.startswith(n, at)), None)
+        if name:
+            out.append(classes[name] if inside else f"[{classes[name]}]")
+            at += len(name)
+        elif pattern.startswith(r"\S", at):
+            out.append(f"[^{classes[chr(92) + 's']}]")
+            at += 2
+        else:
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+            out.append(pattern[at])
+            at += 1
+    return re.compile("".join(out))
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -71,7 +102,7 @@ class Codec:
         self.mapper = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.suffix = self.bpe.end_of_word_suffix or ""
         self.lower = self.library.normalizer is not None
-        self.pattern = _WORD if self.lower else _BYTES
+        self.pattern = latin_pattern(self._written_pattern() or BYTE_LEVEL)
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.token = [self.library.id_to_token(i) for i in range(size)]
         self.table = Pieces(self._piece)
@@ -81,16 +112,24 @@ class Codec:
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.special_pattern = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or r"(?!)")
 
+    def _written_pattern(self) -> str | None:
+        """The pattern of a splitting pre-tokenizer, if the file has one."""
+        kind = json.loads(self.library.to_str())["pre_tokenizer"]
+        parts = kind.get("pretokenizers", [kind])
+        return next((x["pattern"]["Regex"] for x in parts if x["type"] == "Split"), None)
+
     # -- encoding -------------------------------------------------------------------------------------
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out, get = [], self.table.__getitem__
         for text in texts:
-            if _SPECIAL in text or (not text.isascii() and _OTHER.search(text)):
+            low = text.lower() if self.lower else text
+            # a letter may be lower-cased to one beyond LATIN, so both are looked at
+            if _SPECIAL in text or (not text.isascii() and (_OTHER.search(text) or _OTHER.search(low))):
                 out.append(self._other(text))
             else:
-                out.append(b"".join(map(get, self.pattern.findall(text.lower() if self.lower else text))))
+                out.append(b"".join(map(get, self.pattern.findall(low))))
         return out
 
     def _piece(self, piece: str) -> bytes:
@@ -99,7 +138,7 @@ class Codec:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _other(self, text: str) -> bytes:
-        if not re.search(rf"\S{{{LEAF + 1}}}|\s{{{LEAF + 1}}}", text):
+        if not re.search(rf"\S{{{DEAL + 1}}}|\s{{{DEAL + 1}}}", text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         ids: list[int] = []
         for kind, symbols in self.split(text):
