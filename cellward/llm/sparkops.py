@@ -43,6 +43,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, weight: str, salt: list[str], how: str = "left") -> DataFrame:
+    """``big`` joined with ``small`` on ``key``, of which ``small`` has each value once, with its rows in ``big`` as ``weight``.
+
+    A key with more than its task's share of the rows (at most as many keys as there are partitions) is parted by
+    a hash of the ``salt`` columns, and its row of ``small`` is repeated for each part.
+    """
+    spark = big.sparkSession
+    n = partitions(spark)
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    part, parts = free_names([*big.columns, *small.columns], "part", "parts")
+    hot = small.where(F.col(weight) * n > total).select(key, F.ceil(F.col(weight) * n / F.lit(total or 1)).cast("int").alias(parts))
+    hot = F.broadcast(cut(hot))  # at most n rows
+    left = big.join(hot, key, "left").withColumn(part, F.when(F.col(parts).isNotNull(), F.pmod(F.xxhash64(*salt), F.col(parts))).otherwise(F.lit(0))).drop(parts)
+    right = small.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(parts), F.lit(1)).cast("bigint") - 1))).drop(parts)
+    return left.withColumn(part, F.col(part).cast("bigint")).join(right, [key, part], how).drop(part)
+
+
 def free_names(columns, *wanted: str) -> list[str]:
     """Names for helper columns like the wanted ones that differ, without case, from all columns."""
     taken, out = {c.lower() for c in columns}, []

@@ -1,10 +1,14 @@
 r"""URL filters: rules by host and path, and a verdict for the rest from the hosts' link graph.
 
-All work is column expressions, joins and grouped sums.  Edges go from a page's host to the hosts that its
-absolute links name.  Trust starts at hosts in the share of their pages that rules allow and flows along the
-edges (personalised PageRank); distrust starts in the share that rules block and flows against them.  A full
-seed alone scores 1.  A page that no rule fits is blocked if its host's distrust is over THRESHOLD and over
-its trust, else allowed.
+All work is column expressions, joins and grouped sums.  Edges between hosts are the pages' absolute links, and what
+the hosts' names tell: a host and the name above it (without the first label) are linked both ways, with the weight
+of the host's pages, if that name has pages too or at least SITE labels.  (Shorter names without pages may be
+registries, under which strangers stand side by side.)  Names without pages are nodes without seeds.
+
+Trust starts at hosts in the share of their pages that rules allow and flows along the edges (personalised PageRank);
+distrust starts in the share that rules block and flows against them.  A full seed alone scores 1.  Rounds go on until
+no score changes by SETTLED, however many it takes.  A page that no rule fits is blocked if its host's distrust is
+over THRESHOLD and over its trust, else allowed.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: on up to ``?``, ``#``
 or the end.  A null url or one without ``://`` has both empty, is in no graph and is allowed.  Null html has
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellward.llm.sparkops import cut, table
+from cellward.llm.sparkops import cut, salted_join, table
 
 #: (verdict, host, start of the path).
 RULES = (
@@ -26,7 +30,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-6, 0.5
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-5, 0.5
+#: Labels of a name above a host that count as a site; rounds between two cuts of the lineage.
+SITE, STEP = 3, 6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'> \t\r\n]+)"""
 
@@ -49,41 +55,39 @@ def rule_for(rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def edges(pages: DataFrame) -> DataFrame:
+def edges(pages: DataFrame, site: int = SITE) -> DataFrame:
     """(src, dst, forth, back): links between different hosts, with their share of the source's links out and of the target's links in."""
     out = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("dst"))
-    found = out.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    out = out.withColumn("dst", F.translate("dst", _UPPER, _LOWER)).where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    hosts = pages.where("host <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    up = hosts.select("host", "n", F.expr("substr(host, instr(host, '.') + 1)").alias("above")).where("instr(host, '.') > 0")
+    served = hosts.select(F.col("host").alias("above"), F.lit(True).alias("served"))
+    up = up.join(served, "above", "left").where(F.col("served") | (F.size(F.split("above", "[.]")) >= site))
+    found = out.union(up.select("host", "above", "n")).union(up.select("above", "host", "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
     found = cut(found)
     sums = lambda end, name: found.groupBy(end).agg(F.sum("n").alias(name))
-    return cut(found.join(sums("src", "n_out"), "src").join(sums("dst", "n_in"), "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("forth"), (F.col("n") / F.col("n_in")).alias("back")))
+    return found.join(sums("src", "n_out"), "src").join(sums("dst", "n_in"), "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("forth"), (F.col("n") / F.col("n_in")).alias("back"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust) from (host, good, bad) and the edges; hosts that are only linked to have no seed."""
-    if not links.limit(1).count():
-        return seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    ends = links.select(F.col("src").alias("host")).union(links.select(F.col("dst").alias("host"))).distinct()
-    seeds = cut(ends.join(seeds, "host", "full").select("host", F.coalesce("good", F.lit(0.0)).alias("good"), F.coalesce("bad", F.lit(0.0)).alias("bad")))
-    scores = seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
-        forth = links.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("forth") * F.col("trust")).alias("t"), F.lit(0.0).alias("d"))
-        back = links.join(scores.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("back") * F.col("distrust")).alias("d"))
-        came = forth.union(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        now = (
-            seeds.join(came, "host", "left")
-            .join(scores, "host")
-            .select(
-                "host",
-                (F.col("good") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
-                (F.col("bad") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust"),
-                F.greatest(F.abs(F.col("good") + damping * F.coalesce("t", F.lit(0.0)) - F.col("trust")), F.abs(F.col("bad") + damping * F.coalesce("d", F.lit(0.0)) - F.col("distrust"))).alias("change"),
-            )
-        )
-        now = cut(now)
+    none = F.lit(0.0)
+    forth = links.select(F.col("src").alias("from"), F.col("dst").alias("host"), F.col("forth").alias("t"), none.alias("d"))
+    back = links.select(F.col("dst").alias("from"), F.col("src").alias("host"), none.alias("t"), F.col("back").alias("d"))
+    flows = cut(forth.union(back).groupBy("from", "host").agg((damping * F.sum("t")).alias("t"), (damping * F.sum("d")).alias("d")))
+    start = cut(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
+    scores = start
+    while True:
+        for _ in range(STEP):
+            before = scores
+            came = flows.join(before.withColumnRenamed("host", "from"), "from").select("host", (F.col("t") * F.col("trust")).alias("trust"), (F.col("d") * F.col("distrust")).alias("distrust"))
+            scores = came.union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        change = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        # scores only grow, as the flows add to the seeds
+        now = cut(scores.join(change, "host", "left").withColumn("change", F.greatest(F.col("trust") - F.coalesce("t", none), F.col("distrust") - F.coalesce("d", none))).drop("t", "d"))
         scores = now.select("host", "trust", "distrust")
-        if now.agg(F.max("change")).first()[0] < settled:
-            break
-    return scores
+        if (now.agg(F.max("change")).first()[0] or 0.0) < settled:
+            return scores
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,10 +96,10 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
     rule, verdict = rule_for(rules)
     rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
     share = lambda what: F.avg(F.when(F.col("ruled") == what, 1.0).otherwise(0.0))
-    seeds = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
-    scores = propagate(seeds, edges(rows)).select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    seeds = cut(rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"), F.count(F.lit(1)).alias("n")))
+    scores = propagate(seeds, edges(rows)).join(seeds, "host").select("host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), "n")
     bad = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
-    out = rows.select("page_id", "host", "path", "rule", "ruled").join(scores, "host", "left")
+    out = salted_join(rows.select("page_id", "host", "path", "rule", "ruled"), cut(scores), "host", "n", ["page_id", "path"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 
