@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from cellward.llm import repeats
 
@@ -57,5 +58,34 @@ def test_against_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted(brute(rows, 50), key=repr)
 
 
+def check(spark, rows, **more):
+    got = repeats.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), **more).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(brute(rows, 50), key=repr)
+    return got
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_thousand_rows_of_one_id(spark, doc_id):
+    rng = random.Random(2)
+    shared = "".join(rng.choice("abcdef ") for _ in range(80))
+    rows = [(doc_id, "".join(rng.choice("uvwxyz") for _ in range(rng.randrange(0, 90))) + shared[rng.randrange(0, 20) :]) for _ in range(1000)]
+    got = check(spark, [*rows, (3, f"-{shared}-")])
+    assert sum(r.n_removed > 0 for r in got) > 900
+
+
+def test_a_line_of_every_document_is_dealt_to_pieces(spark):
+    rng = random.Random(6)
+    line = "this very line stands in every single document of the whole table, whatever else is in it\n"
+    rows = [(i, "".join(rng.choice("pqrstu \n") for _ in range(rng.randrange(0, 60))) + line * rng.randrange(1, 3) + rng.choice(["", "tail " * 20])) for i in range(400)]
+    rng.shuffle(rows)
+    check(spark, [*rows, (None, line), (None, line * 2), (5, line)], hot=16)
+
+
+def test_very_long_texts_of_one_gram(spark):
+    rows = [(1, "x" * 3000), (2, "y" + "x" * 200_000), (3, "x" * 49), (4, "x" * 50)]
+    got = {r.doc_id: r for r in repeats.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in (1, 2, 3, 4)] == [(0, 0), (200_000, 1), (0, 0), (50, 1)]
+
+
 def test_empty(spark):
     assert repeats.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
