@@ -1,168 +1,251 @@
 r"""Quality rules: counting rules, and the perplexity under an n-gram model of each language.
 
-The model is an interpolated modified Kneser-Ney model of symbol 4-grams, counted by Spark over all documents.
-Characters fall into 32 symbols (26 letters without case, other letters, digits, white space, punctuation,
-other, and the start), and languages into LANG_SLOTS slots by hash, so a model has at most
-LANG_SLOTS * (2**20 + 2**15 + 2**10 + 2**5) entries whatever the corpus: that bounds what is gathered and
-broadcast.  It is kept as one sorted array of 64-bit hashes with log probabilities and back-off weights.
-
-A 4-gram that only one document has is counted but not kept, or each document would vouch for itself.
-
-Each language slot has its own band of log perplexity: the median of its documents that pass the counting
-rules, plus and minus WIDTH robust standard deviations, FLOOR at least.  Documents outside are rejected.
+The models are interpolated modified Kneser-Ney models of ORDER characters, one of each value of ``lang`` and one of all
+documents.  Spark counts the n-grams of all whole documents, derives the lower orders' continuation counts and writes
+them, sorted, as arrays of n-gram keys and counts into the shared folder, in files of about PART entries by language,
+order and range of contexts; nothing of it passes through the driver, and it grows with the corpus.  Discounts come
+from each order's counts of counts.  A task looks n-grams up file by file and keeps at most CACHE bytes of them.
+
+A key holds BITS bits a character: code points below 2**BITS (the alphabets from Latin to Tibetan) as they are, others
+hashed.  Each document is judged by what the rest of the corpus says: its own counts are taken out of all orders'
+counts, context totals and counts of counts by arithmetic (``Scorer``), which equals a model trained without it
+(with the discounts of all).
+
+Each language has its own band of mean log perplexity, under its own model and under that of all documents: the median
+of its documents that pass the counting rules, plus and minus WIDTH robust standard deviations.  A document is rejected
+if both models put it on the same side outside.  (Under the model of all documents, prose of several languages isn't
+unlikely, and a rare language has a model to lean on.)  The deviation of a language with few documents leans on that of
+all: it counts SHRINK documents of the common one.
 
 Words are ``[^\x20\x09-\x0D]+``.  Nulls: a null text has no words, so it fails; a null lang is a language of
-its own; a null doc_id is kept as it is.  Repeated documents are counted and judged one by one.
+its own; a null doc_id is kept as it is.  Repeated documents are counted and judged one by one, as are rows of equal
+doc_id.  Values on a band's edge are inside.  Other columns of the documents are carried along and never looked at.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import cut, table
+from cellward.llm.sparkops import cut, free_names, fresh_dir, table
 
-ORDER, BITS, LANG_SLOTS = 4, 5, 16
-#: Half the band: robust standard deviations, and nats at least.
-WIDTH, FLOOR = 6.0, 0.75
-#: Below so many documents a language takes the band of all.
-FEW = 30
+ORDER, BITS = 4, 12
+#: Half the band in robust standard deviations, and documents of the common deviation that each language's counts.
+WIDTH, SHRINK = 6.0, 10
 #: Bins of log perplexity a nat.
-BINS = 200
+BINS = 1000
+#: Entries of a file, counts that a task gathers before it hands them on, and bytes of files that a worker keeps.
+PART, GATHER, CACHE = 1 << 21, 1 << 21, 256 << 20
+#: Rows of bands that are broadcast.
+FEW_BANDS = 10_000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-
-
-def _symbols() -> np.ndarray:
-    lut = np.full(256, 31, np.uint8)
-    lut[0x41:0x5B] = lut[0x61:0x7B] = np.arange(1, 27)
-    lut[0xC0:] = 27
-    lut[0x30:0x3A] = 28
-    lut[[0x20, *range(0x09, 0x0E)]] = 29
-    lut[list(b".,;:!?'\"()-")] = 30
-    return lut
-
-
-SYMBOLS = _symbols()
+#: Key of the model of all documents; those of languages start with a letter of their own.
+ALL = "all"
+_WIDE = BITS * ORDER
 _MARK = np.isin(np.arange(256), list(b"#*$%&|<>"))
 
 
-def grams(bodies: list[bytes]):
-    """The text of each character and the code of the 4-gram that it ends."""
-    size = np.fromiter(map(len, bodies), np.int64, len(bodies)) + ORDER - 1
-    raw = np.frombuffer(b"".join(b"\n" * (ORDER - 1) + x for x in bodies), np.uint8)
+def symbols(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each character, and the key of the n-gram of ORDER characters that it ends; 0 stands before a text."""
+    texts = [b.decode("utf-8", "replace").replace("\0", "�") for b in bodies]
+    point = np.frombuffer("".join("\0" * (ORDER - 1) + x for x in texts).encode("utf-32-le", "replace"), np.uint32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER - 1
+    high = point >= 1 << BITS
+    symbol = point.astype(np.int64)
+    symbol[high] = 1 + (t.mix(point[high].astype(np.uint64)) % np.uint64((1 << BITS) - 1)).astype(np.int64)
+    key = symbol.copy()
+    for i in range(1, ORDER):
+        key[i:] |= symbol[:-i] << (BITS * i)
+    begins = np.zeros(len(key), bool)
     start = np.cumsum(size) - size
-    sym, pad = SYMBOLS[raw], np.zeros(len(raw), bool)
     for i in range(ORDER - 1):
-        pad[start + i] = True
-    sym[pad] = 0
-    whole = (raw & 0xC0) != 0x80
-    sym, pad, text = sym[whole].astype(np.int32), pad[whole], np.repeat(np.arange(len(bodies)), size)[whole]
-    code = np.zeros(len(sym), np.int32)
-    for i in range(ORDER):
-        code[i:] |= sym[: len(sym) - i] << (BITS * i)
-    return text[~pad], code[~pad]
+        begins[start + i] = True
+    return np.repeat(np.arange(len(texts)), size)[~begins], key[~begins]
 
 
 def _count(batches):
-    total: dict[int, np.ndarray] = {}
-    wide = 1 << (BITS * ORDER)
+    """(lang, gram, n) of a partition, some of them in several rows."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
+
+    def merged(parts):
+        gram, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return gram, np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+    def flush():
+        for lang, parts in held.items():
+            gram, n = merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(gram), np.int8))), pa.array(gram), pa.array(n)], names=["lang", "gram", "n"])
+        held.clear()
+
     for batch, bodies in t.slices(batches):
-        slot = batch.column(1).to_numpy(zero_copy_only=False)
-        text, code = grams(bodies)
-        own = slot[text] if len(text) else text
-        for s in np.unique(own):
-            n = total.setdefault(int(s), np.zeros((2, wide), np.int64))
-            here = own == s
-            n[0] += np.bincount(code[here], minlength=wide)
-            n[1] += np.bincount(np.unique((text[here] << (BITS * ORDER)) | code[here]) & (wide - 1), minlength=wide)
-    for s, n in total.items():
-        code = np.flatnonzero(n[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), s, np.int32)), pa.array(code.astype(np.int32)), pa.array(n[0][code]), pa.array(n[1][code])], names=["slot", "code", "n", "n_docs"])
-
-
-def _key(slot, order, code):
-    return t.mix((np.asarray(code).astype(np.uint64) | np.uint64((order << 32) | (slot << 40))))
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Of counts 1, 2 and 3 or more; fixed shares where the counts of counts don't give any."""
-    c = [int((n == i).sum()) for i in range(1, 5)]
-    if not all(c):
-        return np.array([0.5, 0.75, 0.9])
-    y = c[0] / (c[0] + 2 * c[1])
-    d = np.array([i - (i + 1) * y * c[i] / c[i - 1] for i in (1, 2, 3)])
-    return np.clip(d, 0.05, [0.95, 1.95, 2.95])
-
-
-def kneser_ney(slot: int, code: np.ndarray, n: np.ndarray):
-    """Hashes and values of one language: log probabilities of seen n-grams and log back-off weights of contexts."""
-    levels, n = [(code, n.astype(float))], None
-    for order in range(ORDER - 1, 0, -1):  # of lower orders, in how many different left contexts
-        levels.append(tuple(np.unique(levels[-1][0] & ((1 << (BITS * order)) - 1), return_counts=True)))
-    keys, values = [], []
-    lower = np.full(1 << BITS, 1 / (1 << BITS))
-    for order, (code, n) in enumerate(reversed(levels), start=1):
-        d = _discounts(n)[np.minimum(n.astype(int), 3) - 1]
-        context, at = np.unique(code >> BITS, return_inverse=True)
-        total, rest = np.bincount(at, n), np.bincount(at, d)
-        if order == 1:
-            p = lower * rest[0] / total[0]
-            p[code] += (n - d) / total[0]
-            code = np.arange(1 << BITS)
-        else:
-            p = (n - d) / total[at] + rest[at] / total[at] * lower[code & ((1 << (BITS * (order - 1))) - 1)]
-            keys.append(_key(slot, order | 8, context))
-            values.append(np.log(rest / total))
-        keys.append(_key(slot, order, code))
-        values.append(np.log(p))
-        lower = np.zeros(1 << (BITS * order))
-        lower[code] = p
-    return np.concatenate(keys), np.concatenate(values)
-
-
-class Model:
-    """Sorted hashes and their values, of all languages."""
-
-    def __init__(self, counts: pa.Table):
-        slot, code, n = (counts.column(c).to_numpy() for c in ("slot", "code", "n"))
-        parts = []
-        for s in np.unique(slot):
-            own = np.flatnonzero(slot == s)
-            own = own[np.argsort(code[own])]
-            parts.append(kneser_ney(int(s), code[own].astype(np.int64), n[own]))
-        keys = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], (np.concatenate([p[1] for p in parts]) if parts else np.empty(0))[order]
-
-    def log_p(self, slot: int, code: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(code)), np.arange(len(code))
-        for order in range(ORDER, 0, -1):
-            now = code[left] & ((1 << (BITS * order)) - 1)
-            at = t.look_up(self.keys, _key(slot, order, now))
-            out[left[at >= 0]] += self.values[at[at >= 0]]
-            left, now = left[at < 0], now[at < 0]
-            if order == 1 or not len(left):
-                break
-            back = t.look_up(self.keys, _key(slot, order | 8, now >> BITS))
-            out[left[back >= 0]] += self.values[back[back >= 0]]
-        return out
-
-    def log_perplexity(self, bodies: list[bytes], slot: np.ndarray) -> np.ndarray:
+        text, gram = symbols(bodies)
+        langs, of_row = np.unique(np.array(batch.column(1).to_pylist(), object), return_inverse=True)
+        own = of_row[text]
+        for i, lang in enumerate(langs.tolist()):
+            here = gram[own == i]
+            if len(here):
+                found = np.unique(here, return_counts=True)
+                held.setdefault(lang, []).append(found)
+                size += len(found[0])
+        if size > GATHER:
+            held = {lang: [merged(parts)] for lang, parts in held.items()}
+            size = sum(len(p[0][0]) for p in held.values())
+            if size > GATHER // 2:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+def language(lang: str = "lang"):
+    """A language's key: safe as a folder's name, apart from ALL and from the one for null."""
+    return F.coalesce(F.concat(F.lit("x"), F.hex(F.col(lang).cast("string"))), F.lit("null"))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """(lang, ord, gram, n) of all orders: counts of the highest, numbers of different characters before it of the others."""
+    rows = docs.select(F.col("text").cast("string").alias("text"), language().alias("lang"))
+    own = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    own = cut(own)
+    level = cut(own.union(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "gram", "n")))
+    levels = level.select("lang", F.lit(ORDER).alias("ord"), "gram", "n")
+    for order in range(ORDER - 1, 0, -1):
+        level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        levels = levels.union(level.select("lang", F.lit(order).alias("ord"), "gram", "n"))
+    return levels
+
+
+def train(docs: DataFrame, part: int = PART) -> str:
+    """Counts all documents and writes the models; returns their folder."""
+    folder = fresh_dir(docs.sparkSession, "perplexity")
+    levels = cut(counted(docs))
+    several = [F.sum((F.col("n") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    levels.groupBy("lang", "ord").agg(*several).write.partitionBy("lang").parquet(f"{folder}/counts")
+    ranges = max(1, math.ceil(levels.count() / part))
+    # a context's n-grams stay in one file, and the files' names follow the ranges
+    dealt = levels.withColumn("context", F.shiftright("gram", BITS)).repartitionByRange(ranges, "lang", "ord", "context").sortWithinPartitions("lang", "ord", "gram")
+    dealt.select("lang", "ord", "gram", "n").write.partitionBy("lang", "ord").parquet(f"{folder}/grams")
+    return folder
+
+
+def discounts(counts) -> np.ndarray:
+    """Of counts 0 to 3 and more, from the numbers of n-grams with counts 1 to 4; half a count where there are none."""
+    y = counts[0] / (counts[0] + 2 * counts[1]) if counts[0] else 0.0
+    out = [i - (i + 1) * y * counts[i] / counts[i - 1] if counts[i - 1] else 0.5 * i for i in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.01), i + 0.99) for i, d in enumerate(out))])
+
+
+class Part:
+    """The sorted n-grams of a file, and for each context the sum and the counts of counts of its n-grams."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.gram, self.n = gram, n
+        context = gram >> BITS
+        first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+        self.context, self.total = context[first], np.add.reduceat(n, first)
+        self.kinds = [np.add.reduceat((np.minimum(n, 3) == i).astype(np.int64), first) for i in (1, 2, 3)]
+        self.size = 16 * len(gram) + 40 * len(first)
+
+
+class Models:
+    """The written models as a worker sees them."""
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.files: dict[tuple, list[str]] = {}
+        self.d: dict[tuple, np.ndarray] = {}
+        self.parts: OrderedDict[str, Part] = OrderedDict()
+
+    def _paths(self, folder: str) -> list[str]:
+        from pyarrow import fs
+
+        found = self.store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        return sorted(x.path for x in found if x.base_name.endswith(".parquet"))
+
+    def _read(self, path: str) -> pa.Table:
+        with self.store.open_input_file(path) as f:
+            return pq.ParquetFile(f).read()
+
+    def discounts(self, lang: str, order: int) -> np.ndarray:
+        if (lang, order) not in self.d:
+            for path in self._paths(f"{self.root}/counts/lang={lang}"):
+                rows = self._read(path).to_pydict()
+                for i, o in enumerate(rows["ord"]):
+                    self.d[lang, o] = discounts([rows[f"n{j}"][i] for j in (1, 2, 3, 4)])
+            self.d.setdefault((lang, order), discounts([0, 0, 0, 0]))
+        return self.d[lang, order]
+
+    def all_parts(self, lang: str, order: int):
+        if (lang, order) not in self.files:
+            self.files[lang, order] = self._paths(f"{self.root}/grams/lang={lang}/ord={order}")
+        for path in self.files[lang, order]:
+            if path in self.parts:
+                self.parts.move_to_end(path)
+            else:
+                rows = self._read(path)
+                self.parts[path] = Part(rows["gram"].to_numpy(), rows["n"].to_numpy())
+                while len(self.parts) > 1 and sum(x.size for x in self.parts.values()) > CACHE:
+                    self.parts.popitem(last=False)
+            yield self.parts[path]
+
+    def look_up(self, lang: str, order: int, gram: np.ndarray, context: np.ndarray):
+        """Counts of n-grams; sums and counts of counts of contexts; 0 for what isn't there."""
+        n, total, kinds = np.zeros(len(gram), np.int64), np.zeros(len(context), np.int64), np.zeros((3, len(context)), np.int64)
+        for part in self.all_parts(lang, order):
+            at = t.look_up(part.gram, gram)
+            n = np.where(at >= 0, part.n[at], n)
+            at = t.look_up(part.context, context)
+            total = np.where(at >= 0, part.total[at], total)
+            kinds = np.where(at >= 0, np.stack([k[at] for k in part.kinds]), kinds)
+        return n, total, kinds
+
+
+class Scorer:
+    """Mean log perplexities of texts under a model without their own counts."""
+
+    def __init__(self, models: Models):
+        self.models = models
+
+    def score(self, lang: str, bodies: list[bytes]) -> np.ndarray:
         """Mean negative log probability of each text's characters; 0 for an empty text."""
-        text, code = grams(bodies)
-        total = np.zeros(len(bodies))
-        own = slot[text] if len(text) else text
-        for s in np.unique(own):
-            here = own == s
-            different, at = np.unique(code[here], return_inverse=True)
-            total -= np.bincount(text[here], self.log_p(int(s), different)[at], minlength=len(bodies))
-        return total / np.maximum(np.bincount(text, minlength=len(bodies)), 1)
+        text, gram = symbols(bodies)
+        seen = np.bincount(text, minlength=len(bodies))
+        if not len(gram):
+            return np.zeros(len(bodies))
+        low = (1 << _WIDE) - 1
+        key, at, own = np.unique((text << _WIDE) | gram, return_inverse=True, return_counts=True)
+        place, terms = at, []
+        for order in range(ORDER, 0, -1):
+            context, of = np.unique((key >> _WIDE << _WIDE) | ((key & low) >> BITS), return_inverse=True)
+            n, total, kinds = self.models.look_up(lang, order, key & low, context & low)
+            d = self.models.discounts(lang, order)
+            rest = np.maximum(n - own, 0)
+            total = total - np.bincount(of, n - rest, minlength=len(context))
+            free = np.zeros(len(context))
+            for i in (1, 2, 3):
+                moved = (np.minimum(rest, 3) == i).astype(np.int64) - (np.minimum(n, 3) == i)
+                free += d[i] * (kinds[i - 1] + np.bincount(of, moved, minlength=len(context)))
+            total, free = total[of], free[of]
+            known, some = total > 0, np.maximum(total, 1)
+            terms.append((np.where(known, (rest - d[np.minimum(rest, 3)]) / some, 0.0), np.where(known, free / some, 1.0), at))
+            # what only this text has is one n-gram less for its ending
+            key, at = np.unique((key >> _WIDE << _WIDE) | (key & ((1 << (BITS * (order - 1))) - 1)), return_inverse=True)
+            own = np.bincount(at, (n > 0) & (rest == 0), minlength=len(key)).astype(np.int64)
+            terms[-1] = (*terms[-1][:2], at)
+        p = np.full(len(key), 1.0 / (1 << BITS))
+        for first, weight, at in reversed(terms):
+            p = first + weight * p[at]
+        return -np.bincount(text, np.log(p)[place], minlength=len(bodies)) / np.maximum(seen, 1)
 
 
 def features(bodies: list[bytes]) -> dict[str, np.ndarray]:
@@ -196,92 +279,106 @@ def base_failed(f: dict[str, np.ndarray]) -> np.ndarray:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
-def slot_of(lang: str = "lang"):
-    return F.pmod(F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("\0"))), F.lit(LANG_SLOTS)).cast("int")
+_MODELS: dict[str, Models] = {}
+
 
+def _models(folder: str) -> Models:
+    """The worker's models; it keeps those of the last folder only."""
+    if folder not in _MODELS:
+        _MODELS.clear()
+        _MODELS[folder] = Models(folder)
+    return _MODELS[folder]
 
-def train(docs: DataFrame) -> Model:
-    """The model of all documents, gathered as counts of a bounded set of codes."""
-    counts = docs.select(F.col("text").cast("string").alias("text"), slot_of().alias("slot")).mapInArrow(_count, "slot int, code int, n long, n_docs long")
-    return Model(counts.groupBy("slot", "code").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs")).where("n_docs > 1").drop("n_docs").toArrow())
 
+def _judged(folder: str, bodies: list[bytes], langs: list[str]):
+    """Counts, base_failed, and the two log perplexities of texts."""
+    f = features(bodies)
+    scorer, own = Scorer(_models(folder)), np.zeros(len(bodies))
+    names, of = np.unique(np.array(langs, object), return_inverse=True)
+    for i, lang in enumerate(names.tolist()):
+        here = np.flatnonzero(of == i)
+        own[here] = scorer.score(lang, [bodies[j] for j in here.tolist()])
+    return f, base_failed(f), own, scorer.score(ALL, bodies)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, slot, FEATURES, base_failed and log_ppl of each document."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values))
+
+def score(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, lang's key, FEATURES, base_failed, log_ppl (of the language's model) and log_ppl_all of each document."""
 
     def run(batches):
-        own = Model.__new__(Model)
-        own.keys, own.values = sent.value
         for batch, bodies in t.slices(batches):
-            f = features(bodies)
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(f[c]) for c in FEATURES), pa.array(base_failed(f)), pa.array(own.log_perplexity(bodies, slot))], names=["doc_id", "slot", *FEATURES, "base_failed", "log_ppl"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), slot_of().alias("slot"))
-    return rows.mapInArrow(run, f"doc_id long, slot int, {', '.join(f'{c} long' for c in FEATURES)}, base_failed boolean, log_ppl double")
-
-
-def bands(scored: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> dict[int, tuple[float, float]]:
-    """Lowest and highest log perplexity of each slot, from histograms; slot -1 is for slots without documents."""
-    bins = scored.where("not base_failed").groupBy("slot", F.floor(F.col("log_ppl") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    by: dict[int, dict[int, int]] = {-1: {}}
-    for r in bins:
-        for s in (-1, r.slot):
-            by.setdefault(s, {})[r.bin] = by.setdefault(s, {}).get(r.bin, 0) + r.n
-
-    def middle(values: list[tuple[float, int]]) -> float:
-        half, seen = sum(n for _, n in values) / 2, 0
-        for v, n in sorted(values):
-            seen += n
-            if seen >= half:
-                return v
-        return 0.0
-
-    out = {}
-    for s, hist in by.items():
-        if sum(hist.values()) < FEW and s != -1:
-            hist = by[-1]
-        values = [((b + 0.5) / BINS, n) for b, n in hist.items()]
-        m = middle(values)
-        half = max(floor, width * 1.4826 * middle([(abs(v - m), n) for v, n in values]))
-        out[s] = (m - half, m + half) if values else (-math.inf, math.inf)
-    return out
+            f, failed, own, common = _judged(folder, bodies, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(f[c]) for c in FEATURES), pa.array(failed), pa.array(own), pa.array(common)], names=["doc_id", "lang", *FEATURES, "base_failed", "log_ppl", "log_ppl_all"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), language().alias("lang"))
+    return rows.mapInArrow(run, f"doc_id long, lang string, {', '.join(f'{c} long' for c in FEATURES)}, base_failed boolean, log_ppl double, log_ppl_all double")
+
+
+def _middles(bins: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """The lower median of a histogram (value, n) of each group; a group has at most a few ten thousand bins."""
+    w = Window.partitionBy(*by)
+    up = bins.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("of", F.sum("n").over(w))
+    return up.where("2 * upto >= of").groupBy(*by).agg(F.min(value).alias(out), F.first("of").alias("of"))
+
+
+def bands(scored: DataFrame, width: float = WIDTH, shrink: float = SHRINK) -> DataFrame:
+    """(lang, low, high, low_all, high_all) of each language with documents that pass the counting rules."""
+    both = F.explode(F.array(F.struct(F.lit(0).alias("model"), F.col("log_ppl").alias("v")), F.struct(F.lit(1).alias("model"), F.col("log_ppl_all").alias("v"))))
+    values = scored.where("not base_failed").select("lang", both.alias("x")).select("lang", "x.model", F.floor(F.col("x.v") * BINS).alias("bin"))
+    bins = cut(values.groupBy("lang", "model", "bin").agg(F.count(F.lit(1)).alias("n")))
+    middle = _middles(bins, ["lang", "model"], "bin", "middle")
+    off = bins.join(middle.select("lang", "model", "middle"), ["lang", "model"]).withColumn("off", F.abs(F.col("bin") - F.col("middle")))
+    own = _middles(off.groupBy("lang", "model", "off").agg(F.sum("n").alias("n")), ["lang", "model"], "off", "spread")
+    common = _middles(off.groupBy("model", "off").agg(F.sum("n").alias("n")), ["model"], "off", "common").drop("of")
+    found = own.join(common, "model").join(middle.select("lang", "model", "middle"), ["lang", "model"])
+    # a value lies anywhere in its bin
+    spread = F.sqrt((F.col("of") * F.col("spread") * F.col("spread") + shrink * F.col("common") * F.col("common")) / (F.col("of") + shrink))
+    found = found.withColumn("half", width * 1.4826 * spread + 1.0)
+    edge = lambda model, sign: F.max(F.when(F.col("model") == model, (F.col("middle") + 0.5 + sign * F.col("half")) / BINS))
+    return found.groupBy("lang").agg(edge(0, -1).alias("low"), edge(0, 1).alias("high"), edge(1, -1).alias("low_all"), edge(1, 1).alias("high_all"))
+
+
+def with_bands(scored: DataFrame, found: DataFrame, lang: str) -> DataFrame:
+    """Each row with its language's band: broadcast while there are few languages, else joined."""
+    (key,) = free_names([*scored.columns, *found.columns], "key")
+    found = cut(found.withColumnRenamed("lang", key))
+    if found.count() <= FEW_BANDS:
+        found = F.broadcast(found)
+    return scored.join(found, F.col(lang) == F.col(key), "left").drop(key)
+
+
+def _kept(failed: str, own: str, common: str, names: tuple[str, str, str, str]):
+    low, high, low_all, high_all = map(F.col, names)
+    over, under = (F.col(own) > high) & (F.col(common) > high_all), (F.col(own) < low) & (F.col(common) < low_all)
+    return ~F.col(failed) & ~F.coalesce(over | under, F.lit(False))
 
 
-def _inside(edges: dict[int, tuple[float, float]]):
-    low, high = F.lit(edges[-1][0]), F.lit(edges[-1][1])
-    for s, (a, b) in edges.items():
-        low, high = F.when(F.col("slot") == s, a).otherwise(low), F.when(F.col("slot") == s, b).otherwise(high)
-    return F.col("log_ppl").between(low, high)
+_EDGES = ("low", "high", "low_all", "high_all")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """One row per document: its counts, base_failed, log_ppl and kept."""
+    """One row per document: its counts, base_failed, both log perplexities and kept."""
     scored = cut(score(docs, train(docs)))
-    return scored.withColumn("kept", ~F.col("base_failed") & _inside(bands(scored)))
+    return with_bands(scored, bands(scored), "lang").withColumn("kept", _kept("base_failed", "log_ppl", "log_ppl_all", _EDGES)).drop(*_EDGES)
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the rules and the bands keep, with their own columns."""
-    model = train(docs)
-    edges = bands(score(docs, model))
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.values, edges))
-    names = [*docs.columns]
-    rows = docs.withColumns({"__slot": slot_of(), "__body": F.col("text").cast("string")})
+    """The documents that the rules and the bands keep, with their own columns, whatever those are called."""
+    folder, names = train(docs), docs.columns
+    body, lang, failed, own, common = free_names([*names, *_EDGES, "lang"], "body", "language", "failed", "own", "common")
+    rows = docs.select("*", F.col("text").cast("string").alias(body), language().alias(lang))
 
     def run(batches):
-        own = Model.__new__(Model)
-        own.keys, own.values, edges = sent.value
-        for batch, bodies in t.slices(batches, "__body"):
-            slot = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            low, high = (np.array([edges.get(int(s), edges[-1])[i] for s in slot]) for i in (0, 1))
-            value = own.log_perplexity(bodies, slot)
-            ok = ~base_failed(features(bodies)) & (low <= value) & (value <= high)
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok)).columns[: len(names)], names=names)
+        for batch, bodies in t.slices(batches, body):
+            _, bad, v, w = _judged(folder, bodies, batch.column(len(names) + 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], batch.column(len(names) + 1), pa.array(bad), pa.array(v), pa.array(w)], names=[*names, lang, failed, own, common])
 
-    return rows.mapInArrow(run, T.StructType(docs.schema.fields))
+    fields = [T.StructField(lang, T.StringType()), T.StructField(failed, T.BooleanType()), T.StructField(own, T.DoubleType()), T.StructField(common, T.DoubleType())]
+    scored = cut(rows.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])))
+    edges = dict(zip(_EDGES, free_names([*scored.columns, "lang"], *_EDGES)))
+    found = bands(scored.select(F.col(lang).alias("lang"), F.col(failed).alias("base_failed"), F.col(own).alias("log_ppl"), F.col(common).alias("log_ppl_all"))).withColumnsRenamed(edges)
+    return with_bands(scored, found, lang).where(_kept(failed, own, common, tuple(edges.values()))).select(*names)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", *FEATURES, "base_failed", "kept", F.round("log_ppl", 6).alias("log_ppl"))
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *FEATURES, "base_failed", "kept", F.round("log_ppl", 6).alias("log_ppl"), F.round("log_ppl_all", 6).alias("log_ppl_all"))

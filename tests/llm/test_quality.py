@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -29,15 +30,83 @@ def test_counts():
         assert tuple(int(got[c][i]) for c in quality.FEATURES) == brute(x), x
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    code = np.unique(rng.integers(0, 1 << 20, 3000))
-    keys, values = quality.kneser_ney(3, code, rng.integers(1, 9, len(code)))
-    model = quality.Model.__new__(quality.Model)
-    order = np.argsort(keys)
-    model.keys, model.values = keys[order], values[order]
-    for context in (code[5] >> 5, code[99] >> 5, 77, 12345):
-        assert np.exp(model.log_p(3, (int(context) << 5) + np.arange(32))).sum() == pytest.approx(1)
+def plain_log_perplexity(corpus, judged, discounts):
+    """Of the judged text under the other texts of the corpus, by the definition; discounts[order] are given."""
+    n, marks = quality.ORDER, "\0" * (quality.ORDER - 1)
+    counts = Counter(x[i : i + n] for x in (marks + y for y in corpus) for i in range(len(x) - n + 1))
+    levels = {n: counts}
+    for order in range(n - 1, 0, -1):
+        levels[order] = Counter(g[1:] for g in levels[order + 1])
+
+    def p(context, c):
+        order = len(context) + 1
+        level = levels[order]
+        lower = p(context[1:], c) if context else 1 / (1 << quality.BITS)
+        following = {g: k for g, k in level.items() if g[:-1] == context}
+        if not following:
+            return lower
+        d, total = discounts[order], sum(following.values())
+        k = following.get(context + c, 0)
+        return (k - d[min(k, 3)]) / total + sum(d[min(x, 3)] for x in following.values()) / total * lower
+
+    whole = marks + judged
+    values = [-np.log(p(whole[i : i + n - 1], whole[i + n - 1])) for i in range(len(judged))]
+    return float(np.mean(values)) if values else 0.0
+
+
+def counts_of_counts(corpus):
+    n, marks = quality.ORDER, "\0" * (quality.ORDER - 1)
+    level, out = Counter(x[i : i + n] for x in (marks + y for y in corpus) for i in range(len(x) - n + 1)), {}
+    for order in range(n, 0, -1):
+        out[order] = quality.discounts([sum(v == i for v in level.values()) for i in (1, 2, 3, 4)])
+        level = Counter(g[1:] for g in level)
+    return out
+
+
+def test_discounts():
+    assert quality.discounts([100, 40, 20, 10]) == pytest.approx([0, 1 - 2 * (100 / 180) * 0.4, 2 - 3 * (100 / 180) * 0.5, 3 - 4 * (100 / 180) * 0.5])
+    assert quality.discounts([0, 0, 0, 0]) == pytest.approx([0, 0.5, 1.0, 1.5])
+
+
+@pytest.mark.parametrize("part", [quality.PART, 40])
+def test_perplexity_without_the_texts_own_counts(spark, part):
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choice("abcde  \u00e9\u0436") for _ in range(k))
+    en, fr = [text(60) for _ in range(6)] + ["", "a", "abcabcabc"], [text(40) for _ in range(3)] + ["zz\u4e2d\u6587 zz"]
+    alone, nothing = [text(30)], [text(20)]
+    rows = [(x, lang) for lang, xs in (("en", en), ("fr", fr), ("rare", alone), (None, nothing)) for x in xs]
+    folder = quality.train(spark.createDataFrame(rows, "text string, lang string"), part)
+    scorer, everything = quality.Scorer(quality.Models(folder)), [x for x, _ in rows]
+    hashed = {c: chr(1 + int(quality.t.mix(np.array([ord(c)], np.uint64))[0] % np.uint64((1 << quality.BITS) - 1))) for c in "\u4e2d\u6587"}
+    known = lambda xs: ["".join(hashed.get(c, c) for c in x) for x in xs]
+    for key, texts in (("x656E", en), ("x6672", fr), ("x72617265", alone), ("null", nothing), (quality.ALL, everything)):
+        got = scorer.score(key, [x.encode() for x in texts])
+        plain = known(texts)
+        d = counts_of_counts(plain)
+        for i, x in enumerate(plain):
+            assert got[i] == pytest.approx(plain_log_perplexity(plain[:i] + plain[i + 1 :], x, d), rel=1e-9), (key, i)
+    assert scorer.score("x00", [b"ab"])[0] == pytest.approx(np.log(1 << quality.BITS))  # a language without a model
+
+
+def test_small_languages_and_nulls_stay(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("thean orins".replace(" ", "")) for _ in range(5)) for _ in range(300)]
+    prose = lambda letters=None: " ".join((rng.choice(words) if letters is None else "".join(rng.choice(letters) for _ in range(5))) for _ in range(120))
+    rows = [(i, prose(), "en") for i in range(60)] + [(100, prose("\u0436\u0434\u0430\u043e\u0442"), "ru"), (101, prose(), None), (102, prose(), "xx"), (103, prose(), "xx")]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got.values())
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("thean") for _ in range(4)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(90)), "en", "b", True, 1.5, i) for i in range(20)]
+    rows.append((50, " ".join(rng.choice(words) for _ in range(300_000)), "en", None, None, None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, body string, FAILED boolean, low double, key long")
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} <= set(rows)
+    assert kept.count() >= 20
 
 
 def test_judgement(spark):
