@@ -3,14 +3,17 @@ r"""Benchmark decontamination by winnowing.
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.  The fingerprint of a text is, of every
 window of ``SPAN`` words, the rightmost smallest hash of a ``GRAM``-word gram in it.  Two texts that share SPAN
 words choose the same gram in that window, so joining the fingerprints misses no shared span.  Each hit is
-extended: the windows of SPAN words around it are compared with the item's windows, and all words of a
-matching window are hit.  Items of fewer than SPAN words are one window each and compared as such.
+extended: the windows of SPAN words around it are joined with the items' windows, word by word, and all words of a
+matching window are hit.  Items of fewer than SPAN words are one window each, which is its own fingerprint.
 
-The benchmark is read in blocks of at most BLOCK_WORDS words, each small enough to be sent to every task; a
-larger benchmark takes more blocks, each a further map over the same rows without any shuffle.
+Documents and benchmark are both tables of fingerprints and windows.  Before anything is shuffled, a document's
+fingerprints and windows pass two bit sets of the benchmark's hashes, of a size that follows the benchmark up to
+BITS bits each; these let through all that is in the benchmark and, the larger it is, something besides, which the
+joins then drop.  Equal texts are worked on once.
 
-Nulls: a null text has no words; a null doc_id is kept as it is; null items have no words.  Repeated
-documents give one row each.  An item_id that occurs in several rows counts once.
+Nulls: a null text has no words; a null doc_id is kept as it is; null items have no words.  Windows of items with a
+null item_id are hit like others, but such items aren't counted or listed.  Repeated documents give one row
+each.  An item_id that occurs in several rows counts once.  Other columns are carried along and never looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import table, texts
+from cellward.llm.sparkops import cut, free_names, salted_join, sized, table, texts
 
 SPAN, GRAM = 13, 8
-#: Words of benchmark items in one block: about 100 bytes a word in a task.
-BLOCK_WORDS = 500_000
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: Bits of a bit set at most (32 MB), and of one row of it.
+BITS, SEGMENT = 1 << 28, 1 << 17
+#: Benchmark windows, fingerprints and contaminated texts that are broadcast (under 100 bytes each); more are joined by shuffle.
+SENT = 200_000
 
 
 def winnow(grams: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
@@ -44,156 +48,162 @@ def winnow(grams: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
     return np.unique(best[text[:m] == text[width - 1 : width - 1 + m]])
 
 
-class Items:
-    """A block of benchmark items: fingerprints, and for each window length the sorted windows with their items."""
+def _window_hash(words: t.Words, length: int) -> np.ndarray:
+    return t.mix(t.gram_hash(words.hash, length) ^ t.mix(np.array([length], np.uint64)))
 
-    def __init__(self, ids: list[int], bodies: list[bytes], span: int, gram: int):
-        self.span, self.gram = span, gram
+
+def _fingerprints(words: t.Words, span: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the chosen grams of all texts of SPAN words or more."""
+    h, whole = t.gram_hash(words.hash, gram), t.in_one(words.text, gram)
+    picked = winnow(np.where(whole, h, np.iinfo(np.uint64).max), words.text[: len(h)], span - gram + 1)
+    return picked, h[picked]
+
+
+def _string(words: t.Words, at: int, length: int) -> str:
+    return b" ".join(map(words.word, range(at, at + length))).decode("utf-8", "replace")
+
+
+def _item_rows(span: int, gram: int):
+    def run(batches):
+        for batch, bodies in t.slices(batches):
+            words, rows, ids = t.Words(bodies), [], batch.column(0).to_pylist()
+            for _, h in zip(*_fingerprints(words, span, gram)):
+                rows.append((None, h.astype(np.int64), None, None, None))
+            for length in sorted({int(min(span, c)) for c in words.count if c}):
+                own = words.count >= span if length == span else words.count == length
+                h, ok = _window_hash(words, length), t.in_one(words.text, length)
+                for at in np.flatnonzero(ok & own[words.text[: len(h)]]).tolist():
+                    code = h[at].astype(np.int64)
+                    rows.append((ids[int(words.text[at])], None if length == span else code, code, _string(words, at, length), length))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["item_id", "fp", "code", "words", "length"])
+
+    return run
+
+
+def _bits(hashes: DataFrame, size: int) -> np.ndarray:
+    """Bit set of the hashes; its rows are put together by range, so only the ``size`` bits come to the driver."""
+
+    def run(block: pa.Table) -> pa.Table:
+        segment, at = block["segment"][0].as_py(), block["at"].to_numpy()
+        flags = np.zeros(min(SEGMENT, size), np.uint8)
+        flags[at] = 1
+        return pa.table({"segment": pa.array([segment], pa.int32()), "bits": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    at = hashes.select(F.floor(place / SEGMENT).cast("int").alias("segment"), (place % SEGMENT).cast("int").alias("at")).distinct()
+    out = np.zeros(size // 8, np.uint8)
+    for row in at.groupBy("segment").applyInArrow(run, "segment int, bits binary").toLocalIterator():
+        out[row.segment * SEGMENT // 8 :][: len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+
+
+class Benchmark:
+    """The benchmark as tables: ``prints`` (fp), ``windows`` (words, items: a digest of the ids) and ``items`` (items, ids)."""
+
+    def __init__(self, benchmark: DataFrame, span: int, gram: int, sent: int, most: int):
+        source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+        rows = cut(source.mapInArrow(_item_rows(span, gram), "item_id long, fp long, code long, words string, length int"))
+        self.lengths = sorted(r.length for r in rows.where("length is not null").select("length").distinct().collect())  # SPAN of them at most
+        prints = rows.where("fp is not null").select("fp").distinct()
+        listed = rows.where("words is not null").groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+        listed = cut(listed.select("words", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), 256).alias("items"), "ids"))
+        self.prints, self.windows = sized(prints, sent), sized(listed.select("words", "items"), sent)
+        self.items = listed.groupBy("items").agg(F.any_value("ids").alias("ids"))
+        size = 1 << 10
+        n = rows.count()
+        while size < min(16 * n, most):
+            size *= 2
+        codes = rows.where("code is not null").select(F.col("code").alias("h"))
+        self.bits = _bits(prints.select(F.col("fp").alias("h")), size), _bits(codes, size)
+
+
+def _marker(sent, lengths: list[int], span: int, gram: int):
+    """For each text its number of words and the windows to look at, with the fingerprint that each was found by."""
+
+    def mark(bodies: list[bytes]):
+        prints, windows = sent.value
         words = t.Words(bodies)
-        self.windows: dict[int, tuple] = {}
-        for length in sorted({int(min(span, c)) for c in words.count if c}):
-            own = words.count >= span if length == span else words.count == length
-            h, ok = t.gram_hash(words.hash, length), t.in_one(words.text, length)
-            at = np.flatnonzero(ok & own[words.text[: len(h)]])
-            order = np.argsort(h[at], kind="stable")
-            keys, first = np.unique(h[at][order], return_index=True)
-            self.windows[length] = keys, np.append(first, len(at)), np.asarray(ids)[words.text[at][order]]
-        h = t.gram_hash(words.hash, gram)
-        text = words.text[: len(h)]
-        ok = t.in_one(words.text, gram)
-        picked = winnow(np.where(ok, h, np.iinfo(np.uint64).max), text, span - gram + 1)
-        self.prints = np.unique(h[picked[ok[picked]]]) if len(picked) else np.empty(0, np.uint64)
-
-    def hits(self, words: t.Words):
-        """(length, window places, index into the sorted windows) of all occurrences in the texts."""
-        n = len(words.hash)
-        for length, (keys, _, _) in self.windows.items():
-            h, ok = t.gram_hash(words.hash, length), t.in_one(words.text, length)
+        seeds: list[list[dict]] = [[] for _ in bodies]
+        for length in lengths:
+            h, ok = _window_hash(words, length), t.in_one(words.text, length)
             if not len(h):
                 continue
-            if length == self.span:
-                g = t.gram_hash(words.hash, self.gram)
-                whole = t.in_one(words.text, self.gram)
-                picked = winnow(np.where(whole, g, np.iinfo(np.uint64).max), words.text[: len(g)], self.span - self.gram + 1)
-                seeds = picked[t.look_up(self.prints, g[picked]) >= 0] if len(picked) else picked
-                if not len(seeds):
-                    continue
-                around = (seeds[:, None] - np.arange(self.span - self.gram + 1)).ravel()
-                at = np.unique(around[(around >= 0) & (around + length <= n)])
-                at = at[ok[at]]
+            if length == span:
+                place, fp = _fingerprints(words, span, gram)
+                hit = _has(prints, fp)
+                back = span - gram + 1
+                at, fp = (place[hit][:, None] - np.arange(back)).ravel(), np.repeat(fp[hit], back)
+                inside = (at >= 0) & (at < len(h))
+                at, fp = at[inside], fp[inside]
             else:
-                at = np.flatnonzero(ok)
-            found = t.look_up(keys, h[at])
-            yield length, at[found >= 0], found[found >= 0]
+                at, fp = np.arange(len(h)), h
+            good = ok[at] & _has(windows, h[at])
+            for i, f in zip(at[good].tolist(), fp[good].astype(np.int64).tolist()):
+                text = int(words.text[i])
+                seeds[text].append({"fp": f, "start": i - int(words.first[text]), "length": length, "words": _string(words, i, length)})
+        return words.count, seeds
+
+    return mark
+
+
+_SEED = pa.list_(pa.struct([("fp", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("words", pa.string())]))
 
 
-def _mark(block, span, gram):
-    """A map over rows that adds the hit word ranges and items of one block to two binary columns."""
+def marked(docs: DataFrame, items: Benchmark, span: int, gram: int) -> DataFrame:
+    """doc_id, n_words, and for texts with windows to look at the text's SHA-256 as ``key`` and these as ``seeds``."""
+    mark = _marker(docs.sparkSession.sparkContext.broadcast(items.bits), items.lengths, span, gram)
 
     def run(batches):
-        items = Items(*block.value, span, gram)
         for batch, bodies in t.slices(batches):
-            words = t.Words(bodies)
-            spans, ids = [[] for _ in bodies], [set() for _ in bodies]
-            for length, at, found in items.hits(words):
-                keys, first, owner = items.windows[length]
-                for text, place, i in zip(words.text[at].tolist(), (at - words.first[words.text[at]]).tolist(), found.tolist()):
-                    spans[text].append((place, place + length))
-                    ids[text].update(owner[first[i] : first[i + 1]].tolist())
-            old = [batch.column(i).to_pylist() for i in (2, 3, 4)]
-            pack = lambda x: np.array(x, np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(words.count, pa.int64()), pa.array([a + pack(b) for a, b in zip(old[1], spans)], pa.binary()), pa.array([a + pack(sorted(b)) for a, b in zip(old[2], ids)], pa.binary())],
-                names=["doc_id", "text", "n_words", "spans", "items"],
-            )
+            count, seeds = mark(bodies)
+            keys = [hashlib.sha256(b).digest() if s else None for b, s in zip(bodies, seeds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(keys, pa.binary()), pa.array([s or None for s in seeds], _SEED)], names=["doc_id", "n_words", "key", "seeds"])
 
-    return run
+    return texts(docs).mapInArrow(run, "doc_id long, n_words long, key binary, seeds array<struct<fp:bigint,start:int,length:int,words:string>>")
+
+
+_COVERED = """aggregate(sort_array(spans), named_struct('n', 0L, 'upto', 0), (a, s) -> named_struct(
+    'n', a.n + greatest(0, s.start + s.length - greatest(a.upto, s.start)), 'upto', greatest(a.upto, s.start + s.length)), a -> a.n)"""
+
+
+def hits(found: DataFrame, items: Benchmark) -> DataFrame:
+    """key, n_words, copies, n_hit and sets (digests of the items found) of each different text with hits."""
+    one = cut(found.where("key is not null").groupBy("key").agg(F.any_value("seeds").alias("seeds"), F.any_value("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies")))
+    met = one.select("key", F.explode("seeds").alias("s")).select("key", "s.*").join(items.prints, "fp", "left_semi")
+    spans = met.select("key", "start", "length", "words").distinct().join(items.windows, "words")
+    by = spans.groupBy("key").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.sort_array(F.collect_set("items")).alias("sets"))
+    return one.select("key", "n_words", "copies").join(by.select("key", F.expr(_COVERED).alias("n_hit"), "sets"), "key")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, sent: int = SENT, most: int = BITS) -> DataFrame:
+    """For each document its words inside occurrences of benchmark windows and the items found."""
+    items = Benchmark(benchmark, span, gram, sent, most)
+    rows = cut(marked(docs, items, span, gram))
+    found = cut(hits(rows, items))
+    # items are listed once for each different set of sets
+    sets = found.select("sets").distinct()
+    listed = sets.select("sets", F.explode("sets").alias("items")).join(items.items, "items").select("sets", F.explode("ids").alias("id")).distinct()
+    listed = listed.groupBy("sets").agg(F.count("id").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.col("id").cast("string"))), ",").alias("names"))
+    found = cut(found.join(listed, "sets", "left").select("key", "copies", "n_hit", "n_items", "names"))
+    some = salted_join(rows.where("key is not null").select("doc_id", "n_words", "key"), found, "key", "copies", ["doc_id"])
+    some = some.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("names", F.lit("")).alias("names"))
+    none = rows.where("key is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("names"))
+    return some.union(none).select("doc_id", "n_words", "n_hit", "n_items", F.sha2("names", 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def _digest(batches):
-    for batch in batches:
-        n_words = batch.column(1).to_pylist()
-        out = [[], [], [], []]
-        for n, spans, items in zip(n_words, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            hit, items = _covered(n, spans), np.unique(np.frombuffer(items, np.int64))
-            names = sorted(map(str, items.tolist()))
-            for x, y in zip(out, (hit, len(items), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0 and 20 * hit >= n)):
-                x.append(y)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
-
-
-def _blocks(benchmark: DataFrame, limit: int):
-    """Items in lists of about ``limit`` words at most, read one after the other from the executors."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("x")).where("i is not null and x is not null")
-    ids, bodies, size = [], [], 0
-    for row in items.toLocalIterator():
-        body = row.x.encode()
-        ids.append(row.i)
-        bodies.append(body)
-        size += len(body) // 2 + 1
-        if size >= limit:
-            yield ids, bodies
-            ids, bodies, size = [], [], 0
-    yield ids, bodies  # also when empty: the map counts the words
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each document its words inside occurrences of benchmark windows and the items found (RESULT)."""
-    spark = docs.sparkSession
-    marked = texts(docs).select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("X''").alias("spans"), F.expr("X''").alias("items"))
-    for block in _blocks(benchmark, block_words):
-        marked = marked.mapInArrow(_mark(spark.sparkContext.broadcast(block), span, gram), "doc_id long, text string, n_words long, spans binary, items binary")
-    return marked.select("doc_id", "n_words", "spans", "items").mapInArrow(_digest, RESULT)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that aren't contaminated, with their own columns.
-
-    The map carries each row's other columns along, so no join has to bring the texts back.
-    """
-    spark, names = docs.sparkSession, docs.columns
-    rows = docs.withColumns({"__body": F.col("text").cast("string"), "__spans": F.expr("X''")})
-
-    def mark(block, last):
-        def run(batches):
-            items = Items(*block.value, span, gram)
-            for batch, bodies in t.slices(batches, "__body"):
-                words = t.Words(bodies)
-                spans: list = [[] for _ in bodies]
-                for length, at, _ in items.hits(words):
-                    own = words.text[at]
-                    for text, place in zip(own.tolist(), (at - words.first[own]).tolist()):
-                        spans[text] += (place, place + length)
-                old = batch.column(batch.num_columns - 1).to_pylist()
-                new = [a + np.array(b, np.int64).tobytes() for a, b in zip(old, spans)]
-                if last:
-                    ok = [not _is_contaminated(n, x) for n, x in zip(words.count.tolist(), new)]
-                    yield pa.RecordBatch.from_arrays(batch.filter(pa.array(ok, pa.bool_())).columns[: len(names)], names=names)
-                else:
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.binary())], names=[*names, "__body", "__spans"])
-
-        return run
-
-    # the last block's map also judges, so that one block takes one worker a task
-    before = None
-    for block in _blocks(benchmark, block_words):
-        if before is not None:
-            rows = rows.mapInArrow(mark(before, False), rows.schema)
-        before = spark.sparkContext.broadcast(block)
-    return rows.mapInArrow(mark(before, True), docs.schema)
-
-
-def _is_contaminated(n_words: int, spans: bytes) -> bool:
-    hit = _covered(n_words, spans)
-    return hit > 0 and 20 * hit >= n_words
-
-
-def _covered(n_words: int, spans: bytes) -> int:
-    places = np.frombuffer(spans, np.int64).reshape(-1, 2)
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, places[:, 0], 1)
-    np.add.at(step, places[:, 1], -1)
-    return int((np.cumsum(step[:-1]) > 0).sum())
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, sent: int = SENT, most: int = BITS) -> DataFrame:
+    """The documents that aren't contaminated, with their own columns, whatever those are called."""
+    items = Benchmark(benchmark, span, gram, sent, most)
+    (key,) = free_names([*docs.columns, "key"], "digest")
+    bad = hits(marked(docs, items, span, gram), items).where("20 * n_hit >= n_words").select(F.col("key").alias(key))
+    rows = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    return rows.join(sized(bad, sent), key, "left_anti").select(*docs.columns)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,13 +213,13 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 #: The same by plain string windows.
 OP10_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 h AS (SELECT doc_id, dw.k, i, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
 hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY doc_id)
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)

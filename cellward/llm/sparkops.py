@@ -60,6 +60,12 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, weight: str, salt: l
     return left.withColumn(part, F.col(part).cast("bigint")).join(right, [key, part], how).drop(part)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """The table, run once, and marked for broadcast if it has no more than ``rows`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def free_names(columns, *wanted: str) -> list[str]:
     """Names for helper columns like the wanted ones that differ, without case, from all columns."""
     taken, out = {c.lower() for c in columns}, []
