@@ -5,14 +5,17 @@ of fewer words has one shingle.  Texts with equal sets are one class, compared o
 rows for the target recall; classes are shuffled on band hashes, and candidates are verified on full sets.
 
 * Buckets of at most SMALL classes give candidate pairs, verified one by one.
-* Larger buckets give only a star: each class and the bucket's first.  What these stars connect is a hot group.
-  It is dealt out in blocks of about BLOCK classes, every pair of blocks is compared in a task of its own, and
-  only counts and connections come back, so no link is lost and no list of pairs is made.
+* The classes of larger buckets are banded again with longer bands (of up to FINE hashes, for the same recall), so
+  that texts which share no more than a template part.  Small ones of the new buckets give pairs, too; large ones a
+  star: each class and the bucket's first.  What these stars connect is a hot group.  It is dealt out in blocks of
+  about BLOCK classes, every pair of blocks is compared in a task of its own, and only counts and connections come
+  back, so no link is lost and no list of pairs is made.
 
 Links at SIMILARITY or more are joined to connected groups; a group is named by its smallest doc_id.
 
 Texts without words have no links and are each a group of their own.  Null texts are such texts.  Documents
-with a null doc_id count as larger than all others.  Repeated rows are copies of each other.
+with a null doc_id count as larger than all others.  Repeated rows are copies of each other, as are rows of equal
+doc_id and set.  Other columns are carried along and never looked at.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import NULL_ID, cut, table, texts
+from cellward.llm.sparkops import NULL_ID, cut, free_names, salted_join, table, texts
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
-#: Most hash functions that banding may use.
-HASHES = 300
+#: Most hash functions that banding may use, and banding again.
+HASHES, FINE = 300, 1600
 SMALL, BLOCK = 32, 256
 
 
@@ -96,15 +99,31 @@ def _sign(bands: int, rows: int, n: int):
             found = band_hashes(h, count, bands, rows).view(np.int64) if len(h) else np.empty((0, bands), np.int64)
             offsets = np.append(0, np.cumsum(np.where(count > 0, bands, 0))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_classes(h, count), pa.int64()), pa.array(count), lists], names=["doc_id", "cid", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_classes(h, count), pa.int64()), pa.array(count), lists], names=["doc_id", "tid", "cid", "n", "bands"])
+
+    return run
+
+
+def _sign_sets(bands: int, rows: int):
+    """Band hashes of the classes' sets, some hundred classes at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                piece = batch.slice(a, 256)
+                sets = [np.frombuffer(x, np.uint64) for x in piece.column(1).to_pylist()]
+                count = np.fromiter(map(len, sets), np.int64, len(sets))
+                found = band_hashes(np.concatenate(sets), count, bands, rows).view(np.int64)
+                offsets = (np.arange(len(sets) + 1) * bands).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(count), pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))], names=["cid", "n", "bands"])
 
     return run
 
 
 def sign(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class of the set, size of the set, band hashes (none for a text without words)."""
+    """doc_id, a hash of the text, class of the set, size of the set, band hashes (none for a text without words)."""
     bands, rows = plan(similarity, recall)
-    return texts(docs).mapInArrow(_sign(bands, rows, n), "doc_id long, cid long, n long, bands array<long>")
+    return texts(docs).withColumn("tid", F.xxhash64("text")).mapInArrow(_sign(bands, rows, n), "doc_id long, tid long, cid long, n long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,9 +156,10 @@ def _sets(n: int):
 
 def full_sets(docs: DataFrame, members: DataFrame, wanted: DataFrame, n: int = SHINGLE) -> DataFrame:
     """(cid, shingles) of the wanted classes, each from one document of the class."""
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    one = members.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(key).alias("id"))
-    rows = one.join(texts(docs).select(key.alias("id"), "text"), "id").select("cid", "text")
+    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("id")
+    one = members.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(key, "tid")).alias("one")).select("cid", "one.*")
+    # the text's hash keeps rows of one doc_id apart; where it can't, the set's class does
+    rows = one.join(texts(docs).select(key, F.xxhash64("text").alias("tid"), "text"), ["id", "tid"]).select("cid", "text")
     found = rows.mapInArrow(_sets(n), "cid long, shingles binary").where("shingles is not null")
     return found.groupBy("cid").agg(F.any_value("shingles").alias("shingles"))
 
@@ -212,19 +232,31 @@ def _blocks(similarity: float):
     return run
 
 
-def links(docs: DataFrame, members: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Of (cid, n, bands) all (h, cid, n) that share h with others, with the size of that bucket and its first class."""
+    rows = rows.select("cid", "n", F.explode("bands").alias("h"))
+    return cut(rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("first")).where("size > 1"), "h"))
+
+
+def _pairs(few: DataFrame, similarity: float) -> DataFrame:
+    """Pairs within small buckets of which the sets' sizes allow a link."""
+    one, other = (few.select("h", F.col("cid").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    return one.join(other, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))).select("a", "b")
+
+
+def links(docs: DataFrame, members: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(cid, links) of all classes that have links, and edges (a, b) that connect the same classes as the links do."""
-    rows = members.where("n > 0").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).select("cid", "n", F.explode("bands").alias("h"))
-    buckets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("first")).where("size > 1")
-    rows = cut(rows.join(buckets, "h"))
-    star = rows.where(F.col("size") > small).select(F.col("cid").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
+    classes = members.where("n > 0").groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    rows = _buckets(classes)
+    large = cut(rows.where(F.col("size") > small).select("cid").distinct())
+    large_sets = cut(full_sets(docs, members, large, n))
+    again = _buckets(large_sets.mapInArrow(_sign_sets(*plan(similarity, recall, FINE)), "cid long, n long, bands array<long>"))
+    star = again.where(F.col("size") > small).select(F.col("cid").alias("a"), F.col("first").alias("b")).where("a <> b").distinct()
     hot = components(star).select(F.col("v").alias("cid"), F.col("label").alias("hot"))
-    few = rows.where(F.col("size") <= small).select("h", "cid", "n")
+    is_small = F.col("size") <= small
     pairs = (
-        few.select("h", F.col("cid").alias("a"), F.col("n").alias("na"))
-        .join(few.select("h", F.col("cid").alias("b"), F.col("n").alias("nb")), "h")
-        .where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")))
-        .select("a", "b")
+        _pairs(rows.where(is_small), similarity)
+        .union(_pairs(again.where(is_small), similarity))
         .distinct()
         .join(hot.select(F.col("cid").alias("a"), F.col("hot").alias("ha")), "a", "left")
         .join(hot.select(F.col("cid").alias("b"), F.col("hot").alias("hb")), "b", "left")
@@ -232,8 +264,8 @@ def links(docs: DataFrame, members: DataFrame, n: int = SHINGLE, similarity: flo
         .select("a", "b")
     )
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).union(hot.select("cid")).distinct()
-    sets = cut(full_sets(docs, members, wanted, n))
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct().join(large, "cid", "left_anti")
+    sets = cut(full_sets(docs, members, wanted, n)).union(large_sets)
     found = (
         pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
@@ -256,38 +288,46 @@ def groups(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY, re
     with), n_copies (documents with its very set of shingles, itself included), first_id (as class_id, with
     NULL_ID for null), first_cid (of the group's texts that have first_id, the one with the smallest cid)."""
     members = cut(sign(docs, n, similarity, recall))
-    counts, edges = links(docs, members, n, similarity, small, block)
+    counts, edges = links(docs, members, n, similarity, recall, small, block)
     label = components(edges)
     key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
     classes = members.where("n > 0").groupBy("cid").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("n_copies"))
     classes = classes.join(counts, "cid", "left").join(label.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     first = classes.groupBy("label").agg(F.min(F.struct("id", "cid")).alias("first")).select("label", F.col("first.id").alias("first_id"), F.col("first.cid").alias("first_cid"))
     classes = cut(classes.join(first, "label").select("cid", "first_id", "first_cid", "n_copies", F.coalesce("links", F.lit(0)).alias("n_links")))
-    worded = members.where("n > 0").select("doc_id", "cid").join(classes, "cid")
+    worded = salted_join(members.where("n > 0").select("doc_id", "cid", "tid"), classes, "cid", "n_copies", ["doc_id", "tid"])
     empty = members.where("n = 0").select("cid", "doc_id", key.alias("first_id"), F.col("cid").alias("first_cid"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     out = worded.select("cid", "doc_id", "first_id", "first_cid", "n_copies", "n_links").union(empty)
     return out.withColumn("class_id", F.nullif(F.col("first_id"), F.lit(NULL_ID)))
 
 
-def _name(n: int, names: list[str]):
+def _name(n: int, names: list[str], body: str, cid: str):
     def run(batches):
-        for batch, bodies in t.slices(batches, "__body"):
+        for batch, bodies in t.slices(batches, body):
             h, count = shingle_sets(bodies, n)
-            cid = [c if k else None for c, k in zip(_classes(h, count), count.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(cid, pa.int64())], names=[*names, "__cid"])
+            found = [c if k else None for c, k in zip(_classes(h, count), count.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.int64())], names=[*names, cid])
 
     return run
 
 
 def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id (of several texts with that doc_id one); all documents without words."""
+    """One document of each group, the one with the smallest doc_id, with its own columns, whatever those are called.
+
+    All documents without words stay.  Of several texts with that doc_id the one with the smallest class stays, and of
+    several rows of that doc_id and class the one with the smallest text, then with the smallest other columns as JSON.
+    """
+    names = docs.columns
+    body, cid, own_id = free_names([*names, "struct"], "body", "cid", "id")
     kept = groups(docs, n, similarity).where(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("first_id")).where("cid = first_cid")
-    kept = cut(kept.select(F.col("first_id").alias("__id"), F.col("cid").alias("__cid")).distinct())
-    rows = docs.withColumn("__body", F.col("text").cast("string"))
-    named = rows.mapInArrow(_name(n, docs.columns), T.StructType([*docs.schema.fields, T.StructField("__cid", T.LongType())]))
-    named = named.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    worded = named.where("__cid is not null").join(kept, ["__id", "__cid"], "left_semi").dropDuplicates(["__id", "__cid"])
-    return worded.select(*docs.columns).union(named.where("__cid is null").select(*docs.columns))
+    kept = cut(kept.select(F.col("first_id").alias(own_id), F.col("cid").alias(cid)).distinct())
+    rows = docs.select("*", F.col("text").cast("string").alias(body))
+    named = rows.mapInArrow(_name(n, names, body, cid), T.StructType([*docs.schema.fields, T.StructField(cid, T.LongType())]))
+    named = named.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    worded = named.where(F.col(cid).isNotNull()).join(kept, [own_id, cid], "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in names))
+    first = worded.groupBy(own_id, cid).agg(F.min_by(whole, F.struct(F.col("text").cast("string").alias("text"), F.to_json(whole).alias("rest"))).alias("struct"))
+    return first.select("struct.*").union(named.where(F.col(cid).isNull()).select(*names))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,3 +82,24 @@ def test_empty(spark):
 def test_plan():
     bands, rows = near.plan()
     assert 1 - (1 - 0.8**rows) ** bands >= near.RECALL and bands * rows <= near.HASHES
+
+
+def test_ties_clashing_columns_and_a_very_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    long = " ".join(f"x{i % 5000}" for i in range(200_000))
+    rows = [(1, words, 2, "b", None), (1, words, 1, "b", "z"), (1, words.upper(), 0, "b", "z"), (2, words + " more", 5, "b", "z"), (3, long, 1, None, None), (4, None, 1, None, None), (4, None, 1, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cid int, body string, ID string")
+    want = sorted([(1, words.upper(), 0, "b", "z"), rows[4], rows[5], rows[6]], key=repr)
+    assert sorted(map(tuple, near.keep_first(docs).collect()), key=repr) == want
+    docs = docs.repartition(5)
+    assert sorted(map(tuple, near.keep_first(docs).collect()), key=repr) == want
+
+
+def test_texts_of_one_template_and_of_one_id(spark):
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(60)]
+    own = lambda: [f"u{rng.randrange(10**6)}" for _ in range(40)]
+    rows = [(None if i % 2 else 5, " ".join(template + own())) for i in range(120)]
+    rows += [(i, " ".join(template + own()[:4])) for i in range(1000, 1040)]
+    got = near.groups(spark.createDataFrame(rows, "doc_id long, text string"), small=2, block=7).select("doc_id", "class_id", "n_links", "n_copies").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(brute(rows), key=repr)
