@@ -59,15 +59,20 @@ def port_multiplier(inside: Column, buffered: Column) -> Column:
     return F.when(inside, 1.15).when(buffered, 1.05).otherwise(1.0)
 
 
-def integrated_risk(hazard: Column, economic: Column, w_hazard: float = 0.1, w_economic: float = 0.9) -> Column:
-    """Weighted sum where hazard is positive and economic weight above its threshold, else 0."""
-    return F.when((hazard > 0) & (economic > 0.05), w_hazard * hazard + w_economic * economic).otherwise(0.0)
+def at_risk(hazard: Column, weight: Column, land: Column, least: float = 0.05) -> Column:
+    """Hazard positive, the weight above its threshold, on land."""
+    return F.coalesce((hazard > 0) & (weight > least) & land, F.lit(False))
 
 
-def population_risk(hazard: Column, population: Column, economic: Column) -> Column:
-    """As integrated_risk with population, or the economic weight where population is missing."""
+def integrated_risk(hazard: Column, economic: Column, land: Column, w_hazard: float = 0.1, w_economic: float = 0.9) -> Column:
+    """Weighted sum where ``at_risk``, else 0."""
+    return F.when(at_risk(hazard, economic, land), w_hazard * hazard + w_economic * economic).otherwise(0.0)
+
+
+def population_risk(hazard: Column, population: Column, economic: Column, land: Column) -> Column:
+    """As integrated_risk with population, or the economic weight where population is missing, and a lower threshold."""
     people = F.coalesce(population, economic)
-    return F.when((hazard > 0) & (people > 0.01), 0.1 * hazard + 0.9 * people).otherwise(0.0)
+    return F.when(at_risk(hazard, people, land, 0.01), 0.1 * hazard + 0.9 * people).otherwise(0.0)
 
 
 def class_weight(cls: Column, weights: dict[int, float]) -> Column:

@@ -6,61 +6,127 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellward.operators.spatial import tms_flip
+from cellward.sources.storage import cut
 
 #: Keyword in a layer's name to indicator, first match.
-INDICATORS = (("gdp", "GDP"), ("freight", "Freight"), ("population", "Population"), ("hrst", "HRST"), ("combined", "Combined"))
+INDICATORS = (("freight", "Freight"), ("gdp", "GDP"), ("hrst", "HRST"), ("population", "Population"), ("combined", "Combined"))
+#: The order in which groups are shown; what has no indicator comes last.
+SHOWN, OTHER = ("Combined", "Freight", "Population", "HRST", "GDP"), "Other Layers"
+
+#: Colours, bounds (west, south, east, north) and value range by type.  Colours of ports are those of "unknown".
+COLOURS = {
+    "risk": ("#ffffff", "#ffff00", "#ffa500", "#ff0000"),
+    "hazard": ("#add8e6", "#00bfff", "#0000ff", "#00008b"),
+    "exposition": ("#ffffff", "#90ee90", "#228b22", "#006400"),
+    "relevance": ("#ffffff", "#ffd700", "#ff8c00", "#ff4500"),
+    "clusters": ("#ffffff", "#4fc3f7", "#2196f3", "#0d47a1"),
+    "sea-level-rise": ("#ffffff", "#81c784", "#4caf50", "#1b5e20"),
+    "nuts": ("#ffffff", "#4fc3f7", "#2196f3", "#0d47a1"),
+    "unknown": ("#ffffff", "#ff6b6b", "#e53935", "#b71c1c"),
+}
+REGION, WORLD = (3.5, 51.2, 7.2, 53.5), (-180.0, -90.0, 180.0, 90.0)
+RANGES = {"risk": (0, 1), "hazard": (0, 1), "exposition": (0, 100), "relevance": (0, 100), "clusters": (0, 500), "sea-level-rise": (0, 3), "nuts": (0, 500), "port": (0, 500), "unknown": (0, 100)}
 
 
 def stem(name: Column) -> Column:
     """Without the extension and a time stamp in front."""
-    return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"^\d+_", "")
+    return F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"^\d+_(?=.)", "")
 
 
 def layer_id(name: Column) -> Column:
-    """cluster layers get a short lower-case id; names that the pattern doesn't fit stay."""
-    base, pattern = stem(name), r"^clusters_SLR-(\d+)-(\w+)_(\w+)$"
-    part = lambda i: F.regexp_extract(base, pattern, i)
-    return F.when(base.rlike(pattern), F.lower(F.concat(F.lit("clusters-slr-"), part(2), F.lit("-"), part(3)))).otherwise(base)
+    """cluster layers get a short lower-case id; names that the pattern doesn't fit keep their stem."""
+    pattern = r"clusters_SLR-(\d+)-(\w+)_(\w+)"
+    part = lambda i: F.lower(F.regexp_extract(name, pattern, i))
+    return F.when(name.rlike(pattern), F.concat_ws("-", F.lit("clusters-slr"), part(2), part(3))).otherwise(stem(name))
 
 
 def scenario_of(name: Column) -> Column:
-    """the scenario of a risk file's name."""
+    """the scenario of a risk file's name; what follows it after _ is ``rest_of``."""
     return F.regexp_extract(name, r"(SLR-\d+-[^_.]+)", 1)
 
 
+def rest_of(name: Column) -> Column:
+    """what stands between the scenario and the extension."""
+    return F.regexp_extract(name, r"SLR-\d+-[^_.]+_([^.]+)", 1)
+
+
 def display_name(name: Column) -> Column:
-    """blanks for _ and -, each word with a capital, known abbreviations whole."""
-    words = F.split(F.regexp_replace(stem(name), "[_-]", " "), " ")
-    out = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
-    for short in ("SLR", "GDP", "HRST"):
-        out = F.regexp_replace(out, f"(?i)\\b{short}\\b", short)
-    return out
+    """of a layer id; blanks for _ and -, each word with a capital, three abbreviations whole."""
+    words = F.regexp_extract_all(F.regexp_replace(name, "[_-]", " "), F.lit(r"\w+|\W+"), F.lit(0))
+    out = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), "")
+    for word in ("Slr", "Gdp", "Hrst"):
+        out = F.regexp_replace(out, rf"\b{word}\b", word.upper())
+    return F.trim(out)
+
+
+#: Type, and how the lower-case file name tells it: prefix, part.  The first that fits counts.
+TYPES = (
+    ("clusters", None, "cluster"),
+    ("risk", "risk_", "_risk_"),
+    ("hazard", "hazard_", "_hazard_"),
+    ("exposition", "exposition_", "_exposition_"),
+    ("relevance", "relevance_", "_relevance_"),
+    ("sea-level-rise", None, "slr"),
+    ("nuts", "nuts", "_nuts"),
+    ("port", "port", "_port_"),
+)
 
 
 def layer_type(name: Column) -> Column:
-    """F8: by the start of the name, in this order."""
-    low = F.lower(stem(name))
-    out = F.lit("other")
-    for start, kind in reversed((("clusters", "clusters"), ("risk", "risk"), ("flood", "hazard"), ("hazard", "hazard"), ("exposition", "exposition"), ("relevance", "relevance"))):
-        out = F.when(low.startswith(start), kind).otherwise(out)
+    """F8."""
+    low, out = F.lower(name), F.lit("unknown")
+    for kind, prefix, part in reversed(TYPES):
+        fits = low.contains(part) | low.startswith(prefix) if prefix else low.contains(part)
+        out = F.when(fits, kind).otherwise(out)
     return out
 
 
-def data_format(name: Column) -> Column:
-    """raster or vector, by extension."""
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    return F.when(ext.isin("tif", "cog", "tiff"), "raster").when(ext.isin("mbtiles", "geojson", "gpkg", "shp"), "vector").otherwise("unknown")
+def file_format(name: Column) -> Column:
+    """by extension; null for files that no layer comes from."""
+    return F.when(name.endswith(".cog") | name.endswith(".tif"), "cog").when(name.endswith(".mbtiles"), "mbtiles")
 
 
-def z_index(name: Column) -> Column:
-    """clusters over risk over hazard over the rest."""
+def data_type(name: Column) -> Column:
+    """raster or vector; tile files by their name, then by their type."""
     kind = layer_type(name)
-    return F.when(kind == "clusters", 100).when(kind == "risk", 80).when(kind == "hazard", 60).when(kind == "exposition", 40).otherwise(50)
+    vector = name.startswith("clusters_") | name.contains("clusters_SLR")
+    raster = name.startswith("risk_") | name.startswith("hazard_") | name.startswith("exposition_") | name.startswith("relevance_")
+    tiles = F.when(vector, "vector").when(raster, "raster").when(kind.isin("clusters", "nuts", "port"), "vector").otherwise("raster")
+    return F.when(file_format(name) == "cog", "raster").when(file_format(name) == "mbtiles", tiles)
+
+
+#: Parts of a layer's name and its place in the stack, first match; then by data type.
+STACK = ((("nuts", "administrative", "boundary"), 10), (("exposition", "exposure"), 20), (("relevance",), 30), (("hazard",), 40), (("risk",), 50), (("cluster",), 60))
+STACK_VECTOR, STACK_RASTER = 45, 25
+
+
+def z_index(name: Column, kind: Column) -> Column:
+    """by the shown name, else by data type."""
+    low, out = F.lower(name), F.when(kind == "vector", STACK_VECTOR).otherwise(STACK_RASTER)
+    for words, z in reversed(STACK):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | low.contains(w)
+        out = F.when(hit, z).otherwise(out)
+    return out
+
+
+def defaults(kind: Column) -> tuple[Column, Column, Column]:
+    """colours, bounds and value range of a type; those of "unknown" for others."""
+
+    def by(table: dict, rest):
+        out = F.array(*map(F.lit, rest))
+        for k, v in table.items():
+            out = F.when(kind == k, F.array(*map(F.lit, v))).otherwise(out)
+        return out
+
+    known = [k for k in RANGES if k != "unknown"]
+    return by(COLOURS, COLOURS["unknown"]), by(dict.fromkeys(known, REGION), WORLD), by(RANGES, RANGES["unknown"])
 
 
 def indicator(name: Column) -> Column:
     """first keyword found."""
-    low, out = F.lower(name), F.lit("Other Layers")
+    low, out = F.lower(name), F.lit(OTHER)
     for word, label in reversed(INDICATORS):
         out = F.when(low.contains(word), label).otherwise(out)
     return out
@@ -73,26 +139,41 @@ def rise(name: Column) -> Column:
 
 
 def catalogue(files: DataFrame, styles: DataFrame) -> DataFrame:
-    """Q-C8, J16, J18, O5: one row for each layer id (its first file), with derived attributes and its style."""
-    first = Window.partitionBy("layer_id").orderBy("key")
-    rows = files.withColumn("layer_id", layer_id(F.col("key"))).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    rows = rows.select("key", "layer_id", display_name(F.col("key")).alias("name"), layer_type(F.col("key")).alias("layer_type"), data_format(F.col("key")).alias("data_format"), z_index(F.col("key")).alias("default_z"))
+    """Q-C8, J16, J18, O5: one row for each layer id (its first file), with derived attributes and its style, ready to be ordered by z and name.
+
+    Files of other formats are left out.
+    """
+    key = F.col("key")
+    rows = files.where(file_format(key).isNotNull()).withColumn("layer_id", layer_id(key)).groupBy("layer_id").agg(F.min("key").alias("key"))
+    colours, bounds, values = defaults(F.col("layer_type"))
+    rows = rows.withColumns({"layer_type": layer_type(key), "data_type": data_type(key), "format": file_format(key), "name": display_name(F.col("layer_id"))})
+    rows = rows.withColumns({"colours": colours, "bounds": bounds, "value_range": values, "default_z": z_index(F.col("name"), F.col("data_type"))})
     return rows.join(styles, "layer_id", "left").withColumn("z", F.coalesce("z", "default_z")).drop("default_z")
 
 
-def renumbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Z order 10, 20, 30 and so on."""
-    return df.withColumn("z_index", F.row_number().over(Window.orderBy(*order)) * 10)
+def renumbered(df: DataFrame, order: list) -> DataFrame:
+    """Z order 10, 20, 30 and so on.
+
+    Rows are dealt to ranges of the order; a range's first number is the rows before it, one sum for each range.
+    """
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    numbered = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)}))
+    sizes = numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = numbered.join(F.broadcast(before), "__range").withColumn("z_index", ((F.col("__before") + F.col("__in") + 1) * 10).cast("int"))
+    return out.drop("__at", "__range", "__in", "__before")
 
 
 def grouped(df: DataFrame, name: str) -> DataFrame:
-    """Layers by indicator, then by sea-level rise, in a fixed order of both."""
-    rank = {label: i for i, (_, label) in enumerate(INDICATORS)}
-    order = F.create_map(*[F.lit(x) for k, v in rank.items() for x in (k, v)])
+    """Layers by indicator, then by sea-level rise, with the ranks in which both are shown."""
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(SHOWN) for x in (k, i)])
     rows = df.select(name, indicator(F.col(name)).alias("indicator"), rise(F.col(name)).alias("rise"))
+    rows = rows.withColumn("rise", F.when(F.col("indicator") == OTHER, F.lit("")).otherwise(F.col("rise")))
     out = rows.groupBy("indicator", "rise").agg(F.sort_array(F.collect_list(name)).alias("layers"))
     step = F.coalesce(F.regexp_extract("rise", r"(\d+)", 1).try_cast("int"), F.lit(-1))
-    return out.withColumn("indicator_rank", F.coalesce(F.try_element_at(order, F.col("indicator")), F.lit(len(rank)))).withColumn("rise_rank", step)
+    return out.withColumn("indicator_rank", F.coalesce(F.try_element_at(order, F.col("indicator")), F.lit(len(SHOWN)))).withColumn("rise_rank", step)
 
 
 def covering_tile(asked: DataFrame, tiles: DataFrame, least: int = 6) -> DataFrame:
@@ -121,10 +202,19 @@ def tile_statistics(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("z").agg(F.count(F.lit(1)).alias("n_tiles"), F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"))
 
 
-def content_type(head: Column) -> Column:
-    """by magic bytes."""
-    text = F.hex(head)
-    return F.when(text.startswith("89504E47"), "image/png").when(text.startswith("FFD8FF"), "image/jpeg").when(text.startswith("1F8B"), "application/gzip").when(text.startswith("52494646"), "image/webp").otherwise("application/octet-stream")
+#: Content types by a tile database's format.
+FORMATS = {"pbf": "application/x-protobuf", "mvt": "application/x-protobuf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp"}
+
+
+def content_type(data: Column, form: Column | None = None) -> Column:
+    """by the metadata's format, else by the first bytes of data of 8 bytes or more; vector tiles otherwise."""
+    head, long = F.hex(F.substr(data, F.lit(1), F.lit(12))), F.octet_length(data) >= 8
+    guess = F.when(long & head.startswith("89504E47"), "image/png").when(long & head.startswith("FFD8"), "image/jpeg")
+    guess = guess.when(long & head.startswith("52494646") & (F.substr(head, F.lit(17), F.lit(8)) == "57454250"), "image/webp").otherwise("application/x-protobuf")
+    if form is None:
+        return guess
+    known = F.create_map(*[F.lit(x) for pair in FORMATS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, F.lower(form)), guess)
 
 
 def parsed_bounds(text: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def nested_blocks(blocks: DataFrame, links: DataFrame, references: DataFrame) -> DataFrame:
-    """Blocks with a list of their references in id order, empty where there are none."""
-    refs = links.join(references, "reference_id").groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("reference_id", "title"))).alias("references"))
+    """Blocks with a list of their references in the order of the links (position), empty where there are none."""
+    found = F.sort_array(F.collect_list(F.struct("position", "reference_id", "title")))
+    refs = links.join(references, "reference_id").groupBy("block_id").agg(F.transform(found, lambda x: F.struct(x["reference_id"].alias("reference_id"), x["title"].alias("title"))).alias("references"))
     empty = F.array().cast("array<struct<reference_id:bigint,title:string>>")
     return blocks.join(refs, "block_id", "left").withColumn("references", F.coalesce("references", empty))
 
@@ -37,17 +38,23 @@ def citation_numbers(blocks: DataFrame, document: str, order: str, content: str)
     return first.withColumn("number", F.row_number().over(Window.partitionBy(document).orderBy("at"))).drop("at")
 
 
-def cited_first(references: DataFrame, numbers: DataFrame, ref: str, position: str) -> DataFrame:
-    """Cited references by number, then the others in their own order."""
-    full = references.join(numbers.select(F.col("ref").alias(ref), "number"), ref, "left")
-    return full.withColumn("rank", F.row_number().over(Window.orderBy(F.col("number").asc_nulls_last(), position)))
+def cited_first(references: DataFrame, numbers: DataFrame, document: str, ref: str, position: str) -> DataFrame:
+    """Each document's cited references by number, then its others in their own order."""
+    full = references.join(numbers.select(F.col("ref").alias(ref), "number", document), [document, ref], "left")
+    return full.withColumn("rank", F.row_number().over(Window.partitionBy(document).orderBy(F.col("number").asc_nulls_last(), position)))
 
 
-def numbered_text(content: Column, refs: list[str]) -> Column:
-    """F16: known citations as [n], unknown ones as they are."""
-    for n, ref in enumerate(refs, start=1):
-        content = F.replace(content, F.lit(f"\\cite{{{ref}}}"), F.lit(f"[{n}]"))
-    return content
+def numbered_text(content: Column, refs: Column) -> Column:
+    r"""F16: known citations (an array of ids in the order of their numbers) as [n], unknown ones as they are."""
+    parts = F.split(content, r"(?=\\cite\{[^}]+\})", -1)
+
+    def one(part):
+        ref = F.regexp_extract(part, r"^\\cite\{([^}]+)\}", 1)
+        at = F.array_position(refs, ref)
+        rest = F.regexp_replace(part, r"^\\cite\{[^}]+\}", "")
+        return F.when((ref != "") & (at > 0), F.concat(F.lit("["), at.cast("string"), F.lit("]"), rest)).otherwise(part)
+
+    return F.array_join(F.transform(parts, one), "")
 
 
 def base_id_first(author: Column, year: Column) -> Column:
@@ -94,21 +101,139 @@ def bulk_insert(stories: DataFrame, blocks: str) -> DataFrame:
     return stories.select("*", F.posexplode(blocks).alias("__p", "block")).withColumn("order_index", F.col("__p") + 1).drop("__p", blocks)
 
 
-LANGUAGES, BLOCK_TYPES = ("en", "de"), ("markdown", "callout", "quote", "statistics", "timeline", "visualization", "interactive-callout", "interactive-map")
-
-
-def problems(title: Column, content: Column, kind: Column, language: Column) -> Column:
-    """array of {field, message}, empty when all is well."""
-    rules = (
-        ("title", "required", F.coalesce(F.trim(title), F.lit("")) == ""),
-        ("title", "too long", F.length(title) > 200),
-        ("content", "required", F.coalesce(F.trim(content), F.lit("")) == ""),
-        ("content", "too long", F.length(content) > 5000),
-        ("block_type", "unknown", ~F.coalesce(kind.isin(*BLOCK_TYPES), F.lit(False))),
-        ("language", "unknown", ~F.coalesce(language.isin(*LANGUAGES), F.lit(False))),
-    )
-    found = F.array(*(F.when(bad, F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, m, bad in rules))
-    return F.filter(found, lambda x: x.isNotNull())
+#: What the fields of a block may hold.
+BLOCK_TYPES = (
+    "markdown", "callout", "visualization", "animated-quote", "animated-statistics", "climate-timeline", "climate-dashboard", "temperature-spiral",
+    "interactive-callout", "impact-comparison", "kpi-showcase", "climate-timeline-minimal", "climate-infographic", "interactive-map",
+)
+CALLOUTS = ("success", "warning", "info", "error")
+VISUALS = ("map", "chart", "trend", "gauge")
+CATEGORIES = ("hazard", "exposition", "relevance", "risk", "risk-clusters")
+SCENARIOS = ("current", "conservative", "moderate", "severe", "none", "all")
+INDICATORS = ("freight", "hrst", "gdp", "population", "combined", "none")
+YEARS, TURNS, PERCENT = (1850, 2100), (1, 20), (0, 100)
+TITLE, CONTENT, STORY = 200, 5000, 3
+
+#: The fields of a block's payload that rules look at; others stay in the text.
+PAYLOAD = """variant string, text string, author string, type string, imageCategory string, imageScenario string, imageIndicators array<string>,
+    startYear double, endYear double, rotations double, stats array<struct<label:string,value:string,color:string>>,
+    events array<struct<year:double,title:string,color:string>>, metrics array<struct<title:string,value:string,progress:double>>"""
+
+
+def is_colour(text: Column) -> Column:
+    """# and three or six hexadecimal digits."""
+    return text.rlike("^#([A-Fa-f0-9]{6}|[A-Fa-f0-9]{3})$")
+
+
+def within(v: Column, bounds: tuple[int, int]) -> Column:
+    """F20."""
+    return v.between(*bounds)
+
+
+def is_json(text: Column) -> Column:
+    """whether a text can be parsed; null is nothing to parse."""
+    return text.isNull() | F.try_parse_json(text).isNotNull()
+
+
+def _blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _zero(c: Column) -> Column:
+    """Absent, as a form sees it: null or 0."""
+    return F.coalesce(c, F.lit(0.0)) == 0
+
+
+def problems(block_type: Column, language: Column, order_index: Column, title: Column, content: Column, data: Column, story: Column | None = None) -> Column:
+    """array of {field, rule} of a block, empty when all is well; data is the payload's JSON text.
+
+    As in a form, order_index 0 counts as not filled in.
+    """
+    d = F.from_json(data, PAYLOAD)
+    entry = lambda field, rule, bad: F.when(F.coalesce(bad, F.lit(False)), F.array(F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule"))))
+    of = lambda kind, *found: [F.when(block_type == kind, F.coalesce(x, F.expr(_NONE))) for x in found]
+    one_of = lambda c, allowed: ~F.coalesce(c.isin(*allowed), F.lit(False))
+
+    def each(field: str, *rules):
+        """A list that may not be empty, and rules for each of its entries: (field, rule, condition of the entry)."""
+
+        def one(x, i):
+            found = [F.when(F.coalesce(bad(x), F.lit(False)), F.struct(F.concat_ws(".", F.lit(f"data.{field}"), i.cast("string"), F.lit(name)).alias("field"), F.lit(rule).alias("rule"))) for name, rule, bad in rules]
+            return F.filter(F.array(*found), lambda y: y.isNotNull())
+
+        listed = d[field]
+        return F.when(F.coalesce(F.size(listed), F.lit(0)) <= 0, entry(f"data.{field}", "required", F.lit(True))).otherwise(F.flatten(F.transform(listed, one)))
+
+    need = lambda name: (name, "required", lambda x: _blank(x[name]))
+    hue = ("color", "not a colour", lambda x: ~_blank(x["color"]) & ~is_colour(x["color"]))
+    year = ("year", "out of range", lambda x: _zero(x["year"]) | ~within(x["year"], YEARS))
+    found = [
+        entry("block_type", "required", _blank(block_type)),
+        entry("language", "required", _blank(language)),
+        entry("order_index", "required", _zero(order_index)),
+        entry("story_id", "too short", (story != "") & (F.length(F.trim(story)) < STORY)) if story is not None else F.expr(_NONE),
+        entry("block_type", "unknown", ~_blank(block_type) & one_of(block_type, BLOCK_TYPES)),
+        entry("order_index", "negative", order_index < 0),
+        entry("data", "not JSON", ~is_json(data)),
+        entry("title", "too long", F.length(title) > TITLE),
+        entry("content", "too long", F.length(content) > CONTENT),
+        *of("callout", entry("data.variant", "unknown", one_of(d["variant"], CALLOUTS))),
+        *of("interactive-callout", entry("data.variant", "unknown", one_of(d["variant"], CALLOUTS))),
+        *of("animated-quote", entry("data.text", "required", _blank(d["text"])), entry("data.author", "required", _blank(d["author"]))),
+        *of("animated-statistics", each("stats", need("label"), need("value"), hue)),
+        *of("climate-timeline", each("events", year, need("title"), hue)),
+        *of("climate-timeline-minimal", each("events", year, need("title"))),
+        *of("climate-dashboard", each("metrics", need("title"), need("value"), ("progress", "out of range", lambda x: ~within(x["progress"], PERCENT)))),
+        *of(
+            "temperature-spiral",
+            entry("data.startYear", "out of range", ~_zero(d["startYear"]) & ~within(d["startYear"], YEARS)),
+            entry("data.endYear", "out of range", ~_zero(d["endYear"]) & ~within(d["endYear"], YEARS)),
+            entry("data.endYear", "not after start", ~_zero(d["startYear"]) & ~_zero(d["endYear"]) & (d["startYear"] >= d["endYear"])),
+            entry("data.rotations", "out of range", ~_zero(d["rotations"]) & ~within(d["rotations"], TURNS)),
+        ),
+        *of(
+            "visualization",
+            entry("data.type", "unknown", one_of(d["type"], VISUALS)),
+            entry("data.imageCategory", "unknown", ~_blank(d["imageCategory"]) & one_of(d["imageCategory"], CATEGORIES)),
+            entry("data.imageScenario", "unknown", ~_blank(d["imageScenario"]) & one_of(d["imageScenario"], SCENARIOS)),
+            entry("data.imageIndicators", "unknown", F.exists(d["imageIndicators"], lambda x: one_of(x, INDICATORS))),
+        ),
+        *of("markdown", entry("content", "required", _blank(content))),
+    ]
+    return F.flatten(F.filter(F.array(*(F.coalesce(x, F.expr(_NONE)) for x in found)), lambda x: x.isNotNull()))
+
+
+_NONE = "cast(array() as array<struct<field:string,rule:string>>)"
+
+#: The payload that a new block of each type starts with; {} for others.
+DEFAULTS = {
+    "callout": '{"variant":"info"}',
+    "interactive-callout": '{"variant":"info"}',
+    "animated-quote": '{"text":"","author":"","role":""}',
+    "animated-statistics": '{"stats":[{"icon":"","value":"","label":"","color":"#2d5a3d","trend":"up"}]}',
+    "climate-timeline": '{"events":[{"year":2024,"title":"","description":"","type":"temperature","icon":"","color":"#2d5a3d"}]}',
+    "climate-dashboard": '{"metrics":[{"title":"","value":"","change":"","trend":"up","status":"success","progress":50,"target":"","description":""}]}',
+    "temperature-spiral": '{"startYear":1880,"endYear":2030,"rotations":8}',
+    "visualization": '{"type":"chart","imageCategory":"risk","isOwnSource":false}',
+    "climate-timeline-minimal": '{"events":[{"year":2024,"title":"","description":""}]}',
+    "interactive-map": '{"selectedLayers":[],"height":"600px","centerLat":52.1326,"centerLng":5.2913,"zoom":8,"autoFitBounds":false,"enableLayerControls":true,"showLayerToggles":true,'
+    '"showOpacityControls":true,"showDownloadButtons":true,"predefinedOpacities":{},"enableClusterGroups":false,"clusterGroups":[]}',
+}
+
+
+def default_payload(block_type: Column) -> Column:
+    """JSON text."""
+    table = F.create_map(*[F.lit(x) for pair in DEFAULTS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, block_type), F.lit("{}"))
+
+
+def paired_insert(stories: DataFrame, blocks: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Q-C7: for each story (story_id) of the payloads (story_id, en, de: JSON) two new blocks at the next position, one of each language."""
+    last = blocks.groupBy("story_id").agg(F.max("order_index").alias("last"))
+    own = payloads.join(stories.select("story_id"), "story_id", "left_semi").join(last, "story_id", "left").withColumn("order_index", F.coalesce(F.col("last") + 1, F.lit(1)))
+    rows = own.select("story_id", "order_index", F.explode(F.create_map(F.lit("en"), F.col("en"), F.lit("de"), F.col("de"))).alias("language", "data"))
+    part = lambda name: F.nullif(F.get_json_object("data", f"$.{name}"), F.lit(""))
+    return rows.select("story_id", F.coalesce(part("type"), F.lit("markdown")).alias("block_type"), "order_index", "data", "language", part("title").alias("title"), part("content").alias("content"))
 
 
 def search(df: DataFrame, text: str, columns: list[str], arrays: list[str] = (), **equal: str) -> DataFrame:

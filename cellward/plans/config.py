@@ -33,7 +33,18 @@ class GridSpec:
 SCENARIOS = (("Current", 0.0), ("Conservative", 1.0), ("Moderate", 2.0), ("Severe", 3.0), ("Very Severe", 10.0), ("Extreme", 15.0))
 
 #: Built-up class to weight; classes that aren't listed weigh 0.
-CLASS_WEIGHTS = {1: 0.1, 2: 0.2, 3: 0.3, 4: 0.4, 5: 0.5, 11: 0.11, 12: 0.12, 13: 0.13, 14: 0.14, 15: 0.15, 21: 0.6, 22: 0.7, 23: 0.8, 24: 0.9, 25: 1.0}
+CLASS_WEIGHTS = {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.5, 11: 0.05, 12: 0.1, 13: 0.1, 14: 0.15, 15: 0.15, 21: 0.25, 22: 0.7, 23: 0.7, 24: 0.9, 25: 1.0}
+
+#: Weights of the five exposition layers, for the plain layer and by economic indicator.
+EXPOSITION_WEIGHTS = {
+    "exposition": {"class": 0.30, "volume": 0.30, "population": 0.13, "power": 0.12, "census": 0.15},
+    "gdp": {"class": 0.25, "volume": 0.34, "population": 0.13, "power": 0.18, "census": 0.10},
+    "freight": {"class": 0.32, "volume": 0.34, "population": 0.06, "power": 0.18, "census": 0.10},
+    "hrst": {"class": 0.27, "volume": 0.36, "population": 0.09, "power": 0.18, "census": 0.10},
+}
+
+#: Multipliers of the census index.
+CENSUS = {"inhabitants": 1.05, "household": 1.05, "price": 1.5}
 
 
 @dataclass(frozen=True)
@@ -65,7 +76,7 @@ class Settings:
     economic_threshold: float = 0.05
     population_threshold: float = 0.01
     cluster_threshold: float = 0.35
-    exposition_weights: dict[str, float] = field(default_factory=lambda: {"class": 0.3, "volume": 0.3, "population": 0.2, "power": 0.1, "census": 0.1})
+    exposition_weights: dict[str, float] = field(default_factory=lambda: dict(EXPOSITION_WEIGHTS["exposition"]))
     risk_weights: dict[str, float] = field(default_factory=lambda: {"hazard": 0.1, "economic": 0.9})
 
     def check(self) -> None:

@@ -45,7 +45,7 @@ def starred_period(spark, d):
 
 
 @query("""WITH l AS (SELECT c_nationkey AS zone, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9000 GROUP BY 1),
-u AS (SELECT s_nationkey AS zone, sum(l_quantity * 1000) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0 GROUP BY 1)
+u AS (SELECT s_nationkey AS zone, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity * 1000 ELSE l_quantity END) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0 GROUP BY 1)
 SELECT zone, coalesce(l.v, 0.0) AS loading, coalesce(u.v, 0.0) AS unloading, coalesce(l.v, 0.0) + coalesce(u.v, 0.0) AS v, 'T' AS unit FROM l FULL JOIN u USING (zone) WHERE coalesce(l.v, 0.0) + coalesce(u.v, 0.0) > 0""")
 def freight_unified(spark, d):
     """J4, P4, P8, S8, U2."""
@@ -53,7 +53,7 @@ def freight_unified(spark, d):
     left = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_acctbal > 9000")
     left = left.groupBy(F.col("c_nationkey").alias("zone")).agg(F.sum("l_quantity").alias("v"))
     right = line.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("s_acctbal < 0")
-    right = right.groupBy(F.col("s_nationkey").alias("zone")).agg(F.sum(tabular.tonnes(F.col("l_quantity"), F.lit("THS_T"))).alias("v"))
+    right = right.groupBy(F.col("s_nationkey").alias("zone")).agg(F.sum(tabular.tonnes(F.col("l_quantity"), F.when(F.col("l_returnflag") == "A", "THS_T").otherwise("T"))).alias("v"))
     return tabular.outer_sum(left, right, ["zone"], "v")
 
 
@@ -73,10 +73,10 @@ def port_area_allocation(spark, d):
     return tabular.share_out(s, "zone", "e", total, "total", "value").select("id", "zone", F.round("value", 4).alias("value"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 40 < 2 AND c_nationkey % 3 > 0)")
 def missing_zone_report(spark, d):
     """J21, J2."""
-    return table(spark, d, "nation").join(table(spark, d, "customer").where("c_acctbal > 9000"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select("n_nationkey", "n_name")
+    return table(spark, d, "nation").join(table(spark, d, "customer").where("c_custkey % 40 < 2 and c_nationkey % 3 > 0"), F.col("n_nationkey") == F.col("c_nationkey"), "left_anti").select("n_nationkey", "n_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 3)")
@@ -183,43 +183,73 @@ def tile_stats(spark, d):
     return catalog.tile_statistics(_tiles(spark, d))
 
 
-FILES = [
-    "clusters_SLR-0-Current_GDP.mbtiles", "1718000000_clusters_SLR-3-Severe_FREIGHT.mbtiles", "clusters_SLR-10-Very Severe_GDP.mbtiles", "1718000000_risk_SLR-1-Conservative_GDP.tif", "exposition_population.cog",
-    "hazard_flood-map.tif", "relevance_hrst.geojson", "clusters_SLR-0-Current_GDP.geojson", "risk_SLR-3-Severe_COMBINED.tif", "notes.txt",
-]
+#: Stems and extensions that the parts' keys are combined to file names of.
+STEMS = (
+    "clusters_SLR-0-Current_GDP", "1718000000_clusters_SLR-3-Severe_FREIGHT", "clusters_SLR-10-Very Severe_GDP", "1718000000_risk_SLR-1-Conservative_GDP", "exposition_population", "hazard_flood-map",
+    "relevance_hrst", "risk_SLR-3-Severe_COMBINED", "SLR 10 freight gdp", "nuts_l3-boundary", "old_port_areas", "my_risk_map", "export_nuts", "notes",
+)
+EXTENSIONS = ("tif", "cog", "mbtiles", "geojson", "txt")
 
 
-def _files(spark):
-    return spark.createDataFrame([(f,) for f in FILES], "key string")
+def _files(spark, d):
+    """One file name for each part: a stem, the part's size where it is even, an extension."""
+    k, of = F.col("p_partkey"), lambda xs: F.array(*map(F.lit, xs))
+    size = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise("")
+    return table(spark, d, "part").select(F.concat(F.element_at(of(STEMS), (k % len(STEMS) + 1).cast("int")), size, F.lit("."), F.element_at(of(EXTENSIONS), (k % 5 + 1).cast("int"))).alias("key")).distinct()
 
 
-_FILES = "files AS (SELECT * FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") v(key)), named AS (SELECT key, regexp_replace(regexp_replace(key, '\\.[^.]*$', ''), '^\\d+_', '') AS stem FROM files)"
-_ID = "CASE WHEN regexp_matches(stem, '^clusters_SLR-(\\d+)-(\\w+)_(\\w+)$') THEN lower(regexp_replace(stem, '^clusters_SLR-(\\d+)-(\\w+)_(\\w+)$', 'clusters-slr-\\2-\\3')) ELSE stem END"
+def _list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@query(f"WITH {_FILES} SELECT key, {_ID} AS layer_id, regexp_extract(key, '(SLR-\\d+-[^_.]+)', 1) AS scenario FROM named")
+_FILES = f"""files AS (SELECT DISTINCT ({_list(STEMS)})[p_partkey % {len(STEMS)} + 1] || CASE WHEN p_size % 2 = 0 THEN '_' || p_size ELSE '' END || '.' || ({_list(EXTENSIONS)})[p_partkey % 5 + 1] AS key FROM part),
+named AS (SELECT key, lower(key) AS low, regexp_replace(regexp_replace(key, '\\.[^.]*$', ''), '^\\d+_', '') AS stem FROM files)"""
+_ID = r"CASE WHEN regexp_matches(key, 'clusters_SLR-(\d+)-(\w+)_(\w+)') THEN 'clusters-slr-' || lower(regexp_extract(key, 'clusters_SLR-(\d+)-(\w+)_(\w+)', 2)) || '-' || lower(regexp_extract(key, 'clusters_SLR-(\d+)-(\w+)_(\w+)', 3)) ELSE stem END"
+
+
+@query(f"WITH {_FILES} SELECT key, {_ID} AS layer_id, regexp_extract(key, '(SLR-\\d+-[^_.]+)', 1) AS scenario, regexp_extract(key, 'SLR-\\d+-[^_.]+_([^.]+)', 1) AS rest FROM named")
 def layer_id_parse(spark, d):
     """F5, F6, Q7."""
-    return _files(spark).select("key", catalog.layer_id(F.col("key")).alias("layer_id"), catalog.scenario_of(F.col("key")).alias("scenario"))
+    key = F.col("key")
+    return _files(spark, d).select("key", catalog.layer_id(key).alias("layer_id"), catalog.scenario_of(key).alias("scenario"), catalog.rest_of(key).alias("rest"))
 
 
-_TYPE = "CASE WHEN lower(stem) LIKE 'clusters%' THEN 'clusters' WHEN lower(stem) LIKE 'risk%' THEN 'risk' WHEN lower(stem) LIKE 'flood%' OR lower(stem) LIKE 'hazard%' THEN 'hazard' WHEN lower(stem) LIKE 'exposition%' THEN 'exposition' WHEN lower(stem) LIKE 'relevance%' THEN 'relevance' ELSE 'other' END"
+_TYPE = """CASE WHEN contains(low, 'cluster') THEN 'clusters' WHEN starts_with(low, 'risk_') OR contains(low, '_risk_') THEN 'risk' WHEN starts_with(low, 'hazard_') OR contains(low, '_hazard_') THEN 'hazard'
+WHEN starts_with(low, 'exposition_') OR contains(low, '_exposition_') THEN 'exposition' WHEN starts_with(low, 'relevance_') OR contains(low, '_relevance_') THEN 'relevance' WHEN contains(low, 'slr') THEN 'sea-level-rise'
+WHEN starts_with(low, 'nuts') OR contains(low, '_nuts') THEN 'nuts' WHEN starts_with(low, 'port') OR contains(low, '_port_') THEN 'port' ELSE 'unknown' END"""
+_NAME = r"""array_to_string(list_transform(string_split(regexp_replace(layer_id, '[_-]', ' ', 'g'), ' '), lambda x: CASE upper(x[1:1]) || x[2:] WHEN 'Slr' THEN 'SLR' WHEN 'Gdp' THEN 'GDP' WHEN 'Hrst' THEN 'HRST' ELSE upper(x[1:1]) || x[2:] END), ' ')"""
+_LAYERS = f"""{_FILES}, fit AS (SELECT *, {_ID} AS layer_id FROM named WHERE regexp_matches(key, '\\.(cog|tif|mbtiles)$')), f AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY layer_id ORDER BY key) = 1),
+t AS (SELECT key, layer_id, {_TYPE} AS layer_type, {_NAME} AS name, low FROM f), u AS (SELECT *, CASE WHEN NOT ends_with(key, '.mbtiles') THEN 'raster' WHEN starts_with(key, 'clusters_') OR contains(key, 'clusters_SLR') THEN 'vector'
+WHEN starts_with(key, 'risk_') OR starts_with(key, 'hazard_') OR starts_with(key, 'exposition_') OR starts_with(key, 'relevance_') THEN 'raster' WHEN layer_type IN ('clusters', 'nuts', 'port') THEN 'vector' ELSE 'raster' END AS data_type FROM t)"""
 
 
-@query(f"""WITH {_FILES}, l AS (SELECT *, {_ID} AS layer_id, {_TYPE} AS layer_type FROM named), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY layer_id ORDER BY key) = 1)
-SELECT key, layer_id, layer_type, CASE WHEN regexp_matches(lower(key), '\\.(tif|cog|tiff)$') THEN 'raster' WHEN regexp_matches(lower(key), '\\.(mbtiles|geojson|gpkg|shp)$') THEN 'vector' ELSE 'unknown' END AS data_format,
-CASE WHEN layer_id = 'risk_SLR-1-Conservative_GDP' THEN 7 WHEN layer_type = 'clusters' THEN 100 WHEN layer_type = 'risk' THEN 80 WHEN layer_type = 'hazard' THEN 60 WHEN layer_type = 'exposition' THEN 40 ELSE 50 END AS z FROM f""")
+@query(f"""WITH {_LAYERS} SELECT key, layer_id, layer_type, name, data_type, CASE WHEN ends_with(key, '.mbtiles') THEN 'mbtiles' ELSE 'cog' END AS format,
+CASE WHEN layer_id = 'risk_SLR-1-Conservative_GDP' THEN 7 WHEN contains(lower(name), 'nuts') OR contains(lower(name), 'administrative') OR contains(lower(name), 'boundary') THEN 10
+WHEN contains(lower(name), 'exposition') OR contains(lower(name), 'exposure') THEN 20 WHEN contains(lower(name), 'relevance') THEN 30 WHEN contains(lower(name), 'hazard') THEN 40 WHEN contains(lower(name), 'risk') THEN 50
+WHEN contains(lower(name), 'cluster') THEN 60 WHEN data_type = 'vector' THEN 45 ELSE 25 END AS z FROM u""")
 def layer_catalog(spark, d):
-    """Q-C8, J16, J18, F8, F9, F11."""
+    """Q-C8, J16, J18, F7, F8, F9, F11."""
     styles = spark.createDataFrame([("risk_SLR-1-Conservative_GDP", 7)], "layer_id string, z int")
-    return catalog.catalogue(_files(spark), styles).drop("name")
+    return catalog.catalogue(_files(spark, d), styles).drop("colours", "bounds", "value_range")
+
 
+@query(f"""WITH {_LAYERS}, v(kind, colours, bounds, low_value, high_value) AS (VALUES ('risk', '#ffffff #ffff00 #ffa500 #ff0000', '3.5 51.2 7.2 53.5', 0, 1), ('hazard', '#add8e6 #00bfff #0000ff #00008b', '3.5 51.2 7.2 53.5', 0, 1),
+('exposition', '#ffffff #90ee90 #228b22 #006400', '3.5 51.2 7.2 53.5', 0, 100), ('relevance', '#ffffff #ffd700 #ff8c00 #ff4500', '3.5 51.2 7.2 53.5', 0, 100), ('clusters', '#ffffff #4fc3f7 #2196f3 #0d47a1', '3.5 51.2 7.2 53.5', 0, 500),
+('sea-level-rise', '#ffffff #81c784 #4caf50 #1b5e20', '3.5 51.2 7.2 53.5', 0, 3), ('nuts', '#ffffff #4fc3f7 #2196f3 #0d47a1', '3.5 51.2 7.2 53.5', 0, 500), ('port', '#ffffff #ff6b6b #e53935 #b71c1c', '3.5 51.2 7.2 53.5', 0, 500),
+('unknown', '#ffffff #ff6b6b #e53935 #b71c1c', '-180.0 -90.0 180.0 90.0', 0, 100)) SELECT layer_id, colours, bounds, low_value, high_value FROM u JOIN v ON layer_type = kind""")
+def layer_defaults(spark, d):
+    """F10."""
+    found = catalog.catalogue(_files(spark, d), spark.createDataFrame([], "layer_id string, z int"))
+    return found.select("layer_id", F.array_join("colours", " ").alias("colours"), F.array_join("bounds", " ").alias("bounds"), F.col("value_range")[0].alias("low_value"), F.col("value_range")[1].alias("high_value"))
 
-@query(f"""WITH {_FILES}, g AS (SELECT key, CASE WHEN lower(key) LIKE '%gdp%' THEN 'GDP' WHEN lower(key) LIKE '%freight%' THEN 'Freight' WHEN lower(key) LIKE '%population%' THEN 'Population' WHEN lower(key) LIKE '%hrst%' THEN 'HRST' WHEN lower(key) LIKE '%combined%' THEN 'Combined' ELSE 'Other Layers' END AS indicator,
-CASE WHEN regexp_matches(lower(key), 'slr[- ]?\\d') THEN 'SLR ' || regexp_extract(lower(key), 'slr[- ]?(\\d+)', 1) ELSE 'No SLR' END AS rise FROM files) SELECT indicator, rise, string_agg(key, ';' ORDER BY key) AS layers FROM g GROUP BY 1, 2""")
+
+@query(f"""WITH {_FILES}, g AS (SELECT key, CASE WHEN contains(low, 'freight') THEN 'Freight' WHEN contains(low, 'gdp') THEN 'GDP' WHEN contains(low, 'hrst') THEN 'HRST' WHEN contains(low, 'population') THEN 'Population' WHEN contains(low, 'combined') THEN 'Combined' ELSE 'Other Layers' END AS indicator,
+CASE WHEN regexp_matches(low, 'slr[- ]?\\d') THEN 'SLR ' || regexp_extract(low, 'slr[- ]?(\\d+)', 1) ELSE 'No SLR' END AS r FROM named), h AS (SELECT key, indicator, CASE WHEN indicator = 'Other Layers' THEN '' ELSE r END AS rise FROM g)
+SELECT indicator, rise, string_agg(key, ';' ORDER BY key) AS layers, CAST(CASE indicator WHEN 'Combined' THEN 0 WHEN 'Freight' THEN 1 WHEN 'Population' THEN 2 WHEN 'HRST' THEN 3 WHEN 'GDP' THEN 4 ELSE 5 END AS INTEGER) AS indicator_rank,
+CAST(coalesce(TRY_CAST(regexp_extract(rise, '(\\d+)', 1) AS INTEGER), -1) AS INTEGER) AS rise_rank FROM h GROUP BY 1, 2""")
 def layer_grouping(spark, d):
     """A31, F36, F37."""
-    return catalog.grouped(_files(spark), "key").select("indicator", "rise", F.array_join("layers", ";").alias("layers"))
+    return catalog.grouped(_files(spark, d), "key").withColumn("layers", F.array_join("layers", ";"))
 
 
 def _blocks(spark, d):
@@ -234,16 +264,16 @@ def _blocks(spark, d):
     ).dropDuplicates(["block_id"])
 
 
-_KINDS = "[" + ", ".join(f"'{k}'" for k in content.BLOCK_TYPES) + "]"
+_KINDS = _list(content.BLOCK_TYPES)
 _BLOCKS = f"blocks AS (SELECT DISTINCT conv_id * 1000 + turn AS block_id, conv_id // 2 AS story_id, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'de' END AS language, turn AS order_index, ({_KINDS})[turn % 8 + 1] AS block_type FROM conversations)"
 
 
-@query(f"""WITH {_BLOCKS}, links AS (SELECT DISTINCT block_id, (block_id * 7 + k) % 40 AS reference_id FROM blocks, range(0, 2) t(k))
-SELECT block_id, story_id, coalesce((SELECT string_agg(CAST(reference_id AS VARCHAR), ',' ORDER BY reference_id) FROM links JOIN benchmark ON item_id = reference_id WHERE links.block_id = blocks.block_id), '') AS refs FROM blocks""")
+@query(f"""WITH {_BLOCKS}, links AS (SELECT DISTINCT block_id, k AS position, (block_id * 7 + 11 * k) % 40 AS reference_id FROM blocks, range(0, 3) t(k))
+SELECT block_id, story_id, coalesce((SELECT string_agg(CAST(reference_id AS VARCHAR), ',' ORDER BY position) FROM links JOIN benchmark ON item_id = reference_id WHERE links.block_id = blocks.block_id), '') AS refs FROM blocks""")
 def story_blocks_nested(spark, d):
-    """J13, J15, O1, Q-C1: the nested list is flattened at the end for comparison."""
+    """J13, J15, O1, Q-C1: the nested list, in the order of the links, is flattened at the end for comparison."""
     b = _blocks(spark, d).select("block_id", "story_id")
-    links = b.select("block_id", F.explode(F.array(F.col("block_id") * 7 % 40, (F.col("block_id") * 7 + 1) % 40)).alias("reference_id")).distinct()
+    links = b.select("block_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: (F.col("block_id") * 7 + 11 * k) % 40)).alias("position", "reference_id"))
     refs = table(spark, d, "benchmark").select(F.col("item_id").alias("reference_id"), F.substring("text", 1, 20).alias("title"))
     return content.nested_blocks(b, links, refs).select("block_id", "story_id", F.array_join(F.transform("references", lambda x: x["reference_id"].cast("string")), ",").alias("refs"))
 
@@ -300,10 +330,12 @@ def zindex_renumber(spark, d):
     return catalog.renumbered(table(spark, d, "nation").select("n_nationkey", "n_name"), [F.col("n_name").desc()])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'a') OR contains(lower(p_type), 'a')) AND p_brand = 'Brand#13'")
+@query("SELECT p_partkey, p_name FROM part WHERE (contains(lower(p_name), 'x') OR contains(lower(p_type), 'o')) AND p_brand = 'Brand#13'")
 def gallery_search(spark, d):
     """P25, P26, P31, Q-C13."""
-    return content.search(table(spark, d, "part"), "A", ["p_name", "p_type"], p_brand="Brand#13").select("p_partkey", "p_name")
+    return content.search(table(spark, d, "part").withColumn("tags", F.array("p_brand", "p_type")), "O", [], ["tags"], p_brand="Brand#13", p_type="all").union(
+        content.search(table(spark, d, "part").withColumn("tags", F.array("p_brand", "p_type")), "X", ["p_name"], [], p_brand="Brand#13").where(~F.contains(F.lower("p_type"), F.lit("o")))
+    ).select("p_partkey", "p_name")
 
 
 @query("SELECT p_brand, count(*) AS n, count(DISTINCT p_type) AS n_types FROM part GROUP BY 1")
@@ -312,14 +344,45 @@ def gallery_facets(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_type").alias("n_types"))
 
 
-@query(f"""WITH k AS (SELECT doc_id, text, lang, ({_KINDS})[doc_id % 9 + 1] AS kind FROM documents)
-SELECT doc_id, concat_ws(';', CASE WHEN length(text) > 5000 THEN 'content:too long' END, CASE WHEN kind IS NULL THEN 'block_type:unknown' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'language:unknown' END) AS problems FROM k""")
+#: Payloads of made-up blocks; the problems that each gives a type stand, typed by hand, in the SQL beside.
+PAYLOADS = (
+    '{"variant":"info","text":"q","author":" ","stats":[{"label":"a","value":"","color":"#12345g"},{"label":"","value":"1","color":"#abc"}],"events":[{"year":1700,"title":""},{"year":2000,"title":"t","color":"red"}],'
+    '"metrics":[{"title":"","value":"v","progress":101}],"startYear":1800,"endYear":1700,"rotations":30,"type":"map","imageCategory":"x","imageScenario":"current","imageIndicators":["gdp","oil"]}',
+    "{}",
+    "no json",
+    None,
+    '{"variant":"error","text":"q","author":"a","stats":[{"label":"a","value":"1"}],"events":[{"year":1850,"title":"t","color":"#AbCdEf"}],"metrics":[{"title":"t","value":"v","progress":0}],"startYear":1850,"endYear":2100,"rotations":20,'
+    '"type":"gauge","imageCategory":"risk-clusters","imageScenario":"none","imageIndicators":[]}',
+)
+_EMPTY = ", ".join(
+    f"('{kind}', {i}, '{found}')"
+    for kind, found in (
+        ("callout", "data.variant:unknown"), ("interactive-callout", "data.variant:unknown"), ("animated-quote", "data.text:required;data.author:required"), ("animated-statistics", "data.stats:required"), ("climate-timeline", "data.events:required"),
+        ("climate-timeline-minimal", "data.events:required"), ("climate-dashboard", "data.metrics:required"), ("visualization", "data.type:unknown"),
+    )
+    for i in (1, 2, 3)
+)
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 16 = 14 THEN 'podcast' WHEN p_partkey % 16 = 15 THEN NULL ELSE ({_list(content.BLOCK_TYPES)})[p_partkey % 16 + 1] END AS kind, p_partkey % 5 AS payload, p_partkey % 3 AS lang,
+p_partkey % 4 - 1 AS pos, p_partkey % 7 AS story, p_size, p_partkey % 11 AS c FROM part),
+v(kind, payload, found) AS (VALUES {_EMPTY}, ('animated-quote', 0, 'data.author:required'), ('animated-statistics', 0, 'data.stats.0.value:required;data.stats.0.color:not a colour;data.stats.1.label:required'),
+('climate-timeline', 0, 'data.events.0.year:out of range;data.events.0.title:required;data.events.1.color:not a colour'), ('climate-timeline-minimal', 0, 'data.events.0.year:out of range;data.events.0.title:required'),
+('climate-dashboard', 0, 'data.metrics.0.title:required;data.metrics.0.progress:out of range'), ('temperature-spiral', 0, 'data.startYear:out of range;data.endYear:out of range;data.endYear:not after start;data.rotations:out of range'),
+('visualization', 0, 'data.imageCategory:unknown;data.imageIndicators:unknown'))
+SELECT id, concat_ws(';', CASE WHEN k.kind IS NULL THEN 'block_type:required' END, CASE WHEN lang = 2 THEN 'language:required' END, CASE WHEN pos = 0 THEN 'order_index:required' END, CASE WHEN story = 0 THEN 'story_id:too short' END,
+CASE WHEN k.kind = 'podcast' THEN 'block_type:unknown' END, CASE WHEN pos < 0 THEN 'order_index:negative' END, CASE WHEN k.payload = 2 THEN 'data:not JSON' END, CASE WHEN p_size > 40 THEN 'title:too long' END,
+CASE WHEN c = 1 THEN 'content:too long' END, found, CASE WHEN k.kind = 'markdown' AND c = 0 THEN 'content:required' END) AS problems FROM k LEFT JOIN v ON k.kind = v.kind AND k.payload = v.payload""")
 def content_validation(spark, d):
-    """F23, F24."""
-    kinds = F.array(*map(F.lit, content.BLOCK_TYPES))
-    own = table(spark, d, "documents").select("doc_id", "text", "lang", F.try_element_at(kinds, (F.col("doc_id") % 9 + 1).cast("int")).alias("kind"))
-    found = content.problems(F.lit("a title"), F.col("text"), F.col("kind"), F.col("lang"))
-    return own.select("doc_id", F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["field"], x["message"])), ";").alias("problems"))
+    """Blocks made from the parts' keys."""
+    k = F.col("p_partkey")
+    kinds, payloads = F.array(*map(F.lit, [*content.BLOCK_TYPES, "podcast", None])), F.array(*map(F.lit, PAYLOADS))
+    text = F.when(k % 11 == 0, F.lit(None)).when(k % 11 == 1, F.repeat(F.lit("x"), F.lit(5001))).otherwise("text")
+    found = content.problems(
+        F.element_at(kinds, (k % 16 + 1).cast("int")), F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit(None)), (k % 3 + 1).cast("int")), k % 4 - 1,
+        F.when(F.col("p_size") > 40, F.repeat(F.lit("t"), F.lit(201))).otherwise("title"), text, F.element_at(payloads, (k % 5 + 1).cast("int")), F.when(k % 7 == 0, " ab ").otherwise("story"),
+    )
+    return table(spark, d, "part").select(k.alias("id"), F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["field"], x["rule"])), ";").alias("problems"))
 
 
 @query("SELECT count(*) AS n, count(nullif(o_orderpriority, '5-LOW')) AS with_value, count(*) - count(nullif(o_orderpriority, '5-LOW')) AS missing FROM orders")

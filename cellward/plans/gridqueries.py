@@ -130,7 +130,8 @@ def normaliser_stats(spark, d):
     return s.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "std")), "min", "max", *(F.round(c, 6).alias(c) for c in ("p95", "p99")))
 
 
-@query("SELECT p_partkey, CASE p_size % 30 " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in CLASS_WEIGHTS.items()) + " ELSE 0.0::DOUBLE END AS weight FROM part")
+@query("""SELECT p_partkey, CASE p_size % 30 WHEN 5 THEN 0.5::DOUBLE WHEN 11 THEN 0.05::DOUBLE WHEN 12 THEN 0.1::DOUBLE WHEN 13 THEN 0.1::DOUBLE WHEN 14 THEN 0.15::DOUBLE WHEN 15 THEN 0.15::DOUBLE
+WHEN 21 THEN 0.25::DOUBLE WHEN 22 THEN 0.7::DOUBLE WHEN 23 THEN 0.7::DOUBLE WHEN 24 THEN 0.9::DOUBLE WHEN 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM part""")
 def class_lookup(spark, d):
     """R15."""
     return table(spark, d, "part").select("p_partkey", r.class_weight(F.col("p_size") % 30, CLASS_WEIGHTS).alias("weight"))
@@ -151,7 +152,7 @@ def port_multiplier(spark, d):
 _W = Settings().exposition_weights
 
 
-@query(f"""WITH {CELLS} SELECT id, round(({_W['class']} * h + {_W['volume']} * w + {_W['population']} * h * w + {_W['power']} * (1 - h) + {_W['census']} * (1 - w))
+@query(f"""WITH {CELLS} SELECT id, round((0.30 * h + 0.30 * w + 0.13 * h * w + 0.12 * (1 - h) + 0.15 * (1 - w))
  * CASE WHEN 0.7 * h + 0.3 * w >= 0.6 THEN 1.15 WHEN 0.7 * h + 0.3 * w >= 0.4 THEN 1.05 ELSE 0.5 END, 6) AS exposition FROM cells""")
 def weighted_exposition(spark, d):
     """Five layers in one wide row, weighted and multiplied in one projection."""
@@ -217,17 +218,17 @@ def hazard_combine(spark, d):
     return full.select("id", F.round(F.when(F.col("dem") > 0, F.when(F.col("p") > 1, F.col("v") / F.col("p")).otherwise(F.col("v"))).otherwise(0.0), 6).alias("hazard"))
 
 
-@query(f"WITH {CELLS} SELECT id, round(CASE WHEN hz > 0 AND w > 0.05 THEN 0.1 * hz + 0.9 * w ELSE 0.0 END, 6) AS risk FROM (SELECT id, w, CASE WHEN h > 0.3 THEN h ELSE 0.0 END AS hz FROM cells)")
+@query(f"WITH {CELLS} SELECT id, round(CASE WHEN hz > 0 AND w > 0.05 AND land THEN 0.1 * hz + 0.9 * w ELSE 0.0 END, 6) AS risk FROM (SELECT id, w, land, CASE WHEN h > 0.3 THEN h ELSE 0.0 END AS hz FROM cells)")
 def risk_integrated(spark, d):
     """R26, P12, P13."""
     hz = F.when(F.col("h") > 0.3, F.col("h")).otherwise(0.0)
-    return cells(spark, d).select("id", F.round(r.integrated_risk(hz, F.col("w")), 6).alias("risk"))
+    return cells(spark, d).select("id", F.round(r.integrated_risk(hz, F.col("w"), F.col("land")), 6).alias("risk"))
 
 
-@query(f"WITH {CELLS} SELECT id, round(CASE WHEN h > 0 AND p > 0.01 THEN 0.1 * h + 0.9 * p ELSE 0.0 END, 9) AS risk FROM (SELECT id, h, coalesce(CASE WHEN land THEN e / 10000 END, w) AS p FROM cells)")
+@query(f"WITH {CELLS} SELECT id, round(CASE WHEN h > 0 AND p > 0.01 AND land THEN 0.1 * h + 0.9 * p ELSE 0.0 END, 9) AS risk FROM (SELECT id, h, land, coalesce(CASE WHEN e > 0 THEN e / 10000 END, w) AS p FROM cells)")
 def risk_population(spark, d):
     """R27, R30, P14."""
-    return cells(spark, d).select("id", F.round(r.population_risk(F.col("h"), F.when(F.col("land"), F.col("e") / 10000), F.col("w")), 9).alias("risk"))
+    return cells(spark, d).select("id", F.round(r.population_risk(F.col("h"), F.when(F.col("e") > 0, F.col("e") / 10000), F.col("w"), F.col("land")), 9).alias("risk"))
 
 
 @query(f"""WITH {CELLS}, {SCEN}, x AS (SELECT id, scenario, {CURVE} AS hz, w, h FROM cells, scen),
@@ -238,7 +239,7 @@ def risk_matrix(spark, d):
     x = cells(spark, d).crossJoin(scenarios(spark)).withColumn("hz", r.elevation_risk(F.col("dem"), F.col("rise"), F.lit(13.5)))
     values = F.create_map(F.lit("gdp"), F.col("w"), F.lit("freight"), F.col("h"), F.lit("combined"), (F.col("w") + F.col("h")) / 2)
     rows = x.select("scenario", "hz", F.explode(values).alias("indicator", "v"))
-    return rows.groupBy("scenario", "indicator").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r.integrated_risk(F.col("hz"), F.col("v"))), 3).alias("total"))
+    return rows.groupBy("scenario", "indicator").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r.integrated_risk(F.col("hz"), F.col("v"), F.lit(True))), 3).alias("total"))
 
 
 @query(f"""WITH {CELLS}, {SCEN}, x AS (SELECT scenario, {CURVE} AS v FROM cells, scen)

@@ -15,10 +15,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a temporary one only where nothing is set, as in tests."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """A checkpoint in the folder of spark.checkpoint.dir; a temporary one only where nothing is set and the master is local."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from cellward.functions import risk
 from cellward.operators import catalog, content, normalise
-from cellward.plans.config import CLASS_WEIGHTS, GridSpec, Settings
+from cellward.plans.config import CLASS_WEIGHTS, EXPOSITION_WEIGHTS, GridSpec, Settings
 
 DEM = [-5.0, 0.0, 1.0, 5.0, 14.0, 24.0, 26.0, 40.0]
 CURVES = {
@@ -62,8 +62,8 @@ def test_multipliers(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     for urban, semi, want in ((0.9, 0.1, 1.15), (0.5, 0.3, 1.05), (0.1, 0.2, 0.5)):
         assert one(risk.urban_multiplier(F.lit(urban), F.lit(semi))) == want
-    assert one(risk.integrated_risk(F.lit(0.5), F.lit(0.4))) == pytest.approx(0.41)
-    for cls, want in ((5, 0.5), (15, 0.15), (25, 1.0), (7, 0.0)):
+    assert one(risk.integrated_risk(F.lit(0.5), F.lit(0.4), F.lit(True))) == pytest.approx(0.41)
+    for cls, want in ((1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 0.5), (11, 0.05), (12, 0.1), (13, 0.1), (14, 0.15), (15, 0.15), (21, 0.25), (22, 0.7), (23, 0.7), (24, 0.9), (25, 1.0), (7, 0.0)):
         assert one(risk.class_weight(F.lit(cls), CLASS_WEIGHTS)) == want
 
 
@@ -72,3 +72,71 @@ def test_settings_and_grid():
     with pytest.raises(ValueError):
         Settings(risk_weights={"hazard": 0.2, "economic": 0.9}).check()
     assert GridSpec.covering(0, 0, 100, 61, 30) == GridSpec(0, 61, 30, 4, 3)
+
+
+def test_exposition_weights():
+    assert EXPOSITION_WEIGHTS["exposition"] == {"class": 0.30, "volume": 0.30, "population": 0.13, "power": 0.12, "census": 0.15}
+    assert EXPOSITION_WEIGHTS["gdp"] == {"class": 0.25, "volume": 0.34, "population": 0.13, "power": 0.18, "census": 0.10}
+    assert EXPOSITION_WEIGHTS["freight"] == {"class": 0.32, "volume": 0.34, "population": 0.06, "power": 0.18, "census": 0.10}
+    assert EXPOSITION_WEIGHTS["hrst"] == {"class": 0.27, "volume": 0.36, "population": 0.09, "power": 0.18, "census": 0.10}
+    assert all(abs(sum(w.values()) - 1) < 1e-9 for w in EXPOSITION_WEIGHTS.values())
+
+
+LAYERS = [
+    # file name, type, data type, format, place in the stack
+    ("clusters_SLR-0-Current_GDP.mbtiles", "clusters", "vector", "mbtiles", 60),
+    ("1718_clusters_SLR-1-Severe_HRST.mbtiles", "clusters", "vector", "mbtiles", 60),
+    ("my_cluster.mbtiles", "clusters", "vector", "mbtiles", 60),
+    ("risk_SLR-1-x_GDP.mbtiles", "risk", "raster", "mbtiles", 50),
+    ("old_risk_map.cog", "risk", "raster", "cog", 50),
+    ("hazard_x.tif", "hazard", "raster", "cog", 40),
+    ("exposition_x.tif", "exposition", "raster", "cog", 20),
+    ("relevance_x.tif", "relevance", "raster", "cog", 30),
+    ("SLR-3.mbtiles", "sea-level-rise", "raster", "mbtiles", 25),
+    ("nuts_l3.mbtiles", "nuts", "vector", "mbtiles", 10),
+    ("nuts_cluster.tif", "clusters", "raster", "cog", 10),
+    ("port_a.mbtiles", "port", "vector", "mbtiles", 45),
+    ("flood.tif", "unknown", "raster", "cog", 25),
+    ("flood.geojson", "unknown", None, None, 25),
+]
+
+
+def test_layers(spark):
+    key = F.col("key")
+    rows = spark.createDataFrame([(x[0],) for x in LAYERS], "key string")
+    got = rows.select("key", catalog.layer_type(key), catalog.data_type(key), catalog.file_format(key), catalog.z_index(catalog.display_name(catalog.layer_id(key)), catalog.data_type(key))).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(LAYERS, key=repr)
+
+
+def test_shown_names_and_indicators(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    for name, want in (("clusters-slr-current-gdp", "Clusters SLR Current GDP"), ("risk_SLR-3-Very Severe_hrst", "Risk SLR 3 Very Severe HRST"), ("a_b-c", "A B C"), ("gdpx", "Gdpx"), ("slr.gdp_", "SLR.GDP")):
+        assert one(catalog.display_name(F.lit(name))) == want
+    for name, want in (("gdp_FREIGHT", "Freight"), ("GDP hrst", "GDP"), ("hrst population", "HRST"), ("population combined", "Population"), ("combined", "Combined"), ("x", "Other Layers")):
+        assert one(catalog.indicator(F.lit(name))) == want
+
+
+def test_content_types(spark):
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    cases = (("89504E470D0A1A0A", None, "image/png"), ("FFD8000000000000", None, "image/jpeg"), ("FFD800", None, "application/x-protobuf"), ("524946460000000057454250", None, "image/webp"), ("524946460000000000000000", None, "application/x-protobuf"), ("1F8B080000000000", None, "application/x-protobuf"), ("89504E470D0A1A0A", "PBF", "application/x-protobuf"), ("00", "jpg", "image/jpeg"), ("FFD8000000000000", "tiff", "image/jpeg"))
+    for head, form, want in cases:
+        assert one(catalog.content_type(F.unhex(F.lit(head)), F.lit(form).cast("string"))) == want, (head, form)
+
+
+def test_cited_texts_and_positions(spark):
+    rows = spark.createDataFrame([(r"a \cite{y} b \cite{q}\cite{x}.", ["x", "y"])], "c string, refs array<string>")
+    assert rows.select(content.numbered_text(F.col("c"), F.col("refs")).alias("v")).first().v == r"a [2] b \cite{q}[1]."
+    numbers = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "c", 1)], "document int, ref string, number int")
+    references = spark.createDataFrame([(d, r, i) for d in (1, 2) for i, r in enumerate("abc")], "document int, id string, at int")
+    got = content.cited_first(references, numbers, "document", "id", "at").collect()
+    assert {d: "".join(r.id for r in sorted((r for r in got if r.document == d), key=lambda r: r["rank"])) for d in (1, 2)} == {1: "bac", 2: "cab"}
+
+
+def test_new_blocks(spark):
+    stories = spark.createDataFrame([(1,), (2,)], "story_id int")
+    blocks = spark.createDataFrame([(1, 4), (1, 2)], "story_id int, order_index int")
+    payloads = spark.createDataFrame([(i, '{"type":"callout","title":"T"}', '{"title":""}') for i in (1, 2, 3)], "story_id int, en string, de string")
+    got = sorted(tuple(r) for r in content.paired_insert(stories, blocks, payloads).select("story_id", "language", "order_index", "block_type", F.coalesce("title", F.lit("-"))).collect())
+    assert got == [(1, "de", 5, "markdown", "-"), (1, "en", 5, "callout", "T"), (2, "de", 1, "markdown", "-"), (2, "en", 1, "callout", "T")]
+    assert spark.range(1).select(content.default_payload(F.lit("temperature-spiral")).alias("v")).first().v == '{"startYear":1880,"endYear":2030,"rotations":8}'
+    assert spark.range(1).select(content.default_payload(F.lit("other")).alias("v")).first().v == "{}"
