@@ -33,6 +33,8 @@ RULES = (
 DAMPING, SETTLED, THRESHOLD = 0.85, 1e-5, 0.5
 #: Labels of a name above a host that count as a site; rounds between two cuts of the lineage.
 SITE, STEP = 3, 6
+#: Edges in one task, and hosts whose scores are broadcast (60 MB at most); beyond, rounds join by shuffle.
+DEAL, SENT = 200_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href[ \t\r\n]*=[ \t\r\n]*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'> \t\r\n]+)"""
 
@@ -69,22 +71,26 @@ def edges(pages: DataFrame, site: int = SITE) -> DataFrame:
     return found.join(sums("src", "n_out"), "src").join(sums("dst", "n_in"), "dst").select("src", "dst", (F.col("n") / F.col("n_out")).alias("forth"), (F.col("n") / F.col("n_in")).alias("back"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, settled: float = SETTLED, sent: int = SENT) -> DataFrame:
     """(host, trust, distrust) from (host, good, bad) and the edges; hosts that are only linked to have no seed."""
     none = F.lit(0.0)
     forth = links.select(F.col("src").alias("from"), F.col("dst").alias("host"), F.col("forth").alias("t"), none.alias("d"))
     back = links.select(F.col("dst").alias("from"), F.col("src").alias("host"), none.alias("t"), F.col("back").alias("d"))
     flows = cut(forth.union(back).groupBy("from", "host").agg((damping * F.sum("t")).alias("t"), (damping * F.sum("d")).alias("d")))
     start = cut(seeds.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")))
-    scores = start
+    few = max(1, flows.count() // DEAL)
+    flows, scores = flows.coalesce(few), start.coalesce(few)
+    start, small = scores, start.count() + flows.select("host").distinct().count() <= sent
     while True:
         for _ in range(STEP):
             before = scores
-            came = flows.join(before.withColumnRenamed("host", "from"), "from").select("host", (F.col("t") * F.col("trust")).alias("trust"), (F.col("d") * F.col("distrust")).alias("distrust"))
+            now = before.withColumnRenamed("host", "from")
+            came = flows.join(F.broadcast(now) if small else now, "from").select("host", (F.col("t") * F.col("trust")).alias("trust"), (F.col("d") * F.col("distrust")).alias("distrust"))
             scores = came.union(start).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         change = before.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
         # scores only grow, as the flows add to the seeds
-        now = cut(scores.join(change, "host", "left").withColumn("change", F.greatest(F.col("trust") - F.coalesce("t", none), F.col("distrust") - F.coalesce("d", none))).drop("t", "d"))
+        change = scores.join(F.broadcast(change) if small else change, "host", "left").withColumn("change", F.greatest(F.col("trust") - F.coalesce("t", none), F.col("distrust") - F.coalesce("d", none)))
+        now = cut(change.drop("t", "d").coalesce(few))
         scores = now.select("host", "trust", "distrust")
         if (now.agg(F.max("change")).first()[0] or 0.0) < settled:
             return scores

@@ -110,14 +110,15 @@ def test_very_long_url_and_page(spark):
     assert len(got[1].path) == 300_001 and got[1].verdict == "block"  # its only link goes to a blocked host
 
 
-def test_propagation_against_loops(spark):
+@pytest.mark.parametrize("sent", [urls.SENT, 0])
+def test_propagation_against_loops(spark, sent):
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 4), ("c", "a", 1), ("d", "c", 5)]
     out, into = {}, {}
     for s, d, n in links:
         out[s], into[d] = out.get(s, 0) + n, into.get(d, 0) + n
     frame = spark.createDataFrame([(s, d, n / out[s], n / into[d]) for s, d, n in links], "src string, dst string, forth double, back double")
     seeds = {"a": (1.0, 0.0), "c": (0.25, 0.5)}
-    got = urls.propagate(spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, good double, bad double"), frame).collect()
+    got = urls.propagate(spark.createDataFrame([(h, *x) for h, x in seeds.items()], "host string, good double, bad double"), frame, sent=sent).collect()
     want = scores_by_loops(links, seeds)
     assert {r.host: (r.trust, r.distrust) for r in got} == {h: (pytest.approx(t, abs=1e-4), pytest.approx(b, abs=1e-4)) for h, (t, b) in want.items()}
 
