@@ -1,25 +1,60 @@
-"""Two-pass rescaling of layers: aggregate, join the one row of each group back, project."""
+"""Rescaling of layers in a few passes: aggregate, join the one row of each group back, project."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellward.plans.config import NORMALISERS, Normaliser
+from cellward.sources.storage import cut
+
+#: Bins of a pass of ``percentiles``, and passes before the last bin's values are ordered.
+BINS, PASSES = 4096, 2
+
+
+def percentiles(df: DataFrame, value: Column, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact percentiles of each group, one column for each share, interpolated between neighbours.
+
+    A pass counts the values in BINS bins between a group's least and largest and goes on with the bin that holds the
+    wanted rank, so what is ordered in the end is about one in BINS ** PASSES of a group's values.  No value is
+    gathered: passes shuffle at most BINS counts for each group and share from each task.  Nulls don't count.
+    """
+    by = by or []
+    own = df.select(*by, value.cast("double").alias("__v")).where("__v is not null")
+    if not by:
+        own, by, plain = own.withColumn("__all", F.lit(0)), ["__all"], True
+    else:
+        plain = False
+    names = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.lit(float(share)).alias("share")) for name, share in shares.items())))
+    base = own.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    wanted = base.select(*by, "__lo", "__hi", "__n", names.alias("__s")).select(*by, "__lo", "__hi", F.col("__s.name").alias("__name"), (F.col("__s.share") * (F.col("__n") - 1)).alias("__h"))
+    # rank within [lo, hi], the way to the next value, and the least value above hi
+    wanted = cut(wanted.withColumns({"__r": F.floor("__h"), "__f": F.col("__h") - F.floor("__h"), "__next": F.lit(None).cast("double")}).drop("__h"))
+    keep = [*by, "__name"]
+    for _ in range(PASSES):
+        near = own.join(wanted.select(*keep, "__lo", "__hi"), by).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+        width = F.col("__hi") - F.col("__lo")
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+        bins = near.groupBy(*keep, bin_.alias("__bin")).agg(F.count(F.lit(1)).alias("__k"), F.min("__v").alias("__least"), F.max("__v").alias("__most"))
+        w = Window.partitionBy(*keep).orderBy("__bin")
+        bins = bins.withColumns({"__upto": F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__least").over(w)})
+        found = wanted.join(bins.drop("__bin"), keep).where((F.col("__upto") > F.col("__r")) & (F.col("__upto") - F.col("__k") <= F.col("__r")))
+        wanted = cut(found.select(*keep, F.col("__least").alias("__lo"), F.col("__most").alias("__hi"), (F.col("__r") - F.col("__upto") + F.col("__k")).alias("__r"), "__f", F.coalesce("__after", "__next").alias("__next")))
+    last = own.join(wanted.select(*keep, "__lo", "__hi"), by).where(F.col("__v").between(F.col("__lo"), F.col("__hi"))).groupBy(*keep, "__v").agg(F.count(F.lit(1)).alias("__k"))
+    w = Window.partitionBy(*keep).orderBy("__v")
+    last = last.withColumns({"__upto": F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__v").over(w)})
+    hit = wanted.join(last, keep).where((F.col("__upto") > F.col("__r")) & (F.col("__upto") - F.col("__k") <= F.col("__r")))
+    above = F.when(F.col("__upto") > F.col("__r") + 1, F.col("__v")).otherwise(F.coalesce("__after", "__next", "__v"))
+    got = hit.select(*by, "__name", (F.col("__v") + F.col("__f") * (above - F.col("__v"))).alias("__p"))
+    out = got.groupBy(*by).agg(*(F.max(F.when(F.col("__name") == name, F.col("__p"))).alias(name) for name in shares))
+    return out.drop("__all") if plain else out
 
 
 def statistics(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
     """Count, mean, median, deviation, extremes, upper percentiles of each group."""
-    return df.groupBy(*(by or [])).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("mean"),
-        F.median(value).alias("median"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.percentile(value, F.lit(0.95)).alias("p95"),
-        F.percentile(value, F.lit(0.99)).alias("p99"),
-    )
+    plain = df.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    ranked = percentiles(df, value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, by)
+    return plain.join(ranked, by, "left") if by else plain.join(F.broadcast(ranked), how="left")
 
 
 def beside(df: DataFrame, stats: DataFrame, by: list[str] | None) -> DataFrame:
@@ -45,7 +80,9 @@ def normalise(df: DataFrame, value: str, kind: str, mask: Column, out: str = "no
     if kind == "risk":
         inside = inside & (F.col(value) > 0)
     own = F.when(inside, F.col(value))
-    stats = df.groupBy(*(by or [])).agg(F.max(own).alias("__top"), F.percentile(own, F.lit(0.99)).alias("__p99"))
+    stats = df.groupBy(*(by or [])).agg(F.max(own).alias("__top"))
+    p99 = percentiles(df, own, {"__p99": 0.99}, by)
+    stats = stats.join(p99, by, "left") if by else stats.join(p99, how="left")
     full = beside(df, stats, by)
     top = F.when(F.col("__top") > 0, F.col("__top"))
     scaled = F.coalesce(rescaled(F.col(value), NORMALISERS[kind], top, F.col("__p99")), F.lit(NORMALISERS[kind].floor))

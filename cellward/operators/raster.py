@@ -1,16 +1,21 @@
 """Map algebra on cell tables with integer ``row`` and ``col``.
 
-Neighbourhoods are equi-joins on shifted keys: each cell is exploded to the cells it reaches, and grouped.  That
-shuffles each layer by cell once a pass, whatever its size, and no cell meets all others.
+Neighbourhoods of a few cells are equi-joins on shifted keys.  Larger ones are worked out tile by tile: each cell goes
+to its own tile and to the tiles whose rim it lies on, one shuffle of the layer and its rims, and a task holds one tile.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cells of a tile's side.
+TILE = 256
 KEY = ["row", "col"]
 
 
@@ -23,42 +28,71 @@ def _shifts(pairs: list[tuple[int, int, float]]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(w).alias("w")) for r, c, w in pairs)))
 
 
-def reflect(index: Column, size: int) -> Column:
-    """Index of a cell beyond the edge, mirrored with the edge cell repeated."""
-    return F.when(index < 0, -index - 1).when(index >= size, 2 * size - index - 1).otherwise(index)
+def tiled(df: DataFrame, value: Column, rows: int, cols: int, rim: int, work: Callable, out: str, kind: str, tile: int = TILE) -> DataFrame:
+    """(row, col, out): ``work`` maps a tile with its rim, as an array of doubles (0 where there is no cell), to an array of the same shape.
+
+    It is called with the array and, for its four sides (top, bottom, left, right), how many cells of the rim lie beyond
+    the grid and are missing from the array.
+    """
+    over = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - rim) / tile), F.lit(0)), F.least(F.floor((F.col(c) + rim) / tile), F.lit((n - 1) // tile))))
+    dealt = df.select(*KEY, F.coalesce(value.cast("double"), F.lit(0.0)).alias("v")).withColumn("tr", over("row", rows)).withColumn("tc", over("col", cols))
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = key[0] * tile, key[1] * tile
+        top, left = max(0, r0 - rim), max(0, c0 - rim)
+        bottom, right = min(rows, r0 + tile + rim), min(cols, c0 + tile + rim)
+        r, c = frame["row"].to_numpy(), frame["col"].to_numpy()
+        field = np.zeros((bottom - top, right - left))
+        field[r - top, c - left] = frame["v"].to_numpy()
+        done = work(field, (rim - (r0 - top), rim - max(0, bottom - min(rows, r0 + tile)), rim - (c0 - left), rim - max(0, right - min(cols, c0 + tile))))
+        own = (r >= r0) & (r < r0 + tile) & (c >= c0) & (c < c0 + tile)
+        return pd.DataFrame({"row": r[own], "col": c[own], out: done[r[own] - top, c[own] - left]})
+
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return dealt.groupBy("tr", "tc").applyInPandas(run, f"row {types['row']}, col {types['col']}, {out} {kind}")
 
 
-def gaussian(df: DataFrame, value: str, rows: int, cols: int, sigma: float = 1.0, edge: str = "reflect", out: str = "smooth") -> DataFrame:
-    """Separable Gaussian of radius int(4 sigma + 0.5) over a whole grid; nulls count as 0.
+def gaussian(df: DataFrame, value: str, rows: int, cols: int, sigma: float = 1.0, edge: str = "reflect", out: str = "smooth", tile: int = TILE) -> DataFrame:
+    """Separable Gaussian of radius int(4 sigma + 0.5) over a grid; nulls and missing cells count as 0.
 
-    Each pass gathers: a cell asks for the cells of its row (then column) within the radius, mirrored
-    (``reflect``) or clamped (``nearest``) at the edges.
+    Beyond the edges the grid is mirrored with the edge cell repeated (``reflect``) or the edge goes on (``nearest``).
     """
     radius = int(4 * sigma + 0.5)
-    taps = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-radius, radius + 1)]
-    taps = [(d - radius, t / sum(taps)) for d, t in enumerate(taps)]
-    place = (lambda i, n: reflect(i, n)) if edge == "reflect" else (lambda i, n: F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)))
-    layer = df.select(*KEY, F.coalesce(value, F.lit(0.0)).alias("v"))
-    for axis, other, n in (("col", "row", cols), ("row", "col", rows)):
-        asked = layer.select(*KEY, _shifts([(0, d, w) for d, w in taps]).alias("s")).select(*KEY, place(F.col(axis) + F.col("s.c"), n).alias("__at"), F.col("s.w").alias("__w"))
-        given = layer.select(F.col(other).alias("__o"), F.col(axis).alias("__at"), "v")
-        layer = asked.withColumn("__o", F.col(other)).join(given, ["__o", "__at"]).groupBy(*KEY).agg(F.sum(F.col("__w") * F.col("v")).alias("v"))
-    return layer.withColumnRenamed("v", out)
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    mode = "symmetric" if edge == "reflect" else "edge"
+
+    def work(field, beyond):
+        a = np.pad(field, ((beyond[0], beyond[1]), (beyond[2], beyond[3])), mode=mode)
+        for axis in (0, 1):
+            a = np.pad(a, [(radius, radius) if i == axis else (0, 0) for i in (0, 1)])
+            n = a.shape[axis] - 2 * radius
+            a = sum(w * np.take(a, range(k, k + n), axis=axis) for k, w in enumerate(taps))
+        return a[beyond[0] : a.shape[0] - beyond[1], beyond[2] : a.shape[1] - beyond[3]]
+
+    return tiled(df, F.col(value), rows, cols, radius, work, out, "double", tile)
 
 
 def disk(radius: int) -> list[tuple[int, int]]:
     return [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if r * r + c * c <= radius * radius]
 
 
-def closing(df: DataFrame, mask: str, rows: int, cols: int, radius: int = 1, out: str = "closed") -> DataFrame:
+def closing(df: DataFrame, mask: str, rows: int, cols: int, radius: int = 1, out: str = "closed", tile: int = TILE) -> DataFrame:
     """Binary dilation and erosion with a disk; beyond the grid is empty for the first and full for the second."""
     reach = disk(radius)
-    spread = df.where(mask).withColumn("s", _shifts([(r, c, 1.0) for r, c in reach]))
-    grow = spread.select((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).distinct()
-    votes = grow.withColumn("s", _shifts([(r, c, 1.0) for r, c in reach])).select((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    inside = [F.when((F.col("row") + r).between(0, rows - 1) & (F.col("col") + c).between(0, cols - 1), 1).otherwise(0) for r, c in reach]
-    needed = sum(inside[1:], inside[0])
-    return df.select(*KEY).join(votes, KEY, "left").withColumn(out, F.coalesce(F.col("n"), F.lit(0)) == needed).drop("n")
+
+    def work(field, beyond):
+        h, w = field.shape
+        padded = np.pad(field > 0, radius)
+        grown = np.zeros((h, w), bool)
+        for r, c in reach:
+            grown |= padded[radius + r : radius + r + h, radius + c : radius + c + w]
+        padded, left = np.pad(grown, radius, constant_values=True), np.ones((h, w), bool)
+        for r, c in reach:
+            left &= padded[radius + r : radius + r + h, radius + c : radius + c + w]
+        return left
+
+    return tiled(df, F.when(F.col(mask), 1.0).otherwise(0.0), rows, cols, 2 * radius, work, out, "boolean", tile)
 
 
 def nearest(df: DataFrame, value: str, targets: DataFrame, ratio: float, out: str = "v") -> DataFrame:
@@ -102,10 +136,10 @@ REDUCERS = {
 }
 
 
-def coarser(df: DataFrame, value: str, k: int, how: str = "average", out: str = "v") -> DataFrame:
-    """K by k cells in one."""
+def coarser(df: DataFrame, value: str, k: int, how: list[str]) -> DataFrame:
+    """K by k cells in one, a column for each of the ways, all in one pass."""
     part = lambda c: F.floor(F.col(c) / k).cast("int").alias(c)
-    return df.select(part("row"), part("col"), F.col(value).alias("__v")).groupBy(*KEY).agg(REDUCERS[how](F.col("__v")).alias(out))
+    return df.select(part("row"), part("col"), F.col(value).alias("__v")).groupBy(*KEY).agg(*(REDUCERS[h](F.col("__v")).alias(h) for h in how))
 
 
 def pyramid(df: DataFrame, value: str, levels: list[int], out: str = "v") -> DataFrame:

@@ -212,9 +212,9 @@ def context_adjust(spark, d):
 @query(f"""WITH {CELLS}, c AS (SELECT id, zone, h * CASE WHEN w > 0.5 THEN 1.15 ELSE 1.0 END * CASE WHEN land THEN 1.1 ELSE 1.0 END AS v, dem FROM cells),
 s AS (SELECT zone, quantile_cont(v, 0.99) AS p FROM c GROUP BY 1) SELECT id, round(CASE WHEN dem > 0 THEN CASE WHEN p > 1 THEN v / p ELSE v END ELSE 0.0 END, 6) AS hazard FROM c JOIN s USING (zone)""")
 def hazard_combine(spark, d):
-    """Factors multiplied, rescaled by the 99th percentile, masked."""
+    """Factors multiplied, rescaled by the 99th percentile, masked."""
     own = cells(spark, d).withColumn("v", F.col("h") * F.when(F.col("w") > 0.5, 1.15).otherwise(1.0) * F.when(F.col("land"), 1.1).otherwise(1.0))
-    full = own.join(own.groupBy("zone").agg(F.percentile("v", F.lit(0.99)).alias("p")), "zone")
+    full = own.join(normalise.percentiles(own, F.col("v"), {"p": 0.99}, ["zone"]), "zone")
     return full.select("id", F.round(F.when(F.col("dem") > 0, F.when(F.col("p") > 1, F.col("v") / F.col("p")).otherwise(F.col("v"))).otherwise(0.0), 6).alias("hazard"))
 
 
@@ -266,7 +266,7 @@ SELECT CAST(floor((dem - lo) / (hi - lo) * 100) AS BIGINT) + 1 AS bin, count(*)
 def elevation_histogram(spark, d):
     """100 bins between padded percentiles."""
     own = cells(spark, d)
-    edge = own.agg((F.percentile("dem", F.lit(0.02)) - 30).alias("lo"), (F.percentile("dem", F.lit(0.98)) + 100).alias("hi"))
+    edge = normalise.percentiles(own, F.col("dem"), {"lo": 0.02, "hi": 0.98}).select((F.col("lo") - 30).alias("lo"), (F.col("hi") + 100).alias("hi"))
     return normalise.beside(own, edge, None).groupBy(F.width_bucket("dem", "lo", "hi", F.lit(100)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -329,11 +329,14 @@ def height(df):
 
 
 _TAPS = "taps AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * k * k)) FROM range(-4, 5) t(k)) AS w FROM range(-4, 5) s(d))"
-_GSQL = """p1 AS (SELECT a.row, a.col, sum(w * coalesce(b.v, 0)) AS v FROM g a CROSS JOIN taps JOIN g b ON b.row = a.row AND b.col = CASE WHEN a.col + d < 0 THEN -(a.col + d) - 1 WHEN a.col + d >= 100 THEN 199 - (a.col + d) ELSE a.col + d END GROUP BY 1, 2),
-p2 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM p1 a CROSS JOIN taps CROSS JOIN hh JOIN p1 b ON b.col = a.col AND b.row = CASE WHEN a.row + d < 0 THEN -(a.row + d) - 1 WHEN a.row + d >= rows THEN 2 * rows - 1 - (a.row + d) ELSE a.row + d END GROUP BY 1, 2)"""
+#: Over the whole rectangle: cells that aren't there are 0, and the mirrored edges repeat as often as the radius asks.
+_GSQL = """f AS (SELECT x.r AS row, y.c AS col, coalesce(g.v, 0.0::DOUBLE) AS v FROM (SELECT unnest(range(0, rows)) AS r FROM hh) x CROSS JOIN range(0, 100) y(c) LEFT JOIN g ON g.row = x.r AND g.col = y.c),
+p1 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM f a CROSS JOIN taps JOIN f b ON b.row = a.row AND b.col = CASE WHEN (a.col + d + 200) % 200 >= 100 THEN 199 - (a.col + d + 200) % 200 ELSE (a.col + d + 200) % 200 END GROUP BY 1, 2),
+m AS (SELECT a.row, a.col, w, (a.row + d + 8 * rows) % (2 * rows) AS at, rows FROM p1 a CROSS JOIN taps CROSS JOIN hh),
+p2 AS (SELECT m.row, m.col, sum(w * b.v) AS v FROM m JOIN p1 b ON b.col = m.col AND b.row = CASE WHEN at >= m.rows THEN 2 * m.rows - 1 - at ELSE at END GROUP BY 1, 2)"""
 
 
-@query(f"WITH {CELLS}, {_GRID}, {_TAPS}, {_GSQL} SELECT row, col, round(v, 6) AS smooth FROM p2")
+@query(f"WITH {CELLS}, {_GRID}, {_TAPS}, {_GSQL} SELECT g.row, g.col, round(p2.v, 6) AS smooth FROM g JOIN p2 ON g.row = p2.row AND g.col = p2.col")
 def gaussian_smooth(spark, d):
     """R5."""
     g = grid(spark, d)
@@ -346,7 +349,35 @@ er AS (SELECT g.row, g.col, bool_and(NOT (g.row + r BETWEEN 0 AND rows - 1 AND g
 def binary_closing(spark, d):
     """R6 with a disk of radius 1."""
     own = grid(spark, d).withColumn("m", F.col("v") > 0.6)
-    return raster.closing(own, "m", height(own), COLS, 1)
+    return raster.closing(own, "m", height(own), COLS, 1, tile=32)
+
+
+_CLOSED = """k AS (SELECT r, c FROM range(-12, 13) s(r), range(-12, 13) t(c) WHERE r * r + c * c <= 144), m AS (SELECT row, col FROM g WHERE v > 0.995),
+dl AS (SELECT DISTINCT row + r AS row, col + c AS col FROM m, k, hh WHERE row + r BETWEEN 0 AND rows - 1 AND col + c BETWEEN 0 AND 99),
+er AS (SELECT g.row, g.col, bool_and(NOT (g.row + r BETWEEN 0 AND rows - 1 AND g.col + c BETWEEN 0 AND 99) OR dl.row IS NOT NULL) AS closed FROM g CROSS JOIN k CROSS JOIN hh LEFT JOIN dl ON dl.row = g.row + r AND dl.col = g.col + c GROUP BY 1, 2)"""
+
+
+def _closed(spark, d):
+    own = grid(spark, d).withColumn("m", F.col("v") > 0.995)
+    return raster.closing(own, "m", height(own), COLS, 12, tile=32), height(own)
+
+
+@query(f"WITH {CELLS}, {_GRID}, {_CLOSED} SELECT row, col, closed FROM er")
+def closing_of_radius_12(spark, d):
+    """R6 with the least radius that outlines use."""
+    return _closed(spark, d)[0]
+
+
+@query(f"""WITH {CELLS}, {_GRID}, {_CLOSED}, taps AS (SELECT d, exp(-0.5 * d * d / 36) / (SELECT sum(exp(-0.5 * k * k / 36)) FROM range(-24, 25) t(k)) AS w FROM range(-24, 25) s(d)),
+f AS (SELECT x.r AS row, y.c AS col, CASE WHEN er.closed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(range(0, rows)) AS r FROM hh) x CROSS JOIN range(0, 100) y(c) LEFT JOIN er ON er.row = x.r AND er.col = y.c),
+p1 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM f a CROSS JOIN taps JOIN f b ON b.row = a.row AND b.col = least(greatest(a.col + d, 0), 99) GROUP BY 1, 2),
+p2 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM p1 a CROSS JOIN taps CROSS JOIN hh JOIN p1 b ON b.col = a.col AND b.row = least(greatest(a.row + d, 0), rows - 1) GROUP BY 1, 2)
+SELECT er.row, er.col, round(p2.v, 6) AS smooth, p2.v >= 0.5 AS inside FROM er JOIN p2 ON er.row = p2.row AND er.col = p2.col""")
+def closed_mask_smoothed(spark, d):
+    """Gaussian of half the radius over the closed mask with the edges going on, cut at a half."""
+    mask, rows = _closed(spark, d)
+    smooth = raster.gaussian(mask.withColumn("v", F.col("closed").cast("double")), "v", rows, COLS, 6.0, "nearest", tile=32)
+    return smooth.select("row", "col", F.round("smooth", 6).alias("smooth"), (F.col("smooth") >= 0.5).alias("inside"))
 
 
 _TARGETS = "tg AS (SELECT r AS row, c AS col FROM hh, range(0, 66) b(c), LATERAL (SELECT unnest(range(0, CAST(floor(rows / 1.5) AS BIGINT))) AS r) a)"
@@ -385,10 +416,7 @@ def overview_pyramid(spark, d):
 @query(f"""WITH {CELLS}, {_GRID} SELECT CAST(row // 4 AS INTEGER) AS row, CAST(col // 4 AS INTEGER) AS col, round(quantile_cont(v, 0.5), 6) AS med, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3, min(v) AS min, max(v) AS max, round(sqrt(avg(v * v)), 6) AS rms FROM g GROUP BY 1, 2""")
 def coarser_reducers(spark, d):
     """R3b."""
-    own, out = grid(spark, d), None
-    for how in ("med", "q1", "q3", "min", "max", "rms"):
-        part = raster.coarser(own, "v", 4, how, how)
-        out = part if out is None else out.join(part, ["row", "col"])
+    out = raster.coarser(grid(spark, d), "v", 4, ["med", "q1", "q3", "min", "max", "rms"])
     return out.select("row", "col", *(F.round(c, 6).alias(c) for c in ("med", "q1", "q3")), "min", "max", F.round("rms", 6).alias("rms"))
 
 
