@@ -211,41 +211,52 @@ class Models:
 
 
 class Scorer:
-    """Mean log perplexities of texts under a model without their own counts."""
+    """Mean log perplexities of texts under models without the texts' own counts.
 
-    def __init__(self, models: Models):
-        self.models = models
+    Which n-grams, contexts and endings each text has is worked out once and serves for every model.
+    """
 
-    def score(self, lang: str, bodies: list[bytes]) -> np.ndarray:
-        """Mean negative log probability of each text's characters; 0 for an empty text."""
-        text, gram = symbols(bodies)
-        seen = np.bincount(text, minlength=len(bodies))
-        if not len(gram):
-            return np.zeros(len(bodies))
-        low = (1 << _WIDE) - 1
-        key, at, own = np.unique((text << _WIDE) | gram, return_inverse=True, return_counts=True)
-        place, terms = at, []
+    def __init__(self, models: Models, bodies: list[bytes]):
+        self.models, self.size = models, len(bodies)
+        self.text, gram = symbols(bodies)
+        self.key, self.place, self.own = np.unique((self.text << _WIDE) | gram, return_inverse=True, return_counts=True)
+        self.levels, key = [], self.key
         for order in range(ORDER, 0, -1):
-            context, of = np.unique((key >> _WIDE << _WIDE) | ((key & low) >> BITS), return_inverse=True)
-            n, total, kinds = self.models.look_up(lang, order, key & low, context & low)
-            d = self.models.discounts(lang, order)
+            of_text, gram = key >> _WIDE << _WIDE, key & ((1 << _WIDE) - 1)
+            context, of = np.unique(of_text | (gram >> BITS), return_inverse=True)
+            following, at = np.unique(of_text | (gram & ((1 << (BITS * (order - 1))) - 1)), return_inverse=True)
+            self.levels.append((order, key, context, of, following, at))
+            key = following
+
+    def score(self, lang: str | list[str]) -> np.ndarray:
+        """Mean negative log probability of each text's characters, under one model or each text's own; 0 for an empty text."""
+        if not len(self.key):
+            return np.zeros(self.size)
+        names, model = np.unique(np.array([lang] if isinstance(lang, str) else lang, object), return_inverse=True)
+        model = np.broadcast_to(model, self.size) if isinstance(lang, str) else model
+        low, own, terms = (1 << _WIDE) - 1, self.own, []
+        for order, key, context, of, following, at in self.levels:
+            n, total, kinds, d = np.zeros(len(key), np.int64), np.zeros(len(context), np.int64), np.zeros((3, len(context)), np.int64), np.zeros((len(names), 4))
+            of_key, of_context = model[key >> _WIDE], model[context >> _WIDE]
+            for i, name in enumerate(names.tolist()):
+                mine, there = (slice(None), slice(None)) if len(names) == 1 else (np.flatnonzero(of_key == i), np.flatnonzero(of_context == i))
+                n[mine], total[there], kinds[:, there] = self.models.look_up(name, order, key[mine] & low, context[there] & low)
+                d[i] = self.models.discounts(name, order)
             rest = np.maximum(n - own, 0)
             total = total - np.bincount(of, n - rest, minlength=len(context))
             free = np.zeros(len(context))
             for i in (1, 2, 3):
                 moved = (np.minimum(rest, 3) == i).astype(np.int64) - (np.minimum(n, 3) == i)
-                free += d[i] * (kinds[i - 1] + np.bincount(of, moved, minlength=len(context)))
+                free += d[of_context, i] * (kinds[i - 1] + np.bincount(of, moved, minlength=len(context)))
             total, free = total[of], free[of]
             known, some = total > 0, np.maximum(total, 1)
-            terms.append((np.where(known, (rest - d[np.minimum(rest, 3)]) / some, 0.0), np.where(known, free / some, 1.0), at))
+            terms.append((np.where(known, (rest - d[of_key, np.minimum(rest, 3)]) / some, 0.0), np.where(known, free / some, 1.0), at))
             # what only this text has is one n-gram less for its ending
-            key, at = np.unique((key >> _WIDE << _WIDE) | (key & ((1 << (BITS * (order - 1))) - 1)), return_inverse=True)
-            own = np.bincount(at, (n > 0) & (rest == 0), minlength=len(key)).astype(np.int64)
-            terms[-1] = (*terms[-1][:2], at)
-        p = np.full(len(key), 1.0 / (1 << BITS))
+            own = np.bincount(at, (n > 0) & (rest == 0), minlength=len(following)).astype(np.int64)
+        p = np.full(len(self.levels[-1][4]), 1.0 / (1 << BITS))
         for first, weight, at in reversed(terms):
             p = first + weight * p[at]
-        return -np.bincount(text, np.log(p)[place], minlength=len(bodies)) / np.maximum(seen, 1)
+        return -np.bincount(self.text, np.log(p)[self.place], minlength=self.size) / np.maximum(np.bincount(self.text, minlength=self.size), 1)
 
 
 def features(bodies: list[bytes]) -> dict[str, np.ndarray]:
@@ -292,13 +303,8 @@ def _models(folder: str) -> Models:
 
 def _judged(folder: str, bodies: list[bytes], langs: list[str]):
     """Counts, base_failed, and the two log perplexities of texts."""
-    f = features(bodies)
-    scorer, own = Scorer(_models(folder)), np.zeros(len(bodies))
-    names, of = np.unique(np.array(langs, object), return_inverse=True)
-    for i, lang in enumerate(names.tolist()):
-        here = np.flatnonzero(of == i)
-        own[here] = scorer.score(lang, [bodies[j] for j in here.tolist()])
-    return f, base_failed(f), own, scorer.score(ALL, bodies)
+    f, scorer = features(bodies), Scorer(_models(folder), bodies)
+    return f, base_failed(f), scorer.score(langs), scorer.score(ALL)
 
 
 def score(docs: DataFrame, folder: str) -> DataFrame:

@@ -76,16 +76,19 @@ def test_perplexity_without_the_texts_own_counts(spark, part):
     alone, nothing = [text(30)], [text(20)]
     rows = [(x, lang) for lang, xs in (("en", en), ("fr", fr), ("rare", alone), (None, nothing)) for x in xs]
     folder = quality.train(spark.createDataFrame(rows, "text string, lang string"), part)
-    scorer, everything = quality.Scorer(quality.Models(folder)), [x for x, _ in rows]
+    models, everything = quality.Models(folder), [x for x, _ in rows]
+    mixed = dict(zip(everything, quality.Scorer(models, [x.encode() for x in everything]).score([f"x{lang.encode().hex().upper()}" if lang else "null" for _, lang in rows])))
     hashed = {c: chr(1 + int(quality.t.mix(np.array([ord(c)], np.uint64))[0] % np.uint64((1 << quality.BITS) - 1))) for c in "\u4e2d\u6587"}
     known = lambda xs: ["".join(hashed.get(c, c) for c in x) for x in xs]
     for key, texts in (("x656E", en), ("x6672", fr), ("x72617265", alone), ("null", nothing), (quality.ALL, everything)):
-        got = scorer.score(key, [x.encode() for x in texts])
+        got = quality.Scorer(models, [x.encode() for x in texts]).score(key)
+        if key != quality.ALL:
+            assert got.tolist() == pytest.approx([mixed[x] for x in texts], rel=1e-12)
         plain = known(texts)
         d = counts_of_counts(plain)
         for i, x in enumerate(plain):
             assert got[i] == pytest.approx(plain_log_perplexity(plain[:i] + plain[i + 1 :], x, d), rel=1e-9), (key, i)
-    assert scorer.score("x00", [b"ab"])[0] == pytest.approx(np.log(1 << quality.BITS))  # a language without a model
+    assert quality.Scorer(models, [b"ab"]).score("x00")[0] == pytest.approx(np.log(1 << quality.BITS))  # a language without a model
 
 
 def test_small_languages_and_nulls_stay(spark):
