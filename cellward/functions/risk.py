@@ -22,6 +22,11 @@ def elevation_risk(dem: Column, rise: Column, reach: Column, decay: float = 1.4,
     )
 
 
+def uniform_risk(low: Column, safe: float = 25.0) -> Column:
+    """R9 where all of the study area has one elevation."""
+    return F.when(low <= safe, 0.3).otherwise(0.05)
+
+
 def reach_of(low: Column, high: Column) -> Column:
     """Vulnerable height: three tenths of the elevation range, 10 m at least (A5)."""
     return F.greatest(F.lit(10.0), 0.3 * (high - low))

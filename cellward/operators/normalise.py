@@ -72,21 +72,34 @@ def rescaled(v: Column, p: Normaliser, top: Column, p99: Column) -> Column:
     return F.greatest(out, F.lit(p.floor))
 
 
-def normalise(df: DataFrame, value: str, kind: str, mask: Column, out: str = "normalised", by: list[str] | None = None) -> DataFrame:
-    """N1 to N5 by kind (N7); cells outside the mask get 0, masked zeros the floor.  Unknown kinds raise."""
+def normalise_all(df: DataFrame, kind: str, columns: dict[str, tuple[str, Column]], by: list[str] | None = None) -> DataFrame:
+    """N1 to N5 by kind (N7), for several columns at once: {new column: (column, mask)}.
+
+    Cells outside a mask get 0, masked zeros the floor.  Unknown kinds raise.  The statistics of all columns come from
+    one set of passes over (name, value) rows; they are a row for each group, cut, so that the layer stands once in the plan.
+    """
     if kind not in NORMALISERS:
         raise ValueError(f"no normaliser named {kind}")
-    inside = F.coalesce(mask, F.lit(False)) & F.col(value).isNotNull()
-    if kind == "risk":
-        inside = inside & (F.col(value) > 0)
-    own = F.when(inside, F.col(value))
-    stats = df.groupBy(*(by or [])).agg(F.max(own).alias("__top"))
-    p99 = percentiles(df, own, {"__p99": 0.99}, by)
-    stats = stats.join(p99, by, "left") if by else stats.join(p99, how="left")
-    full = beside(df, stats, by)
-    top = F.when(F.col("__top") > 0, F.col("__top"))
-    scaled = F.coalesce(rescaled(F.col(value), NORMALISERS[kind], top, F.col("__p99")), F.lit(NORMALISERS[kind].floor))
-    return full.withColumn(out, F.when(inside, scaled).otherwise(0.0)).drop("__top", "__p99")
+    by, own = by or [], {}
+    for out, (value, mask) in columns.items():
+        inside = F.coalesce(mask, F.lit(False)) & F.col(value).isNotNull()
+        own[out] = (inside & (F.col(value) > 0) if kind == "risk" else inside, F.col(value))
+    values = F.array(*(F.struct(F.lit(out).alias("out"), F.when(inside, v.cast("double")).alias("v")) for out, (inside, v) in own.items()))
+    long = df.select(*by, F.explode(values).alias("x")).select(*by, F.col("x.out").alias("__out"), F.col("x.v").alias("__value"))
+    stats = long.groupBy(*by, "__out").agg(F.max("__value").alias("__top")).join(percentiles(long, F.col("__value"), {"__p99": 0.99}, [*by, "__out"]), [*by, "__out"], "left")
+    only = lambda out, c: F.max(F.when(F.col("__out") == out, F.col(c))).alias(f"{c}_{out}")
+    full = beside(df, cut(stats.groupBy(*by).agg(*(only(out, c) for out in own for c in ("__top", "__p99")))), by or None)
+    p = NORMALISERS[kind]
+    for out, (inside, v) in own.items():
+        top = F.col(f"__top_{out}")
+        scaled = F.coalesce(rescaled(v, p, F.when(top > 0, top), F.col(f"__p99_{out}")), F.lit(p.floor))
+        full = full.withColumn(out, F.when(inside, scaled).otherwise(0.0)).drop(f"__top_{out}", f"__p99_{out}")
+    return full
+
+
+def normalise(df: DataFrame, value: str, kind: str, mask: Column, out: str = "normalised", by: list[str] | None = None) -> DataFrame:
+    """One column of ``normalise_all``."""
+    return normalise_all(df, kind, {out: (value, mask)}, by)
 
 
 def conserve(df: DataFrame, value: str, target: DataFrame, total: str, by: list[str] | None = None, out: str = "conserved") -> DataFrame:

@@ -28,17 +28,17 @@ def _shifts(pairs: list[tuple[int, int, float]]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(w).alias("w")) for r, c, w in pairs)))
 
 
-def tiled(df: DataFrame, value: Column, rows: int, cols: int, rim: int, work: Callable, out: str, kind: str, tile: int = TILE) -> DataFrame:
-    """(row, col, out): ``work`` maps a tile with its rim, as an array of doubles (0 where there is no cell), to an array of the same shape.
+def tiled(df: DataFrame, value: Column, rows: int, cols: int, rim: int, work: Callable, out: str, kind: str, tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, row, col, out): ``work`` maps a tile with its rim, as an array of doubles (0 where there is no cell), to an array of the same shape.
 
     It is called with the array and, for its four sides (top, bottom, left, right), how many cells of the rim lie beyond
-    the grid and are missing from the array.
+    the grid and are missing from the array.  Each value of the columns ``by`` is a layer of its own.
     """
     over = lambda c, n: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - rim) / tile), F.lit(0)), F.least(F.floor((F.col(c) + rim) / tile), F.lit((n - 1) // tile))))
-    dealt = df.select(*KEY, F.coalesce(value.cast("double"), F.lit(0.0)).alias("v")).withColumn("tr", over("row", rows)).withColumn("tc", over("col", cols))
+    dealt = df.select(*by, *KEY, F.coalesce(value.cast("double"), F.lit(0.0)).alias("v")).withColumn("tr", over("row", rows)).withColumn("tc", over("col", cols))
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = key[0] * tile, key[1] * tile
+        r0, c0 = key[-2] * tile, key[-1] * tile
         top, left = max(0, r0 - rim), max(0, c0 - rim)
         bottom, right = min(rows, r0 + tile + rim), min(cols, c0 + tile + rim)
         r, c = frame["row"].to_numpy(), frame["col"].to_numpy()
@@ -46,13 +46,14 @@ def tiled(df: DataFrame, value: Column, rows: int, cols: int, rim: int, work: Ca
         field[r - top, c - left] = frame["v"].to_numpy()
         done = work(field, (rim - (r0 - top), rim - max(0, bottom - min(rows, r0 + tile)), rim - (c0 - left), rim - max(0, right - min(cols, c0 + tile))))
         own = (r >= r0) & (r < r0 + tile) & (c >= c0) & (c < c0 + tile)
-        return pd.DataFrame({"row": r[own], "col": c[own], out: done[r[own] - top, c[own] - left]})
+        return pd.DataFrame({**dict(zip(by, key)), "row": r[own], "col": c[own], out: done[r[own] - top, c[own] - left]})
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return dealt.groupBy("tr", "tc").applyInPandas(run, f"row {types['row']}, col {types['col']}, {out} {kind}")
+    schema = ", ".join(f"{c} {types[c]}" for c in (*by, *KEY))
+    return dealt.groupBy(*by, "tr", "tc").applyInPandas(run, f"{schema}, {out} {kind}")
 
 
-def gaussian(df: DataFrame, value: str, rows: int, cols: int, sigma: float = 1.0, edge: str = "reflect", out: str = "smooth", tile: int = TILE) -> DataFrame:
+def gaussian(df: DataFrame, value: str, rows: int, cols: int, sigma: float = 1.0, edge: str = "reflect", out: str = "smooth", tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
     """Separable Gaussian of radius int(4 sigma + 0.5) over a grid; nulls and missing cells count as 0.
 
     Beyond the edges the grid is mirrored with the edge cell repeated (``reflect``) or the edge goes on (``nearest``).
@@ -70,7 +71,7 @@ def gaussian(df: DataFrame, value: str, rows: int, cols: int, sigma: float = 1.0
             a = sum(w * np.take(a, range(k, k + n), axis=axis) for k, w in enumerate(taps))
         return a[beyond[0] : a.shape[0] - beyond[1], beyond[2] : a.shape[1] - beyond[3]]
 
-    return tiled(df, F.col(value), rows, cols, radius, work, out, "double", tile)
+    return tiled(df, F.col(value), rows, cols, radius, work, out, "double", tile, by)
 
 
 def disk(radius: int) -> list[tuple[int, int]]:

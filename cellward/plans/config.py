@@ -71,6 +71,7 @@ class Settings:
     safe_elevation: float = 25.0
     decay: float = 1.4
     river_decay: float = 6.0
+    river_distance: float = 750.0
     min_river_area: float = 50_000.0
     hazard_threshold: float = 0.3
     economic_threshold: float = 0.05

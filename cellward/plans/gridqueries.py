@@ -332,8 +332,8 @@ _TAPS = "taps AS (SELECT d, exp(-0.5 * d * d) / (SELECT sum(exp(-0.5 * k * k)) F
 #: Over the whole rectangle: cells that aren't there are 0, and the mirrored edges repeat as often as the radius asks.
 _GSQL = """f AS (SELECT x.r AS row, y.c AS col, coalesce(g.v, 0.0::DOUBLE) AS v FROM (SELECT unnest(range(0, rows)) AS r FROM hh) x CROSS JOIN range(0, 100) y(c) LEFT JOIN g ON g.row = x.r AND g.col = y.c),
 p1 AS (SELECT a.row, a.col, sum(w * b.v) AS v FROM f a CROSS JOIN taps JOIN f b ON b.row = a.row AND b.col = CASE WHEN (a.col + d + 200) % 200 >= 100 THEN 199 - (a.col + d + 200) % 200 ELSE (a.col + d + 200) % 200 END GROUP BY 1, 2),
-m AS (SELECT a.row, a.col, w, (a.row + d + 8 * rows) % (2 * rows) AS at, rows FROM p1 a CROSS JOIN taps CROSS JOIN hh),
-p2 AS (SELECT m.row, m.col, sum(w * b.v) AS v FROM m JOIN p1 b ON b.col = m.col AND b.row = CASE WHEN at >= m.rows THEN 2 * m.rows - 1 - at ELSE at END GROUP BY 1, 2)"""
+m AS (SELECT a.row, a.col, w, (a.row + d + 8 * rows) % (2 * rows) AS q, rows FROM p1 a CROSS JOIN taps CROSS JOIN hh),
+p2 AS (SELECT m.row, m.col, sum(w * b.v) AS v FROM m JOIN p1 b ON b.col = m.col AND b.row = CASE WHEN q >= m.rows THEN 2 * m.rows - 1 - q ELSE q END GROUP BY 1, 2)"""
 
 
 @query(f"WITH {CELLS}, {_GRID}, {_TAPS}, {_GSQL} SELECT g.row, g.col, round(p2.v, 6) AS smooth FROM g JOIN p2 ON g.row = p2.row AND g.col = p2.col")

@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cellward.plans import contentqueries, gridqueries
+from cellward.plans import contentqueries, gridqueries, modelqueries
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = {**gridqueries.QUERIES, **contentqueries.QUERIES}
-ORACLES = {**gridqueries.ORACLES, **contentqueries.ORACLES}
+QUERIES = {**gridqueries.QUERIES, **modelqueries.QUERIES, **contentqueries.QUERIES}
+ORACLES = {**gridqueries.ORACLES, **modelqueries.ORACLES, **contentqueries.ORACLES}
 
 
 @pytest.fixture(scope="module")
