@@ -14,6 +14,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", folder)
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"file://{folder}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
