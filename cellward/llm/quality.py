@@ -11,7 +11,8 @@ hashed.  Each document is judged by what the rest of the corpus says: its own co
 counts, context totals and counts of counts by arithmetic (``Scorer``), which equals a model trained without it
 (with the discounts of all).
 
-Each language has its own band of mean log perplexity, under its own model and under that of all documents: the median
+A document's log perplexity is the median of its segments' (SEGMENT characters each), so that a key, an address or a
+quoted line in it doesn't speak for the whole.  Each language has its own band of it, under its own model and under that of all documents: the median
 of its documents that pass the counting rules, plus and minus WIDTH robust standard deviations.  A document is rejected
 if both models put it on the same side outside.  (Under the model of all documents, prose of several languages isn't
 unlikely, and a rare language has a model to lean on.)  The deviation of a language with few documents leans on that of
@@ -40,6 +41,8 @@ from cellward.llm.sparkops import cut, free_names, fresh_dir, table
 ORDER, BITS = 4, 12
 #: Half the band in robust standard deviations, and documents of the common deviation that each language's counts.
 WIDTH, SHRINK = 6.0, 10
+#: Characters of a segment.
+SEGMENT = 100
 #: Bins of log perplexity a nat.
 BINS = 1000
 #: Entries of a file, counts that a task gathers before it hands them on, and bytes of files that a worker keeps.
@@ -210,8 +213,20 @@ class Models:
         return n, total, kinds
 
 
+def segment_medians(text: np.ndarray, loss: np.ndarray, size: int, segment: int = SEGMENT) -> np.ndarray:
+    """Of each text the median of its segments' means; 0 for an empty text.  ``text`` is in order."""
+    seen = np.bincount(text, minlength=size)
+    first = np.cumsum(seen) - seen
+    many = np.maximum(seen // segment, 1)  # what is left over belongs to the last segment
+    begin = np.cumsum(many) - many
+    part = begin[text] + np.minimum((np.arange(len(text)) - first[text]) // segment, many[text] - 1)
+    mean = np.bincount(part, loss, minlength=int(many.sum())) / np.maximum(np.bincount(part, minlength=int(many.sum())), 1)
+    mean = mean[np.lexsort((mean, np.repeat(np.arange(size), many)))]
+    return (mean[begin + (many - 1) // 2] + mean[begin + many // 2]) / 2
+
+
 class Scorer:
-    """Mean log perplexities of texts under models without the texts' own counts.
+    """Log perplexities of texts under models without the texts' own counts.
 
     Which n-grams, contexts and endings each text has is worked out once and serves for every model.
     """
@@ -229,7 +244,7 @@ class Scorer:
             key = following
 
     def score(self, lang: str | list[str]) -> np.ndarray:
-        """Mean negative log probability of each text's characters, under one model or each text's own; 0 for an empty text."""
+        """Log perplexity of each text by its segments, under one model or each text's own; 0 for an empty text."""
         if not len(self.key):
             return np.zeros(self.size)
         names, model = np.unique(np.array([lang] if isinstance(lang, str) else lang, object), return_inverse=True)
@@ -256,7 +271,7 @@ class Scorer:
         p = np.full(len(self.levels[-1][4]), 1.0 / (1 << BITS))
         for first, weight, at in reversed(terms):
             p = first + weight * p[at]
-        return -np.bincount(self.text, np.log(p)[self.place], minlength=self.size) / np.maximum(np.bincount(self.text, minlength=self.size), 1)
+        return segment_medians(self.text, -np.log(p)[self.place], self.size)
 
 
 def features(bodies: list[bytes]) -> dict[str, np.ndarray]:
