@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellward.operators.spatial import tms_flip
-from cellward.sources.storage import cut
+from cellward.operators.tabular import ordinal
 
 #: Keyword in a layer's name to indicator, first match.
 INDICATORS = (("freight", "Freight"), ("gdp", "GDP"), ("hrst", "HRST"), ("population", "Population"), ("combined", "Combined"))
@@ -152,18 +152,8 @@ def catalogue(files: DataFrame, styles: DataFrame) -> DataFrame:
 
 
 def renumbered(df: DataFrame, order: list) -> DataFrame:
-    """Z order 10, 20, 30 and so on.
-
-    Rows are dealt to ranges of the order; a range's first number is the rows before it, one sum for each range.
-    """
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    numbered = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)}))
-    sizes = numbered.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each range
-    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = numbered.join(F.broadcast(before), "__range").withColumn("z_index", ((F.col("__before") + F.col("__in") + 1) * 10).cast("int"))
-    return out.drop("__at", "__range", "__in", "__before")
+    """Z order 10, 20, 30 and so on."""
+    return ordinal(df, order, "z_index").withColumn("z_index", (F.col("z_index") * 10 + 10).cast("int"))
 
 
 def grouped(df: DataFrame, name: str) -> DataFrame:

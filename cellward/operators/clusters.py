@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellward.operators.tabular import ordinal
 from cellward.sources.storage import cut
 
 
@@ -105,7 +106,7 @@ def connected_cells(cells: DataFrame, diagonal: bool = False, tile: int = 64) ->
 
 def numbered(stats: DataFrame, least_area: float, order: list[str]) -> DataFrame:
     """Large enough clusters, numbered from 0 in a stable order."""
-    return stats.where(F.col("area") >= least_area).withColumn("risk_cluster_id", F.row_number().over(Window.orderBy(*order)) - 1)
+    return ordinal(stats.where(F.col("area") >= least_area), order, "risk_cluster_id").withColumn("risk_cluster_id", F.col("risk_cluster_id").cast("int"))
 
 
 def summary(stats: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellward.operators.normalise import beside
+from cellward.sources.storage import cut
 
 
 def number(text: Column) -> Column:
@@ -91,3 +92,16 @@ def incremental(found: DataFrame, done: DataFrame) -> DataFrame:
 def coverage(df: DataFrame, kind: str, ok: Column) -> DataFrame:
     """Counts and success rate by kind."""
     return df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_ok")).withColumn("rate", F.col("n_ok") / F.col("n"))
+
+
+def ordinal(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Rows with their place in an order, from 0, without bringing them all to one task.
+
+    Rows are dealt to ranges of the order; a range's first place is the number of rows before it, one count for each range.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    placed = cut(dealt.withColumn("__at", F.monotonically_increasing_id()).withColumns({"__range": F.shiftright("__at", 33), "__in": F.col("__at").bitwiseAND((1 << 33) - 1)}))
+    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col("__in")).drop("__at", "__range", "__in", "__before")

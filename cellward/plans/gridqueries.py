@@ -476,11 +476,15 @@ def zone_classes(spark, d):
     return cells(spark, d).select("id", r.zone_class(F.col("dem") < 0, F.col("land")).alias("zone_class"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT a.id, b.id AS other FROM p a JOIN p b ON sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 0.02),
+core AS (SELECT id FROM n GROUP BY id HAVING count(*) >= 4), e AS (SELECT n.id, n.other FROM n WHERE n.id IN (SELECT id FROM core) AND n.other IN (SELECT id FROM core) AND n.id <> n.other),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT e.other, reach.root FROM reach JOIN e ON e.id = reach.id), lab AS (SELECT id, min(root) AS label FROM reach GROUP BY 1),
+border AS (SELECT n.id, arg_min(label, n.other) AS label FROM n JOIN lab ON lab.id = n.other WHERE n.id NOT IN (SELECT id FROM core) GROUP BY 1)
+SELECT p.id, coalesce(lab.label, border.label, -1) AS cluster FROM p LEFT JOIN lab ON lab.id = p.id LEFT JOIN border ON border.id = p.id""")
 def dbscan_clusters(spark, d):
-    """Points from the first two dimensions of the embeddings; tested against brute force."""
+    """Points from the first two dimensions of the embeddings; noise is -1."""
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.element_at("embedding", 1).cast("double").alias("x"), F.element_at("embedding", 2).cast("double").alias("y"))
-    return clusters.dbscan(points, 0.02, 4)
+    return clusters.dbscan(points, 0.02, 4).na.fill(-1)
 
 
 def _risk_clusters(spark, d):
@@ -489,14 +493,20 @@ def _risk_clusters(spark, d):
     return hot.join(found, ["row", "col"]).groupBy("cluster").agg(F.count(F.lit(1)).alias("pixel_count"), F.avg("h").alias("mean_risk"), F.max("h").alias("max_risk"), (F.count(F.lit(1)) * 900.0).alias("area"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, hot AS (SELECT row, col, h, row::BIGINT * 4294967296 + col AS id FROM cells WHERE h > 0.35),
+e AS (SELECT a.id, b.id AS other FROM hot a JOIN hot b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1), reach(id, root) AS (SELECT id, id FROM hot UNION SELECT e.other, reach.root FROM reach JOIN e ON e.id = reach.id),
+lab AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1), t AS (SELECT cluster, count(*) AS pixel_count, avg(h) AS mean_risk, max(h) AS max_risk, count(*) * 900.0::DOUBLE AS area FROM hot JOIN lab ON lab.id = hot.id GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY cluster) - 1 AS INTEGER) AS risk_cluster_id, pixel_count, round(mean_risk, 6) AS mean_risk, max_risk, area FROM t WHERE area >= 2700""")
 def cluster_table(spark, d):
-    """Connected groups of cells over the threshold, numbered; tested against brute force."""
+    """Connected groups of cells over the threshold, numbered."""
     out = clusters.numbered(_risk_clusters(spark, d), 2700.0, ["cluster"])
     return out.select("risk_cluster_id", "pixel_count", F.round("mean_risk", 6).alias("mean_risk"), "max_risk", "area")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, hot AS (SELECT row, col, h, row::BIGINT * 4294967296 + col AS id FROM cells WHERE h > 0.35),
+e AS (SELECT a.id, b.id AS other FROM hot a JOIN hot b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1), reach(id, root) AS (SELECT id, id FROM hot UNION SELECT e.other, reach.root FROM reach JOIN e ON e.id = reach.id),
+lab AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1), t AS (SELECT cluster, count(*) AS pixel_count, avg(h) AS mean_risk, max(h) AS max_risk, count(*) * 900.0::DOUBLE AS area FROM hot JOIN lab ON lab.id = hot.id GROUP BY 1)
+SELECT 'gdp' AS file, count(*) AS n_clusters, round(sum(area) / 1e6, 6) AS total_km2, round(avg(area), 3) AS mean_area, max(area) AS max_area, round(avg(mean_risk), 6) AS mean_risk, max(max_risk) AS max_risk, CAST(sum(pixel_count) AS BIGINT) AS pixels FROM t""")
 def cluster_summary(spark, d):
     """A15."""
     out = clusters.summary(_risk_clusters(spark, d).withColumn("file", F.lit("gdp")), "file")
