@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_url_filter": urls.OP2_SQL,
     "op4_suffix_dedup": repeats.OP4_SQL,
     "op9_warc_derivatives": warc.OP9_SQL,
     "op10_benchmark_decontamination": decontaminate.OP10_SQL,

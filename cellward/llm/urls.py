@@ -110,4 +110,26 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The same with 120 rounds of a recursive table; rules and constants are written out.
+OP2_SQL = r"""
+WITH RECURSIVE a AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM a),
+v(verdict, h, s) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+r AS (SELECT page_id, html, host, path, (SELECT max_by(struct_pack(rule := h || s, verdict := v.verdict), length(h || s)) FROM v WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, s)) AS hit FROM p),
+seeds AS (SELECT host, avg(CASE WHEN hit.verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS good, avg(CASE WHEN hit.verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS bad, count(*) AS n FROM r WHERE host <> '' GROUP BY 1),
+l AS (SELECT host AS src, lower(unnest(regexp_extract_all(coalesce(html, ''), '(?i)href[ 	
+]*=[ 	
+]*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''> 	
+]+)', 1))) AS dst FROM r),
+up AS (SELECT host, substr(host, strpos(host, '.') + 1) AS above, n FROM seeds WHERE strpos(host, '.') > 0),
+u AS (SELECT * FROM up WHERE above IN (SELECT host FROM seeds) OR len(string_split(above, '.')) >= 3),
+e AS (SELECT src, dst, sum(n) AS n FROM (SELECT src, dst, 1 AS n FROM l WHERE src <> '' AND src <> dst UNION ALL SELECT host, above, n FROM u UNION ALL SELECT above, host, n FROM u) GROUP BY 1, 2),
+w AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS forth, n / sum(n) OVER (PARTITION BY dst) AS back FROM e),
+f AS (SELECT a, b, sum(t) AS t, sum(d) AS d FROM (SELECT src AS a, dst AS b, 0.85 * forth AS t, 0.0 AS d FROM w UNION ALL SELECT dst, src, 0.0, 0.85 * back FROM w) GROUP BY 1, 2),
+sc AS (SELECT 0 AS round, host, good AS trust, bad AS distrust FROM seeds
+ UNION ALL SELECT any_value(round) + 1, host, sum(t), sum(d) FROM (SELECT sc.round, b AS host, f.t * sc.trust AS t, f.d * sc.distrust AS d FROM sc JOIN f ON f.a = sc.host UNION ALL SELECT k.round, host, good, bad FROM seeds CROSS JOIN (SELECT DISTINCT round FROM sc) k) x WHERE round < 120 GROUP BY host)
+SELECT page_id, r.host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN distrust > 0.5 AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN (SELECT * FROM sc WHERE round = 120) z ON z.host = r.host
+"""
