@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cellward.llm import textops as t
 from cellward.llm.bpe import vocabulary
 from cellward.llm.sparkops import cut, fresh_dir, partitions, table, texts
-from cellward.llm.tokens import codec
+from cellward.llm.tokens import DEAL, codec
 
 MAGIC, END = b"RVB1", 0
 #: Ids in a file at most, but for one document more.
@@ -74,7 +74,7 @@ def _write(path: str, folder: str, file_ids: int):
     def run(batches):
         from pyarrow import fs
 
-        own = codec(path)
+        own = codec(path, DEAL)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         number, doc_ids, sizes, parts, total = 0, [], [], [], 0

@@ -64,7 +64,7 @@ def latin_pattern(pattern: str) -> re.Pattern[str]:
     return re.compile("".join(out))
 
 
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
 class Pieces(dict):
@@ -83,15 +83,16 @@ class Pieces(dict):
         return ids
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, leaf: int = LEAF) -> Codec:
     """The worker's codec for a vocabulary file; it lives as long as the worker."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    if (path, leaf) not in _CODECS:
+        _CODECS[path, leaf] = Codec(path, leaf)
+    return _CODECS[path, leaf]
 
 
 class Codec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, leaf: int = LEAF):
+        self.leaf = leaf
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -134,7 +135,7 @@ class Codec:
 
     def _piece(self, piece: str) -> bytes:
         symbols = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self.leaf_ids(symbols) if len(symbols) <= LEAF else self.tree(symbols)
+        ids = self.leaf_ids(symbols) if len(symbols) <= self.leaf else self.tree(symbols)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _other(self, text: str) -> bytes:
