@@ -131,11 +131,8 @@ def lyndon_ends(words: list[int], compare: Comparer) -> list[int]:
     return ends
 
 
-def _checked(ids: np.ndarray, start: int, length: int, period: int, first: int, end: int, root: int) -> tuple[int, int]:
-    """Start and length of the stretch, compared word by word; found anew from its root where the hashes were wrong."""
-    a, b = start, start + length
-    if np.array_equal(ids[a : b - period], ids[a + period : b]):
-        return start, length
+def _grown(ids: np.ndarray, root: int, period: int, first: int, end: int) -> tuple[int, int]:
+    """Start and length of the stretch with that period around a root, word by word."""
     a, b = root, root + period
     while b < end and ids[b] == ids[b - period]:
         b += 1
@@ -171,12 +168,13 @@ def find_runs(ids: np.ndarray, first: np.ndarray, least: int = LEAST) -> list[li
     length = left + (j - i) + seq.extend(i, j, high - j)
     some = np.flatnonzero(length >= np.maximum(least, 2 * (j - i)))
     found = np.stack([text[some], i[some] - left[some], j[some] - i[some], length[some], i[some]], 1)
-    keys, at = np.unique(found[:, :4], axis=0, return_index=True)
-    for (k, start, period, size), root in zip(keys.tolist(), found[at, 4].tolist()):
+    keys, group = np.unique(found[:, :4], axis=0, return_inverse=True)
+    for g, (k, start, period, size) in enumerate(keys.tolist()):
         a, b = int(first[k]), int(first[k + 1])
-        start, size = _checked(ids, start, size, period, a, b, root)
-        if size >= max(least, 2 * period):
-            out[k].append((start - a, size, period))
+        stretches = [(start, size)]
+        if not np.array_equal(ids[start : start + size - period], ids[start + period : start + size]):  # the hashes were wrong
+            stretches = [_grown(ids, root, period, a, b) for root in found[group == g, 4].tolist()]
+        out[k] += [(s - a, n, period) for s, n in stretches if n >= max(least, 2 * period)]
     return [sorted(set(runs), key=lambda r: (r[0], r[2])) for runs in out]
 
 
