@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL that checks them."""
 
-from cellward.llm import bpe, decontaminate, licenses, near, periods, quality, repeats, secrets, token_files, urls, warc
+from cellward.llm import bpe, decontaminate, licenses, near, periods, quality, repeats, secrets, spellings, token_files, urls, warc
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": near.op8_ngram_jaccard_join,
     "op9_warc_derivatives": warc.op9_warc_derivatives,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_spelling_variants": spellings.op11_spelling_variants,
     "op12_periodic_runs": periods.op12_periodic_runs,
 }
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +69,46 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def dealt(rows: DataFrame, keys: list[str], salt: str, block: int, few: int = 1 << 16) -> DataFrame:
+    """The rows with ``block``, ``i`` and ``j``: the rows of one key that have the same i and j make a task's work.
+
+    The rows of a key that has more than ``block`` of them fall into blocks by a hash of ``salt``, and every pair of
+    blocks i <= j gets the rows of both; other keys have the one block 0.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > block)
+    large = sized(large.select(*keys, F.ceil(F.col("blocks") / block).cast("int").alias("blocks")), few)
+    rows = rows.join(large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(salt), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def by_group(rows: DataFrame, keys: list[str], work, schema: str, least: int = 2) -> DataFrame:
+    """``work(table)``, which yields record batches, on the rows of each group of at least so many; sorted partitions are read through once."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in map(batch.schema.get_field_index, keys):
+                column = batch.column(k)
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+                new[0] |= not held or held[-1].column(k)[-1] != column[0]
+            cuts = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), batch.num_rows]
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if (n or new[0]) and held:
+                    if sum(x.num_rows for x in held) >= least:
+                        yield from work(pa.Table.from_batches(held))
+                    held = []
+                if b - a >= least or n == 0 or b == batch.num_rows:
+                    held.append(batch.slice(a, b - a))
+        if sum(x.num_rows for x in held) >= least:
+            yield from work(pa.Table.from_batches(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def free_names(columns, *wanted: str) -> list[str]:
     """Names for helper columns like the wanted ones that differ, without case, from all columns."""
     taken, out = {c.lower() for c in columns}, []
