@@ -82,29 +82,26 @@ def dealt(rows: DataFrame, keys: list[str], salt: str, block: int, few: int = 1
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
 
 
-def by_group(rows: DataFrame, keys: list[str], work, schema: str, least: int = 2) -> DataFrame:
-    """``work(table)``, which yields record batches, on the rows of each group of at least so many; sorted partitions are read through once."""
+def by_group(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work(batch, bounds)`` yields record batches; group k of the batch are the rows from bounds[k] to bounds[k + 1], all that have its keys."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
+        held = None
         for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
             if not batch.num_rows:
                 continue
             new = np.zeros(batch.num_rows, bool)
             for k in map(batch.schema.get_field_index, keys):
                 column = batch.column(k)
                 new[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
-                new[0] |= not held or held[-1].column(k)[-1] != column[0]
-            cuts = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), batch.num_rows]
-            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if (n or new[0]) and held:
-                    if sum(x.num_rows for x in held) >= least:
-                        yield from work(pa.Table.from_batches(held))
-                    held = []
-                if b - a >= least or n == 0 or b == batch.num_rows:
-                    held.append(batch.slice(a, b - a))
-        if sum(x.num_rows for x in held) >= least:
-            yield from work(pa.Table.from_batches(held))
+            bounds = [0, *np.flatnonzero(new).tolist()]
+            held = batch.slice(bounds[-1])  # it may go on
+            if bounds[-1]:
+                yield from work(batch.slice(0, bounds[-1]), bounds)
+        if held is not None:
+            yield from work(held, [0, held.num_rows])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

@@ -5,12 +5,12 @@ that occur at least OCCURRENCES times are the vocabulary.  Two words are near if
 replaced code point makes one of the other.
 
 One edit destroys at most q of a word's q-grams, so near words share at least ``longer - q + 1 - q`` of them, in the
-same place or, if one word is longer, one place on.  Ordered from the rarest gram on, at least one shared gram is among
-the first q + 1 of both words.  So every word is sent to the posting lists of its first q + 1 grams only (under the
-shorter length of a pair, and the places that gram may have there).  Within such a list an inverted index of
-(length, gram, place) over all grams is built; for each word the postings that length and place allow are merged with a
-heap, and what comes up often enough is compared letter by letter.  A list of more than BLOCK words is dealt out in
-blocks and every pair of blocks is a task's work of its own.
+same place or, if one word is longer, one place on.  Ordered from the rarest gram on, at least two shared grams are among
+the first q + 2 of both words.  So every word is sent to the posting lists of the pairs of its first q + 2 grams only
+(under the shorter length of a pair of words, and the places that the grams may have there).  Within such a list an
+inverted index of (length, gram, place) over all grams is built; for each word the postings that length and place allow
+are merged with a heap, and what comes up often enough is compared letter by letter.  A list of more than BLOCK words is
+dealt out in blocks, and every pair of blocks is work of its own.
 
 A word's form is its near word of largest count (the smallest in code-point order among equals), if that count is at
 least RATIO times its own; its root is where the forms end.  Counts grow with each form, so there are no cycles.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from cellward.llm.sparkops import by_group, cut, dealt, table, texts
 LETTERS, OCCURRENCES, RATIO = 6, 5, 5
 #: Of runs whose checksum this number divides, one code point is deleted.
 DAMAGE = 199
-#: Letters of a gram.  Words need at least twice as many, or near words might share no gram.
+#: Letters of a gram.  Words need more than twice as many, or near words might share fewer than two grams.
 Q = 2
 BLOCK = 1024
 #: Most grams that are ordered by their frequency; all others count as rarer and go by code points.
@@ -133,19 +134,23 @@ def grams(word: str, q: int) -> list[str]:
 
 
 def _keys(q: int, rank: dict[str, int]):
-    """Of each word the posting lists in which it can meet near ones: (length of the shorter word, gram, place in it)."""
+    """Of each word the posting lists in which it can meet near ones: (length of the shorter word, hash of two grams and their places in it)."""
 
     def run(batches):
         for batch in batches:
-            out = {"word": [], "n": [], "size": [], "gram": [], "place": []}
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = sorted((rank.get(g, 0), g, i) for i, g in enumerate(grams(word, q)))[: q + 1]
-                for _, g, i in own:
-                    for size, place in ((len(word), i), (len(word) - 1, i), (len(word) - 1, i - 1)):
-                        if 0 <= place <= size - q:
-                            for name, value in zip(out, (word, n, size, g, place)):
-                                out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("word", pa.string()), ("n", pa.int64()), ("size", pa.int32()), ("gram", pa.string()), ("place", pa.int32())]))
+            at, sizes, keys = [], [], []
+            for k, word in enumerate(batch.column(0).to_pylist()):
+                own = sorted((rank.get(g, 0), g, i) for i, g in enumerate(grams(word, q)))[: q + 2]
+                n = len(word)
+                for (_, g, i), (_, h, j) in combinations(sorted(own, key=lambda x: x[2]), 2):
+                    # as the shorter or an equally long word, then as the longer one, before or after its additional letter
+                    for size, x, y in ((n, i, j), (n - 1, i, j), (n - 1, i, j - 1), (n - 1, i - 1, j - 1)):
+                        if 0 <= x < y <= size - q:
+                            at.append(k)
+                            sizes.append(size)
+                            keys.append(f"{g}{x},{h}{y}")
+            rows = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.string())], names=["word", "n", "size", "grams"])
 
     return run
 
@@ -173,44 +178,59 @@ def merged(lists: list[list[int]], least: int):
 def near_within(probes: list[tuple[int, str]], indexed: list[tuple[int, str]], size: int, q: int):
     """(i, j) of near words of the two lists, of which the shorter word has that size; i < j where both are of one list."""
     postings: dict[tuple[int, str, int], list[int]] = defaultdict(list)
+    of_size: dict[int, list[int]] = defaultdict(list)
     word = dict(indexed)
     for k, w in indexed:
+        of_size[len(w)].append(k)
         for i, g in enumerate(grams(w, q)):
             postings[len(w), g, i].append(k)
     for k, w in probes:
         own = grams(w, q)
         # two longer words meet under their own length; the longer one's gram stands where the shorter one's does, or one place on
         for other, shifts in ((size, (0,)), (size + 1, (0, 1))) if len(w) == size else ((size, (0, -1)),):
+            everyone = of_size[other]
             lists = [found for i, g in enumerate(own) for d in shifts if (found := postings.get((other, g, i + d)))]
-            for j in merged(lists, max(len(w), other) - q + 1 - q):
+            some = [found for found in lists if len(found) < len(everyone)]
+            least = max(len(w), other) - q + 1 - q - (len(lists) - len(some))  # what all words have needn't be merged
+            if len(some) < least:
+                continue
+            for j in everyone if least <= 0 else set().union(*some) if least == 1 else merged(some, least):
                 if (probes is not indexed or k < j) and one_edit(w, word[j]):
                     yield k, j
 
 
 def _near(q: int):
-    def run(group: pa.Table):
-        words, counts = group["word"].to_pylist(), group["n"].to_pylist()
-        block, size, i, j = group["block"].to_numpy(), group["size"][0].as_py(), group["i"][0].as_py(), group["j"][0].as_py()
-        own = [[(k, words[k]) for k in np.flatnonzero(block == b).tolist()] for b in ({i: 0, j: 0})]
-        pairs = list(near_within(own[0], own[-1], size, q))
-        columns = [[words[a] for a, _ in pairs], [counts[a] for a, _ in pairs], [words[b] for _, b in pairs], [counts[b] for _, b in pairs]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64()) * 2)], names=["a", "na", "b", "nb"])
+    def run(batch: pa.RecordBatch, bounds: list[int]):
+        words, sizes, blocks, i, j = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("word", "size", "block", "i", "j"))
+        left, right = [], []
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a < 2:
+                continue
+            own = [(k, words[k]) for k in range(a, b) if blocks[k] == i[a]]
+            others = own if i[a] == j[a] else [(k, words[k]) for k in range(a, b) if blocks[k] == j[a]]
+            for x, y in near_within(own, others, sizes[a], q):
+                left.append(x)
+                right.append(y)
+        one, other = batch.take(pa.array(left, pa.int64())), batch.take(pa.array(right, pa.int64()))
+        at = [batch.schema.get_field_index(c) for c in ("word", "n")]
+        yield pa.RecordBatch.from_arrays([*(one.column(k) for k in at), *(other.column(k) for k in at)], names=["a", "na", "b", "nb"])
 
     return run
 
 
 def near_words(words: DataFrame, q: int = Q, block: int = BLOCK) -> DataFrame:
-    """Of a vocabulary (word, n) all pairs (a, na, b, nb) of near words, each once in one order.
+    """Of a vocabulary (word, n) all pairs (a, na, b, nb) of near words, a < b.
 
-    Words of fewer than 2 * q code points are not compared.
+    Words of fewer than 2 * q + 1 code points are refused.
     """
-    words = cut(words.where(F.length("word") >= 2 * q).select("word", "n"))
+    words = cut(words.select("word", "n"))
+    if words.where(F.length("word") <= 2 * q).limit(1).count():
+        raise ValueError(f"grams of {q} letters need words of at least {2 * q + 1}")
     listed = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - (q - 1)), lambda i: F.substring("word", i, F.lit(q)))).alias("gram"))
     often = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).orderBy(F.desc("times"), "gram").limit(RANKED).collect()
     rank = {row.gram: k for k, row in enumerate(reversed(often), 1)}
-    keys = ["size", "gram", "place"]
-    rows = words.mapInArrow(_keys(q, rank), "word string, n long, size int, gram string, place int")
-    pairs = by_group(dealt(cut(rows), keys, "word", block), [*keys, "i", "j"], _near(q), "a string, na long, b string, nb long")
+    rows = words.mapInArrow(_keys(q, rank), "word string, n long, size int, grams string")
+    pairs = by_group(dealt(rows, ["size", "grams"], "word", block), ["size", "grams", "i", "j"], _near(q), "a string, na long, b string, nb long")
     one, other = (F.struct(F.col(w).alias("w"), F.col(n).alias("n")) for w, n in (("a", "na"), ("b", "nb")))
     pairs = pairs.select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y")).distinct()
     return pairs.select(F.col("x.w").alias("a"), F.col("x.n").alias("na"), F.col("y.w").alias("b"), F.col("y.n").alias("nb"))

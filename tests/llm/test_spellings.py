@@ -74,8 +74,8 @@ def test_one_edit():
 
 @pytest.mark.parametrize(("q", "block"), [(2, 1024), (2, 7), (3, 50)])
 def test_all_pairs_are_found(spark, q, block):
-    words = {w: n for w, n in invented(q + block, 250).items() if len(w) >= 2 * q}
-    words |= dict.fromkeys(["a" * k for k in range(6, 12)] + ["ab" * k for k in range(3, 7)] + ["b" + "a" * k for k in range(5, 9)], 5)
+    words = {w: n for w, n in invented(q + block, 250).items() if len(w) >= 2 * q + 1}
+    words |= dict.fromkeys(["a" * k for k in range(7, 12)] + ["ab" * k for k in range(4, 7)] + ["b" + "a" * k for k in range(6, 9)], 5)
     got = spellings.near_words(spark.createDataFrame(list(words.items()), "word string, n long"), q, block).collect()
     want = {(x, words[x], y, words[y]) for x in words for y in words if x < y and near(x, y)}
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
