@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and the SQL that checks them."""
 
-from cellward.llm import bpe, decontaminate, licenses, near, periods, quality, repeats, secrets, spellings, token_files, urls, warc
+from cellward.llm import bpe, decontaminate, licenses, near, periods, quality, repeats, secrets, spellings, token_files, urls, vectors, warc
 
 QUERIES = {
     "op1_bpe_encoding": bpe.op1_bpe_encoding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op11_spelling_variants": spellings.op11_spelling_variants,
     "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_embedding_near_dedup": vectors.op13_embedding_near_dedup,
 }
 
 ORACLES = {
