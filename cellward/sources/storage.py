@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +15,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir; a temporary one only where nothing is set and the master is local."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only where nothing is set and the master is local."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if not path:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            path = tempfile.mkdtemp(prefix="spark-")
+            path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         context.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run it once and go on from a table in the shared folder.
+
+    Not a checkpoint: that keeps the plan's estimated size, which joins multiply, so that a loop of joins squares it each
+    round until the driver runs out of memory.  A table has the size of its files.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
+    """The table, run once, and marked for broadcast if it has no more than ``rows`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def exists(spark: SparkSession, path: str) -> bool:

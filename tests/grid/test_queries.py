@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from cellward.plans import contentqueries, gridqueries, modelqueries, webqueries
+from cellward.plans import contentqueries, gridqueries, modelqueries, shapequeries, webqueries
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = {**gridqueries.QUERIES, **modelqueries.QUERIES, **contentqueries.QUERIES, **webqueries.QUERIES}
-ORACLES = {**gridqueries.ORACLES, **modelqueries.ORACLES, **contentqueries.ORACLES, **webqueries.ORACLES}
+QUERIES = {**gridqueries.QUERIES, **modelqueries.QUERIES, **shapequeries.QUERIES, **contentqueries.QUERIES, **webqueries.QUERIES}
+ORACLES = {**gridqueries.ORACLES, **modelqueries.ORACLES, **shapequeries.ORACLES, **contentqueries.ORACLES, **webqueries.ORACLES}
 
 
 @pytest.fixture(scope="module")
