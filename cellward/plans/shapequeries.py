@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellward.operators import outlines
-from cellward.plans.gridqueries import CELLS, cells
+from cellward.functions import crs
+from cellward.operators import outlines, resample
+from cellward.plans.config import GridSpec
+from cellward.plans.gridqueries import CELLS, COLS, cells, height
+from cellward.sources.storage import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +79,88 @@ def convex_hulls(spark, d):
     hulls = outlines.convex_hulls(cells(spark, d).select("zone", F.col("col").alias("x"), F.col("row").alias("y")), "zone", tile=16.0)
     twice = F.expr("aggregate(zip_with(hull, concat(slice(hull, 2, size(hull)), slice(hull, 1, 1)), (a, b) -> a.x * b.y - b.x * a.y), 0D, (s, v) -> s + v)")
     return hulls.select("zone", F.size("hull").cast("long").alias("n_corners"), (twice / 2).alias("area"), F.element_at("hull", 1)["x"].alias("first_x"))
+
+
+#: Sixty columns and forty rows of degrees; several customers share a cell.
+DEGREES = GridSpec(4.0, 53.0, 0.05, 60, 40, "EPSG:4326")
+TARGET = GridSpec.covering(3_950_000, 3_130_000, 4_080_000, 3_330_000, 8_000)
+_MIDDLE = resample.grid_for(DEGREES, "ESRI:54009")
+_DEGREES = "src AS (SELECT CAST((c_custkey // 60) % 40 AS INTEGER) AS row, CAST(c_custkey % 60 AS INTEGER) AS col, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2)"
+#: Constants of the ellipsoid and of the equal-area projection.
+_K = """k0 AS (SELECT 6378137.0::DOUBLE AS a, 1 / 298.257222101::DOUBLE AS f, radians(52::DOUBLE) AS p0), k1 AS (SELECT *, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM k0),
+k2 AS (SELECT *, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp, (1 - e2) * (sin(p0) / (1 - e2 * power(sin(p0), 2)) - ln((1 - e * sin(p0)) / (1 + e * sin(p0))) / (2 * e)) AS q0 FROM k1),
+k AS (SELECT *, a * sqrt(qp / 2) AS rq, asin(q0 / qp) AS b0, a * cos(p0) / sqrt(1 - e2 * power(sin(p0), 2)) / (a * sqrt(qp / 2) * cos(asin(q0 / qp))) AS d FROM k2)"""
+
+
+def _moll_sql(name: str, source: str) -> str:
+    """The rows of ``source`` (with lon and lat) and their Mollweide x and y, the angle found by halving intervals."""
+    return f"""{name}_it(id, lo, hi, n) AS (SELECT id, -pi() / 2, pi() / 2, 0 FROM {source} UNION ALL SELECT i.id, CASE WHEN (lo + hi) + sin(lo + hi) < pi() * sin(radians(lat)) THEN (lo + hi) / 2 ELSE lo END,
+CASE WHEN (lo + hi) + sin(lo + hi) < pi() * sin(radians(lat)) THEN hi ELSE (lo + hi) / 2 END, n + 1 FROM {name}_it i JOIN {source} s ON s.id = i.id WHERE n < 52),
+{name} AS (SELECT s.*, 2 * sqrt(2) / pi() * 6378137 * radians(lon) * cos((lo + hi) / 2) AS mx, sqrt(2) * 6378137 * sin((lo + hi) / 2) AS my FROM {source} s JOIN {name}_it i ON i.id = s.id WHERE n = 52)"""
+
+
+def _four_sql(name: str, at: str, values: str) -> str:
+    """Bilinear values at the places (y, x) of ``at``, in cells, over those of ``values`` that are there."""
+    return f"""{name} AS (SELECT p.row, p.col, sum(w * s.v) / sum(w) FILTER (s.v IS NOT NULL) AS v FROM (SELECT p.row, p.col, y, x, r, c, CASE WHEN r = 1 THEN y - 0.5 - floor(y - 0.5) ELSE 1 - (y - 0.5 - floor(y - 0.5)) END
+ * CASE WHEN c = 1 THEN x - 0.5 - floor(x - 0.5) ELSE 1 - (x - 0.5 - floor(x - 0.5)) END AS w FROM {at} p, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(r, c)) p
+ LEFT JOIN {values} s ON s.row = floor(p.y - 0.5) + r AND s.col = floor(p.x - 0.5) + c GROUP BY 1, 2)"""
+
+
+@query(f"""WITH RECURSIVE pts AS (SELECT c_custkey AS id, 3 + (c_custkey % 900) / 50.0::DOUBLE AS lon, 40 + (c_custkey * 7 % 1000) / 50.0::DOUBLE AS lat FROM customer), {_K}, {_moll_sql("m", "pts")},
+q AS (SELECT m.*, k.*, asin((1 - e2) * (sin(radians(lat)) / (1 - e2 * power(sin(radians(lat)), 2)) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) / qp) AS b, radians(lon - 10) AS l FROM m, k),
+z AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(b) + cos(b0) * cos(b) * cos(l))) AS bb FROM q)
+SELECT id, round(4321000 + bb * d * cos(b) * sin(l), 2) AS east, round(3210000 + bb / d * (cos(b0) * sin(b) - sin(b0) * cos(b) * cos(l)), 2) AS north, round(mx, 2) AS moll_x, round(my, 2) AS moll_y,
+round(a * radians(lon), 2) AS merc_x, round(a * asinh(tan(radians(lat))), 2) AS merc_y FROM z""")
+def projected_points(spark, d):
+    """Degrees in the equal-area, Mollweide and Web Mercator systems."""
+    k = F.col("c_custkey")
+    points = table(spark, d, "customer").select(k.alias("id"), (3 + (k % 900) / 50.0).alias("lon"), (40 + (k * 7 % 1000) / 50.0).alias("lat"))
+    pairs = {"east": "EPSG:3035", "moll_x": "ESRI:54009", "merc_x": "EPSG:3857"}
+    names = {"east": ("east", "north"), "moll_x": ("moll_x", "moll_y"), "merc_x": ("merc_x", "merc_y")}
+    columns = [F.round(v, 2).alias(n) for key, system in pairs.items() for n, v in zip(names[key], crs.transform(F.col("lon"), F.col("lat"), "EPSG:4326", system))]
+    return points.select("id", *columns)
+
+
+@query(f"""WITH RECURSIVE {_DEGREES}, {_K}, mid0 AS (SELECT CAST(i // {_MIDDLE.width} AS INTEGER) AS row, CAST(i % {_MIDDLE.width} AS INTEGER) AS col, {_MIDDLE.x0!r}::DOUBLE + (i % {_MIDDLE.width} + 0.5) * {_MIDDLE.res!r}::DOUBLE AS x,
+ {_MIDDLE.y0!r}::DOUBLE - (i // {_MIDDLE.width} + 0.5) * {_MIDDLE.res!r}::DOUBLE AS y FROM range({_MIDDLE.width * _MIDDLE.height}) t(i)),
+mid1 AS (SELECT row, col, x, asin(y / (sqrt(2) * 6378137)) AS t FROM mid0), mid2 AS (SELECT row, col, degrees(x * pi() / (2 * sqrt(2) * 6378137 * cos(t))) AS lon, degrees(asin((2 * t + sin(2 * t)) / pi())) AS lat FROM mid1),
+mid3 AS (SELECT row, col, (lon - 4) / 0.05::DOUBLE AS x, (53 - lat) / 0.05::DOUBLE AS y FROM mid2), {_four_sql("mid", "mid3", "src")},
+t0 AS (SELECT i AS id, CAST(i // {TARGET.width} AS INTEGER) AS row, CAST(i % {TARGET.width} AS INTEGER) AS col, ({TARGET.x0} + (i % {TARGET.width} + 0.5) * {TARGET.res} - 4321000) / d AS x, ({TARGET.y0} - (i // {TARGET.width} + 0.5) * {TARGET.res} - 3210000) * d AS y, k.* FROM range({TARGET.width * TARGET.height}) t(i), k),
+t1 AS (SELECT *, sqrt(x * x + y * y) AS rho, 2 * asin(sqrt(x * x + y * y) / (2 * rq)) AS c FROM t0),
+t2 AS (SELECT *, asin(cos(c) * sin(b0) + y * sin(c) * cos(b0) / rho) AS b, 10 + degrees(atan2(x * sin(c), rho * cos(b0) * cos(c) - y * sin(b0) * sin(c))) AS lon FROM t1),
+t3 AS (SELECT id, row, col, lon, degrees(b + (e2 / 3 + 31 * e2 * e2 / 180 + 517 * power(e2, 3) / 5040) * sin(2 * b) + (23 * e2 * e2 / 360 + 251 * power(e2, 3) / 3780) * sin(4 * b) + 761 * power(e2, 3) / 45360 * sin(6 * b)) AS lat FROM t2),
+{_moll_sql("t4", "t3")}, t5 AS (SELECT row, col, (mx - {_MIDDLE.x0!r}::DOUBLE) / {_MIDDLE.res!r}::DOUBLE AS x, ({_MIDDLE.y0!r}::DOUBLE - my) / {_MIDDLE.res!r}::DOUBLE AS y FROM t4), {_four_sql("done", "t5", "(SELECT * FROM mid WHERE v IS NOT NULL)")}
+SELECT row, col, round(v, 4) AS v FROM done""")
+def reprojected_layer(spark, d):
+    """A layer in degrees by way of Mollweide to the equal-area target grid, bilinear twice."""
+    k = F.col("c_custkey")
+    layer = table(spark, d, "customer").groupBy((F.floor(k / 60) % 40).cast("int").alias("row"), (k % 60).cast("int").alias("col")).agg(F.avg("c_acctbal").alias("e"))
+    return resample.to_target(layer, "e", DEGREES, TARGET).select("row", "col", F.round("v", 4).alias("v"))
+
+
+def _share_sql(target: str, source: str, ratio: str) -> str:
+    return f"(least({source} + 1, ({target} + 1) * {ratio}) - greatest({source}, {target} * {ratio}))"
+
+
+@query(f"""WITH {CELLS}, w AS (SELECT l AS ratio, r AS row, c AS col, sum(e * {_share_sql("r", "row", "l")} * {_share_sql("c", "col", "l")}) AS v FROM cells, (VALUES (1.5::DOUBLE), (0.7::DOUBLE)) t(l),
+ LATERAL (SELECT unnest(range(CAST(floor(row / l) AS BIGINT), CAST(ceil((row + 1) / l) AS BIGINT))) AS r) x, LATERAL (SELECT unnest(range(CAST(floor(col / l) AS BIGINT), CAST(ceil((col + 1) / l) AS BIGINT))) AS c) y
+ WHERE {_share_sql("r", "row", "l")} > 0 AND {_share_sql("c", "col", "l")} > 0 GROUP BY 1, 2, 3)
+SELECT ratio, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(v, 4) AS v FROM w""")
+def overlap_resample(spark, d):
+    """Mass over cells one and a half, and seven tenths, as wide, by shared areas."""
+    own = cells(spark, d)
+    parts = [resample.overlap_sum(own, "e", ratio, int(height(own) / ratio) + 1, int(COLS / ratio) + 1).select(F.lit(ratio).alias("ratio"), "row", "col", F.round("v", 4).alias("v")) for ratio in (1.5, 0.7)]
+    return parts[0].union(parts[1])
+
+
+_LOBES = "CASE WHEN {t} = 0 THEN 1 WHEN abs({t}) < 3 THEN 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / power(pi() * {t}, 2) ELSE 0 END"
+
+
+@query(f"""WITH {CELLS}, hh AS (SELECT max(row) + 1 AS rows FROM cells), tg AS (SELECT r AS row, c AS col FROM hh, range(0, 66) b(c), LATERAL (SELECT unnest(range(0, CAST(floor(rows / 1.5) AS BIGINT))) AS r) a),
+j AS (SELECT tg.row, tg.col, cells.h, ((tg.row + 0.5::DOUBLE) * 1.5 - cells.row - 0.5) / 1.5 AS ty, ((tg.col + 0.5::DOUBLE) * 1.5 - cells.col - 0.5) / 1.5 AS tx FROM tg JOIN cells ON cells.row BETWEEN tg.row * 1.5 - 5 AND tg.row * 1.5 + 6 AND cells.col BETWEEN tg.col * 1.5 - 5 AND tg.col * 1.5 + 6),
+w AS (SELECT row, col, h, ({_LOBES.format(t="ty")}) * ({_LOBES.format(t="tx")}) AS w FROM j)
+SELECT CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(sum(w * h) / sum(w), 6) AS v FROM w GROUP BY 1, 2 HAVING sum(w) > 1e-6""")
+def lanczos_resample(spark, d):
+    """Lanczos on cells one and a half as wide."""
+    own = cells(spark, d)
+    return resample.kernel(own, "h", height(own), COLS, 1.5, "lanczos", 32).select("row", "col", F.round("v", 6).alias("v"))
