@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cellward.functions import risk as r
 from cellward.operators import normalise, raster, tabular
 from cellward.plans.config import CENSUS, EXPOSITION_WEIGHTS, Settings
-from cellward.sources.storage import cut
+from cellward.sources.storage import cut, sized
 
 LAYERS = ("class", "volume", "population", "power", "census")
 
@@ -37,7 +37,7 @@ def hazard(cells: DataFrame, scenarios: DataFrame, rows: int, cols: int, sigma:
     v = v * r.river_band(F.coalesce("river", far)) * r.coast_band(F.coalesce("coast", far), F.col("land"))
     full = full.withColumn("v", F.when(F.col("study"), v)).select("scenario", *raster.KEY, "study", "v")
     full = cut(full)
-    top = cut(normalise.percentiles(full, F.col("v"), {"p": 0.99}, ["scenario"]))
+    top = sized(normalise.percentiles(full, F.col("v"), {"p": 0.99}, ["scenario"]))
     full = full.join(top, "scenario", "left").withColumn("v", F.coalesce(F.when(F.col("p") > 1, F.col("v") / F.col("p")).otherwise(F.col("v")), F.lit(0.0)))
     smooth = raster.gaussian(full, "v", rows, cols, sigma, tile=tile, by=("scenario",))
     joined = cut(full.select("scenario", *raster.KEY, "study").join(smooth, ["scenario", *raster.KEY]))

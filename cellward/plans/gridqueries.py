@@ -214,7 +214,7 @@ s AS (SELECT zone, quantile_cont(v, 0.99) AS p FROM c GROUP BY 1) SELECT id, rou
 def hazard_combine(spark, d):
     """Factors multiplied, rescaled by the 99th percentile, masked."""
     own = cells(spark, d).withColumn("v", F.col("h") * F.when(F.col("w") > 0.5, 1.15).otherwise(1.0) * F.when(F.col("land"), 1.1).otherwise(1.0))
-    full = own.join(normalise.percentiles(own, F.col("v"), {"p": 0.99}, ["zone"]), "zone")
+    full = normalise.beside(own, normalise.percentiles(own, F.col("v"), {"p": 0.99}, ["zone"]), ["zone"])
     return full.select("id", F.round(F.when(F.col("dem") > 0, F.when(F.col("p") > 1, F.col("v") / F.col("p")).otherwise(F.col("v"))).otherwise(0.0), 6).alias("hazard"))
 
 

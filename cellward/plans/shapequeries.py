@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellward.functions import crs
-from cellward.operators import outlines, resample
+from cellward.operators import lines, outlines, resample
 from cellward.plans.config import GridSpec
 from cellward.plans.gridqueries import CELLS, COLS, cells, height
 from cellward.sources.storage import table
@@ -164,3 +164,38 @@ def lanczos_resample(spark, d):
     """Lanczos on cells one and a half as wide."""
     own = cells(spark, d)
     return resample.kernel(own, "h", height(own), COLS, 1.5, "lanczos", 32).select("row", "col", F.round("v", 6).alias("v"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, list(struct_pack(x := l_quantity::DOUBLE, y := l_extendedprice::DOUBLE) ORDER BY l_linenumber, l_quantity, l_extendedprice) AS ring FROM lineitem GROUP BY 1),
+u AS (SELECT id, len(ring) AS n, unnest(range(1, len(ring) + 1)) AS k, ring FROM p), s AS (SELECT id, k, ring[k].x AS ax, ring[k].y AS ay, ring[CASE WHEN k = n THEN 1 ELSE k + 1 END].x AS bx, ring[CASE WHEN k = n THEN 1 ELSE k + 1 END].y AS by_ FROM u),
+z AS (SELECT id, sum(ax * by_ - bx * ay) AS doubled, count(DISTINCT (ax, ay)) AS n FROM s GROUP BY 1),
+c AS (SELECT DISTINCT s.id FROM s JOIN s t ON s.id = t.id AND s.k < t.k WHERE sign((s.bx - s.ax) * (t.ay - s.ay) - (s.by_ - s.ay) * (t.ax - s.ax)) * sign((s.bx - s.ax) * (t.by_ - s.ay) - (s.by_ - s.ay) * (t.bx - s.ax)) < 0
+ AND sign((t.bx - t.ax) * (s.ay - t.ay) - (t.by_ - t.ay) * (s.ax - t.ax)) * sign((t.bx - t.ax) * (s.by_ - t.ay) - (t.by_ - t.ay) * (s.bx - t.ax)) < 0)
+SELECT z.id, CASE WHEN c.id IS NOT NULL THEN 'crosses itself' WHEN n < 3 THEN 'too few points' ELSE 'no area' END AS problem FROM z LEFT JOIN c ON c.id = z.id WHERE c.id IS NOT NULL OR n < 3 OR doubled = 0""")
+def ring_faults(spark, d):
+    """Each order's items as the corners of a ring (quantity, price), and what keeps it from being a polygon."""
+    point = F.struct(F.col("l_linenumber").alias("k"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    rings = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
+    return lines.faults(rings, 20_000.0)
+
+
+def _squares(spark, d):
+    corner = lambda c, r: F.struct((F.col("col") + c).cast("double").alias("x"), (F.col("row") + r).cast("double").alias("y"))
+    return cells(spark, d).select("id", F.col("zone"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT zone, count(*) AS n FROM cells GROUP BY 1), p AS (SELECT a.zone, count(*) AS p FROM cells a JOIN cells b ON a.zone = b.zone AND ((b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col)) GROUP BY 1)
+SELECT zone, n::DOUBLE AS area, 4 * n - 2 * coalesce(p, 0) AS length FROM n LEFT JOIN p USING (zone)""")
+def dissolved_zones(spark, d):
+    """Q-C11: each zone's cells, given as squares, dissolved to outlines; the SQL counts cells and pairs of neighbours."""
+    found = lines.dissolved(_squares(spark, d), "zone", 32.0)
+    return found.groupBy("zone").agg(F.sum("area").alias("area"), F.sum("n").alias("length"))
+
+
+@query()
+def simplified_zones(spark, d):
+    """Outlines of grouped cells with one border between neighbours, simplified to at most twelve points; no SQL, tests hold it against plain loops."""
+    zones = cells(spark, d).select("row", "col", (F.floor(F.col("dem") / 12) + F.floor(F.col("col") / 9) * 10).cast("int").alias("label"))
+    shapes = outlines.polygons(outlines.ring_pieces(outlines.regions(zones, 32), 32)).select(F.col("region").alias("id"), F.col("outer").alias("ring"))
+    done = lines.simplified(shapes, 0.5, 12, 32.0, coarsest=4.0)
+    return done.join(shapes.select("id", F.size("ring").alias("n_before")), "id").select("id", "n_before", F.size("ring").alias("n_points"), "tolerance")
