@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import cut, free_names, salted_join, sized, table, texts
+from cellward.llm.sparkops import carried, cut, free_names, salted_join, sized, table, texts
 
 SPAN, GRAM = 13, 8
 #: Bits of a bit set at most (32 MB), and of one row of it.
@@ -200,6 +200,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, sent: int = SENT, most: int = BITS) -> DataFrame:
     """The documents that aren't contaminated, with their own columns, whatever those are called."""
     items = Benchmark(benchmark, span, gram, sent, most)
+    return carried(docs, lambda own: _without(own, items, span, gram, sent))
+
+
+def _without(docs: DataFrame, items: Benchmark, span: int, gram: int, sent: int) -> DataFrame:
     (key,) = free_names([*docs.columns, "key"], "digest")
     bad = hits(marked(docs, items, span, gram), items).where("20 * n_hit >= n_words").select(F.col("key").alias(key))
     rows = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))

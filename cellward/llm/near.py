@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import NULL_ID, cut, free_names, salted_join, table, texts
+from cellward.llm.sparkops import NULL_ID, carried, cut, free_names, salted_join, table, texts
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: Most hash functions that banding may use, and banding again.
@@ -317,6 +317,10 @@ def keep_first(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY
     All documents without words stay.  Of several texts with that doc_id the one with the smallest class stays, and of
     several rows of that doc_id and class the one with the smallest text, then with the smallest other columns as JSON.
     """
+    return carried(docs, lambda own: _first(own, n, similarity))
+
+
+def _first(docs: DataFrame, n: int, similarity: float) -> DataFrame:
     names = docs.columns
     body, cid, own_id = free_names([*names, "struct"], "body", "cid", "id")
     kept = groups(docs, n, similarity).where(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("first_id")).where("cid = first_cid")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import cut, free_names, fresh_dir, table
+from cellward.llm.sparkops import carried, cut, free_names, fresh_dir, table
 
 ORDER, BITS = 4, 12
 #: Half the band in robust standard deviations, and documents of the common deviation that each language's counts.
@@ -384,6 +384,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules and the bands keep, with their own columns, whatever those are called."""
+    return carried(docs, _keep)
+
+
+def _keep(docs: DataFrame) -> DataFrame:
     folder, names = train(docs), docs.columns
     body, lang, failed, own, common = free_names([*names, *_EDGES, "lang"], "body", "language", "failed", "own", "common")
     rows = docs.select("*", F.col("text").cast("string").alias(body), language().alias(lang))

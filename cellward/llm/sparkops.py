@@ -117,6 +117,13 @@ def free_names(columns, *wanted: str) -> list[str]:
     return out
 
 
+def carried(docs: DataFrame, stage) -> DataFrame:
+    """``stage(docs)``, which returns the columns of docs, where names may hold dots and backticks: those have plain ones meanwhile."""
+    odd = [c for c in docs.columns if "." in c or "`" in c]
+    plain = dict(zip(odd, free_names(docs.columns, *(f"column{i}" for i in range(len(odd))))))
+    return stage(docs.toDF(*(plain.get(c, c) for c in docs.columns))).toDF(*docs.columns) if odd else stage(docs)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that extra columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
