@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellward.llm.sparkops import cut, salted_join
+from cellward.llm.sparkops import salted_join, stored
 
 
 #: Most vertices whose labels are broadcast.
@@ -19,8 +19,8 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     to ``few`` vertices are broadcast; beyond that both joins part the keys that hold more than a task's share: a vertex
     by its edges, a label by the vertices that have it.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("degree")))
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count(F.lit(1)).alias("degree")))
     total, small = None, labels.count() <= few
     while True:
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
@@ -29,10 +29,10 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
         total = now
         ends = labels.select(F.col("v").alias("b"), "label", "degree")
         near = both.join(F.broadcast(ends), "b") if small else salted_join(both, ends, "b", "degree", ["a"], "inner")
-        step = cut(labels.join(near.groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m")), "v").select("v", F.least("label", "m").alias("label"), "degree"))
+        step = stored(labels.join(near.groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m")), "v").select("v", F.least("label", "m").alias("label"), "degree"))
         own = step.select(F.col("v").alias("label"), F.col("label").alias("next"))
         if small:
             labels = step.join(F.broadcast(own), "label", "left")
         else:
             labels = salted_join(step, step.groupBy("label").agg(F.count(F.lit(1)).alias("used")).join(own, "label", "left"), "label", "used", ["v"])
-        labels = cut(labels.select("v", F.least("label", F.coalesce("next", "label")).alias("label"), "degree"))
+        labels = stored(labels.select("v", F.least("label", F.coalesce("next", "label")).alias("label"), "degree"))

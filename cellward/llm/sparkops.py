@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``cut``, by a table in the shared folder.  For loops of joins: a checkpoint keeps the plan's estimated size, which
+    joins multiply, so that it has four times the digits after each round and fills the driver after a dozen."""
+    path = fresh_dir(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
