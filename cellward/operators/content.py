@@ -249,3 +249,44 @@ def search(df: DataFrame, text: str, columns: list[str], arrays: list[str] = (),
         if v != "all":
             df = df.where(F.col(c) == v)
     return df
+
+
+def story_list(blocks: DataFrame, story: str, position: str) -> DataFrame:
+    """Q-C4: stories with their first position and number of blocks; a story of null is one too."""
+    return blocks.groupBy(F.col(story).alias("story_id")).agg(F.min(position).alias("first_turn"), F.count(F.lit(1)).alias("n_blocks"))
+
+
+def blocks_of(blocks: DataFrame, kinds: list[str], kind: str, wanted: Column | None = None) -> DataFrame:
+    """Q-C3, Q-C5, Q-C14: blocks of some types, in the stories that are wanted."""
+    out = blocks.where(F.col(kind).isin(*kinds))
+    return out if wanted is None else out.where(wanted)
+
+
+def newest_first(references: DataFrame, year: str, out: str = "place") -> DataFrame:
+    """Q-C2: place by year from the newest; equal years share one, and those without a year come last.
+
+    Rows are counted by year, and only those few counts are ordered and broadcast: years have at most four digits.
+    """
+    years = references.groupBy(F.col(year).alias("__year")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc_nulls_last("__year")).rowsBetween(Window.unboundedPreceding, -1))
+    places = years.select("__year", (F.coalesce(before, F.lit(0)) + 1).cast("int").alias(out))
+    return references.join(F.broadcast(places), F.col(year).eqNullSafe(F.col("__year"))).drop("__year")
+
+
+def merged(base: DataFrame, changes: DataFrame, key: list[str], version: str = "version", deleted: str = "deleted") -> DataFrame:
+    """The table after a log of changes; both have the columns of the base, among them a version and whether the row is deleted.
+
+    Of each key the row with the highest version stays, from the base if it is as high, so a log that is applied again changes
+    nothing.  Deleted rows stay as marks, or an older insert could bring them back; ``visible`` leaves them out.  Of equal
+    versions in a log a delete wins, then the largest row.
+    """
+    names = base.columns
+    both = base.withColumn("__new", F.lit(0)).unionByName(changes.select(*names).withColumn("__new", F.lit(1)))
+    rank = F.struct(F.col(version), (-F.col("__new")).alias("old"), F.col(deleted), F.to_json(F.struct(*names)).alias("row"))
+    return both.groupBy(*key).agg(F.max_by(F.struct(*names), rank).alias("__row")).select("__row.*")
+
+
+def visible(table: DataFrame, story: str, position: str, key: list[str], deleted: str = "deleted") -> DataFrame:
+    """The rows that aren't deleted, each story's positions closed to 1, 2, 3 ... in their order, ties by key."""
+    own = Window.partitionBy(story).orderBy(position, *key)
+    return table.where(~F.col(deleted)).withColumn(position, F.row_number().over(own)).drop(deleted)

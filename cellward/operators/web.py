@@ -125,3 +125,15 @@ def total_within(values: DataFrame, value: str, expected: float, tolerance: floa
     """A sum, its deviation from the expected one in percent, and whether that is within the tolerance."""
     out = values.agg(F.sum(value).alias("total")).withColumn("deviation", (F.col("total") - expected) * 100.0 / expected)
     return out.withColumn("ok", F.abs("deviation") <= tolerance)
+
+
+def by_prefix(df: DataFrame, name: str, prefix: str, total: Column | None = None) -> DataFrame:
+    """Rows whose name begins with the prefix in any case, without those of a total."""
+    out = df.where(F.lower(name).startswith(prefix.lower()))
+    return out if total is None else out.where(~F.coalesce(total, F.lit(False)))
+
+
+def outputs_of(df: DataFrame, file: str, indicators: list[str], without: list[str]) -> DataFrame:
+    """Output files of some indicators, without the parts of one."""
+    low = F.lower(file)
+    return df.where(low.rlike(f"_({'|'.join(indicators)})") & ~low.rlike("|".join(without)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cellward.functions import crs
 from cellward.operators import lines, outlines, resample
 from cellward.plans.config import GridSpec
-from cellward.plans.gridqueries import CELLS, COLS, cells, height
+from cellward.plans.gridqueries import CELLS, COLS, cells, height, order_rings
 from cellward.sources.storage import table
 
 QUERIES: dict = {}
@@ -174,9 +174,7 @@ c AS (SELECT DISTINCT s.id FROM s JOIN s t ON s.id = t.id AND s.k < t.k WHERE si
 SELECT z.id, CASE WHEN c.id IS NOT NULL THEN 'crosses itself' WHEN n < 3 THEN 'too few points' ELSE 'no area' END AS problem FROM z LEFT JOIN c ON c.id = z.id WHERE c.id IS NOT NULL OR n < 3 OR doubled = 0""")
 def ring_faults(spark, d):
     """Each order's items as the corners of a ring (quantity, price), and what keeps it from being a polygon."""
-    point = F.struct(F.col("l_linenumber").alias("k"), F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
-    rings = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("ring"))
-    return lines.faults(rings, 20_000.0)
+    return lines.faults(order_rings(spark, d), 20_000.0)
 
 
 def _squares(spark, d):

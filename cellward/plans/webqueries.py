@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellward.operators import web
+from cellward.operators import content, web
 from cellward.sources.storage import table
 
 QUERIES: dict = {}
@@ -159,34 +159,46 @@ def total_check(spark, d):
 @query("SELECT conv_id AS story_id, min(turn) AS first_turn, count(*) AS n_blocks FROM conversations GROUP BY 1")
 def story_list(spark, d):
     """Q-C4: stories with their blocks' number; readers order by id."""
-    return table(spark, d, "conversations").groupBy(F.col("conv_id").alias("story_id")).agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_blocks"))
+    return content.story_list(table(spark, d, "conversations"), "conv_id", "turn")
 
 
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 2 = 0 AND role = 'user'")
+@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 2 = 0 AND role IN ('user', 'system')")
 def blocks_by_type(spark, d):
-    """Q-C3, Q-C5: blocks of a type (role) in the stories of a language (even ids)."""
-    return table(spark, d, "conversations").where("conv_id % 2 = 0 and role = 'user'").select("conv_id", "turn", "role")
+    """Q-C3, Q-C5: blocks of some types (roles) in the stories of a language (even ids)."""
+    return content.blocks_of(table(spark, d, "conversations"), ["user", "system"], "role", F.col("conv_id") % 2 == 0).select("conv_id", "turn", "role")
 
 
-@query("SELECT item_id, CAST(2000 + item_id % 25 AS BIGINT) AS year, CAST(rank() OVER (ORDER BY item_id % 25 DESC) AS INTEGER) AS place FROM benchmark")
+@query("SELECT item_id, CASE WHEN item_id % 7 > 0 THEN CAST(2000 + item_id % 25 AS BIGINT) END AS year, CAST(rank() OVER (ORDER BY CASE WHEN item_id % 7 > 0 THEN item_id % 25 END DESC NULLS LAST) AS INTEGER) AS place FROM benchmark")
 def references_newest_first(spark, d):
-    """Q-C2: place by year; equal years share one, counted by year before the small ordering of years."""
-    own = table(spark, d, "benchmark").select("item_id", (2000 + F.col("item_id") % 25).alias("year"))
-    years = own.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
-    later = years.alias("a").join(years.alias("b"), F.col("a.year") < F.col("b.year"), "left").groupBy("a.year").agg((F.coalesce(F.sum("b.n"), F.lit(0)) + 1).cast("int").alias("place"))
-    return own.join(later, "year").select("item_id", "year", "place")
+    """Q-C2: place by year; a seventh has none."""
+    own = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 7 > 0, 2000 + F.col("item_id") % 25).alias("year"))
+    return content.newest_first(own, "year").select("item_id", "year", "place")
 
 
-@query("SELECT p_partkey FROM part WHERE lower(p_name) LIKE 'p%' AND p_partkey % 10 <> 3")
+@query("SELECT p_partkey, p_brand FROM part WHERE lower(p_brand) LIKE 'brand#1%' AND NOT p_name LIKE '%ring'")
 def names_by_prefix(spark, d):
-    """Case-insensitive prefix, without the rows of a total."""
-    label = F.when(F.col("p_partkey") % 10 == 3, "Totaal").otherwise("part")
-    return table(spark, d, "part").where(F.col("p_name").ilike("P%")).where(label != "Totaal").select("p_partkey")
+    """Brands by a prefix in any case, without the parts that count as totals."""
+    return web.by_prefix(table(spark, d, "part"), "p_brand", "BRAND#1", F.col("p_name").endswith("ring")).select("p_partkey", "p_brand")
 
 
-@query("SELECT o_orderkey FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'x_GDP' WHEN 1 THEN 'x_freight' WHEN 2 THEN 'x_freight_loading' WHEN 3 THEN 'x_hrst' WHEN 4 THEN 'x_population' ELSE 'x_combined' END AS f FROM orders) WHERE o_orderkey % 6 IN (0, 1, 4)")
+@query("SELECT event_id, f AS file FROM (SELECT event_id, event_type || CASE event_id % 6 WHEN 0 THEN '_GDP' WHEN 1 THEN '_freight' WHEN 2 THEN '_freight_loading' WHEN 3 THEN '_hrst' WHEN 4 THEN '_population' ELSE '_combined' END AS f FROM events) WHERE regexp_matches(lower(f), '_(gdp|population|freight)') AND NOT regexp_matches(lower(f), 'loading|unloading')")
 def output_files(spark, d):
     """Outputs of three indicators, without the parts of freight."""
-    f = F.element_at(F.array(*map(F.lit, ("x_GDP", "x_freight", "x_freight_loading", "x_hrst", "x_population", "x_combined"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    low = F.lower(f)
-    return table(spark, d, "orders").where(low.rlike("_(gdp|population|freight)") & ~low.rlike("loading|unloading")).select("o_orderkey")
+    part = F.element_at(F.array(*map(F.lit, ("_GDP", "_freight", "_freight_loading", "_hrst", "_population", "_combined"))), (F.col("event_id") % 6 + 1).cast("int"))
+    files = table(spark, d, "events").select("event_id", F.concat("event_type", part).alias("file"))
+    return web.outputs_of(files, "file", ["gdp", "population", "freight"], ["loading", "unloading"])
+
+
+@query("""WITH base AS (SELECT conv_id * 1000 + turn AS id, conv_id AS story, turn AS place, role AS body, turn % 3 AS version, false AS deleted FROM conversations WHERE turn % 5 < 4),
+log AS (SELECT conv_id * 1000 + turn AS id, conv_id AS story, turn + 10 * (turn % 2) AS place, 'changed ' || role AS body, turn % 4 AS version, turn % 7 = 2 AS deleted FROM conversations WHERE conv_id % 3 < 2),
+two AS (SELECT *, 0 AS fresh FROM base UNION ALL SELECT *, 1 FROM log), one AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, fresh) = 1)
+SELECT id, story, body, CAST(row_number() OVER (PARTITION BY story ORDER BY place, id) AS INTEGER) AS place FROM one WHERE NOT deleted""")
+def merged_blocks(spark, d):
+    """Inserts, updates and deletes by version applied twice to a table of blocks, and the gaps closed."""
+    own = table(spark, d, "conversations")
+    shape = lambda df, place, body, version, gone: df.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("story"), place.alias("place"), body.alias("body"), version.alias("version"), gone.alias("deleted"))
+    turn = F.col("turn")
+    base = shape(own.where(turn % 5 < 4), turn, F.col("role"), turn % 3, F.lit(False))
+    log = shape(own.where("conv_id % 3 < 2"), turn + 10 * (turn % 2), F.concat(F.lit("changed "), F.col("role")), turn % 4, turn % 7 == 2)
+    once = content.merged(base, log, ["id"])
+    return content.visible(content.merged(once, log, ["id"]), "story", "place", ["id"]).select("id", "story", "body", "place")

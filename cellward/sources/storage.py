@@ -66,6 +66,24 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def publish(df: DataFrame, path: str) -> int:
+    """A new version of a table, seen by readers as a whole or not at all: rows first, then the version's number in a list of versions.
+
+    Writers must take turns: of two that begin at once, the later one finds its folder taken and fails.
+    """
+    spark = df.sparkSession
+    versions = f"{path}/versions"
+    last = spark.read.parquet(versions).agg(F.max("v")).first()[0] if exists(spark, versions) else 0
+    df.write.mode("errorifexists").parquet(f"{path}/{last + 1}")
+    spark.range(last + 1, last + 2).select(F.col("id").alias("v")).coalesce(1).write.mode("append").parquet(versions)
+    return last + 1
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table."""
+    return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/versions').agg(F.max('v')).first()[0]}")
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Statistics with a header and a schema of their own; malformed numbers stay text until P6."""
     return spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
