@@ -77,6 +77,45 @@ def distances(cells: DataFrame, segments: DataFrame, limit: float, tile: float,
     return cells.join(best, ["row", "col"], "left")
 
 
+def spread_area(cells: DataFrame, shapes: DataFrame, ring: str, value: str, res: float, tile: float, parts: int = 2, out: str = "burned") -> DataFrame:
+    """Cells (with centre x, y) with what shapes bring to them, each its value by area, added up where shapes overlap.
+
+    A cell is tried at the centres of ``parts`` by ``parts`` smaller ones; each that lies in a shape gets the shape's value for a square metre
+    times its own area.  Shapes without area or with a value of 0, less or null bring nothing; cells without a shape get 0.
+    """
+    shift = lambda k: (k + 0.5) / parts - 0.5
+    fine = F.explode(F.array(*(F.struct(F.lit(shift(i) * res).alias("x"), F.lit(shift(j) * res).alias("y")) for i in range(parts) for j in range(parts))))
+    tried = cells.select("row", "col", "x", "y", fine.alias("s")).select("row", "col", (F.col("x") + F.col("s.x")).alias("x"), (F.col("y") + F.col("s.y")).alias("y"))
+    dense = shapes.where(F.col(value) > 0).select(ring, (F.col(value) / F.nullif(area(ring), F.lit(0.0))).alias("__dense"), *bounds(ring)).where("__dense is not null")
+    near = tried.withColumn("tile_x", _tile("x", tile)).withColumn("tile_y", _tile("y", tile)).join(_tiled(dense, tile), ["tile_x", "tile_y"])
+    hit = near.where(F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y")) & contains(ring, "x", "y"))
+    sums = hit.groupBy("row", "col").agg(F.sum(F.col("__dense") * (res / parts) ** 2).alias(out))
+    return cells.join(sums, ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+def square_distance(x: Column, y: Column, half: float, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance of the square around (x, y) from a segment, 0 if they touch."""
+    gap = lambda px, py: F.sqrt(F.pow(F.greatest(F.abs(px - x) - half, F.lit(0.0)), F.lit(2.0)) + F.pow(F.greatest(F.abs(py - y) - half, F.lit(0.0)), F.lit(2.0)))
+    corners = [(x + i * half, y + j * half) for i in (-1, 1) for j in (-1, 1)]
+    sides = [(bx - ax) * (cy - ay) - (by - ay) * (cx - ax) for cx, cy in corners]
+    boxes = (F.least(ax, bx) <= x + half) & (F.greatest(ax, bx) >= x - half) & (F.least(ay, by) <= y + half) & (F.greatest(ay, by) >= y - half)
+    meet = boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+    return F.when(meet, 0.0).otherwise(F.least(gap(ax, ay), gap(bx, by), *(segment_distance(cx, cy, ax, ay, bx, by) for cx, cy in corners)))
+
+
+def touched(cells: DataFrame, shapes: DataFrame, ring: str, limit: float, res: float, tile: float, out: str = "touched") -> DataFrame:
+    """Whether a cell's square comes within ``limit`` of a shape, or lies in one: every cell that the shape's buffer touches."""
+    x, y = F.col("x"), F.col("y")
+    at = cells.select("row", "col", "x", "y").withColumn("tile_x", _tile("x", tile)).withColumn("tile_y", _tile("y", tile))
+    pairs = F.zip_with(ring, F.expr(_following(ring)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    sides = shapes.select(F.explode(pairs).alias("s")).select(F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    box = sides.select("*", F.least("ax", "bx").alias("min_x"), F.greatest("ax", "bx").alias("max_x"), F.least("ay", "by").alias("min_y"), F.greatest("ay", "by").alias("max_y"))
+    by_rim = at.join(_tiled(box, tile, limit + res), ["tile_x", "tile_y"]).where(square_distance(x, y, res / 2, *(F.col(c) for c in ("ax", "ay", "bx", "by"))) <= limit).select("row", "col")
+    inside = at.join(_tiled(shapes.select(ring, *bounds(ring)), tile), ["tile_x", "tile_y"]).where(contains(ring, "x", "y")).select("row", "col")
+    hit = by_rim.union(inside).distinct().withColumn(out, F.lit(True))
+    return cells.join(hit, ["row", "col"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
 def zonal(cells: DataFrame, zone: str, value: str, res: float = 30.0) -> DataFrame:
     """Size, mean, maximum and density of each zone's positive cells."""
     v = F.when(F.col(value) > 0, F.col(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellward.functions import crs
-from cellward.operators import lines, outlines, resample
+from cellward.operators import lines, outlines, resample, spatial
 from cellward.plans.config import GridSpec
 from cellward.plans.gridqueries import CELLS, COLS, cells, height, order_rings
 from cellward.sources.storage import table
@@ -197,3 +197,38 @@ def simplified_zones(spark, d):
     shapes = outlines.polygons(outlines.ring_pieces(outlines.regions(zones, 32), 32)).select(F.col("region").alias("id"), F.col("outer").alias("ring"))
     done = lines.simplified(shapes, 0.5, 12, 32.0, coarsest=4.0)
     return done.join(shapes.select("id", F.size("ring").alias("n_before")), "id").select("id", "n_before", F.size("ring").alias("n_points"), "tolerance")
+
+
+#: A triangle for each supplier, whose balance is its value.
+_PORTS = """ports AS (SELECT s_suppkey AS id, s_acctbal AS value, (s_suppkey * 37 % 97)::DOUBLE AS ax, (s_suppkey * 13 % 11)::DOUBLE AS ay, (s_suppkey * 37 % 97 + 3 + s_suppkey % 5)::DOUBLE AS bx, (s_suppkey * 13 % 11 + s_suppkey % 2)::DOUBLE AS by_,
+ s_suppkey * 37 % 97 + 1.25::DOUBLE AS cx, s_suppkey * 13 % 11 + 2.5 + (s_suppkey % 3)::DOUBLE AS cy FROM supplier)"""
+
+
+def ports(spark, d):
+    k = F.col("s_suppkey")
+    x, y = k * 37 % 97, k * 13 % 11
+    point = lambda px, py: F.struct(px.cast("double").alias("x"), py.cast("double").alias("y"))
+    return table(spark, d, "supplier").select(k.alias("id"), F.col("s_acctbal").alias("value"), F.array(point(x, y), point(x + 3 + k % 5, y + k % 2), point(x + 1.25, y + 2.5 + k % 3)).alias("ring"))
+
+
+def _centres(spark, d):
+    half = lambda c: (F.col(c) + 0.5).cast("double")
+    return cells(spark, d).select("id", "row", "col", half("col").alias("x"), half("row").alias("y"))
+
+
+@query(f"""WITH {CELLS}, {_PORTS}, s AS (SELECT id, col + i AS x, row + j AS y FROM cells, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) a(i), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) b(j)),
+hit AS (SELECT s.id, value / (abs((bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax)) / 2) / 4 AS v FROM s JOIN ports ON value > 0 AND (bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0 AND (cx - bx) * (y - by_) - (cy - by_) * (x - bx) > 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) > 0)
+SELECT cells.id, round(coalesce(sum(v), 0), 3) AS burned FROM cells LEFT JOIN hit USING (id) GROUP BY 1""")
+def port_density(spark, d):
+    """ports' values by area at half the resolution, added up where ports overlap."""
+    return spatial.spread_area(_centres(spark, d), ports(spark, d), "ring", "value", 1.0, 16.0).select("id", F.round("burned", 3).alias("burned"))
+
+
+@query(f"""WITH {CELLS}, {_PORTS}, seg AS (SELECT id, ax, ay, bx, by_ FROM ports WHERE id % 9 = 0 UNION ALL SELECT id, bx, by_, cx, cy FROM ports WHERE id % 9 = 0 UNION ALL SELECT id, cx, cy, ax, ay FROM ports WHERE id % 9 = 0),
+pts AS (SELECT seg.*, k / 256.0::DOUBLE AS t FROM seg, range(0, 257) r(k)), c AS (SELECT id, col::DOUBLE AS x0, row::DOUBLE AS y0, col + 1::DOUBLE AS x1, row + 1::DOUBLE AS y1 FROM cells),
+near AS (SELECT c.id, min(power(greatest(x0 - (ax + t * (bx - ax)), (ax + t * (bx - ax)) - x1, 0), 2) + power(greatest(y0 - (ay + t * (by_ - ay)), (ay + t * (by_ - ay)) - y1, 0), 2)) AS d2 FROM c, pts GROUP BY 1),
+inn AS (SELECT DISTINCT c.id FROM c JOIN ports ON ports.id % 9 = 0 AND (bx - ax) * (y0 + 0.5 - ay) - (by_ - ay) * (x0 + 0.5 - ax) > 0 AND (cx - bx) * (y0 + 0.5 - by_) - (cy - by_) * (x0 + 0.5 - bx) > 0 AND (ax - cx) * (y0 + 0.5 - cy) - (ay - cy) * (x0 + 0.5 - cx) > 0)
+SELECT c.id, d2 <= 0.49 OR inn.id IS NOT NULL AS touched FROM c JOIN near USING (id) LEFT JOIN inn USING (id)""")
+def port_touched(spark, d):
+    """Cells whose squares a port's surroundings touch; the SQL walks along the sides in small steps."""
+    return spatial.touched(_centres(spark, d), ports(spark, d).where("id % 9 = 0"), "ring", 0.7, 1.0, 16.0).select("id", "touched")
