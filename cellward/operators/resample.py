@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.functions import crs
-from cellward.operators.raster import KEY
+from cellward.operators.raster import KEY, masked
+from cellward.operators.spatial import rasterise
 from cellward.plans.config import GridSpec
 from cellward.sources.storage import cut
 
@@ -132,3 +133,30 @@ def kernel(cells: DataFrame, value: str, rows: int, cols: int, ratio: float, how
         return pd.DataFrame({"row": r[i], "col": c[j], out: total[i, j] / weight[i, j]})
 
     return dealt.groupBy("tr", "tc").applyInPandas(run, f"row int, col int, {out} double")
+
+
+#: Metres of a cell of the population layer, west to east and north to south.
+POPULATION_CELL = (57.1, 92.8)
+
+
+def population(cells: DataFrame, value: str, source: GridSpec, target: GridSpec, area: DataFrame, native: tuple[float, float] = POPULATION_CELL, out: str = "population") -> DataFrame:
+    """People on the target grid, 0 outside the study area's cells (row, col).
+
+    Where the layer's own cells are wider than the target's, each target cell takes the interpolated people of a cell by the ratio of the
+    areas; where they aren't, shared areas are added up, for which both grids must be of one system.
+    """
+    if native[0] > target.res:
+        scaled = to_target(cells, value, source, target, "bilinear", out=out).withColumn(out, F.col(out) * (target.res * target.res / (native[0] * native[1])))
+    elif source.crs != target.crs:
+        raise ValueError("sums need both grids in one system")
+    else:
+        place = (source.y0 - target.y0) / source.res, (target.x0 - source.x0) / source.res
+        scaled = overlap_sum(cells, value, target.res / source.res, target.height, target.width, *place, out=out)
+    return masked(scaled, area, [out])
+
+
+def census_grid(shapes: DataFrame, ring: str, value: str, order: str, coarse: GridSpec, target: GridSpec, tile: float, out: str = "v") -> DataFrame:
+    """Squares of a census on a coarse grid (the last of a cell in the given order, 0 where there is none), and bilinear from there to the target grid."""
+    burned = rasterise(frame(shapes.sparkSession, coarse), shapes, ring, value, order, tile, "__burned")
+    filled = burned.select(*KEY, F.coalesce(F.col("__burned").cast("double"), F.lit(0.0)).alias("__burned"))
+    return to_target(filled, "__burned", coarse, target, "bilinear", out=out)

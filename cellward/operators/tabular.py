@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellward.operators.normalise import beside
+from cellward.operators.normalise import beside, normalise
 from cellward.sources.storage import cut
 
 
@@ -105,3 +105,24 @@ def ordinal(df: DataFrame, order: list, out: str) -> DataFrame:
     sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col("__in")).drop("__at", "__range", "__in", "__before")
+
+
+def with_shares(zones: DataFrame, shares: DataFrame, code: str) -> DataFrame:
+    """Zones with their shares by code; no match at all is an error."""
+    out = zones.join(shares, code)
+    if not out.limit(1).count():
+        raise ValueError(f"no zone has a share by {code}")
+    return out
+
+
+def with_values(zones: DataFrame, values: DataFrame, code: str, value: str) -> DataFrame | None:
+    """All zones with their values by code, null where there is none; None if no zone has one, as such a table is left out."""
+    found = values.where(F.col(value).isNotNull())
+    if not zones.join(found, code, "left_semi").limit(1).count():
+        return None
+    return zones.join(found, code, "left")
+
+
+def normalised_table(df: DataFrame, value: str, out: str) -> DataFrame:
+    """A table's values above 0 rescaled as an economic layer, all others 0."""
+    return normalise(df, value, "economic", F.col(value) > 0, out)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellward.functions import crs
-from cellward.operators import lines, outlines, resample, spatial
+from cellward.functions import crs, risk
+from cellward.operators import lines, outlines, resample, spatial, tabular
 from cellward.plans.config import GridSpec
 from cellward.plans.gridqueries import CELLS, COLS, cells, height, order_rings
 from cellward.sources.storage import table
@@ -232,3 +232,48 @@ SELECT c.id, d2 <= 0.49 OR inn.id IS NOT NULL AS touched FROM c JOIN near USING
 def port_touched(spark, d):
     """Cells whose squares a port's surroundings touch; the SQL walks along the sides in small steps."""
     return spatial.touched(_centres(spark, d), ports(spark, d).where("id % 9 = 0"), "ring", 0.7, 1.0, 16.0).select("id", "touched")
+
+
+_COARSE, _FINE = GridSpec(0.0, 18.0, 1.0, 106, 18), GridSpec(0.0, 18.0, 0.3, 353, 60)
+
+
+@query(f"""WITH {_PORTS}, k AS (SELECT CAST(i // 106 AS INTEGER) AS row, CAST(i % 106 AS INTEGER) AS col, i % 106 + 0.5::DOUBLE AS x, 18 - (i // 106 + 0.5::DOUBLE) AS y FROM range(1908) t(i)),
+src AS (SELECT k.row, k.col, coalesce(arg_max(value, ports.id), 0) AS v FROM k LEFT JOIN ports ON (bx - ax) * (y - ay) - (by_ - ay) * (x - ax) > 0 AND (cx - bx) * (y - by_) - (cy - by_) * (x - bx) > 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) > 0 GROUP BY 1, 2),
+tg AS (SELECT CAST(i // 353 AS INTEGER) AS row, CAST(i % 353 AS INTEGER) AS col, (i % 353 + 0.5::DOUBLE) * 0.3::DOUBLE AS x, (i // 353 + 0.5::DOUBLE) * 0.3::DOUBLE AS y FROM range(21180) t(i)), {_four_sql("done", "tg", "src")} SELECT row, col, round(v, 6) AS v FROM done""")
+def census_resampled(spark, d):
+    """Shapes on a coarse grid, then on cells three tenths as wide."""
+    return resample.census_grid(ports(spark, d), "ring", "value", "id", _COARSE, _FINE, 16.0).select("row", "col", F.round("v", 6).alias("v"))
+
+
+_PEOPLE, _CELLS30 = GridSpec(0.0, 3000.0, 75.0, 60, 40), GridSpec(0.0, 3000.0, 30.0, 150, 100)
+
+
+@query(f"""WITH {_DEGREES}, tg AS (SELECT CAST(i // 150 AS INTEGER) AS row, CAST(i % 150 AS INTEGER) AS col, (i % 150 + 0.5::DOUBLE) * 0.4::DOUBLE AS x, (i // 150 + 0.5::DOUBLE) * 0.4::DOUBLE AS y FROM range(15000) t(i)), {_four_sql("done", "tg", "src")}
+SELECT row, col, CASE WHEN (row + col) % 5 > 0 THEN round(v * 900 / (57.1::DOUBLE * 92.8::DOUBLE), 4) ELSE 0.0::DOUBLE END AS people FROM done""")
+def population_scan(spark, d):
+    """People by the ratio of the areas, in a study area."""
+    k = F.col("c_custkey")
+    layer = table(spark, d, "customer").groupBy((F.floor(k / 60) % 40).cast("int").alias("row"), (k % 60).cast("int").alias("col")).agg(F.avg("c_acctbal").alias("e"))
+    area = resample.frame(spark, _CELLS30).where("(row + col) % 5 > 0")
+    return resample.population(layer, "e", _PEOPLE, _CELLS30, area).select("row", "col", F.round("population", 4).alias("people"))
+
+
+@query("""WITH t AS (SELECT s_nationkey AS zone, sum(s_acctbal) / 20000 AS v FROM supplier GROUP BY 1), s AS (SELECT max(v) AS top, quantile_cont(v, 0.99) AS p99 FROM t WHERE v > 0),
+o AS (SELECT zone, v, CASE WHEN v > 0 THEN CASE WHEN top > 1 THEN CASE WHEN p99 > 1 THEN v / p99 ELSE least(v, 1.0) END WHEN top < 0.8 THEN v * 0.9 / top ELSE v END END AS o FROM t, s)
+SELECT zone, round(CASE WHEN o IS NULL THEN 0.0 ELSE greatest(CASE WHEN o > 1 THEN 1 + 0.02 * tanh((o - 1) / 0.1) ELSE o END, 0.01) END, 6) AS value FROM o""")
+def freight_normalised(spark, d):
+    """A table of regional values rescaled."""
+    totals = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("zone")).agg((F.sum("s_acctbal") / 20000).alias("v"))
+    return tabular.normalised_table(totals, "v", "value").select("zone", F.round("value", 6).alias("value"))
+
+
+@query("""WITH t AS (SELECT s_nationkey AS zone, sum(s_acctbal) AS v FROM supplier WHERE s_nationkey % 4 > 0 GROUP BY 1), h AS (SELECT c_nationkey AS zone, avg(c_acctbal) / 10000 AS urban FROM customer WHERE c_nationkey % 3 > 0 GROUP BY 1)
+SELECT n_nationkey AS zone, n_name, round(v, 2) AS v, CASE WHEN 0.7 * urban + 0.3 * (1 - urban) >= 0.6 THEN 1.15::DOUBLE WHEN 0.7 * urban + 0.3 * (1 - urban) >= 0.4 THEN 1.05::DOUBLE ELSE 0.5::DOUBLE END AS multiplier
+FROM nation JOIN h ON h.zone = n_nationkey LEFT JOIN t ON t.zone = n_nationkey""")
+def zones_with_values(spark, d):
+    """Zones with shares (inner) and values (left)."""
+    zones = table(spark, d, "nation").select(F.col("n_nationkey").alias("zone"), "n_name")
+    shares = table(spark, d, "customer").where("c_nationkey % 3 > 0").groupBy(F.col("c_nationkey").alias("zone")).agg((F.avg("c_acctbal") / 10000).alias("urban"))
+    values = table(spark, d, "supplier").where("s_nationkey % 4 > 0").groupBy(F.col("s_nationkey").alias("zone")).agg(F.sum("s_acctbal").alias("v"))
+    found = tabular.with_values(tabular.with_shares(zones, shares, "zone"), values, "zone", "v")
+    return found.select("zone", "n_name", F.round("v", 2).alias("v"), risk.urban_multiplier(F.col("urban"), 1 - F.col("urban")).alias("multiplier"))

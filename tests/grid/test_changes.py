@@ -48,3 +48,13 @@ def test_small_operators(spark):
 def test_bulk_insert_numbers_from_one(spark):
     stories = spark.createDataFrame([(1, ["x", "y"]), (2, [])], "story int, blocks array<string>")
     assert [tuple(r) for r in content.bulk_insert(stories, "blocks").collect()] == [(1, "x", 1), (1, "y", 2)]
+
+
+def test_zones_without_any_match(spark):
+    zones = spark.createDataFrame([("A",), ("B",)], "code string")
+    values = spark.createDataFrame([("A", 1.0), ("C", 2.0), ("B", None)], "code string, v double")
+    assert {r.code: r.v for r in tabular.with_values(zones, values, "code", "v").collect()} == {"A": 1.0, "B": None}
+    assert tabular.with_values(zones, values.where("code = 'C'"), "code", "v") is None
+    assert tabular.with_shares(zones, values, "code").count() == 2
+    with pytest.raises(ValueError, match="no zone"):
+        tabular.with_shares(zones, values.where("code = 'C'"), "code")

@@ -107,3 +107,15 @@ def test_kernels_by_their_formula(spark, how, ratio):
     for tile in (7, 256):
         got = {(r.row, r.col): r.v for r in resample.kernel(df, "e", 23, 31, ratio, how, tile).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
+def test_population_by_ratio_or_by_sums(spark):
+    cells = spark.createDataFrame([(r, c, float(r + c)) for r in range(6) for c in range(6)], "row int, col int, e double")
+    target = GridSpec(0.0, 300.0, 30.0, 10, 10)
+    area = resample.frame(spark, target).where("row < 9")
+    wide = {(r.row, r.col): r.population for r in resample.population(cells, "e", GridSpec(0.0, 300.0, 50.0, 6, 6), target, area).collect()}
+    assert wide[9, 3] == 0.0 and wide[4, 4] == pytest.approx((4.5 * 0.6 * 2 - 1) * 900 / (57.1 * 92.8))
+    narrow = resample.population(cells, "e", GridSpec(0.0, 300.0, 20.0, 6, 6), target, area, native=(20.0, 20.0)).collect()
+    assert sum(r.population for r in narrow) == pytest.approx(sum(r + c for r in range(6) for c in range(6)))
+    with pytest.raises(ValueError, match="one system"):
+        resample.population(cells, "e", GridSpec(4.0, 53.0, 0.1, 6, 6, "EPSG:4326"), target, area, native=(20.0, 20.0))
