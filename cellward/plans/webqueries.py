@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellward.operators import content, web
+from cellward.operators import content, render, web
 from cellward.sources.storage import table
 
 QUERIES: dict = {}
@@ -202,3 +202,46 @@ def merged_blocks(spark, d):
     log = shape(own.where("conv_id % 3 < 2"), turn + 10 * (turn % 2), F.concat(F.lit("changed "), F.col("role")), turn % 4, turn % 7 == 2)
     once = content.merged(base, log, ["id"])
     return content.visible(content.merged(once, log, ["id"]), "story", "place", ["id"]).select("id", "story", "body", "place")
+
+
+_TYPES = ("visualization", "markdown", "callout", "quote", "statistics", "animated-quote", "climate-dashboard", "image")
+
+
+def _page_blocks(spark, d):
+    k = F.col("conv_id") * 31 + F.col("turn")
+    kind = F.element_at(F.array(*map(F.lit, _TYPES)), (k % len(_TYPES) + 1).cast("int"))
+    part = lambda n, value: F.when(k % n > 0, value)
+    data = F.create_map(F.lit("title"), part(3, F.concat(F.lit("t"), "turn")), F.lit("content"), part(4, F.substring("text", 1, 9)), F.lit("author"), part(5, F.col("role")), F.lit("role"), F.lit(""), F.lit("variant"), part(7, F.lit("warn")))
+    return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("block_type"), F.when(k % 5 < 2, F.col("role")).when(k % 5 == 2, F.lit("")).alias("title"), F.when(k % 6 < 2, F.substring("text", 3, 5)).alias("content"), data.alias("data"))
+
+
+_PAGE = """b AS (SELECT conv_id, turn, ['visualization', 'markdown', 'callout', 'quote', 'statistics', 'animated-quote', 'climate-dashboard', 'image'][CAST(k % 8 AS INTEGER) + 1] AS t, CASE WHEN k % 5 < 2 THEN role WHEN k % 5 = 2 THEN '' END AS title, CASE WHEN k % 6 < 2 THEN substr(text, 3, 5) END AS content,
+ CASE WHEN k % 3 > 0 THEN 't' || turn END AS dt, CASE WHEN k % 4 > 0 THEN substr(text, 1, 9) END AS dc, CASE WHEN k % 5 > 0 THEN role END AS da, CASE WHEN k % 7 > 0 THEN 'warn' END AS dv FROM (SELECT *, conv_id * 31 + turn AS k FROM conversations))"""
+
+
+@query(f"""WITH {_PAGE} SELECT conv_id, turn, t AS type,
+CASE t WHEN 'visualization' THEN title WHEN 'callout' THEN coalesce(nullif(title, ''), dt, '') WHEN 'animated-quote' THEN coalesce(title, '') WHEN 'climate-dashboard' THEN coalesce(nullif(title, ''), dt) WHEN 'image' THEN coalesce(nullif(title, ''), dt) END AS title,
+CASE t WHEN 'visualization' THEN content WHEN 'markdown' THEN coalesce(nullif(content, ''), nullif(dc, ''), '') WHEN 'callout' THEN coalesce(nullif(content, ''), nullif(dc, ''), '') WHEN 'quote' THEN dc WHEN 'animated-quote' THEN coalesce(content, '') WHEN 'image' THEN coalesce(nullif(content, ''), nullif(dc, '')) END AS content,
+CASE t WHEN 'quote' THEN da WHEN 'animated-quote' THEN coalesce(da, '') END AS author, CASE WHEN t IN ('quote', 'animated-quote') THEN '' END AS role, CASE t WHEN 'callout' THEN coalesce(dv, 'default') END AS variant FROM b""")
+def render_model(spark, d):
+    """blocks by their type, fields from the block or its data."""
+    return render.model(_page_blocks(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "type", "title", "content", "author", "role", "variant")
+
+
+@query(f"WITH {_PAGE} SELECT conv_id, turn, coalesce(dt, '') AS title, coalesce(dc, '') AS content, 'map' AS type, '' AS \"imageId\" FROM b WHERE t = 'visualization'")
+def visualisation_blocks(spark, d):
+    """visualisations with their defaults."""
+    return render.visualisations(_page_blocks(spark, d), ["conv_id", "turn"]).select("conv_id", "turn", "title", "content", "type", "imageId")
+
+
+@query(r"""SELECT conv_id, turn, substr(text, 1, turn * 7) || '\cite{' || role || turn || '}' || substr(text, turn * 7 + 1) AS text FROM conversations""")
+def citations_put_in(spark, d):
+    """a citation put into a text at the cursor."""
+    return table(spark, d, "conversations").select("conv_id", "turn", render.cited_at(F.col("text"), (F.col("turn") * 7).cast("int"), F.concat("role", "turn")).alias("text"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'image/tiff' WHEN 1 THEN 'application/vnd.mapbox-vector-tile' WHEN 2 THEN 'application/geo+json' ELSE 'application/octet-stream' END AS content_type FROM events""")
+def file_content_types(spark, d):
+    """content types by ending; one file's ending is unknown, another has none."""
+    ending = F.element_at(F.array(*map(F.lit, (".TIF", ".mbtiles", ".GeoJSON", ".zip", ""))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", render.file_content_type(F.concat("event_type", F.lit(".d/x"), ending)).alias("content_type"))
