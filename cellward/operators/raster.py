@@ -78,7 +78,7 @@ def disk(radius: int) -> list[tuple[int, int]]:
     return [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if r * r + c * c <= radius * radius]
 
 
-def closing(df: DataFrame, mask: str, rows: int, cols: int, radius: int = 1, out: str = "closed", tile: int = TILE) -> DataFrame:
+def closing(df: DataFrame, mask: str, rows: int, cols: int, radius: int = 1, out: str = "closed", tile: int = TILE, by: tuple[str, ...] = ()) -> DataFrame:
     """Binary dilation and erosion with a disk; beyond the grid is empty for the first and full for the second."""
     reach = disk(radius)
 
@@ -93,7 +93,7 @@ def closing(df: DataFrame, mask: str, rows: int, cols: int, radius: int = 1, out
             left &= padded[radius + r : radius + r + h, radius + c : radius + c + w]
         return left
 
-    return tiled(df, F.when(F.col(mask), 1.0).otherwise(0.0), rows, cols, 2 * radius, work, out, "boolean", tile)
+    return tiled(df, F.when(F.col(mask), 1.0).otherwise(0.0), rows, cols, 2 * radius, work, out, "boolean", tile, by)
 
 
 def nearest(df: DataFrame, value: str, targets: DataFrame, ratio: float, out: str = "v") -> DataFrame:

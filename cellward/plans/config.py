@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -86,3 +86,27 @@ class Settings:
             total = sum(getattr(self, name).values())
             if abs(total - 1) > 1e-6:
                 raise ValueError(f"{name} sum to {total}, not 1")
+
+
+@dataclass(frozen=True)
+class ClusterSettings:
+    """Parameters of clusters of risk; the values here are those of a mapping that doesn't name them."""
+
+    risk_threshold: float = 0.25
+    cell_size_meters: float = 30.0
+    morphological_closing_disk_size: int = 3
+    cluster_epsilon_multiplier: float = 1.5
+    minimum_samples: int = 4
+    hole_area_threshold: float = 0.10
+    minimum_polygon_area_square_meters: float = 5_000.0
+    use_contour_method: bool = False
+
+    @staticmethod
+    def of(given: dict | None) -> ClusterSettings:
+        """From a mapping; names that aren't parameters of clusters say nothing."""
+        names = {f.name for f in fields(ClusterSettings)}
+        return ClusterSettings(**{k: v for k, v in (given or {}).items() if k in names})
+
+
+#: The default configuration's cluster parameters.
+CLUSTERS = ClusterSettings(0.35, 30.0, 12, 6.0, 10, 0.10, 12_000_000.0, True)

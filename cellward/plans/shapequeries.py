@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellward.functions import crs, risk
-from cellward.operators import lines, outlines, resample, spatial, tabular
-from cellward.plans.config import GridSpec
+from cellward.operators import clusterfiles, lines, outlines, resample, spatial, tabular
+from cellward.plans.config import ClusterSettings, GridSpec
 from cellward.plans.gridqueries import CELLS, COLS, cells, height, order_rings
 from cellward.sources.storage import table
 
@@ -26,10 +26,12 @@ def query(sql: str | None = None):
     return add
 
 
-_HOT = f"""{CELLS}, hot AS (SELECT row, col, row::BIGINT * 4294967296 + col AS id FROM cells WHERE e > 3500),
-e AS (SELECT a.id, b.id AS other FROM hot a JOIN hot b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1),
+#: Edge-connected parts of the cells of hot(row, col, id), named by their first cell.
+_LAB = """e AS (SELECT a.id, b.id AS other FROM hot a JOIN hot b ON abs(a.row - b.row) + abs(a.col - b.col) = 1 AND b.row BETWEEN a.row - 1 AND a.row + 1),
 reach(id, root) AS (SELECT id, id FROM hot UNION SELECT e.other, reach.root FROM reach JOIN e ON e.id = reach.id),
 lab AS (SELECT hot.*, region FROM hot JOIN (SELECT id, min(root) AS region FROM reach GROUP BY 1) USING (id))"""
+_HOT = f"""{CELLS}, hot AS (SELECT row, col, row::BIGINT * 4294967296 + col AS id FROM cells WHERE e > 3500),
+{_LAB}"""
 
 
 def _hot(spark, d):
@@ -46,7 +48,8 @@ def cluster_outlines(spark, d):
     return outlines.rings(found, 30.0).groupBy("region").agg(F.sum("area").alias("area"), F.sum("length").alias("length"), F.count_if(F.col("area") < 0).alias("n_holes"), F.bool_and("closed").alias("closed"))
 
 
-@query(f"""WITH RECURSIVE {_HOT}, k AS (SELECT a AS dr, b AS dc FROM range(-1, 2) s(a), range(-1, 2) t(b)), box AS (SELECT max(row) + 1 AS bottom FROM cells),
+#: Tree of the parts and the holes in them, and the parts (row, col, region) with small holes filled.
+_FILL = """k AS (SELECT a AS dr, b AS dc FROM range(-1, 2) s(a), range(-1, 2) t(b)), box AS (SELECT max(row) + 1 AS bottom FROM cells),
 bg AS (SELECT r AS row, c AS col, (r + 2) * 4294967296::BIGINT + c + 2 AS id FROM box, range(-1, 101) t(c), LATERAL (SELECT unnest(range(-1, bottom + 1)) AS r) a WHERE NOT EXISTS (SELECT 1 FROM hot WHERE hot.row = r AND hot.col = c)),
 be AS (SELECT a.id, b.id AS other FROM bg a CROSS JOIN k JOIN bg b ON b.row = a.row + dr AND b.col = a.col + dc WHERE a.id <> b.id),
 open(id) AS (SELECT min(id) FROM bg UNION SELECT be.other FROM open JOIN be ON be.id = open.id),
@@ -60,7 +63,10 @@ inside AS (SELECT ak, aid, sum(n) AS n FROM anc JOIN node USING (kind, id) GROUP
 net AS (SELECT i.aid AS region, i.n - coalesce(sum(j.n), 0) AS own FROM inside i LEFT JOIN up ON up.pk = 'r' AND up.pid = i.aid LEFT JOIN inside j ON j.ak = 'h' AND j.aid = up.id WHERE i.ak = 'r' GROUP BY 1, i.n),
 filled AS (SELECT up.id AS hole, up.pid AS region FROM up JOIN inside ON ak = 'h' AND aid = up.id JOIN net ON net.region = up.pid WHERE up.kind = 'h' AND inside.n / own::DOUBLE < 0.1 * sqrt(greatest(1.0, sqrt(own * 900.0) / 1000))),
 outer_ AS (SELECT anc.kind, anc.id, arg_max(filled.region, depth) AS region FROM anc JOIN filled ON ak = 'h' AND aid = filled.hole GROUP BY 1, 2),
-done AS (SELECT row, col, coalesce(o.region, lab.region) AS region FROM lab LEFT JOIN outer_ o ON o.kind = 'r' AND o.id = lab.region UNION ALL SELECT row, col, o.region FROM bl JOIN outer_ o ON o.kind = 'h' AND o.id = bl.hole),
+done AS (SELECT row, col, coalesce(o.region, lab.region) AS region FROM lab LEFT JOIN outer_ o ON o.kind = 'r' AND o.id = lab.region UNION ALL SELECT row, col, o.region FROM bl JOIN outer_ o ON o.kind = 'h' AND o.id = bl.hole)"""
+
+
+@query(f"""WITH RECURSIVE {_HOT}, {_FILL},
 t AS (SELECT region, count(*) AS n_cells, sum(row) AS rows, sum(col) AS cols FROM done GROUP BY 1)
 SELECT CAST(row_number() OVER (ORDER BY region) - 1 AS INTEGER) AS risk_cluster_id, n_cells, n_cells * 900.0::DOUBLE AS area, CAST(rows AS BIGINT) AS rows, CAST(cols AS BIGINT) AS cols FROM t WHERE n_cells >= 3""")
 def cluster_finalised(spark, d):
@@ -69,6 +75,78 @@ def cluster_finalised(spark, d):
     return done.groupBy("risk_cluster_id").agg(F.count(F.lit(1)).alias("n_cells"), F.max("area").alias("area"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
 
 
+#: Names of risk files and their values by cell; some get no clusters, by name or by value.
+RISK_FILES = (("risk_SLR-1-2050_gdp.tif", "h"), ("risk_SLR-2-2100_freight", "w"), ("risk_SLR-2-2100_freight_loading", "h"), ("risk_SLR-3-Severe_POPULATION", "e / 9973"), ("risk_SLR-3-Severe_COMBINED", "h"), ("risk_population", "h / 2"))
+OUTLINED = ClusterSettings.of({"risk_threshold": 0.9, "morphological_closing_disk_size": 1, "minimum_polygon_area_square_meters": 2_700.0, "use_contour_method": True, "export_formats": ["gpkg"]})
+DENSE = ClusterSettings.of({"risk_threshold": 0.9, "morphological_closing_disk_size": 1})
+
+
+def _risk_files(spark, d):
+    own = cells(spark, d)
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("file"), F.expr(v).cast("double").alias("value")) for n, v in RISK_FILES)))
+    return own.select("row", "col", each.alias("f")).select("f.file", "row", "col", "f.value"), height(own)
+
+
+_FILES = "fv AS (" + " UNION ALL ".join(f"SELECT {i} AS no, '{n}' AS file, row, col, ({v})::DOUBLE AS v FROM cells" for i, (n, v) in enumerate(RISK_FILES) if i in (0, 1, 3, 5)) + "), hh AS (SELECT max(row) + 1 AS rows FROM cells)"
+_MASKS = """kk AS (SELECT r, c, r * r + c * c AS d2 FROM range(-12, 13) s(r), range(-12, 13) t(c)), m AS (SELECT no, row, col FROM fv WHERE v >= 0.9),
+dl AS (SELECT DISTINCT m.no, row + kk.r AS row, col + kk.c AS col FROM m JOIN rad ON rad.no = m.no JOIN kk ON d2 <= rad.r * rad.r CROSS JOIN hh WHERE row + kk.r BETWEEN 0 AND rows - 1 AND col + kk.c BETWEEN 0 AND 99),
+er AS (SELECT f.no, f.row, f.col, bool_and(NOT (f.row + kk.r BETWEEN 0 AND rows - 1 AND f.col + kk.c BETWEEN 0 AND 99) OR dl.no IS NOT NULL) AS closed
+ FROM fv f JOIN rad ON rad.no = f.no JOIN kk ON d2 <= rad.r * rad.r CROSS JOIN hh LEFT JOIN dl ON dl.no = f.no AND dl.row = f.row + kk.r AND dl.col = f.col + kk.c GROUP BY 1, 2, 3)"""
+_OUTLINED = f"""WITH RECURSIVE {CELLS}, {_FILES}, rad AS (SELECT no, CAST(greatest(1, ceil(sqrt(count(*) * 900.0::DOUBLE) / 600)) AS INTEGER) AS r FROM fv WHERE v >= 0.9 GROUP BY 1), {_MASKS},
+taps AS (SELECT no, d, g / sum(g) OVER (PARTITION BY no) AS w FROM (SELECT no, d, exp(-0.5 * power(d / (r / 2.0::DOUBLE), 2)) AS g FROM rad, range(-24, 25) t(d) WHERE abs(d) <= 2 * r)),
+f0 AS (SELECT rad.no, x.r AS row, y.c AS col, CASE WHEN er.closed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM rad CROSS JOIN (SELECT unnest(range(0, rows)) AS r FROM hh) x CROSS JOIN range(0, 100) y(c) LEFT JOIN er ON er.no = rad.no AND er.row = x.r AND er.col = y.c),
+p1 AS (SELECT a.no, a.row, a.col, sum(w * b.v) AS v FROM f0 a JOIN taps ON taps.no = a.no JOIN f0 b ON b.no = a.no AND b.row = a.row AND b.col = least(greatest(a.col + d, 0), 99) GROUP BY 1, 2, 3),
+p2 AS (SELECT a.no, a.row, a.col, sum(w * b.v) AS v FROM p1 a JOIN taps ON taps.no = a.no CROSS JOIN hh JOIN p1 b ON b.no = a.no AND b.col = a.col AND b.row = least(greatest(a.row + d, 0), rows - 1) GROUP BY 1, 2, 3),
+masked AS (SELECT er.no, er.row, er.col FROM er JOIN p2 ON p2.no = er.no AND p2.row = er.row AND p2.col = er.col WHERE p2.v >= 0.5),
+hot AS (SELECT row + no * (rows + 3) AS row, col, (row + no * (rows + 3)) * 4294967296::BIGINT + col AS id FROM masked, hh WHERE no IN (SELECT no FROM masked GROUP BY no HAVING count(*) >= 4)),
+{_LAB}, {_FILL.replace("bottom FROM cells", "bottom FROM hot")},
+big AS (SELECT region, CAST(region // 4294967296 // (rows + 3) AS INTEGER) AS no FROM done, hh GROUP BY 1, 2 HAVING count(*) >= 3), ids AS (SELECT *, CAST(row_number() OVER (PARTITION BY no ORDER BY region) - 1 AS INTEGER) AS risk_cluster_id FROM big)"""
+_NAMED = "(VALUES " + ", ".join(f"({i}, '{n}', '{s}', '{k}')" for i, n, s, k in ((0, RISK_FILES[0][0], "SLR-1-2050", "gdp"), (1, RISK_FILES[1][0], "SLR-2-2100", "freight"), (3, RISK_FILES[3][0], "SLR-3-Severe", "POPULATION"), (5, RISK_FILES[5][0], "population", ""))) + ") n(no, file, scenario, indicator)"
+
+
+def _described(spark, d, settings):
+    layers, rows = _risk_files(spark, d)
+    out = clusterfiles.described(clusterfiles.extracted(layers, rows, COLS, settings, 32), layers, settings.cell_size_meters)
+    return out.select("file", "risk_cluster_id", "scenario", "indicator", "pixel_count", F.round("mean_risk", 6).alias("mean_risk"), "max_risk", "area", F.round("density", 9).alias("density"))
+
+
+@query(f"""{_OUTLINED} SELECT n.file, ids.risk_cluster_id, n.scenario, n.indicator, count(*) FILTER (v > 0) AS pixel_count, round(coalesce(avg(v) FILTER (v > 0), 0), 6) AS mean_risk, coalesce(max(v) FILTER (v > 0), 0) AS max_risk,
+count(*) * 900.0::DOUBLE AS area, round(coalesce(sum(v) FILTER (v > 0) / (count(*) * 900.0::DOUBLE), 0), 9) AS density
+FROM ids JOIN done ON done.region = ids.region JOIN {_NAMED} ON n.no = ids.no CROSS JOIN hh LEFT JOIN fv ON fv.no = ids.no AND fv.row = done.row - ids.no * (rows + 3) AND fv.col = done.col GROUP BY 1, 2, 3, 4""")
+def cluster_files(spark, d):
+    """Outlined clusters of all risk files, with statistics; the closing's radius follows each file's area."""
+    return _described(spark, d, OUTLINED)
+
+
+@query(f"""WITH RECURSIVE {CELLS}, {_FILES}, rad AS (SELECT DISTINCT no, 1 AS r FROM fv WHERE v >= 0.9), {_MASKS}, pts AS (SELECT no, row, col, row * 4294967296::BIGINT + col AS id FROM er WHERE closed),
+nb AS (SELECT a.no, a.id, b.id AS other FROM pts a JOIN pts b ON a.no = b.no AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1), core AS (SELECT no, id FROM nb GROUP BY 1, 2 HAVING count(*) >= 4),
+ce AS (SELECT nb.* FROM nb SEMI JOIN core USING (no, id) WHERE (no, other) IN (SELECT (no, id) FROM core)), reach(no, id, root) AS (SELECT no, id, id FROM core UNION SELECT ce.no, ce.other, reach.root FROM reach JOIN ce ON ce.no = reach.no AND ce.id = reach.id),
+lab AS (SELECT no, id, min(root) AS label FROM reach GROUP BY 1, 2), edge AS (SELECT nb.no, nb.id, arg_min(label, nb.other) AS label FROM nb JOIN lab ON lab.no = nb.no AND lab.id = nb.other ANTI JOIN core ON core.no = nb.no AND core.id = nb.id GROUP BY 1, 2),
+done AS (SELECT * FROM lab UNION ALL SELECT * FROM edge), big AS (SELECT no, label, min(id) AS first FROM done GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) * 900.0 >= 5000), ids AS (SELECT no, label, CAST(row_number() OVER (PARTITION BY no ORDER BY first) - 1 AS INTEGER) AS risk_cluster_id FROM big)
+SELECT n.file, risk_cluster_id, n.scenario, n.indicator, count(*) FILTER (v > 0) AS pixel_count, round(coalesce(avg(v) FILTER (v > 0), 0), 6) AS mean_risk, coalesce(max(v) FILTER (v > 0), 0) AS max_risk, count(*) * 900.0::DOUBLE AS area,
+round(coalesce(sum(v) FILTER (v > 0) / (count(*) * 900.0::DOUBLE), 0), 9) AS density FROM ids JOIN done ON done.no = ids.no AND done.label = ids.label JOIN {_NAMED} ON n.no = ids.no LEFT JOIN fv ON fv.no = ids.no AND fv.row = done.id // 4294967296 AND fv.col = done.id % 4294967296 GROUP BY 1, 2, 3, 4""")
+def density_cluster_files(spark, d):
+    """Density clusters of all risk files, by the parameters that hold where none are given."""
+    return _described(spark, d, DENSE)
+
+
+@query(f"""{_OUTLINED}, mine AS (SELECT ids.no, risk_cluster_id, row, col FROM ids JOIN done ON done.region = ids.region), s AS (SELECT no, risk_cluster_id, count(*) AS n FROM mine GROUP BY 1, 2),
+pp AS (SELECT a.no, a.risk_cluster_id, count(*) AS p FROM mine a JOIN mine b ON a.no = b.no AND a.risk_cluster_id = b.risk_cluster_id AND ((b.row = a.row AND b.col = a.col + 1) OR (b.row = a.row + 1 AND b.col = a.col)) GROUP BY 1, 2),
+q AS (SELECT a.no, a.risk_cluster_id, count(*) AS q FROM mine a JOIN mine b ON b.no = a.no AND b.row = a.row AND b.col = a.col + 1 AND b.risk_cluster_id = a.risk_cluster_id JOIN mine c ON c.no = a.no AND c.row = a.row + 1 AND c.col = a.col AND c.risk_cluster_id = a.risk_cluster_id
+ JOIN mine x ON x.no = a.no AND x.row = a.row + 1 AND x.col = a.col + 1 AND x.risk_cluster_id = a.risk_cluster_id GROUP BY 1, 2),
+box AS (SELECT no, risk_cluster_id, 4000000 + min(col) * 30.0::DOUBLE AS west, 3000000 - min(row - no * (rows + 3)) * 30.0::DOUBLE AS north FROM mine, hh GROUP BY 1, 2)
+SELECT n.file, s.risk_cluster_id, 'Polygon' AS kind, n * 900.0::DOUBLE AS area, 2 - (n - coalesce(p, 0) + coalesce(q, 0)) AS n_rings, west, north FROM s LEFT JOIN pp USING (no, risk_cluster_id) LEFT JOIN q USING (no, risk_cluster_id) JOIN box USING (no, risk_cluster_id) JOIN {_NAMED} ON n.no = s.no""".replace("box AS (SELECT no,", "ends AS (SELECT no,").replace("JOIN box USING", "JOIN ends USING"))
+def cluster_features(spark, d):
+    """Features of the outlined clusters, read back from their JSON; the SQL counts cells, neighbours and blocks of four."""
+    layers, rows = _risk_files(spark, d)
+    made = clusterfiles.features(clusterfiles.extracted(layers, rows, COLS, OUTLINED, 32), 4_000_000.0, 3_000_000.0, 30.0, rows, 32)
+    read = F.from_json("feature", "geometry struct<type: string, coordinates: array<array<array<double>>>>, properties struct<file: string, risk_cluster_id: int>")
+    rings = made.select(read.alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("rings"))
+    area = F.expr("aggregate(rings, 0D, (t, g) -> t + aggregate(zip_with(slice(g, 1, size(g) - 1), slice(g, 2, size(g) - 1), (a, b) -> (a[0] - 4000000) * (b[1] - 3000000) - (a[1] - 3000000) * (b[0] - 4000000)), 0D, (s, v) -> s + v)) / 2")
+    outer = F.element_at("rings", 1)
+    return rings.select("file", "risk_cluster_id", "kind", F.abs(area).alias("area"), F.size("rings").cast("long").alias("n_rings"), F.array_min(F.transform(outer, lambda p: p[0])).alias("west"), F.array_max(F.transform(outer, lambda p: p[1])).alias("north"))
+
+
 @query(f"""WITH {CELLS}, p AS (SELECT DISTINCT zone, col::DOUBLE AS x, row::DOUBLE AS y FROM cells),
 s AS (SELECT a.zone, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.zone = b.zone AND (a.x <> b.x OR a.y <> b.y)
  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.zone = a.zone AND ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0
