@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellward.operators.spatial import tms_flip
+from cellward.operators.spatial import tile_bounds, tms_flip
 from cellward.operators.tabular import ordinal
+from cellward.sources.storage import feature
 
 #: Keyword in a layer's name to indicator, first match.
 INDICATORS = (("freight", "Freight"), ("gdp", "GDP"), ("hrst", "HRST"), ("population", "Population"), ("combined", "Combined"))
@@ -215,3 +216,28 @@ def parsed_bounds(text: Column) -> Column:
 def cache_key(*parts: Column) -> Column:
     """F32."""
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def tile_coverage(tiles: DataFrame, metadata: DataFrame, most: int = 5) -> DataFrame:
+    """Q-C12: (file, n_tiles, k, z, x, y, bounds, scenario, risk_type, feature): what each tile file covers, as GeoJSON features.
+
+    tiles: file, z, x, y; metadata: a row for each file with its bounds as text, "w,s,e,n".  The first ``most`` tiles of a file by zoom, column and
+    row are its features.  A file without tiles has one, of its metadata's bounds, or of the world if these aren't four numbers.
+    Scenario and kind of risk are read from names of cluster files and are "unknown" for others.
+    """
+    counts = tiles.groupBy("file").agg(F.count(F.lit(1)).alias("n_tiles"))
+    first = Window.partitionBy("file").orderBy("z", "x", "y")
+    shown = tiles.select("file", "z", "x", "y").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    west, south, east, north = tile_bounds(F.col("z"), F.col("x"), F.col("y"))
+    shown = shown.withColumn("bounds", F.array(west, south, east, north)).join(counts, "file")
+    given = parsed_bounds(F.col("bounds"))
+    usable = F.coalesce((F.size(given) == 4) & ~F.exists(given, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+    world = F.array(*(F.lit(float(v)) for v in (-180, -90, 180, 90)))
+    bare = metadata.join(counts, "file", "left_anti").select("file", F.when(usable, given).otherwise(world).alias("bounds"), F.lit(0).cast("long").alias("n_tiles"), F.lit(1).alias("k"))
+    rows = shown.unionByName(bare, allowMissingColumns=True)
+    name = lambda i: F.lower(F.regexp_extract("file", r"clusters_SLR-(\d+)-(\w+)_(\w+)", i))
+    rows = rows.withColumns({"scenario": F.when(name(2) == "", "unknown").otherwise(name(2)), "risk_type": F.when(name(3) == "", "unknown").otherwise(name(3))})
+    at = lambda x, y: F.array(F.col("bounds")[x], F.col("bounds")[y])
+    outline = F.array(at(0, 3), at(2, 3), at(2, 1), at(0, 1), at(0, 3))
+    rows = rows.withColumn("geometry", F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(outline).alias("coordinates"))))
+    return rows.select("file", "n_tiles", "k", "z", "x", "y", "bounds", "scenario", "risk_type", feature("geometry", ["file", "scenario", "risk_type", "z", "x", "y"]).alias("feature"))

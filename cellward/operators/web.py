@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellward.operators import spatial
+from cellward.operators import lines, spatial
+from cellward.sources.storage import cut, sized
 
 
 def visible(layers: DataFrame, groups: DataFrame, scenario: str, indicator: str) -> DataFrame:
@@ -137,3 +138,26 @@ def outputs_of(df: DataFrame, file: str, indicators: list[str], without: list[st
     """Output files of some indicators, without the parts of one."""
     low = F.lower(file)
     return df.where(low.rlike(f"_({'|'.join(indicators)})") & ~low.rlike("|".join(without)))
+
+
+def meets_box(ring: str, west: float, south: float, east: float, north: float) -> Column:
+    """Whether a ring's polygon and a box have a point in common: a side that meets the box, or the box inside the ring."""
+    corners = ((west, south), (east, south), (east, north), (west, north))
+    turns = ", ".join(f"(b.x - a.x) * ({y!r}D - a.y) - (b.y - a.y) * ({x!r}D - a.x)" for x, y in corners)
+    near = f"least(a.x, b.x) <= {east!r}D and greatest(a.x, b.x) >= {west!r}D and least(a.y, b.y) <= {north!r}D and greatest(a.y, b.y) >= {south!r}D"
+    side = F.expr(f"exists(zip_with({ring}, concat(slice({ring}, 2, size({ring})), slice({ring}, 1, 1)), (a, b) -> {near} and least({turns}) <= 0 and greatest({turns}) >= 0), h -> h)")
+    return F.when(F.size(ring) > 0, side | spatial.contains(ring, f"{west!r}D", f"{south!r}D")).otherwise(False)
+
+
+def exportable(shapes: DataFrame, layer: str, tile: float, box: tuple[float, float, float, float] = (-20.0, 30.0, 45.0, 75.0), key: str = "id", ring: str = "ring") -> DataFrame:
+    """K5: the shapes that an export holds: all of a layer whose bounds are good; else its valid shapes that meet the box (west, south, east, north).
+
+    A layer of which nothing is left has no rows.  Shapes without a ring stay in good layers only; rows with a null layer are a layer of their own.
+    """
+    layered = shapes.withColumn("__layer", F.struct(F.col(layer).alias("name")))
+    ends = layered.select("__layer", *spatial.bounds(ring)).groupBy("__layer").agg(*(getattr(F, n.split("_")[0])(n).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")))
+    judged = sized(ends.select("__layer", export_ok(*(F.col(n) for n in ("min_x", "min_y", "max_x", "max_y"))).alias("__ok")))
+    good = layered.join(judged.where("__ok"), "__layer", "left_semi")
+    bad = cut(layered.join(judged.where("not __ok"), "__layer", "left_semi").where(meets_box(ring, *box)))
+    valid = bad.join(lines.faults(bad, tile, key, ring).select(key), key, "left_anti")
+    return good.unionByName(valid).drop("__layer")

@@ -183,6 +183,28 @@ def tile_stats(spark, d):
     return catalog.tile_statistics(_tiles(spark, d))
 
 
+_COVERED = """names AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 3 THEN 'layer_' ELSE 'clusters_SLR-' || n_nationkey % 4 || '-Severe_' END || n_name AS file,
+CASE n_nationkey % 3 WHEN 1 THEN 'none,1,2,3' WHEN 2 THEN (n_nationkey - 20) || ', ' || n_nationkey || ',' || (n_nationkey + 5) || ',' || (n_nationkey + 9) END AS bounds FROM nation)"""
+
+
+@query(f"""WITH {_TILES}, {_COVERED}, t AS (SELECT file, z, x, y, row_number() OVER (PARTITION BY file ORDER BY z, x, y) AS k, count(*) OVER (PARTITION BY file) AS n_tiles FROM tiles JOIN names ON names.k = data % 20),
+b AS (SELECT file, n_tiles, CAST(k AS INTEGER) AS k, z, x, y, x / power(2, z) * 360 - 180 AS west, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / power(2, z))))) AS south, (x + 1) / power(2, z) * 360 - 180 AS east, degrees(atan(sinh(pi() * (1 - 2 * y / power(2, z))))) AS north FROM t WHERE k <= 5
+ UNION ALL SELECT file, 0, 1, NULL, NULL, NULL, CASE WHEN k % 3 = 2 THEN k - 20 ELSE -180 END, CASE WHEN k % 3 = 2 THEN k ELSE -90 END, CASE WHEN k % 3 = 2 THEN k + 5 ELSE 180 END, CASE WHEN k % 3 = 2 THEN k + 9 ELSE 90 END FROM names WHERE file NOT IN (SELECT file FROM t)),
+m AS (SELECT *, regexp_extract(file, 'clusters_SLR-(\\d+)-(\\w+)_(\\w+)', 2) AS s, regexp_extract(file, 'clusters_SLR-(\\d+)-(\\w+)_(\\w+)', 3) AS r FROM b)
+SELECT file, n_tiles, k, z, x, y, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, CASE s WHEN '' THEN 'unknown' ELSE lower(s) END AS scenario, CASE r WHEN '' THEN 'unknown' ELSE lower(r) END AS risk_type FROM m""")
+def tile_coverage(spark, d):
+    """Q-C12: coverage features of tile files, their outlines read back from the JSON; some files have no tiles, some bad bounds."""
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    name = F.concat(F.when(k % 4 == 3, "layer_").otherwise(F.concat(F.lit("clusters_SLR-"), k % 4, F.lit("-Severe_"))), "n_name")
+    given = F.when(k % 3 == 1, "none,1,2,3").when(k % 3 == 2, F.concat(k - 20, F.lit(", "), k, F.lit(","), k + 5, F.lit(","), k + 9))
+    files = n.select(k.alias("key"), name.alias("file"), given.alias("bounds"))
+    tiles = _tiles(spark, d).join(F.broadcast(files.select("key", "file")), F.col("data") % 20 == F.col("key")).select("file", "z", "x", "y")  # nations are 25
+    out = catalog.tile_coverage(tiles, files.select("file", "bounds"))
+    ring = F.from_json("feature", "geometry struct<coordinates: array<array<array<double>>>>")["geometry"]["coordinates"][0]
+    sides = {"west": ring[0][0], "south": ring[2][1], "east": ring[1][0], "north": ring[0][1]}
+    return out.select("file", "n_tiles", "k", "z", "x", "y", *(F.round(v, 6).alias(c) for c, v in sides.items()), "scenario", "risk_type")
+
+
 #: Stems and extensions that the parts' keys are combined to file names of.
 STEMS = (
     "clusters_SLR-0-Current_GDP", "1718000000_clusters_SLR-3-Severe_FREIGHT", "clusters_SLR-10-Very Severe_GDP", "1718000000_risk_SLR-1-Conservative_GDP", "exposition_population", "hazard_flood-map",

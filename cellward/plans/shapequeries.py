@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellward.functions import crs, risk
-from cellward.operators import clusterfiles, lines, outlines, resample, spatial, tabular
+from cellward.operators import clusterfiles, lines, outlines, resample, spatial, tabular, web
 from cellward.plans.config import ClusterSettings, GridSpec
 from cellward.plans.gridqueries import CELLS, COLS, cells, height, order_rings
 from cellward.sources.storage import table
@@ -255,6 +255,29 @@ def ring_faults(spark, d):
     return lines.faults(order_rings(spark, d), 20_000.0)
 
 
+#: Shapes of the export in degrees, scaled by a power of two so that their sides turn as the items' do.
+_RING = "SELECT l_orderkey AS id, l_orderkey % 2003 AS layer, list(struct_pack(x := l_quantity::DOUBLE - 25, y := l_extendedprice::DOUBLE / 1024) ORDER BY l_linenumber, l_quantity, l_extendedprice) AS ring FROM lineitem GROUP BY 1"
+
+
+@query(f"""WITH p AS ({_RING}), u AS (SELECT id, layer, len(ring) AS n, unnest(range(1, len(ring) + 1)) AS k, ring FROM p),
+s AS (SELECT id, layer, k, ring[k].x AS ax, ring[k].y AS ay, ring[CASE WHEN k = n THEN 1 ELSE k + 1 END].x AS bx, ring[CASE WHEN k = n THEN 1 ELSE k + 1 END].y AS by_ FROM u),
+lay AS (SELECT layer, min(ax) BETWEEN -180 AND 180 AND max(ax) BETWEEN -180 AND 180 AND min(ay) BETWEEN -90 AND 90 AND max(ay) BETWEEN -90 AND 90 AND max(ax) - min(ax) BETWEEN 0.001 AND 350 AND max(ay) - min(ay) BETWEEN 0.001 AND 170 AS ok FROM s GROUP BY 1),
+c AS (SELECT DISTINCT s.id FROM s JOIN s t ON s.id = t.id AND s.k < t.k WHERE sign((s.bx - s.ax) * (t.ay - s.ay) - (s.by_ - s.ay) * (t.ax - s.ax)) * sign((s.bx - s.ax) * (t.by_ - s.ay) - (s.by_ - s.ay) * (t.bx - s.ax)) < 0
+ AND sign((t.bx - t.ax) * (s.ay - t.ay) - (t.by_ - t.ay) * (s.ax - t.ax)) * sign((t.bx - t.ax) * (s.by_ - t.ay) - (t.by_ - t.ay) * (s.bx - t.ax)) < 0),
+f AS (SELECT id FROM s GROUP BY 1 HAVING count(DISTINCT (ax, ay)) < 3 OR sum(ax * by_ - bx * ay) = 0 UNION SELECT id FROM c),
+w AS (SELECT id, greatest(0, CASE WHEN bx = ax THEN CASE WHEN ax BETWEEN -20 AND 45 THEN 0 ELSE 2 END ELSE least((-20 - ax) / (bx - ax), (45 - ax) / (bx - ax)) END, CASE WHEN by_ = ay THEN CASE WHEN ay BETWEEN 30 AND 75 THEN 0 ELSE 2 END ELSE least((30 - ay) / (by_ - ay), (75 - ay) / (by_ - ay)) END)
+ <= least(1, CASE WHEN bx = ax THEN 1 ELSE greatest((-20 - ax) / (bx - ax), (45 - ax) / (bx - ax)) END, CASE WHEN by_ = ay THEN 1 ELSE greatest((30 - ay) / (by_ - ay), (75 - ay) / (by_ - ay)) END) AS touches,
+ (ay > 30) <> (by_ > 30) AND -20 < (bx - ax) * (30 - ay) / (by_ - ay) + ax AS passes FROM s),
+meet AS (SELECT id FROM w GROUP BY 1 HAVING bool_or(touches) OR count(*) FILTER (passes) % 2 = 1)
+SELECT p.id, p.layer FROM p JOIN lay USING (layer) WHERE ok OR (p.id NOT IN (SELECT id FROM f) AND p.id IN (SELECT id FROM meet))""")
+def exported_shapes(spark, d):
+    """K5: the shapes that may be exported of layers with good and with bad bounds; the SQL clips each side by the box."""
+    turned = F.transform("ring", lambda p: F.struct((p["x"] - 25).alias("x"), (p["y"] / 1024).alias("y")))
+    shapes = order_rings(spark, d).select("id", (F.col("id") % 2003).alias("layer"), turned.alias("ring"))
+    made = web.exportable(shapes, "layer", 20.0)
+    return made.select("id", "layer")
+
+
 def _squares(spark, d):
     corner = lambda c, r: F.struct((F.col("col") + c).cast("double").alias("x"), (F.col("row") + r).cast("double").alias("y"))
     return cells(spark, d).select("id", F.col("zone"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
