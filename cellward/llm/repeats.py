@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellward.llm import textops as t
-from cellward.llm.sparkops import NULL_ID, cut, partitions, table
+from cellward.llm.sparkops import NULL_ID, cut, freed, partitions, table
 
 LENGTH, GRAM = 50, 24
 #: Documents of the sample (as many as buckets if those are more), and suffixes of each.
@@ -417,7 +417,8 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     sent = spark.sparkContext.broadcast(splitters(rows, buckets, length, gram))
     both = rows.join(repeated, ["did", "key"], "left").select("did", "key", "text", "prints")
     suffixes = both.mapInArrow(_suffix_blocks(sent, buckets, length, gram), "bucket long, did binary, keys binary, place binary, most binary, least binary, context binary")
-    matched = cut(suffixes.groupBy("bucket").applyInArrow(_match(length, gram), "did long, key binary, spans binary, digest binary"))
+    # the texts are shuffled a second time for the result; what was shuffled for the matches goes first
+    matched = freed(suffixes.groupBy("bucket").applyInArrow(_match(length, gram), "did long, key binary, spans binary, digest binary"))
     still_open = matched.where("digest is not null")
     first = still_open.groupBy("digest").agg(F.min("did").alias("first"))
     across = still_open.join(first, "digest").where("did > first").select("did", "key", "spans")

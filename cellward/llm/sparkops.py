@@ -42,6 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """As ``cut``, and the shuffle files behind it are deleted with it, not when the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return cut(df.select("*"))  # a query takes the setting of the time it is made
+    finally:
+        conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, by a table in the shared folder.  For loops of joins: a checkpoint keeps the plan's estimated size, which
     joins multiply, so that it has four times the digits after each round and fills the driver after a dozen."""

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -89,3 +91,18 @@ def test_very_long_texts_of_one_gram(spark):
 
 def test_empty(spark):
     assert repeats.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shuffled_texts_are_gone_before_they_are_shuffled_again(spark):
+    """The driver's garbage isn't collected here, and yet what the matches took is off the disk when they are known."""
+    folder, name = Path(spark.conf.get("spark.local.dir")), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("shuffle_*.data"))
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnop") for _ in range(4000)) + "the same end of all texts " * 9) for i in range(300)]
+    before, setting = size(), spark.conf.get(name)
+    _, spans = repeats.removed(spark.createDataFrame(rows, "doc_id long, text string"))
+    until = time.time() + 10
+    while size() > before + 100_000 and time.time() < until:
+        time.sleep(0.2)
+    assert size() <= before + 100_000
+    assert spark.conf.get(name) == setting and spans.count() == 299
