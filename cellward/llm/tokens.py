@@ -28,8 +28,9 @@ TABLE = 250_000
 
 #: Texts of the characters below are cut by a pattern here; others go through the library whole.
 LATIN = 0x250
-#: Fixed value: the byte-level pre-tokenizer's own pattern, which its file only names.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the byte-level pre-tokenizer's own pattern, which its file only names; letters and digits go before the
+#: contractions, which start unlike them, so that words are found at the first attempt.
+BYTE_LEVEL = r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _OTHER, _SPECIAL = re.compile(f"[^\\x00-{chr(LATIN - 1)}]"), "<|"
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 
 from cellward.llm import token_files
 from cellward.llm.bpe import vocabulary
-from cellward.llm.tokens import codec
+from cellward.llm.tokens import BYTE_LEVEL, codec
 
 
 @pytest.mark.parametrize("n", [1, 3, 4, 1000])
@@ -35,3 +36,13 @@ def test_files_against_library(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert token_files.op5_token_id_output(spark, str(tmp_path)).count() == 0
+
+
+def test_words_are_the_first_attempt_of_the_pattern():
+    """Most pieces are words, which the pattern tries first; ids are the library's whatever white space and contractions stand where."""
+    assert BYTE_LEVEL.startswith(r" ?\p{L}+|")
+    own, rng = codec(vocabulary("byte_bpe_50k.json"), token_files.DEAL), random.Random(5)
+    parts = [" ", " ", " ", "  ", "\n", " \n", "\n ", "\t", "\xa0", "\x85", "\x1c", "\x0b", "it's", "don't,", "x", "Été", "12,5", "(a)", "...", "'", "'s", " 's", "'9", "'ll", "\u00ad", "<", "end."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(4000)] + ["", " ", "It's a 'so-called' test, isn't it? Yes. 3 of 4"]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids, text
