@@ -8,11 +8,12 @@ letters of one case, base 32, base 36, letters, base 62, base 64), and tests it
 (chi-squared), for the number of runs above and below the alphabet's middle, and for serial correlation.  The three
 standard scores give one score, small for random text.  Runs that overlap a fixed span are neither tested nor counted.
 
-A cut is set for each size of alphabet and length class by false-discovery control: words of the documents, joined
-without spaces, serve as decoys, one of a length for each document from a place of its own anywhere in its whole text,
-besides a small fixed stock, so that there always are some.  The cut is the largest score at which the expected share of such
-text among the runs below it is FDR at most: (decoys below + 1) / (decoys + 1), times the number of runs that are no
-secret, over the runs below.  That number is estimated from those above LARGEST.  Spans of kind ``random`` are added.
+A cut is set for each size of alphabet and length class by false-discovery control: all words of all documents serve as
+decoys.  A document's words, joined without spaces, are cut from the first to the last into pieces of the classes' lengths in
+turn, and each piece is tested in every alphabet; a small fixed stock is added, so that there always are some.  The cut is the largest score at which the
+expected share of such text among the runs below it is FDR at most: (decoys below + 1) / (decoys + 1), times the number of
+runs that are no secret, over the runs below.  That number is estimated from those above LARGEST.  Only numbers of decoys by
+class, alphabet and score leave the tasks.  Spans of kind ``random`` are added.
 
 Nulls: a null text is empty and stays null when redacted; a null doc_id is kept.  Repeated documents are scanned one by
 one.  Other columns are carried along and never looked at.
@@ -51,8 +52,8 @@ ENCODINGS = (
 )
 #: Sizes of alphabets with cuts of their own; smaller ones, which words don't fit, share the last.
 SIZES = (26, 32, 36, 52, 62, 64)
-#: What has no letter or digit is no secret; words that make up decoys, and the characters from a decoy's place on that are looked at.
-BLANK, WORD, REACH = r"^[-_/+]+$", r"^[A-Za-z]{1,15}$", 600
+#: What has no letter or digit is no secret; a text's words that make up decoys (group 1), between all else.
+BLANK, WORDS = r"^[-_/+]+$", r"([A-Za-z]{1,15})(?:[^A-Za-z0-9+/_-]+|$)|[A-Za-z0-9+/_-]+|[^A-Za-z0-9+/_-]+"
 #: The stock: pieces of these words from COPIES places.
 STOCK, COPIES = "theresultofthisworkwillbekeptinthesamefolderasallotherfilesandnooneshouldhavetochangethembyhandwhenthenextversionisreadybecauseeverystepiswrittendownbelow", 24
 #: First lengths of the classes, accepted share of false discoveries, and the largest cut (99 % of random runs).
@@ -122,14 +123,17 @@ def _by_encoding(run: str, values: list[str]) -> str:
     return out
 
 
+#: The standard scores, from a run's length n, its alphabet's size k, and what is counted in it.
+_MEAN_RUNS = "(2 * high * (n - high) / n + 1)"
+_Z_CHI = "greatest(0D, (squares * k / n - n - k + 1) / sqrt(2 * (k - 1) * (n - 1) / n))"
+_Z_RUNS = f"if({_MEAN_RUNS} > 2, (changes + 1 - {_MEAN_RUNS}) / sqrt(greatest(0.25D, ({_MEAN_RUNS} - 1) * ({_MEAN_RUNS} - 2) / (n - 1))), 9D)"
+_Z_SERIAL = "serial / ((k * k - 1) / 12 * sqrt(n - 1))"
+
+
 def score(run: str, alphabet: str | None = None) -> str:
     """SQL for the sum of the squared standard scores of the three tests; about chi-squared with 3 degrees for random runs."""
     alphabet = alphabet or _by_encoding("x", [f"'{letters}'" for _, letters in ENCODINGS])
-    mean_runs = "(2 * high * (n - high) / n + 1)"
-    z_chi = "greatest(0D, (squares * k / n - n - k + 1) / sqrt(2 * (k - 1) * (n - 1) / n))"
-    z_runs = f"if({mean_runs} > 2, (changes + 1 - {mean_runs}) / sqrt(greatest(0.25D, ({mean_runs} - 1) * ({mean_runs} - 2) / (n - 1))), 9D)"
-    z_serial = "serial / ((k * k - 1) / 12 * sqrt(n - 1))"
-    body = f"power({z_chi}, 2) + power({z_runs}, 2) + power({z_serial}, 2)"
+    body = f"power({_Z_CHI}, 2) + power({_Z_RUNS}, 2) + power({_Z_SERIAL}, 2)"
     steps = "sequence(1, cast(n as int) - 1)"
     for name, value in (
         ("serial", f"aggregate({steps}, 0D, (a, i) -> a + (v[i] - (k - 1) / 2) * (v[i - 1] - (k - 1) / 2))"),
@@ -176,28 +180,60 @@ def candidates(docs: DataFrame, base: str, runs: str) -> DataFrame:
     )
 
 
-def _decoys(docs: DataFrame) -> DataFrame:
-    """(c, e, score) of decoys: for each document one piece of its joined words, and the stock, in each alphabet of letters."""
-    length = f"element_at(array({', '.join(map(str, CLASSES))}), cast(pmod(xxhash64(text), {len(CLASSES)}) as int) + 1)"
-    place = f"1 + cast(pmod(xxhash64(text, 1), greatest(1, length(text) - {REACH} + 1)) as int)"
-    near = texts(docs).select(F.expr(f"substr(text, {place}, {REACH})").alias("near"), F.expr(length).alias("first"))
-    words = near.select(F.expr("array_join(filter(split(near, '[^A-Za-z0-9+/_-]+'), w -> rlike(w, '" + WORD + "')), '')").alias("words"), "first")
-    piece = words.where("length(words) >= first").select(F.expr("substr(words, 1, first)").alias("piece"))
+def _decoy_bins() -> str:
+    """SQL for a piece's scores in all alphabets, rounded up to LARGEST + 1 at most.
+
+    As ``score``, for letters alone, with what the alphabets share worked out once: a letter stands in the same place of all
+    alphabets of one case and of all of both, so that only their size and middle differ.  What exceeds LARGEST is tested no further.
+    """
+
+    def two(i: int, k: int) -> str:
+        # letters below the alphabet's middle
+        half = k // 2
+        under = f"[a-{_LOWER[half - 1]}]" if k < 52 else "[A-Z]" if half == 26 else f"[A-Za-{_LOWER[half - 27]}]"
+        x, squares = ("low", "s1") if k < 52 else ("piece", "s2")
+        changes = f"(2D * size(under) - if(rlike({x}, '^{under}'), 1, 0) - if(rlike({x}, '{under}$'), 1, 0))"
+        runs = _let("under", f"regexp_extract_all({x}, '{under}+', 0)", _let("high", "n - length(array_join(under, ''))", f"power({_Z_RUNS.replace('changes', changes)}, 2)"))
+        chi = f"power({_Z_CHI.replace('squares', squares)}, 2)".replace("k", f"{k}D")
+        return f"if({chi} > {LARGEST}, {LARGEST + 1}D, {chi} + {runs})"
+
+    def three(i: int, k: int) -> str:
+        # the sum over neighbours of (v - m)(w - m)
+        p, m = ("p1" if k < 52 else "p2"), (k - 1) / 2
+        serial = f"({p}.products - {m}D * (2 * {p}.total - {p}.ends) + (n - 1) * {m * m}D)"
+        return f"cast(least(ceil(two[{i}] + power({_Z_SERIAL.replace('serial', serial)}, 2)), {LARGEST + 1}) as int)".replace("(k * k - 1)", f"{k * k - 1}D")
+
+    squares = lambda x: f"aggregate(array_distinct(split({x}, '')), 0D, (a, y) -> a + power(n - length(replace({x}, y, '')), 2))"
+    sums = lambda v: _let("v", v, "named_struct('products', aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + v[i] * v[i - 1]), 'total', aggregate(v, 0D, (a, y) -> a + y), 'ends', double(v[0] + v[size(v) - 1]))")
+    shifted = "named_struct('products', p1.products + 26 * (2 * p1.total - p1.ends) + 676 * (n - 1), 'total', p1.total + 26 * n, 'ends', p1.ends + 52)"
+    body = f"array({', '.join(three(i, k) for i, k in enumerate(SIZES))})"
+    body = _let("p2", f"if(piece = low, {shifted}, {sums('transform(split(piece, %s), y -> if(y >= %s, ascii(y) - 71, ascii(y) - 65))' % (repr(''), repr('a')))})", body)
+    body = _let("p1", sums("transform(split(low, ''), y -> ascii(y) - 97)"), body)
+    body = f"if(array_min(two) > {LARGEST}, array_repeat({LARGEST + 1}, {len(SIZES)}), {body})"
+    body = _let("two", f"array({', '.join(two(i, k) for i, k in enumerate(SIZES))})", body)
+    body = _let("s1", squares("low"), _let("s2", f"if(piece = low, s1, {squares('piece')})", body))
+    return _let("n", "double(length(piece))", _let("low", "lower(piece)", body))
+
+
+def decoys(docs: DataFrame) -> DataFrame:
+    """(c, e, bin, rows): numbers of decoys by length class, alphabet and score, from all words of all documents, and from the stock."""
     spark = docs.sparkSession
+    words = texts(docs).select(F.regexp_replace("text", WORDS, "$1").alias("words"))
+    turn = words.select(F.explode(F.regexp_extract_all("words", F.lit(f".{{1,{sum(CLASSES)}}}"), F.lit(0))).alias("turn"))
+    cut_up = [F.substring("turn", sum(CLASSES[:i]) + 1, n) for i, n in enumerate(CLASSES)]
+    piece = turn.select(F.explode(F.filter(F.array(*cut_up), lambda x: F.length(x) >= CLASSES[0])).alias("piece"))
     stock = spark.range(COPIES).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("n"), (F.col("id") * 7 % len(STOCK)).cast("int").alias("at"))
-    stock = stock.select(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)").alias("piece"))
-    # the case of letters doesn't matter where an alphabet has one
-    alphabets = [next(letters for _, letters in ENCODINGS if len(letters) == k) for k in SIZES]
-    kinds = ", ".join(f"named_struct('e', {e}, 'letters', '{x}', 'run', {'piece' if x.startswith(_UPPER + _LOWER) else 'lower(piece)'})" for e, x in enumerate(alphabets))
-    each = piece.union(stock).select(F.explode(F.expr(f"array({kinds})")).alias("d")).select("d.*")
-    return each.select(F.expr(_class("length(run)")).alias("c"), "e", F.expr(score("run", "letters")).alias("score"))
+    piece = piece.union(stock.select(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)")))
+    kinds = piece.select(F.expr(_class("length(piece)")).alias("c"), F.expr(_decoy_bins()).alias("bins")).groupBy("c", "bins").agg(F.count(F.lit(1)).alias("rows"))
+    # not by exploding the bins: a filter on them would go down to the pieces and have all tests done twice
+    each = kinds.withColumn("e", F.explode(F.array(*map(F.lit, range(len(SIZES))))))
+    return each.groupBy("c", "e", F.expr("bins[e]").alias("bin")).agg(F.sum("rows").alias("rows"))
 
 
 def cuts(found: DataFrame, runs: str, docs: DataFrame) -> dict[tuple[int, int], int]:
     """The largest accepted score of each length class and size of alphabet, from the candidates' runs and the documents' decoys."""
-    own = found.select(F.explode(runs).alias("r")).select("r.c", "r.e", "r.score", F.lit(False).alias("decoy"))
-    rows = own.union(_decoys(docs).select("c", "e", "score", F.lit(True)))
-    bins = rows.groupBy("c", "e", "decoy", F.expr(f"cast(least(ceil(score), {LARGEST + 1}) as int)").alias("bin")).agg(F.count(F.lit(1)).alias("rows")).collect()  # a thousand at most
+    own = found.select(F.explode(runs).alias("r")).groupBy("r.c", "r.e", F.expr(f"cast(least(ceil(r.score), {LARGEST + 1}) as int)").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(decoys(docs).select("c", "e", "bin", "rows", F.lit(True))).collect()  # a thousand at most
     count: dict[tuple[int, int, bool], list[int]] = {}
     for r in bins:
         count.setdefault((r["c"], r["e"], r["decoy"]), [0] * (LARGEST + 2))[r["bin"]] += r["rows"]

@@ -141,3 +141,25 @@ def test_texts_of_many_and_of_very_long_runs(spark):
     assert got[1].text == " ".join(["[SECRET]"] * 20_000)
     assert got[2].text in (rows[1][1], "é [SECRET]") and got[3].text.count("[SECRET]") == 3200
     assert time.time() - began < 150
+
+
+def test_all_words_of_all_texts_are_decoys(spark):
+    """All of every text's joined words are cut into pieces, each counted with its score in every alphabet, wherever it stands."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("etaoinshrdluQZ") for _ in range(rng.randrange(1, 18))) for _ in range(90)] + ["a1b", "x/y", "snake_case", "Ünder", "-", "q"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n)) + end) for i, (n, end) in enumerate([(300, ""), (40, "\n"), (3, "."), (0, ""), (2500, " z")])] + [(9, None)]
+    stock = ["".join(secrets.STOCK * 2)[i * 7 % len(secrets.STOCK) :][:n] for i in range(secrets.COPIES) for n in secrets.CLASSES]
+    want = {}
+    joined = ["".join(w for w in re.split("[^A-Za-z0-9+/_-]+", x or "") if re.fullmatch("[A-Za-z]{1,15}", w)) for _, x in rows]
+    pieces = [joined[j][at + sum(secrets.CLASSES[:i]) :][:n] for j in range(len(joined)) for at in range(0, len(joined[j]), sum(secrets.CLASSES)) for i, n in enumerate(secrets.CLASSES)]
+    assert sorted("".join(pieces)) == sorted("".join(joined)) and len(pieces) > 200
+    for piece in [x for x in pieces if len(x) >= 16] + stock:
+        for e, k in enumerate(secrets.SIZES):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(secrets, "ENCODINGS", [("", next(x for _, x in secrets.ENCODINGS if len(x) == k))])
+                s = plain_score(piece if k >= 52 else piece.lower())
+            assert abs(s - round(s)) > 1e-9 or s > secrets.LARGEST + 1
+            key = sum(n <= len(piece) for n in secrets.CLASSES) - 1, e, min(math.ceil(s), secrets.LARGEST + 1)
+            want[key] = want.get(key, 0) + 1
+    got = {(r.c, r.e, r.bin): r["rows"] for r in secrets.decoys(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
