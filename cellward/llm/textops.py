@@ -7,6 +7,7 @@ memory is bounded by the slice and by the longest single text, never by the part
 from __future__ import annotations
 
 import ctypes
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -73,6 +74,19 @@ def release() -> None:
         pass  # not glibc
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, build):
+    """What a worker keeps from task to task, such as models or a table of pieces: one thing only, so that no stage pays for the last one's."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
     """Cut Arrow batches into runs of rows with about ``limit`` bytes of text: (batch, list of bytes; null is empty)."""
     for batch in batches:

@@ -21,6 +21,8 @@ import unicodedata
 
 import numpy as np
 
+from cellward.llm import textops as t
+
 #: A longer unsplit piece is encoded in halves; a text with a longer one than DEAL is dealt out over tasks for it.
 LEAF, DEAL = 16, 4096
 #: Entries of a worker's table of pieces, about 250 bytes each.
@@ -65,9 +67,6 @@ def latin_pattern(pattern: str) -> re.Pattern[str]:
     return re.compile("".join(out))
 
 
-_CODECS: dict[tuple[str, int], Codec] = {}
-
-
 class Pieces(dict):
     """Ids of pieces, computed when first asked for.  When full it keeps the older half, in which frequent pieces are."""
 
@@ -85,10 +84,8 @@ class Pieces(dict):
 
 
 def codec(path: str, leaf: int = LEAF) -> Codec:
-    """The worker's codec for a vocabulary file; it lives as long as the worker."""
-    if (path, leaf) not in _CODECS:
-        _CODECS[path, leaf] = Codec(path, leaf)
-    return _CODECS[path, leaf]
+    """The worker's codec for a vocabulary file; it stays until the worker needs another or a model."""
+    return t.held(("codec", path, leaf), lambda: Codec(path, leaf))
 
 
 class Codec:
