@@ -9,8 +9,8 @@ letters of one case, base 32, base 36, letters, base 62, base 64), and tests it
 standard scores give one score, small for random text.  Runs that overlap a fixed span are neither tested nor counted.
 
 A cut is set for each size of alphabet and length class by false-discovery control: all words of all documents serve as
-decoys.  A document's words, joined without spaces, are cut from the first to the last into pieces of the classes' lengths in
-turn, and each piece is tested in every alphabet; a small fixed stock is added, so that there always are some.  The cut is the largest score at which the
+decoys in every class.  For each class a document's words, joined without spaces, are cut from the first to the last into pieces
+of its length, and each piece is tested in every alphabet; a small fixed stock is added, so that there always are some.  The cut is the largest score at which the
 expected share of such text among the runs below it is FDR at most: (decoys below + 1) / (decoys + 1), times the number of
 runs that are no secret, over the runs below.  That number is estimated from those above LARGEST.  Only numbers of decoys by
 class, alphabet and score leave the tasks.  Spans of kind ``random`` are added.
@@ -180,51 +180,81 @@ def candidates(docs: DataFrame, base: str, runs: str) -> DataFrame:
     )
 
 
-def _decoy_bins() -> str:
-    """SQL for a piece's scores in all alphabets, rounded up to LARGEST + 1 at most.
+def _letters(each, join: str, none: str) -> str:
+    """SQL that joins each(i) for the letters of a piece of n; stretches that a short piece doesn't reach are left out."""
+    parts = [f" {join} ".join(each(i) for i in range(first, last)) for first, last in zip((0, *CLASSES), CLASSES)]
+    return f" {join} ".join(f"if(n > {first}, {part}, {none})" for first, part in zip((0, *CLASSES), parts))
 
-    As ``score``, for letters alone, with what the alphabets share worked out once: a letter stands in the same place of all
-    alphabets of one case and of all of both, so that only their size and middle differ.  What exceeds LARGEST is tested no further.
-    """
 
-    def two(i: int, k: int) -> str:
-        # letters below the alphabet's middle
-        half = k // 2
-        under = f"[a-{_LOWER[half - 1]}]" if k < 52 else "[A-Z]" if half == 26 else f"[A-Za-{_LOWER[half - 27]}]"
-        x, squares = ("low", "s1") if k < 52 else ("piece", "s2")
-        changes = f"(2D * size(under) - if(rlike({x}, '^{under}'), 1, 0) - if(rlike({x}, '{under}$'), 1, 0))"
-        runs = _let("under", f"regexp_extract_all({x}, '{under}+', 0)", _let("high", "n - length(array_join(under, ''))", f"power({_Z_RUNS.replace('changes', changes)}, 2)"))
-        chi = f"power({_Z_CHI.replace('squares', squares)}, 2)".replace("k", f"{k}D")
-        return f"if({chi} > {LARGEST}, {LARGEST + 1}D, {chi} + {runs})"
-
-    def three(i: int, k: int) -> str:
-        # the sum over neighbours of (v - m)(w - m)
-        p, m = ("p1" if k < 52 else "p2"), (k - 1) / 2
-        serial = f"({p}.products - {m}D * (2 * {p}.total - {p}.ends) + (n - 1) * {m * m}D)"
-        return f"cast(least(ceil(two[{i}] + power({_Z_SERIAL.replace('serial', serial)}, 2)), {LARGEST + 1}) as int)".replace("(k * k - 1)", f"{k * k - 1}D")
+def _decoy_steps() -> list[dict[str, str]]:
+    """Steps of columns, each from those before, from a piece's ``letters`` to ``bins``: its scores in all alphabets, rounded up to LARGEST + 1 at most.
 
-    squares = lambda x: f"aggregate(array_distinct(split({x}, '')), 0D, (a, y) -> a + power(n - length(replace({x}, y, '')), 2))"
+    As ``score``, for letters alone.  A letter stands in the same place of all alphabets of one case and of all of both, so that
+    these differ in size and middle alone.  Letters (1 to 26, 0 behind the end) are counted in three longs, seven bits each, and
+    bit i of a long says whether letter i is above a middle.  What exceeds LARGEST is tested no further.  The sums over
+    all pieces are spelled out letter by letter: Spark compiles them, while it walks through the bodies of lambdas.
+    """
+    halves = {e: k // 2 if k < 52 else k // 2 - 26 for e, k in enumerate(SIZES)}
+    third = lambda t: _letters(lambda i: f"if({('l{0} < 9', 'l{0} >= 9 and l{0} < 18', 'l{0} >= 18')[t].format(i)}, shiftleft(1L, l{i} % 9 * 7), 0L)", "+", "0L")
+    above = lambda half: _letters(lambda i: f"if(l{i} > {half}, shiftleft(1L, {i}), 0L)", "|", "0L")
+    count = lambda y: f"power(double(shiftright(a{y // 9}, {y % 9 * 7}) & 127), 2)"
     sums = lambda v: _let("v", v, "named_struct('products', aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + v[i] * v[i - 1]), 'total', aggregate(v, 0D, (a, y) -> a + y), 'ends', double(v[0] + v[size(v) - 1]))")
     shifted = "named_struct('products', p1.products + 26 * (2 * p1.total - p1.ends) + 676 * (n - 1), 'total', p1.total + 26 * n, 'ends', p1.ends + 52)"
-    body = f"array({', '.join(three(i, k) for i, k in enumerate(SIZES))})"
-    body = _let("p2", f"if(piece = low, {shifted}, {sums('transform(split(piece, %s), y -> if(y >= %s, ascii(y) - 71, ascii(y) - 65))' % (repr(''), repr('a')))})", body)
-    body = _let("p1", sums("transform(split(low, ''), y -> ascii(y) - 97)"), body)
-    body = f"if(array_min(two) > {LARGEST}, array_repeat({LARGEST + 1}, {len(SIZES)}), {body})"
-    body = _let("two", f"array({', '.join(two(i, k) for i, k in enumerate(SIZES))})", body)
-    body = _let("s1", squares("low"), _let("s2", f"if(piece = low, s1, {squares('piece')})", body))
-    return _let("n", "double(length(piece))", _let("low", "lower(piece)", body))
+    some = lambda least: "least(" + ", ".join(f"two{e}" for e, k in enumerate(SIZES) if k >= least) + f") <= {LARGEST}"
 
+    def two(e: int, k: int) -> str:
+        m = f"above{halves[e]}" if k < 52 else f"(above{halves[e]} & lower)"
+        runs = _Z_RUNS.replace("changes", f"bit_count(({m} ^ shiftrightunsigned({m}, 1)) & shiftrightunsigned(-1L, 65 - n))").replace("high", f"double(bit_count({m}))")
+        return f"if(chi{e} > {LARGEST}, {LARGEST + 1}D, chi{e} + power({runs}, 2))"
 
-def decoys(docs: DataFrame) -> DataFrame:
+    def three(e: int, k: int) -> str:
+        p, m = ("p1" if k < 52 else "p2"), (k - 1) / 2
+        z = _Z_SERIAL.replace("serial", f"({p}.products - {m}D * (2 * {p}.total - {p}.ends) + (n - 1) * {m * m}D)").replace("(k * k - 1)", f"{k * k - 1}D")
+        return f"if(two{e} > {LARGEST}, {LARGEST + 1}, cast(least(ceil(two{e} + power({z}, 2)), {LARGEST + 1}) as int))"
+
+    return [
+        {"n": "size(letters)", "piece": "array_join(letters, '')"},
+        {"mixed": "piece != lower(piece)"},
+        {f"l{i}": f"coalesce(ascii(get(letters, {i})), 0) & 31" for i in range(CLASSES[-1])}
+        | {"lower": "if(mixed, aggregate(sequence(0, n - 1), 0L, (a, i) -> if(letters[i] >= 'a', a | shiftleft(1L, i), a)), -1L)"},
+        {f"a{t}": third(t) for t in range(3)}
+        | {f"above{half}": above(half) for half in sorted({*halves.values()})}
+        # the upper-case letters count apart in alphabets of both cases
+        | {"apart": "if(mixed, " + _let("x", "lower(piece)", "aggregate(array_distinct(filter(letters, y -> y < 'a')), 0D, (a, y) -> a + 2 * (n - length(replace(piece, y, ''))) * (length(replace(x, lower(y), '')) - length(replace(piece, y, ''))))") + ", 0D)"},
+        {"same": " + ".join(count(y) for y in range(1, 27))},
+        {f"chi{e}": f"power({_Z_CHI.replace('squares', 'same' if k < 52 else '(same + apart)')}, 2)".replace("k", f"{k}D") for e, k in enumerate(SIZES)},
+        {f"two{e}": two(e, k) for e, k in enumerate(SIZES)},
+        {"p1": f"if({some(0)}, {sums('transform(letters, y -> ascii(lower(y)) - 97)')}, null)"},
+        {"p2": f"if({some(52)}, if(mixed, {sums('transform(letters, y -> if(y >= %s, ascii(y) - 71, ascii(y) - 65))' % repr('a'))}, {shifted}), null)"},
+        {"bins": f"array({', '.join(three(e, k) for e, k in enumerate(SIZES))})"},
+    ]
+
+
+def in_turn(words: Column) -> Column:
+    """A text's joined words cut from end to end into pieces of the classes' lengths in turn; each stretch serves one class."""
+    turns = F.regexp_extract_all(words, F.lit(f".{{1,{sum(CLASSES)}}}"), F.lit(0))
+    cut_up = lambda turn: F.array(*(F.substring(turn, sum(CLASSES[:i]) + 1, n) for i, n in enumerate(CLASSES)))
+    return F.filter(F.flatten(F.transform(turns, cut_up)), lambda x: F.length(x) >= CLASSES[0])
+
+
+def for_each_class(words: Column) -> Column:
+    """For each class a text's joined words cut from end to end into pieces of its length; what is left over stands with the letters before it in one more."""
+    size, some = F.length(words), lambda n: F.regexp_extract_all(words, F.lit(f".{{{n}}}"), F.lit(0))
+    more = lambda n: F.when((size > n) & (size % n > 0), F.array(F.right(words, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.concat(*(x for n in CLASSES for x in (some(n), more(n))))
+
+
+def decoys(docs: DataFrame, pieces=in_turn) -> DataFrame:
     """(c, e, bin, rows): numbers of decoys by length class, alphabet and score, from all words of all documents, and from the stock."""
     spark = docs.sparkSession
     words = texts(docs).select(F.regexp_replace("text", WORDS, "$1").alias("words"))
-    turn = words.select(F.explode(F.regexp_extract_all("words", F.lit(f".{{1,{sum(CLASSES)}}}"), F.lit(0))).alias("turn"))
-    cut_up = [F.substring("turn", sum(CLASSES[:i]) + 1, n) for i, n in enumerate(CLASSES)]
-    piece = turn.select(F.explode(F.filter(F.array(*cut_up), lambda x: F.length(x) >= CLASSES[0])).alias("piece"))
+    piece = words.select(F.explode(pieces(F.col("words"))).alias("piece"))
     stock = spark.range(COPIES).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("n"), (F.col("id") * 7 % len(STOCK)).cast("int").alias("at"))
     piece = piece.union(stock.select(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)")))
-    kinds = piece.select(F.expr(_class("length(piece)")).alias("c"), F.expr(_decoy_bins()).alias("bins")).groupBy("c", "bins").agg(F.count(F.lit(1)).alias("rows"))
+    tested = piece.select(F.split("piece", "").alias("letters"))
+    for step in _decoy_steps():
+        tested = tested.select("*", *(F.expr(sql).alias(name) for name, sql in step.items()))
+    kinds = tested.groupBy(F.expr(_class("n")).alias("c"), "bins").agg(F.count(F.lit(1)).alias("rows"))
     # not by exploding the bins: a filter on them would go down to the pieces and have all tests done twice
     each = kinds.withColumn("e", F.explode(F.array(*map(F.lit, range(len(SIZES))))))
     return each.groupBy("c", "e", F.expr("bins[e]").alias("bin")).agg(F.sum("rows").alias("rows"))
@@ -233,7 +263,7 @@ def decoys(docs: DataFrame) -> DataFrame:
 def cuts(found: DataFrame, runs: str, docs: DataFrame) -> dict[tuple[int, int], int]:
     """The largest accepted score of each length class and size of alphabet, from the candidates' runs and the documents' decoys."""
     own = found.select(F.explode(runs).alias("r")).groupBy("r.c", "r.e", F.expr(f"cast(least(ceil(r.score), {LARGEST + 1}) as int)").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
-    bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(decoys(docs).select("c", "e", "bin", "rows", F.lit(True))).collect()  # a thousand at most
+    bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(decoys(docs, for_each_class).select("c", "e", "bin", "rows", F.lit(True))).collect()  # a thousand at most
     count: dict[tuple[int, int, bool], list[int]] = {}
     for r in bins:
         count.setdefault((r["c"], r["e"], r["decoy"]), [0] * (LARGEST + 2))[r["bin"]] += r["rows"]

@@ -163,3 +163,29 @@ def test_all_words_of_all_texts_are_decoys(spark):
             want[key] = want.get(key, 0) + 1
     got = {(r.c, r.e, r.bin): r["rows"] for r in secrets.decoys(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_cuts_of_each_class_rest_on_all_words(spark, monkeypatch):
+    """For each class every letter of every text with that many letters stands in a decoy, tested in every alphabet."""
+    rng = random.Random(21)
+    rows = [(i, " ".join("".join(rng.choice("etaoinshrdluQZx") for _ in range(rng.randrange(1, 12))) for _ in range(n))) for i, n in enumerate([120, 13, 4, 1, 700])] + [(8, None), (9, "")]
+    texts = ["".join((x or "").split()) for _, x in rows]
+    false = []
+    monkeypatch.setattr(secrets, "largest_cut", lambda _, x: false.append(x))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    secrets.cuts(secrets.candidates(docs, "base", "runs"), "runs", docs)
+    want = []
+    for n in secrets.CLASSES:
+        pieces = [(secrets.STOCK * 2)[i * 7 % len(secrets.STOCK) :][:n] for i in range(secrets.COPIES)]
+        for x in texts:
+            starts = {*range(0, len(x) - n + 1, n), len(x) - n} if len(x) >= n else set()
+            assert len({i + k for i in starts for k in range(n)}) == (len(x) if len(x) >= n else 0)
+            pieces += [x[i : i + n] for i in starts]
+        for k in secrets.SIZES:
+            counts = [0] * (secrets.LARGEST + 2)
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(secrets, "ENCODINGS", [("", next(x for _, x in secrets.ENCODINGS if len(x) == k))])
+                for piece in pieces:
+                    counts[min(math.ceil(plain_score(piece if k >= 52 else piece.lower())), secrets.LARGEST + 1)] += 1
+            want.append(counts)
+    assert false == want
