@@ -39,3 +39,11 @@ def test_records_link_and_round_trip(spark, tmp_path):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derive(warc.responses(pages), "page_id").count() == 0
+
+
+def test_responses_are_read_once(spark, tmp_path):
+    """Both derived records come from one reading of a response: the table is scanned once."""
+    spark.createDataFrame(ROWS, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = warc.op9_warc_derivatives(spark, str(tmp_path))
+    assert made.count() == 2 * len(ROWS)
+    assert len(made.inputFiles()) > 0 and made._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
