@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellward.llm.sparkops import carried, cut, free_names, table, texts
+from cellward.llm.sparkops import carried, cut, free_names, in_small_methods, table, texts
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 12
@@ -186,84 +186,97 @@ def _letters(each, join: str, none: str) -> str:
     return f" {join} ".join(f"if(n > {first}, {part}, {none})" for first, part in zip((0, *CLASSES), parts))
 
 
-def _decoy_steps() -> list[dict[str, str]]:
-    """Steps of columns, each from those before, from a piece's ``letters`` to ``bins``: its scores in all alphabets, rounded up to LARGEST + 1 at most.
+def coded(words: Column) -> Column:
+    """Two digits for each letter: its place in the alphabet of both cases, from 01 for A to 52 for z; binary, where a piece is found without a walk from the first byte."""
+    return F.hex(F.translate(words, _UPPER + _LOWER, "".join(chr(int(str(i), 16)) for i in range(1, 53)))).cast("binary")
+
 
-    As ``score``, for letters alone.  A letter stands in the same place of all alphabets of one case and of all of both, so that
-    these differ in size and middle alone.  Letters (1 to 26, 0 behind the end) are counted in three longs, seven bits each, and
-    bit i of a long says whether letter i is above a middle.  What exceeds LARGEST is tested no further.  The sums over
-    all pieces are spelled out letter by letter: Spark compiles them, while it walks through the bodies of lambdas.
+def _decoy_steps() -> list[dict[str, str]]:
+    """Steps of columns, each from those before, from a coded ``piece`` to ``bins``: its scores in all alphabets, rounded up to
+    LARGEST + 1 at most, four bits each.
+
+    As ``score``, for letters alone.  A letter stands in the same place of all alphabets of one case (l, from 1) and of all of both
+    (v, from 1; both are 0 behind the end), so that these differ in size and middle alone.  Letters are counted in three longs,
+    seven bits each (a; the upper-case ones alone in u), and bit i of a long says whether letter i is above a middle.
+    All is spelled out letter by letter and free of lambdas, which Spark walks through instead of compiling them, and of branches
+    by letter.  Sixteen digits are read as one number.
     """
-    halves = {e: k // 2 if k < 52 else k // 2 - 26 for e, k in enumerate(SIZES)}
-    third = lambda t: _letters(lambda i: f"if({('l{0} < 9', 'l{0} >= 9 and l{0} < 18', 'l{0} >= 18')[t].format(i)}, shiftleft(1L, l{i} % 9 * 7), 0L)", "+", "0L")
-    above = lambda half: _letters(lambda i: f"if(l{i} > {half}, shiftleft(1L, {i}), 0L)", "|", "0L")
-    count = lambda y: f"power(double(shiftright(a{y // 9}, {y % 9 * 7}) & 127), 2)"
-    sums = lambda v: _let("v", v, "named_struct('products', aggregate(sequence(1, size(v) - 1), 0D, (a, i) -> a + v[i] * v[i - 1]), 'total', aggregate(v, 0D, (a, y) -> a + y), 'ends', double(v[0] + v[size(v) - 1]))")
-    shifted = "named_struct('products', p1.products + 26 * (2 * p1.total - p1.ends) + 676 * (n - 1), 'total', p1.total + 26 * n, 'ends', p1.ends + 52)"
-    some = lambda least: "least(" + ", ".join(f"two{e}" for e, k in enumerate(SIZES) if k >= least) + f") <= {LARGEST}"
-
-    def two(e: int, k: int) -> str:
-        m = f"above{halves[e]}" if k < 52 else f"(above{halves[e]} & lower)"
-        runs = _Z_RUNS.replace("changes", f"bit_count(({m} ^ shiftrightunsigned({m}, 1)) & shiftrightunsigned(-1L, 65 - n))").replace("high", f"double(bit_count({m}))")
+    last, own = CLASSES[-1], {e: "l" if k < 52 else "v" for e, k in enumerate(SIZES)}
+    digits = lambda i: f"w{i // 8} div {100 ** (7 - i % 8)}L % 100"
+    ones = lambda t: f"cast(split('{','.join(str(1 << (y - 9 * t - 1) * 7 if 9 * t < y <= min(9 * t + 9, 26) else 0) for y in range(53))}', ',') as array<bigint>)"
+    third = lambda x, t: _letters(lambda i: f"coalesce(get({ones(t)}, {x}{i}), 0L)", "+", "0L")
+    above = lambda x, half: _letters(lambda i: f"shiftleft(bigint(shiftrightunsigned({half} - {x}{i}, 31)), {i})", "|", "0L")
+    products = lambda x: _letters(lambda i: f"{x}{i} * {x}{i - 1}" if i else "0", "+", "0")
+    count = lambda a, y: f"(shiftright({a}{y // 9}, {y % 9 * 7}) & 127L)"
+    every = lambda each: " + ".join(map(each, range(26)))
+
+    def two(e: int) -> str:
+        runs = _Z_RUNS.replace(_MEAN_RUNS, f"mean{e}").replace("changes", f"changes{e}")
         return f"if(chi{e} > {LARGEST}, {LARGEST + 1}D, chi{e} + power({runs}, 2))"
 
     def three(e: int, k: int) -> str:
-        p, m = ("p1" if k < 52 else "p2"), (k - 1) / 2
-        z = _Z_SERIAL.replace("serial", f"({p}.products - {m}D * (2 * {p}.total - {p}.ends) + (n - 1) * {m * m}D)").replace("(k * k - 1)", f"{k * k - 1}D")
+        x, m = own[e], (k + 1) / 2
+        z = _Z_SERIAL.replace("serial", f"(products_{x} - {m}D * (2 * total_{x} - ends_{x}) + (n - 1) * {m * m}D)").replace("(k * k - 1)", f"{k * k - 1}D")
         return f"if(two{e} > {LARGEST}, {LARGEST + 1}, cast(least(ceil(two{e} + power({z}, 2)), {LARGEST + 1}) as int))"
 
     return [
-        {"n": "size(letters)", "piece": "array_join(letters, '')"},
-        {"mixed": "piece != lower(piece)"},
-        {f"l{i}": f"coalesce(ascii(get(letters, {i})), 0) & 31" for i in range(CLASSES[-1])}
-        | {"lower": "if(mixed, aggregate(sequence(0, n - 1), 0L, (a, i) -> if(letters[i] >= 'a', a | shiftleft(1L, i), a)), -1L)"},
-        {f"a{t}": third(t) for t in range(3)}
-        | {f"above{half}": above(half) for half in sorted({*halves.values()})}
+        {"n": "shiftright(octet_length(piece), 1)", "padded": f"rpad(piece, {2 * last}, cast('0' as binary))"},
+        {f"w{j}": f"if(n > {8 * j}, cast(cast(substr(padded, {16 * j + 1}, 16) as string) as bigint), 0L)" for j in range(last // 8)} | {"end": "cast(cast(substr(piece, -2) as string) as int)"},
+        {f"v{i}": f"coalesce(cast({digits(i)} as int), 0)" for i in range(last)} | {f"l{i}": f"coalesce(cast(({digits(i)} - 1) % 26 + 1 as int), 0)" for i in range(last)},
+        {f"a{t}": third("l", t) for t in range(3)}
+        | {f"u{t}": f"if({above('v', 26)} = shiftrightunsigned(-1L, 64 - n), 0L, {third('v', t)})" for t in range(3)}
+        | {f"above{e}": above(own[e], k // 2) for e, k in enumerate(SIZES)}
+        | {f"products_{x}": products(x) for x in "lv"}
+        | {"ends_v": "v0 + end", "ends_l": "l0 + if(end > 26, end - 26, end)"},
         # the upper-case letters count apart in alphabets of both cases
-        | {"apart": "if(mixed, " + _let("x", "lower(piece)", "aggregate(array_distinct(filter(letters, y -> y < 'a')), 0D, (a, y) -> a + 2 * (n - length(replace(piece, y, ''))) * (length(replace(x, lower(y), '')) - length(replace(piece, y, ''))))") + ", 0D)"},
-        {"same": " + ".join(count(y) for y in range(1, 27))},
-        {f"chi{e}": f"power({_Z_CHI.replace('squares', 'same' if k < 52 else '(same + apart)')}, 2)".replace("k", f"{k}D") for e, k in enumerate(SIZES)},
-        {f"two{e}": two(e, k) for e, k in enumerate(SIZES)},
-        {"p1": f"if({some(0)}, {sums('transform(letters, y -> ascii(lower(y)) - 97)')}, null)"},
-        {"p2": f"if({some(52)}, if(mixed, {sums('transform(letters, y -> if(y >= %s, ascii(y) - 71, ascii(y) - 65))' % repr('a'))}, {shifted}), null)"},
-        {"bins": f"array({', '.join(three(e, k) for e, k in enumerate(SIZES))})"},
+        {"same_l": every(lambda y: f"{count('a', y)} * {count('a', y)}"), "upper": every(lambda y: count("u", y)), "total_l": every(lambda y: f"{count('a', y)} * {y + 1}")},
+        {"same_v": "same_l - 2 * (" + every(lambda y: f"{count('u', y)} * ({count('a', y)} - {count('u', y)})") + ")", "total_v": "total_l + 26 * (n - upper)"},
+        {f"chi{e}": f"power({_Z_CHI.replace('squares', f'same_{own[e]}')}, 2)".replace("k", f"{k}D") for e, k in enumerate(SIZES)}
+        | {f"changes{e}": f"bit_count((above{e} ^ shiftrightunsigned(above{e}, 1)) & shiftrightunsigned(-1L, 65 - n))" for e in own}
+        | {f"mean{e}": _MEAN_RUNS.replace("high", f"double(bit_count(above{e}))") for e in own},
+        {f"two{e}": two(e) for e in own},
+        {"bins": " + ".join(f"shiftleft({three(e, k)}, {4 * e})" for e, k in enumerate(SIZES))},
     ]
 
 
-def in_turn(words: Column) -> Column:
-    """A text's joined words cut from end to end into pieces of the classes' lengths in turn; each stretch serves one class."""
-    turns = F.regexp_extract_all(words, F.lit(f".{{1,{sum(CLASSES)}}}"), F.lit(0))
-    cut_up = lambda turn: F.array(*(F.substring(turn, sum(CLASSES[:i]) + 1, n) for i, n in enumerate(CLASSES)))
-    return F.filter(F.flatten(F.transform(turns, cut_up)), lambda x: F.length(x) >= CLASSES[0])
+def in_turn(codes: Column) -> Column:
+    """A text's joined words, coded, cut from end to end into pieces of the classes' lengths in turn; each stretch serves one class."""
+    size, turn = F.octet_length(codes), 2 * sum(CLASSES)
+    starts = F.transform(F.sequence(F.lit(0), size, F.lit(turn)), lambda at: F.array(*(at + 2 * sum(CLASSES[:i]) for i in range(len(CLASSES)))))
+    cut_up = lambda own: F.array(*(F.substring(codes, own[i] + 1, F.lit(2 * n)) for i, n in enumerate(CLASSES)))
+    return F.filter(F.flatten(F.transform(starts, cut_up)), lambda x: F.octet_length(x) >= 2 * CLASSES[0])
 
 
-def for_each_class(words: Column) -> Column:
-    """For each class a text's joined words cut from end to end into pieces of its length; what is left over stands with the letters before it in one more."""
-    size, some = F.length(words), lambda n: F.regexp_extract_all(words, F.lit(f".{{{n}}}"), F.lit(0))
-    more = lambda n: F.when((size > n) & (size % n > 0), F.array(F.right(words, F.lit(n)))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.concat(*(x for n in CLASSES for x in (some(n), more(n))))
+def for_each_class(codes: Column) -> Column:
+    """For each class a text's joined words, coded, cut from end to end into pieces of its length; what is left over stands with the letters before it in one more."""
+    size, none = F.octet_length(codes), F.expr("cast(array() as array<int>)")
+    starts = lambda n: F.when(size >= n, F.concat(F.sequence(F.lit(0), size - n, F.lit(n)), F.when(size % n > 0, F.array(size - n)).otherwise(none))).otherwise(none)
+    some = lambda n: F.transform(starts(n), lambda at: F.substring(codes, at + 1, F.lit(n)))
+    return F.concat(*(some(2 * n) for n in CLASSES))
 
 
 def decoys(docs: DataFrame, pieces=in_turn) -> DataFrame:
     """(c, e, bin, rows): numbers of decoys by length class, alphabet and score, from all words of all documents, and from the stock."""
     spark = docs.sparkSession
-    words = texts(docs).select(F.regexp_replace("text", WORDS, "$1").alias("words"))
-    piece = words.select(F.explode(pieces(F.col("words"))).alias("piece"))
-    stock = spark.range(COPIES).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("n"), (F.col("id") * 7 % len(STOCK)).cast("int").alias("at"))
-    piece = piece.union(stock.select(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)")))
-    tested = piece.select(F.split("piece", "").alias("letters"))
+    words = texts(docs).select(coded(F.regexp_replace("text", WORDS, "$1")).alias("words"))
+    # a binary column is copied wherever a lambda names it
+    piece = words.select(F.explode(_bound(F.col("words"), pieces)).alias("piece"))
+    stock = spark.range(0, COPIES, 1, 1).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("n"), (F.col("id") * 7 % len(STOCK)).cast("int").alias("at"))
+    tested = piece.union(stock.select(coded(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)"))))
     for step in _decoy_steps():
         tested = tested.select("*", *(F.expr(sql).alias(name) for name, sql in step.items()))
     kinds = tested.groupBy(F.expr(_class("n")).alias("c"), "bins").agg(F.count(F.lit(1)).alias("rows"))
     # not by exploding the bins: a filter on them would go down to the pieces and have all tests done twice
     each = kinds.withColumn("e", F.explode(F.array(*map(F.lit, range(len(SIZES))))))
-    return each.groupBy("c", "e", F.expr("bins[e]").alias("bin")).agg(F.sum("rows").alias("rows"))
+    return each.groupBy("c", "e", F.expr("shiftright(bins, 4 * e) & 15").alias("bin")).agg(F.sum("rows").alias("rows"))
 
 
 def cuts(found: DataFrame, runs: str, docs: DataFrame) -> dict[tuple[int, int], int]:
     """The largest accepted score of each length class and size of alphabet, from the candidates' runs and the documents' decoys."""
     own = found.select(F.explode(runs).alias("r")).groupBy("r.c", "r.e", F.expr(f"cast(least(ceil(r.score), {LARGEST + 1}) as int)").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
-    bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(decoys(docs, for_each_class).select("c", "e", "bin", "rows", F.lit(True))).collect()  # a thousand at most
+    false = decoys(docs, for_each_class).select("c", "e", "bin", "rows", F.lit(True))
+    with in_small_methods(own.sparkSession):
+        bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(false).collect()  # a thousand at most
     count: dict[tuple[int, int, bool], list[int]] = {}
     for r in bins:
         count.setdefault((r["c"], r["e"], r["decoy"]), [0] * (LARGEST + 2))[r["bin"]] += r["rows"]

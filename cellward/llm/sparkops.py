@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,18 @@ def freed(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+@contextmanager
+def in_small_methods(spark: SparkSession) -> Iterator[None]:
+    """For actions on very long expressions: whole-stage code would make each stage one method, too large for the JVM to compile."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, by a table in the shared folder.  For loops of joins: a checkpoint keeps the plan's estimated size, which
     joins multiply, so that it has four times the digits after each round and fills the driver after a dozen."""

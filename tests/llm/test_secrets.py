@@ -189,3 +189,16 @@ def test_cuts_of_each_class_rest_on_all_words(spark, monkeypatch):
                     counts[min(math.ceil(plain_score(piece if k >= 52 else piece.lower())), secrets.LARGEST + 1)] += 1
             want.append(counts)
     assert false == want
+
+
+def test_decoys_are_tested_in_compiled_code(spark, monkeypatch):
+    """No test of a decoy is a lambda, which Spark walks through, and none is in whole-stage code, as one method too large to compile."""
+    sql = [x for step in secrets._decoy_steps() for x in step.values()]
+    assert len(sql) > 100 and not any("->" in x for x in sql)
+    docs = spark.createDataFrame([(1, "some words and Some more of them")], "doc_id long, text string")
+    found, name, seen = secrets.candidates(docs, "base", "runs"), "spark.sql.codegen.wholeStage", []
+    collect = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(spark.conf.get(name)) or collect(df))
+    before = spark.conf.get(name)
+    secrets.cuts(found, "runs", docs)
+    assert seen == ["false"] and spark.conf.get(name) == before == "true"
