@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellward.llm.sparkops import carried, cut, free_names, in_small_methods, table, texts
+from cellward.llm.sparkops import carried, cut, free_names, setting, table, texts
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 12
@@ -222,7 +222,7 @@ def _decoy_steps() -> list[dict[str, str]]:
     return [
         {"n": "shiftright(octet_length(piece), 1)", "padded": f"rpad(piece, {2 * last}, cast('0' as binary))"},
         {f"w{j}": f"if(n > {8 * j}, cast(cast(substr(padded, {16 * j + 1}, 16) as string) as bigint), 0L)" for j in range(last // 8)} | {"end": "cast(cast(substr(piece, -2) as string) as int)"},
-        {f"v{i}": f"coalesce(cast({digits(i)} as int), 0)" for i in range(last)} | {f"l{i}": f"coalesce(cast(({digits(i)} - 1) % 26 + 1 as int), 0)" for i in range(last)},
+        {f"v{i}": f"if(n > {i}, coalesce(cast({digits(i)} as int), 0), 0)" for i in range(last)} | {f"l{i}": f"if(n > {i}, coalesce(cast(({digits(i)} - 1) % 26 + 1 as int), 0), 0)" for i in range(last)},
         {f"a{t}": third("l", t) for t in range(3)}
         | {f"u{t}": f"if({above('v', 26)} = shiftrightunsigned(-1L, 64 - n), 0L, {third('v', t)})" for t in range(3)}
         | {f"above{e}": above(own[e], k // 2) for e, k in enumerate(SIZES)}
@@ -263,8 +263,10 @@ def decoys(docs: DataFrame, pieces=in_turn) -> DataFrame:
     piece = words.select(F.explode(_bound(F.col("words"), pieces)).alias("piece"))
     stock = spark.range(0, COPIES, 1, 1).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("n"), (F.col("id") * 7 % len(STOCK)).cast("int").alias("at"))
     tested = piece.union(stock.select(coded(F.expr(f"substr(repeat('{STOCK}', 2), at + 1, n)"))))
-    for step in _decoy_steps():
-        tested = tested.select("*", *(F.expr(sql).alias(name) for name, sql in step.items()))
+    # nothing here can overflow: counts are 64 at most, in seven bits; each checked sum would be a call
+    with setting(spark, "spark.sql.ansi.enabled", "false"):
+        for step in _decoy_steps():
+            tested = tested.select("*", *(F.expr(sql).alias(name) for name, sql in step.items()))
     kinds = tested.groupBy(F.expr(_class("n")).alias("c"), "bins").agg(F.count(F.lit(1)).alias("rows"))
     # not by exploding the bins: a filter on them would go down to the pieces and have all tests done twice
     each = kinds.withColumn("e", F.explode(F.array(*map(F.lit, range(len(SIZES))))))
@@ -275,7 +277,8 @@ def cuts(found: DataFrame, runs: str, docs: DataFrame) -> dict[tuple[int, int],
     """The largest accepted score of each length class and size of alphabet, from the candidates' runs and the documents' decoys."""
     own = found.select(F.explode(runs).alias("r")).groupBy("r.c", "r.e", F.expr(f"cast(least(ceil(r.score), {LARGEST + 1}) as int)").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     false = decoys(docs, for_each_class).select("c", "e", "bin", "rows", F.lit(True))
-    with in_small_methods(own.sparkSession):
+    # whole-stage code would make the decoys' steps one method, too large for the JVM to compile
+    with setting(own.sparkSession, "spark.sql.codegen.wholeStage", "false"):
         bins = own.select("c", "e", "bin", "rows", F.lit(False).alias("decoy")).union(false).collect()  # a thousand at most
     count: dict[tuple[int, int, bool], list[int]] = {}
     for r in bins:

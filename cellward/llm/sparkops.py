@@ -56,11 +56,10 @@ def freed(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def in_small_methods(spark: SparkSession) -> Iterator[None]:
-    """For actions on very long expressions: whole-stage code would make each stage one method, too large for the JVM to compile."""
-    name = "spark.sql.codegen.wholeStage"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Holds a setting for the queries that are made, or run, within."""
     before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
