@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellward.operators import clusters, outlines, raster, spatial
 from cellward.plans.config import ClusterSettings
-from cellward.sources.storage import cut, feature, sized
+from cellward.sources.storage import cut, feature, shuffled, sized
 
 #: Metres of side of a mask's area for each cell of the closing's radius.
 SIDE_PER_CELL = 600
@@ -94,7 +94,7 @@ def described(found: DataFrame, cells: DataFrame, res: float) -> DataFrame:
     Filled cells count into the area, also where the file has no value.
     """
     value = cells.groupBy("file", "row", "col").agg(F.max("value").alias("value"))
-    joined = found.join(value, ["file", "row", "col"], "left").withColumn("key", F.struct("file", "risk_cluster_id"))
+    joined = found.join(shuffled(value), ["file", "row", "col"], "left").withColumn("key", F.struct("file", "risk_cluster_id"))
     stats = spatial.zonal(joined, "key", "value", res)
     scenario, indicator = parts_of(F.col("key.file"))
     return stats.select("key.file", "key.risk_cluster_id", scenario.alias("scenario"), indicator.alias("indicator"), "pixel_count", "mean_risk", "max_risk", "area", "density")

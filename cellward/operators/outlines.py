@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cellward.operators.clusters import spread_labels
 from cellward.operators.tabular import ordinal
-from cellward.sources.storage import cut
+from cellward.sources.storage import cut, sized
 
 TILE = 256
 #: Sides of a cell in turn (top, right, bottom, left): the way to the neighbour beyond it, and the way along it.
@@ -242,7 +242,7 @@ def finalised(cells: DataFrame, threshold: float = 0.1, least_area: float = 0.0,
     """Filled, large enough clusters (row, col, risk_cluster_id, area), numbered from 0 by their first cell in row order."""
     filled = cut(fill_holes(cells, threshold, res, tile))
     large = filled.groupBy("region").agg((F.count(F.lit(1)) * res * res).alias("area")).where(F.col("area") >= least_area)
-    numbered = ordinal(large, ["region"], "risk_cluster_id").withColumn("risk_cluster_id", F.col("risk_cluster_id").cast("int"))
+    numbered = sized(ordinal(large, ["region"], "risk_cluster_id").withColumn("risk_cluster_id", F.col("risk_cluster_id").cast("int")))
     return filled.join(numbered, "region").select("row", "col", "risk_cluster_id", "area")
 
 

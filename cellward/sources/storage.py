@@ -39,10 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table, for joins that go by shuffle: a table that grows with the input isn't broadcast.
+
+    Spark takes a table for as large as its files, which are compressed, and an exploded one for as large as a row of it for each row
+    before; where that is under the limit of broadcasts the table went through the driver.
+    """
+    return df.hint("merge")
+
+
 def sized(df: DataFrame, rows: int = 1 << 16) -> DataFrame:
-    """The table, run once, and marked for broadcast if it has no more than ``rows`` rows."""
+    """The table, run once, and marked for broadcast if it has no more than ``rows`` rows, else for a join by shuffle."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else shuffled(df)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -2,7 +2,13 @@
 
 import pytest
 
+from cellward.operators import clusterfiles, outlines
 from cellward.plans import gridqueries
+from cellward.sources.storage import sized
+
+
+def plan(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
 
 
 @pytest.mark.parametrize("name", ["normalise_hazard", "hazard_combine", "elevation_histogram", "dasymetric_share", "mass_conservation"])
@@ -17,3 +23,26 @@ def test_the_layer_stays_where_it_is(spark, name):
     assert "CartesianProduct" not in plan and "SortMergeJoin" not in plan
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line or "BroadcastNestedLoopJoin" in line]
     assert joins and all("BuildRight" in line or "__name" in line for line in joins)  # bins of a group may be on either side
+
+
+def test_values_of_cells_are_not_broadcast_to_clusters(spark):
+    """Sixty times sf0.1 had 5.4 million of them, which were taken for under 10 MB."""
+    cells = spark.range(400).selectExpr("'risk_gdp' as file", "cast(id / 20 as int) as row", "cast(id % 20 as int) as col", "double(id) as value")
+    found = cells.where("value < 50").selectExpr("file", "row", "col", "0 as risk_cluster_id")
+    got = clusterfiles.described(found, cells, 30.0)
+    assert "SortMergeJoin" in plan(got) and "BroadcastHashJoin" not in plan(got)
+    assert [(r.pixel_count, r.max_risk, r.area) for r in got.collect()] == [(49, 49.0, 45_000.0)]
+
+
+def test_numbers_go_to_cells_and_not_cells_to_numbers(spark):
+    rows = [(r, c) for r in range(30) for c in range(30) if r % 3 and c % 4]
+    got = outlines.finalised(spark.createDataFrame(rows, "row int, col int"), 0.1, 0.0, 30.0, 16)
+    joins = [line for line in plan(got).splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BroadcastHashJoin" in joins[0] and "BuildRight" in joins[0]
+    assert got.count() == len(rows) and got.select("risk_cluster_id").distinct().count() == 80
+
+
+def test_a_table_beyond_the_count_is_not_broadcast(spark):
+    small, other = spark.range(10), spark.range(20)
+    assert "BroadcastHashJoin" in plan(other.join(sized(small, 10), "id"))
+    assert "SortMergeJoin" in plan(other.join(sized(small, 9), "id"))
