@@ -78,10 +78,10 @@ def extracted(cells: DataFrame, rows: int, cols: int, settings: ClusterSettings,
     else:
         key = F.col("row").cast("long") * F.lit(1 << 32) + F.col("col")
         points = cut(tall.select(key.alias("id"), "row", "col", (F.col("col") * 1.0).alias("x"), (F.col("row") * 1.0).alias("y")))
-        dense = cut(points.join(clusters.dbscan(points.select("id", "x", "y"), settings.cluster_epsilon_multiplier, settings.minimum_samples).where("cluster is not null"), "id"))
+        dense = cut(shuffled(points).join(clusters.dbscan(points.select("id", "x", "y"), settings.cluster_epsilon_multiplier, settings.minimum_samples).where("cluster is not null"), "id"))
         sizes = dense.groupBy("cluster").agg((F.count(F.lit(1)) * res * res).alias("area"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         large = clusters.numbered(sizes.where("n >= 3"), settings.minimum_polygon_area_square_meters, ["first"])
-        found = dense.join(large.select("cluster", "risk_cluster_id"), "cluster")
+        found = dense.join(sized(large.select("cluster", "risk_cluster_id")), "cluster")
     found = cut(found.select("row", "col", "risk_cluster_id", F.floor(F.col("row") / stride).cast("int").alias("file_no")))
     first = F.broadcast(found.groupBy("file_no").agg(F.min("risk_cluster_id").alias("first")))  # a row for each file
     numbered = found.join(first, "file_no").join(order, "file_no")

@@ -9,25 +9,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellward.operators.tabular import ordinal
-from cellward.sources.storage import cut, sized
+from cellward.sources.storage import cut, shuffled, sized
+
+
+#: Labels that may be broadcast.
+MANY = 1 << 16
 
 
 def spread_labels(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, label): smallest id that the undirected edges (id, other) connect each vertex with.
 
     Labels are lowered over edges and then through their own labels, until none changes; each round is cut off
-    by a checkpoint in the shared folder.
+    by a checkpoint in the shared folder.  More than ``MANY`` labels meet the edges by shuffle.
     """
     edges = cut(edges.where("id <> other"))
     labels = cut(vertices.select("id", F.col("id").alias("label")))
     total = None
     while True:
-        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        now, n = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count(F.lit(1))).first()
         if now == total:
             return labels
         total = now
-        near = edges.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
+        known = shuffled(labels) if n > MANY else labels
+        near = edges.join(known.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("near"))
+        step = known.join(near, "id", "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
         through = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
         labels = cut(step.join(through, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label")))
 
@@ -62,7 +67,7 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     is, and only points of emptier cells count their neighbours: fewer than ``least`` of them ask each of a cell's points.
     Cells, not points, are connected: by eight outermost core points of each; points are only compared between
     cells that this leaves in different clusters, and of these only those within eps of the other cell's points' bounds.
-    A cell of very many points is parted, so no task holds one whole.
+    A cell of very many points is parted, so no task holds one whole; tables of points or cells meet by shuffle.
     """
     side = eps / math.sqrt(2) * 0.999999
     number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -75,12 +80,12 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     key = ["cx", "cy", "piece"]
     around = [(a, b) for a in range(-2, 3) for b in range(-2, 3)]
 
-    sparse = cut(dealt.join(_pieced(cells.where(F.col("n") < least)).select(*key), key, "left_semi"))
+    sparse = cut(dealt.join(shuffled(_pieced(cells.where(F.col("n") < least)).select(*key)), key, "left_semi"))
     asked = _beside(sparse.select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), "cx", "cy"), around)
     within = _apart(F.col("x0"), F.col("y0"), F.col("x"), F.col("y")) <= eps
-    met = _pieced(asked.join(cells.select("cx", "cy", "pieces"), ["cx", "cy"])).join(dealt.select(*key, "x", "y"), key).where(within)
+    met = _pieced(asked.join(shuffled(cells.select("cx", "cy", "pieces")), ["cx", "cy"])).join(shuffled(dealt.select(*key, "x", "y")), key).where(within)
     enough = met.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id")
-    core = cut(dealt.join(_pieced(cells.where(F.col("n") >= least)).select(*key), key, "left_semi").unionByName(sparse.join(enough, "id", "left_semi")))
+    core = cut(dealt.join(shuffled(_pieced(cells.where(F.col("n") >= least)).select(*key)), key, "left_semi").unionByName(sparse.join(enough, "id", "left_semi")))
 
     place = F.struct("x", "y")
     ways = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
@@ -88,7 +93,7 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     bounds = [f(c).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.min, "low_"), (F.max, "high_"))]
     held = cut(core.groupBy("cx", "cy").agg(F.min("id").alias("own"), F.max("pieces").alias("pieces"), outer.alias("outer"), F.struct(*bounds).alias("box")))
     left = _beside(held.select(F.struct("own", "pieces", "outer", "box", "cx", "cy").alias("a"), "cx", "cy"), [s for s in around if s > (0, 0)])
-    pairs = left.join(held.select("cx", "cy", F.struct("own", "pieces", "outer", "box", "cx", "cy").alias("b")), ["cx", "cy"]).select("a", "b")
+    pairs = left.join(shuffled(held.select("cx", "cy", F.struct("own", "pieces", "outer", "box", "cx", "cy").alias("b"))), ["cx", "cy"]).select("a", "b")
     gap = lambda c: F.greatest(F.col(f"a.box.low_{c}") - F.col(f"b.box.high_{c}"), F.col(f"b.box.low_{c}") - F.col(f"a.box.high_{c}"), F.lit(0.0))
     pairs = pairs.where(F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")) <= eps)
     sure = F.exists("a.outer", lambda p: F.exists("b.outer", lambda q: _apart(p["x"], p["y"], q["x"], q["y"]) <= eps))
@@ -98,14 +103,14 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     first = spread_labels(both(pairs.where("sure").select(F.col("a.own").alias("id"), F.col("b.own").alias("other"))), held.select(F.col("own").alias("id")))
     open_ = pairs.where("not sure").select("a", "b", F.col("a.own").alias("ao"), F.col("b.own").alias("bo"))
     for one, label in (("ao", "la"), ("bo", "lb")):
-        open_ = open_.join(first.select(F.col("id").alias(one), F.col("label").alias(label)), one)
+        open_ = open_.join(shuffled(first.select(F.col("id").alias(one), F.col("label").alias(label))), one)
     open_ = cut(open_.where("la <> lb"))
 
     def frontier(one: str, other: str) -> DataFrame:
         """The core points of one cell of each open pair that lie near the other's bounds, each place once."""
         asked = _pieced(open_.select("ao", "bo", "la", "lb", F.col(f"{other}.box").alias("box"), F.col(f"{one}.cx").alias("cx"), F.col(f"{one}.cy").alias("cy"), F.col(f"{one}.pieces").alias("pieces")))
         off = lambda c: F.greatest(F.col(f"box.low_{c}") - F.col(c), F.col(c) - F.col(f"box.high_{c}"), F.lit(0.0))
-        near = asked.join(core.select(*key, "x", "y"), key).where(F.sqrt(off("x") * off("x") + off("y") * off("y")) <= eps)
+        near = asked.join(shuffled(core.select(*key, "x", "y")), key).where(F.sqrt(off("x") * off("x") + off("y") * off("y")) <= eps)
         return near.select("ao", "bo", "la", "lb", F.col("x").alias(f"{one}x"), F.col("y").alias(f"{one}y")).distinct()
 
     labels = first.withColumnRenamed("id", "own")
@@ -113,12 +118,12 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
         touching = frontier("a", "b").join(frontier("b", "a"), ["ao", "bo", "la", "lb"]).where(_apart(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= eps)
         second = spread_labels(both(touching.select(F.col("la").alias("id"), F.col("lb").alias("other")).distinct()), first.select(F.col("label").alias("id")).distinct())
         labels = first.select(F.col("id").alias("own"), F.col("label").alias("id")).join(second, "id").select("own", "label")
-    named = cut(_pieced(held.select("cx", "cy", "own", "pieces")).join(labels, "own").select(*key, "label"))
+    named = cut(_pieced(held.select("cx", "cy", "own", "pieces")).join(shuffled(labels), "own").select(*key, "label"))
 
-    inner = core.join(named, key).select("id", "label")
-    rest = asked.join(core.select("id"), "id", "left_anti")
-    border = rest.join(named, ["cx", "cy"]).join(core.select(*key, "x", "y", F.col("id").alias("other")), key).where(within).groupBy("id").agg(F.min_by("label", "other").alias("label"))
-    return points.select("id").join(inner.unionByName(border), "id", "left").select("id", F.col("label").alias("cluster"))
+    inner = core.join(shuffled(named), key).select("id", "label")
+    rest = asked.join(shuffled(core.select("id")), "id", "left_anti")
+    border = rest.join(shuffled(named), ["cx", "cy"]).join(shuffled(core.select(*key, "x", "y", F.col("id").alias("other"))), key).where(within).groupBy("id").agg(F.min_by("label", "other").alias("label"))
+    return shuffled(points.select("id")).join(inner.unionByName(border), "id", "left").select("id", F.col("label").alias("cluster"))
 
 
 def _label_tile(diagonal: bool):

@@ -2,9 +2,10 @@
 
 import pytest
 
-from cellward.operators import clusterfiles, outlines
+from cellward.operators import clusterfiles, clusters, outlines
 from cellward.plans import gridqueries
-from cellward.sources.storage import sized
+from cellward.plans.config import ClusterSettings
+from cellward.sources.storage import cut, sized
 
 
 def plan(df):
@@ -46,3 +47,37 @@ def test_a_table_beyond_the_count_is_not_broadcast(spark):
     small, other = spark.range(10), spark.range(20)
     assert "BroadcastHashJoin" in plan(other.join(sized(small, 10), "id"))
     assert "SortMergeJoin" in plan(other.join(sized(small, 9), "id"))
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """The columns and plan of each table that the operators on clusters cut."""
+    seen = []
+
+    def noted(df):
+        seen.append((df.columns, plan(df)))
+        return cut(df)
+
+    for module in (clusters, clusterfiles):
+        monkeypatch.setattr(module, "cut", noted)
+    return seen
+
+
+def test_points_cells_and_labels_are_not_broadcast(spark, monkeypatch, plans):
+    monkeypatch.setattr(clusters, "MANY", 0)
+    points = spark.range(200).selectExpr("id", "double(id % 20) as x", "id * 0.05D as y")
+    plans.append((None, plan(clusters.dbscan(points, 1.5, 4))))
+    joins = [line for _, p in plans for line in p.splitlines() if "Join" in line]
+    hot = [line for line in joins if "Broadcast" in line and "[label" not in line]  # the step from label to label is sized by the joins before it
+    assert len(joins) > 12 and len(hot) == 1 and "LeftOuter, BuildRight" in hot[0]  # how many pieces the cells of very many points have
+
+
+def test_dense_cells_are_not_broadcast(spark, plans):
+    cells = spark.range(400).selectExpr("'risk_gdp' as file", "cast(id / 20 as int) as row", "cast(id % 20 as int) as col", "double(id % 20 div 10) as value")
+    got = clusterfiles.extracted(cells, 20, 20, ClusterSettings(morphological_closing_disk_size=1), 16)
+    dense = next(p for c, p in plans if {"id", "row", "x", "cluster"} <= set(c))
+    assert "SortMergeJoin" in dense and "Broadcast" not in dense
+    numbered = next(p for c, p in plans if set(c) == {"row", "col", "risk_cluster_id", "file_no"})
+    joins = [line for line in numbered.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "BuildRight" in joins[0]
+    assert [tuple(r) for r in got.groupBy("file", "risk_cluster_id").count().collect()] == [("risk_gdp", 0, 200)]
